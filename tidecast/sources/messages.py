@@ -29,7 +29,7 @@ ENVELOPE = T.StructType(
 
 # A micro-batch takes at most this much unless the caller says otherwise, so a
 # restart that has to catch up does not become one huge batch.
-RATE_LIMITS = {"kafka": ("maxOffsetsPerTrigger", 50_000_000), "files": ("maxFilesPerTrigger", 1000)}
+RATE_LIMITS = {"kafka": ("maxOffsetsPerTrigger", 5_000_000), "files": ("maxFilesPerTrigger", 1000)}
 
 
 def _options(fmt: str, options: Mapping[str, str], topics: Sequence[str]) -> dict[str, str]:

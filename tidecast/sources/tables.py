@@ -11,15 +11,23 @@ from tidecast.functions.columns import col, cols
 EPOCH = "epoch_id"
 
 
+# Without these, CSV text keeps milliseconds only.
+_CSV_TIMES = {
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV file with a header. Give a schema; without one, types are inferred
     by an extra pass over the file."""
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    if schema is None:
+        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return spark.read.option("header", True).options(**_CSV_TIMES).schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.option("header", header).csv(path)
+    df.write.option("header", header).options(**_CSV_TIMES).csv(path)
 
 
 def append_epoch(df: DataFrame, path: str, epoch: int | None = None) -> None:
