@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.functions.columns import all_of, col, finite
+from tidecast.functions.columns import cols, finite
+from tidecast.functions.names import quote
 
 # The field order and the time text of the wire format.
 TIME_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -32,14 +33,15 @@ def prediction_fields(
     return fields + ([("RMSE_Score", "double")] if rmse else [])
 
 
-def _parse(part: Column, kind: str, time_pattern: str | None) -> Column:
+def _parsed(i: int, kind: str, time_pattern: str | None) -> str:
+    part = f"get(__parts, {i})"
     if kind.startswith("timestamp") and time_pattern:
-        return F.try_to_timestamp(part, F.lit(time_pattern)).cast(kind)
-    return part.try_cast(kind)
+        return f"CAST(try_to_timestamp({part}, '{time_pattern}') AS {kind})"
+    return f"try_cast({part} AS {kind})"
 
 
-def _usable(name: str, kind: str) -> Column:
-    return finite(col(name)) if kind in ("double", "float") else col(name).isNotNull()
+def _usable(name: str, kind: str) -> str:
+    return finite(name) if kind in ("double", "float") else f"{quote(name)} IS NOT NULL"
 
 
 def decode(
@@ -57,31 +59,31 @@ def decode(
     one are ignored. Without ``time_pattern`` times are read by a lenient cast,
     with it only by that pattern.
     """
-    parts = F.split(F.translate(col(value).cast("string"), '"', ""), ",")
-    parsed = df.select(
-        *[col(k) for k in keep],
-        col(value).cast("string").alias("__text"),
-        *[
-            _parse(F.get(parts, F.lit(i)), kind, time_pattern).alias(name)
-            for i, (name, kind) in enumerate(fields)
-        ],
-    )
-    usable = [_usable(name, kind) for name, kind in fields]
-    first_bad = F.coalesce(*[F.when(~ok, F.lit(n)) for ok, (n, _) in zip(usable, fields)])
-    good = parsed.filter(all_of(usable)).drop("__text")
-    rejected = parsed.filter(~all_of(usable)).select(
-        *[col(k) for k in keep], F.col("__text").alias("value"), first_bad.alias("bad_field")
+    text = f"CAST({quote(value)} AS STRING)"
+    parsed = df.selectExpr(
+        *cols(keep), f"{text} AS __text", f"split(translate({text}, '\"', ''), ',') AS __parts"
+    ).selectExpr(
+        *cols(keep),
+        "__text",
+        *[f"{_parsed(i, kind, time_pattern)} AS {quote(n)}" for i, (n, kind) in enumerate(fields)],
     )
+    usable = {name: _usable(name, kind) for name, kind in fields}
+    good = parsed.filter(" AND ".join(usable.values())).drop("__text")
+    cases = " ".join(f"WHEN NOT ({ok}) THEN '{name}'" for name, ok in usable.items())
+    rejected = parsed.selectExpr(
+        *cols(keep), "__text AS value", f"CASE {cases} END AS bad_field"
+    ).filter("bad_field IS NOT NULL")
     return good, rejected
 
 
-def _text(c: Column, dtype: T.DataType, digits: int | None) -> Column:
+def _text(name: str, dtype: T.DataType, digits: int | None) -> str:
+    c = quote(name)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, TIME_TEXT)
+        return f"date_format({c}, '{TIME_TEXT}')"
     if isinstance(dtype, (T.DoubleType, T.FloatType)) and digits is not None:
-        fixed = F.round(c, digits).try_cast(f"decimal(38,{digits})")
-        return F.coalesce(fixed.cast("string"), c.cast("string"))
-    return c.cast("string")
+        fixed = f"try_cast(round({c}, {digits}) AS DECIMAL(38, {digits}))"
+        return f"coalesce(CAST({fixed} AS STRING), CAST({c} AS STRING))"
+    return f"CAST({c} AS STRING)"
 
 
 def encode(
@@ -98,11 +100,10 @@ def encode(
     a JSON string.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts: list[Column] = []
-    for name in fields:
-        parts += [F.lit(","), _text(col(name), types[name], digits)]
-    value = F.concat(*parts[1:])
-    if quoted:
-        escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-        value = F.concat(F.lit('"'), escaped, F.lit('"'))
-    return df.select(*[col(k) for k in keep], value.alias("value"))
+    value = f"concat({", ',', ".join(_text(f, types[f], digits) for f in fields)})"
+    rows = df.selectExpr(*cols(keep), f"{value} AS value")
+    if not quoted:
+        return rows
+    # The JSON escapes of a backslash and of a quote.
+    escaped = F.replace(F.replace("value", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return rows.withColumn("value", F.concat(F.lit('"'), escaped, F.lit('"')))

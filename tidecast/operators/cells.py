@@ -21,14 +21,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.functions.columns import col, cols, null_safe_join
+from tidecast.functions.columns import aggregate, col, cols, null_safe_join, window
+from tidecast.functions.names import quote
 from tidecast.sources.scratch import written
 
 MAX_ROWS = 2_000_000
+# Wide enough for the difference of any two bigints.
+_WIDE = "decimal(20,0)"
 BROADCAST_ROWS = 200_000
 
 
@@ -66,42 +69,41 @@ def _sort_keys(df: DataFrame, order: Sequence[str]) -> list[Column]:
 
 
 def _stats(rows: DataFrame, group: Sequence[str], n_keys: int) -> DataFrame:
-    return rows.groupBy(*cols(group)).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.min(f"__k{i}").alias(f"__lo{i}") for i in range(n_keys)],
-        *[F.max(f"__k{i}").alias(f"__hi{i}") for i in range(n_keys)],
-    )
+    values = {"__n": "count(1)"}
+    values |= {f"__lo{i}": f"min(__k{i})" for i in range(n_keys)}
+    values |= {f"__hi{i}": f"max(__k{i})" for i in range(n_keys)}
+    return aggregate(rows, group, values)
 
 
-def _first_varying(n_keys: int, value) -> Column:
-    """``value(i)`` of the first sort key that is not constant in the cell."""
-    return F.coalesce(
-        *[F.when(F.col(f"__hi{i}") > F.col(f"__lo{i}"), value(i)) for i in range(n_keys)]
-    )
+def _first_varying(n_keys: int, value: str) -> str:
+    """SQL: ``value`` of the first sort key that is not constant in the cell."""
+    cases = [f"WHEN __hi{i} > __lo{i} THEN {value.format(i)}" for i in range(n_keys)]
+    return f"CASE {' '.join(cases)} END"
 
 
 def _cuts(stats: DataFrame, group: Sequence[str], n_keys: int, max_rows: int) -> DataFrame:
     """Start and step for each group above ``max_rows`` that can be cut."""
-    wide = "decimal(20,0)"
-    lo = _first_varying(n_keys, lambda i: F.col(f"__lo{i}")).cast(wide)
-    hi = _first_varying(n_keys, lambda i: F.col(f"__hi{i}")).cast(wide)
-    pieces = F.ceil(F.col("__n") * 2 / F.lit(max_rows))
-    return stats.filter(F.col("__n") > max_rows).select(
-        *cols(group),
-        _first_varying(n_keys, lambda i: F.lit(i)).alias("__key"),
-        lo.alias("__start"),
-        F.greatest(F.ceil((hi - lo + 1) / pieces).cast(wide), F.lit(1).cast(wide)).alias("__step"),
-    ).filter(F.col("__key").isNotNull())
-
-
-def _step_number(n_keys: int) -> Column:
-    key = F.coalesce(*[F.when(F.col("__key") == i, F.col(f"__k{i}")) for i in range(n_keys)])
-    return F.call_function("div", key.cast("decimal(20,0)") - F.col("__start"), F.col("__step"))
+    lo = f"CAST({_first_varying(n_keys, '__lo{}')} AS {_WIDE})"
+    hi = f"CAST({_first_varying(n_keys, '__hi{}')} AS {_WIDE})"
+    step = f"CAST(ceil(({hi} - {lo} + 1) / ceil(__n * 2 / {max_rows})) AS {_WIDE})"
+    return (
+        stats.filter(f"__n > {max_rows}")
+        .selectExpr(
+            *cols(group),
+            f"{_first_varying(n_keys, '{}')} AS __key",
+            f"{lo} AS __start",
+            f"greatest({step}, CAST(1 AS {_WIDE})) AS __step",
+        )
+        .filter("__key IS NOT NULL")
+    )
 
 
 def _numbered(rows, cuts, group, n_keys, how, name):
+    """``rows`` with the number of each row's step, null outside the cut groups."""
+    key = f"CASE __key {' '.join(f'WHEN {i} THEN __k{i}' for i in range(n_keys))} END"
+    number = F.expr(f"(CAST({key} AS {_WIDE}) - __start) div __step")
     joined = null_safe_join(rows, cuts, group, how)
-    return joined.withColumn(name, _step_number(n_keys)).drop("__key", "__start", "__step")
+    return joined.withColumn(name, number).drop("__key", "__start", "__step")
 
 
 def split_hot(
@@ -112,8 +114,8 @@ def split_hot(
     ``by`` must name at least one column. Runs one counting job, and a few more
     over the hot series alone if there are any.
     """
-    counts = df.groupBy(*cols(by)).agg(F.count(F.lit(1)).alias("__n"))
-    hot = written(counts.filter(F.col("__n") > max_rows).select(*cols(by)), "hot-series")
+    counts = aggregate(df, by, {"__n": "count(1)"})
+    hot = written(counts.filter(f"__n > {max_rows}").select(*cols(by)), "hot-series")
     n_hot = hot.count()
     keys = _sort_keys(df, order)
     if n_hot == 0 or not keys:
@@ -156,26 +158,23 @@ def preceding_rows(
     Spark limits on the map side. The rest works on those few rows only: a cell
     takes them from as many earlier cells as it needs.
     """
-    group = [*by, *cells]
-    last_first = Window.partitionBy(*cols(group)).orderBy(*[col(o).desc() for o in order])
-    kept = [*order, *[c for c in columns if c not in order]]
+    group = cols([*by, *cells])
+    kept = cols([*order, *[c for c in columns if c not in order]])
+    back = window([*by, *cells], order, descending=True)
     tails = (
-        df.filter(col(cells[0]).isNotNull())
-        .select(*cols(group), *cols(kept))
-        .withColumn("__back", F.row_number().over(last_first))
-        .filter(F.col("__back") <= p)
-        .groupBy(*cols(group))
-        .agg(F.sort_array(F.collect_list(F.struct("__back", *cols(kept)))).alias("__tail"))
+        df.filter(f"{quote(cells[0])} IS NOT NULL")
+        .selectExpr(*group, *kept, f"row_number() {back} AS __back")
+        .filter(f"__back <= {p}")
+        .groupBy(*group)
+        .agg(F.expr(f"sort_array(collect_list(struct(__back, {', '.join(kept)}))) AS __tail"))
     )
-    earlier = Window.partitionBy(*cols(by)).orderBy(*cols(cells))
-    tails_before = F.array(*[F.lag("__tail", j).over(earlier) for j in range(1, p + 1)])
+    earlier = window(by, cells)
+    tails_before = ", ".join(f"lag(__tail, {j}) {earlier}" for j in range(1, p + 1))
     return (
-        tails.select(*cols(group), tails_before.alias("__tails"))
-        .select(
-            *cols(group),
-            F.explode(
-                F.slice(F.flatten(F.filter("__tails", lambda t: t.isNotNull())), 1, p)
-            ).alias("__row"),
+        tails.selectExpr(*group, f"array({tails_before}) AS __tails")
+        .selectExpr(
+            *group,
+            f"inline(slice(flatten(filter(__tails, t -> t IS NOT NULL)), 1, {p}))",
         )
-        .select(*cols(group), *[F.col("__row").getField(c).alias(c) for c in kept])
+        .drop("__back")
     )

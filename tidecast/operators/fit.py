@@ -17,9 +17,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidecast.functions.columns import all_of, col, cols, finite
+from tidecast.functions.columns import aggregate, cols, finite, stacked
 from tidecast.functions.names import lag_names, quote
 
 TOLERANCE = 1e-10
@@ -37,9 +36,9 @@ def terms(targets: Sequence[str], p: int) -> list[tuple[str, int]]:
     return [(CONST, 0), *lags]
 
 
-def usable(targets: Sequence[str], p: int):
-    """True where the targets and all their lags are finite numbers."""
-    return all_of([finite(col(c)) for c in [*lag_names(targets, p), *targets]])
+def usable(targets: Sequence[str], p: int) -> str:
+    """SQL: the targets and all their lags are finite numbers."""
+    return " AND ".join(finite(c) for c in [*lag_names(targets, p), *targets])
 
 
 def moments(lagged: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()):
@@ -49,22 +48,19 @@ def moments(lagged: DataFrame, targets: Sequence[str], p: int, by: Sequence[str]
     lags with each other and with the targets.
     """
     d, k = len(targets) * p, len(targets)
-    rows = lagged.filter(usable(targets, p)).select(
+    rows = lagged.filter(usable(targets, p)).selectExpr(
         *cols(by),
-        *[col(n).cast("double").alias(f"__z{i}") for i, n in enumerate(lag_names(targets, p))],
-        *[col(t).cast("double").alias(f"__y{j}") for j, t in enumerate(targets)],
-    )
-    return rows.groupBy(*cols(by)).agg(
-        F.count(F.lit(1)).alias("n_obs"),
-        *[F.avg(f"__z{i}").alias(f"m_{i}") for i in range(d)],
-        *[F.avg(f"__y{j}").alias(f"y_{j}") for j in range(k)],
-        *[
-            F.covar_pop(f"__z{i}", f"__z{j}").alias(f"a_{i}_{j}")
-            for i in range(d)
-            for j in range(i, d)
-        ],
-        *[F.covar_pop(f"__z{i}", f"__y{j}").alias(f"b_{i}_{j}") for i in range(d) for j in range(k)],
+        *[f"double({quote(n)}) AS __z{i}" for i, n in enumerate(lag_names(targets, p))],
+        *[f"double({quote(t)}) AS __y{j}" for j, t in enumerate(targets)],
     )
+    values = {"n_obs": "count(1)"}
+    values |= {f"m_{i}": f"avg(__z{i})" for i in range(d)}
+    values |= {f"y_{j}": f"avg(__y{j})" for j in range(k)}
+    values |= {
+        f"a_{i}_{j}": f"covar_pop(__z{i}, __z{j})" for i in range(d) for j in range(i, d)
+    }
+    values |= {f"b_{i}_{j}": f"covar_pop(__z{i}, __y{j})" for i in range(d) for j in range(k)}
+    return aggregate(rows, by, values)
 
 
 def _eliminate(rows: DataFrame, kept: list[str], d: int, k: int) -> DataFrame:
@@ -140,40 +136,27 @@ def fit_var(lagged: DataFrame, targets: Sequence[str], p: int, by: Sequence[str]
 
 
 def to_long(wide: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()) -> DataFrame:
-    entries = [
-        F.struct(
-            F.lit(t).alias("target"),
-            F.lit(term).alias("term"),
-            F.lit(lag).alias("lag"),
-            F.col(coef_column(k, j)).alias("coef"),
-        )
+    rows = [
+        {"target": f"'{t}'", "term": f"'{term}'", "lag": str(lag), "coef": coef_column(k, j)}
         for k, t in enumerate(targets)
         for j, (term, lag) in enumerate(terms(targets, p))
     ]
-    return wide.select(*cols(by), F.inline(F.array(*entries)), "n_obs", "status").select(
-        *cols(by), "target", "term", "lag", "coef", "n_obs", "status"
-    )
+    long = stacked(wide, [*by, "n_obs", "status"], rows)
+    return long.select(*cols([*by, "target", "term", "lag", "coef", "n_obs", "status"]))
 
 
 def to_wide(long: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()) -> DataFrame:
     """The inverse of ``to_long``, with the fixed set of terms and one shuffle."""
-    return long.groupBy(*cols(by)).agg(
-        F.max("n_obs").alias("n_obs"),
-        F.max("status").alias("status"),
-        *[
-            F.max(F.when((col("target") == t) & (col("term") == term), col("coef"))).alias(
-                coef_column(k, j)
-            )
-            for k, t in enumerate(targets)
-            for j, (term, _) in enumerate(terms(targets, p))
-        ],
-    )
+    values = {"n_obs": "max(n_obs)", "status": "max(status)"}
+    for k, t in enumerate(targets):
+        for j, (term, _) in enumerate(terms(targets, p)):
+            values[coef_column(k, j)] = f"max(if(target = '{t}' AND term = '{term}', coef, NULL))"
+    return aggregate(long, by, values)
 
 
 def coef_matrix(
     long: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per target: the intercept, then the coefficients in feature order."""
-    return long.groupBy(*cols(by), "target").agg(
-        *[F.max(F.when(col("term") == t, col("coef"))).alias(t) for t, _ in terms(targets, p)]
-    )
+    values = {t: f"max(if(term = '{t}', coef, NULL))" for t, _ in terms(targets, p)}
+    return aggregate(long, [*by, "target"], values)

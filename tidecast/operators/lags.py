@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.functions.columns import col, cols, null_safe_join
-from tidecast.functions.names import lag_name
+from tidecast.functions.columns import aggregate, col, cols, null_safe_join, window
+from tidecast.functions.names import lag_name, quote
 from tidecast.operators.cells import MAX_ROWS, preceding_rows, sized, split_hot
 from tidecast.sources.scratch import written
 
@@ -56,20 +56,20 @@ def lag_features(
         rows = rows.withColumn("__copy", F.lit(False)).unionByName(
             before.withColumn("__copy", F.lit(True)), allowMissingColumns=True
         )
-    w = Window.partitionBy(*cols([*keys, *cells])).orderBy(*cols(order))
-    lagged = rows.select(
+    over = window([*keys, *cells], order)
+    lagged = rows.selectExpr(
         "*",
         *[
-            F.lag(col(t), i, 0).over(w).alias(lag_name(t, i))
+            f"lag({quote(t)}, {i}, 0) {over} AS {quote(lag_name(t, i))}"
             for i in range(1, p + 1)
             for t in targets
         ],
-        F.lag(F.lit(1), p, 0).over(w).alias("__full"),
+        f"lag(1, {p}, 0) {over} AS __full",
     )
     if cells:
-        lagged = lagged.filter(~F.col("__copy")).drop("__copy", *cells)
+        lagged = lagged.filter("NOT __copy").drop("__copy", *cells)
     if not keep_warmup:
-        lagged = lagged.filter(F.col("__full") == 1)
+        lagged = lagged.filter("__full = 1")
     return lagged.drop("__full", _ONE)
 
 
@@ -83,20 +83,16 @@ def row_index(
     """Append the position of each row in its series, counting from 0."""
     rows, keys, cells = _in_cells(df, by, order, max_rows)
     group = [*keys, *cells]
-    w = Window.partitionBy(*cols(group)).orderBy(*cols(order))
-    numbered = rows.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    numbered = rows.withColumn(name, F.expr(f"bigint(row_number() {window(group, order)} - 1)"))
     if not cells:
         return numbered
     # Rows ahead of each cell, by a running sum over the cell counts. Cells of
     # series that are not hot have null names and start at 0.
-    ahead = Window.partitionBy(*cols(keys)).orderBy(*cols(cells))
-    starts = written(
-        rows.filter(col(cells[0]).isNotNull())
-        .groupBy(*cols(group))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*cols(group), (F.sum("__n").over(ahead) - F.col("__n")).alias("__start")),
-        "cell-starts",
+    counts = aggregate(
+        rows.filter(f"{quote(cells[0])} IS NOT NULL"), group, {"__n": "count(1)"}
     )
+    ahead = f"sum(__n) {window(keys, cells)} - __n AS __start"
+    starts = written(counts.selectExpr(*cols(group), ahead), "cell-starts")
     return (
         null_safe_join(numbered, sized(starts, starts.count()), group, "left")
         .withColumn(name, col(name) + F.coalesce("__start", F.lit(0)))
@@ -149,8 +145,7 @@ def continue_lags(
 
 def last_rows(df: DataFrame, p: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """The last p rows of each series."""
-    latest_first = [col(o).desc() for o in order]
     if not by:
-        return df.orderBy(*latest_first).limit(p)
-    w = Window.partitionBy(*cols(by)).orderBy(*latest_first)
-    return df.withColumn("__back", F.row_number().over(w)).filter(F.col("__back") <= p).drop("__back")
+        return df.orderBy(*[col(o).desc() for o in order]).limit(p)
+    back = f"row_number() {window(by, order, descending=True)}"
+    return df.withColumn("__back", F.expr(back)).filter(f"__back <= {p}").drop("__back")

@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 
-from tidecast.functions.columns import col
+from tidecast.functions.columns import cols
 from tidecast.functions.names import lag_names, predict_name
 from tidecast.operators.fit import terms, usable
 
@@ -26,8 +26,8 @@ def fit_pipelines(
     lagged: DataFrame, targets: Sequence[str], p: int
 ) -> tuple[dict[str, PipelineModel], int]:
     """One fitted pipeline per target, and the number of rows they saw."""
-    rows = lagged.filter(usable(targets, p)).select(
-        *[col(c).cast("double").alias(c) for c in [*lag_names(targets, p), *targets]]
+    rows = lagged.filter(usable(targets, p)).selectExpr(
+        *[f"double({c}) AS {c}" for c in cols([*lag_names(targets, p), *targets])]
     )
     rows = rows.persist()
     try:

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidecast.functions.columns import col, cols, join_back
-from tidecast.functions.names import lag_names, predict_name
+from tidecast.functions.columns import aggregate, cols, join_back, stacked
+from tidecast.functions.names import lag_names, predict_name, quote
 from tidecast.operators.fit import coef_column, fit_wide, to_wide
 
 
-def _dot(k: int, features: Sequence[str]) -> Column:
-    value = F.col(coef_column(k, 0))
-    for j, z in enumerate(features, start=1):
-        value = value + F.col(coef_column(k, j)) * col(z)
-    return value
+def _dot(k: int, features: Sequence[str]) -> str:
+    """SQL: the prediction of target k."""
+    products = [f"{coef_column(k, j)} * {quote(z)}" for j, z in enumerate(features, start=1)]
+    return " + ".join([coef_column(k, 0), *products])
 
 
 def predict_var(
@@ -50,16 +48,16 @@ def predict_var(
         model = model.select(*cols([*by, *names]))
         joined = lagged.join(model, list(by), "left") if by else lagged.crossJoin(model)
     kept = [c for c in lagged.columns if keep_lags or c not in features]
-    return joined.select(
+    return joined.selectExpr(
         *cols(kept),
-        *[_dot(k, features).alias(predict_name(t)) for k, t in enumerate(targets)],
+        *[f"{_dot(k, features)} AS {quote(predict_name(t))}" for k, t in enumerate(targets)],
     )
 
 
 def residuals(predicted: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Append ``<target>_resid``: observed less predicted."""
-    return predicted.select(
-        "*", *[(col(t) - col(predict_name(t))).alias(f"{t}_resid") for t in targets]
+    return predicted.selectExpr(
+        "*", *[f"{quote(t)} - {quote(predict_name(t))} AS {quote(t + '_resid')}" for t in targets]
     )
 
 
@@ -67,35 +65,28 @@ def stack_predictions(
     predicted: DataFrame, targets: Sequence[str], keep: Sequence[str]
 ) -> DataFrame:
     """Long form: ``keep``, target, actual, prediction."""
-    entries = [
-        F.struct(
-            F.lit(t).alias("target"),
-            col(t).cast("double").alias("actual"),
-            col(predict_name(t)).alias("prediction"),
-        )
+    rows = [
+        {
+            "target": f"'{t}'",
+            "actual": f"double({quote(t)})",
+            "prediction": quote(predict_name(t)),
+        }
         for t in targets
     ]
-    return predicted.select(*cols(keep), F.inline(F.array(*entries)))
+    return stacked(predicted, keep, rows)
 
 
-def merge_predictions(stacked: DataFrame, targets: Sequence[str], on: Sequence[str]) -> DataFrame:
+def merge_predictions(long: DataFrame, targets: Sequence[str], on: Sequence[str]) -> DataFrame:
     """Wide form again: one row per ``on`` key that has every target.
 
     One aggregation on the key in place of a self-join per target. ``on`` must
     identify a row; tied times therefore cannot multiply rows.
     """
-
-    def pick(t: str, c: str) -> Column:
-        return F.max(F.when(col("target") == t, col(c)))
-
-    merged = stacked.groupBy(*cols(on)).agg(
-        F.count_distinct("target").alias("__targets")
-        if len(targets) > 1
-        else F.lit(1).alias("__targets"),
-        *[
-            c
-            for t in targets
-            for c in (pick(t, "actual").alias(t), pick(t, "prediction").alias(predict_name(t)))
-        ],
-    )
-    return merged.filter(F.col("__targets") == len(targets)).drop("__targets")
+    values = {}
+    for i, t in enumerate(targets):
+        values[t] = f"max(if(target = '{t}', actual, NULL))"
+        values[predict_name(t)] = f"max(if(target = '{t}', prediction, NULL))"
+        values[f"__has_{i}"] = f"bool_or(target = '{t}')"
+    merged = aggregate(long, on, values)
+    has = [f"__has_{i}" for i in range(len(targets))]
+    return merged.filter(" AND ".join(has)).drop(*has)

@@ -5,48 +5,41 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidecast.functions.columns import all_of, col, cols, finite, join_back
-from tidecast.functions.names import predict_name
+from tidecast.functions.columns import aggregate, cols, finite, join_back, stacked
+from tidecast.functions.names import predict_name, quote
 
-_METRICS = ("mae", "mse", "rmse")
+_METRICS = ("n", "mae", "mse", "rmse")
 
 
 def score_wide(
-    predicted: DataFrame,
-    predictions: Mapping[str, str],
-    by: Sequence[str] = (),
+    predicted: DataFrame, predictions: Mapping[str, str], by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per group: ``<label>_n``, ``<label>_mae``, ``_mse`` and ``_rmse``.
 
     ``predictions`` maps a predicted column to its observed column; the predicted
     column's name is the label. All are gathered in one pass.
     """
-    aggs = []
-    for predicted_name, actual in predictions.items():
-        error = col(actual) - col(predicted_name)
-        mse = F.avg(error * error)
-        aggs += [
-            F.count(error).alias(f"{predicted_name}_n"),
-            F.avg(F.abs(error)).alias(f"{predicted_name}_mae"),
-            mse.alias(f"{predicted_name}_mse"),
-            F.sqrt(mse).alias(f"{predicted_name}_rmse"),
-        ]
-    return predicted.groupBy(*cols(by)).agg(*aggs)
+    values = {}
+    for label, actual in predictions.items():
+        error = f"({quote(actual)} - {quote(label)})"
+        values[f"{label}_n"] = f"count({error})"
+        values[f"{label}_mae"] = f"avg(abs({error}))"
+        values[f"{label}_mse"] = f"avg({error} * {error})"
+        values[f"{label}_rmse"] = f"sqrt(avg({error} * {error}))"
+    return aggregate(predicted, by, values)
+
+
+def _metrics(label: str) -> dict[str, str]:
+    return {m: quote(f"{label}_{m}") for m in _METRICS}
 
 
 def score(predicted: DataFrame, targets: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per group and target: n, mae, mse, rmse."""
     wide = score_wide(predicted, {predict_name(t): t for t in targets}, by)
-    entries = [
-        F.struct(
-            F.lit(t).alias("target"),
-            *[col(f"{predict_name(t)}_{m}").alias(m) for m in ("n", *_METRICS)],
-        )
-        for t in targets
-    ]
-    return wide.select(*cols(by), F.inline(F.array(*entries)))
+    return stacked(
+        wide, by, [{"target": f"'{t}'", **_metrics(predict_name(t))} for t in targets]
+    )
 
 
 def attach_scores(
@@ -63,10 +56,10 @@ def attach_scores(
     main = predict_name(target or targets[-1])
 
     def scores(rows: DataFrame) -> DataFrame:
-        return score_wide(rows, {predict_name(t): t for t in targets}, by).select(
+        return score_wide(rows, {predict_name(t): t for t in targets}, by).selectExpr(
             *cols(by),
-            *[col(f"{predict_name(t)}_rmse").alias(f"{t}_RMSE") for t in targets],
-            *[col(f"{main}_{m}").alias(f"{m.upper()}_Score") for m in _METRICS],
+            *[f"{quote(predict_name(t) + '_rmse')} AS {quote(t + '_RMSE')}" for t in targets],
+            *[f"{quote(f'{main}_{m}')} AS {m.upper()}_Score" for m in _METRICS[1:]],
         )
 
     return join_back(predicted, by, scores)
@@ -82,18 +75,15 @@ def compare_approaches(
 
     ``approaches`` maps an approach to the prefix of its prediction columns.
     """
-    columns = {f"{prefix}_{t}": t for prefix in approaches.values() for t in targets}
-    wide = score_wide(blended, columns, by)
-    entries = [
-        F.struct(
-            F.lit(approach).alias("approach"),
-            F.lit(t).alias("target"),
-            *[col(f"{prefix}_{t}_{m}").alias(m) for m in ("n", *_METRICS)],
-        )
+    wide = score_wide(
+        blended, {f"{prefix}_{t}": t for prefix in approaches.values() for t in targets}, by
+    )
+    rows = [
+        {"approach": f"'{approach}'", "target": f"'{t}'", **_metrics(f"{prefix}_{t}")}
         for approach, prefix in approaches.items()
         for t in targets
     ]
-    return wide.select(*cols(by), F.inline(F.array(*entries)))
+    return stacked(wide, by, rows)
 
 
 def residual_cov(
@@ -105,25 +95,24 @@ def residual_cov(
     equation, 1 + K p. All entries use the rows where every residual is a number.
     """
     names = [f"{t}_resid" for t in targets]
-    rows = with_residuals.filter(all_of([finite(col(n)) for n in names]))
-    pairs = [(i, j) for i in range(len(targets)) for j in range(len(targets))]
-    wide = rows.groupBy(*cols(by)).agg(
-        F.count(F.lit(1)).alias("n_obs"),
-        *[
-            F.covar_samp(col(names[i]), col(names[j])).alias(f"__c_{i}_{j}")
-            for i, j in pairs
-            if i <= j
-        ],
-    )
-    df = F.col("n_obs") - (1 + len(targets) * p)
-    factor = (F.col("n_obs") - 1) / F.when(df > 0, df)
-    entries = [
-        F.struct(
-            F.lit(targets[i]).alias("target_a"),
-            F.lit(targets[j]).alias("target_b"),
-            F.col(f"__c_{min(i, j)}_{max(i, j)}").alias("cov"),
-            (F.col(f"__c_{min(i, j)}_{max(i, j)}") * factor).alias("cov_adjusted"),
-        )
-        for i, j in pairs
-    ]
-    return wide.select(*cols(by), F.inline(F.array(*entries)), "n_obs")
+    k = len(targets)
+    values = {"n_obs": "count(1)"}
+    for i in range(k):
+        for j in range(i, k):
+            values[f"__c_{i}_{j}"] = f"covar_samp({quote(names[i])}, {quote(names[j])})"
+    usable = with_residuals.filter(" AND ".join(finite(n) for n in names))
+    wide = aggregate(usable, by, values)
+    free = f"(n_obs - {1 + k * p})"
+    rows = []
+    for i in range(k):
+        for j in range(k):
+            cov = f"__c_{min(i, j)}_{max(i, j)}"
+            rows.append(
+                {
+                    "target_a": f"'{targets[i]}'",
+                    "target_b": f"'{targets[j]}'",
+                    "cov": cov,
+                    "cov_adjusted": f"{cov} * ((n_obs - 1) / if({free} > 0, {free}, NULL))",
+                }
+            )
+    return stacked(wide, [*by, "n_obs"], rows)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.columns import col, cols
-from tidecast.functions.names import predict_name
+from tidecast.functions.names import predict_name, quote
 
 
 def by_topic(messages: DataFrame, topic: str) -> DataFrame:
@@ -28,11 +28,11 @@ def serving_join(
     scored = "RMSE_Score" in speed.columns and "RMSE_Score" in batch.columns
 
     def side(df: DataFrame, prefix: str, observed: bool) -> DataFrame:
-        return df.select(
+        return df.selectExpr(
             *cols(on),
-            *([col(t) for t in targets] if observed else []),
-            *[col(predict_name(t)).alias(f"{prefix}_{t}") for t in targets],
-            *([col("RMSE_Score").alias(f"{prefix}_RMSE")] if scored else []),
+            *(cols(targets) if observed else []),
+            *[f"{quote(predict_name(t))} AS {quote(f'{prefix}_{t}')}" for t in targets],
+            *([f"RMSE_Score AS {prefix}_RMSE"] if scored else []),
         )
 
     return side(speed, "Speed", True).join(side(batch, "Batch", False), list(on), "inner")
@@ -50,23 +50,22 @@ def blend(
 
     The weights are used as given; they need not sum to one.
     """
-    scores = [c for c in ("Speed_RMSE", "Batch_RMSE") if c in joined.columns]
-    values = []
+    values = {}
     for t in targets:
-        weighted = (
-            F.lit(float(speed_weight)) * col(f"Speed_{t}")
-            + F.lit(float(batch_weight)) * col(f"Batch_{t}")
+        speed, batch = quote(f"Speed_{t}"), quote(f"Batch_{t}")
+        values[t] = quote(t)
+        values[f"Speed_{t}"] = speed
+        values[f"Batch_{t}"] = batch
+        values[f"Wt_{t}"] = (
+            f"double({float(speed_weight)!r}) * {speed} + double({float(batch_weight)!r}) * {batch}"
         )
-        values += [
-            (t, col(t)),
-            (f"Speed_{t}", col(f"Speed_{t}")),
-            (f"Batch_{t}", col(f"Batch_{t}")),
-            (f"Wt_{t}", weighted),
-        ]
-    values += [(c, col(c)) for c in scores]
-    return joined.select(
+    values |= {c: c for c in ("Speed_RMSE", "Batch_RMSE") if c in joined.columns}
+    return joined.selectExpr(
         *cols(on),
-        *[(v if digits is None else F.round(v, digits)).alias(name) for name, v in values],
+        *[
+            f"{sql if digits is None else f'round({sql}, {digits})'} AS {quote(name)}"
+            for name, sql in values.items()
+        ],
     )
 
 

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidecast.functions.codec import (
     decode,
@@ -19,7 +18,7 @@ from tidecast.functions.codec import (
     prediction_fields,
 )
 from tidecast.functions.columns import col, cols
-from tidecast.functions.names import predict_name
+from tidecast.functions.names import predict_name, quote
 from tidecast.operators import cells
 from tidecast.operators.drift import inject_abrupt, inject_gradual
 from tidecast.operators.fit import coef_matrix, fit_var
@@ -71,12 +70,12 @@ APPROACHES = {"speed": "Speed", "batch": "Batch", "hybrid": "Wt"}
 
 def rounded(df: DataFrame) -> DataFrame:
     """All doubles to six decimals; float noise around zero becomes plain zero."""
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(col(f.name), DIGITS) + F.lit(0.0)).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else col(f.name)
-            for f in df.schema.fields
+            f"round({quote(name)}, {DIGITS}) + 0.0D AS {quote(name)}"
+            if kind == "double"
+            else quote(name)
+            for name, kind in df.dtypes
         ]
     )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast.functions.names import quote
+
 TARGETS = ["y1", "y2"]
 LAGS = 2
 TIME = "TS"
@@ -21,12 +23,13 @@ def hourly(events: DataFrame) -> DataFrame:
     bound by the calendar (8,784 rows a year) whatever the number of events.
     """
 
-    def total(kind: str):
-        return F.sum(F.when(F.col("event_type") == kind, F.col("value")).otherwise(0.0))
+    hour = F.expr(f"CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS {TIME}")
+
+    def total(kind: str, name: str):
+        return F.expr(f"sum(if(event_type = '{kind}', value, 0.0D)) AS {name}")
 
-    timed = events.filter(F.col("ts").isNotNull())
-    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias(TIME)
-    return timed.groupBy(hour).agg(total("click").alias("y1"), total("purchase").alias("y2"))
+    timed = events.filter("ts IS NOT NULL")
+    return timed.groupBy(hour).agg(total("click", "y1"), total("purchase", "y2"))
 
 
 def with_epoch(series: DataFrame, time: str = TIME) -> DataFrame:
@@ -34,5 +37,5 @@ def with_epoch(series: DataFrame, time: str = TIME) -> DataFrame:
 
     Never null (rows without a time get 0), so joins on it need no null filter.
     """
-    day = F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date"))
-    return series.withColumn("epoch_id", F.coalesce(day, F.lit(0)))
+    day = f"coalesce(datediff(CAST({quote(time)} AS DATE), DATE '1970-01-01'), 0)"
+    return series.withColumn("epoch_id", F.expr(day))
