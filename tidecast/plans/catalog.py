@@ -91,29 +91,26 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_epoch(hourly(table(spark, sf_dir, "events")))
 
 
-def hourly_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly_lags(rows: DataFrame) -> DataFrame:
     # One row per hour: the calendar bounds the series, so no counting job.
-    return lag_features(hours(spark, sf_dir), TARGETS, LAGS, [TIME], max_rows=None)
+    return lag_features(rows, TARGETS, LAGS, [TIME], max_rows=None)
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_of(spark, sf_dir, "user_id", "ts", "event_id", "value")
 
 
-def history_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_model(rows: DataFrame) -> DataFrame:
     """The stored model's coefficients: fitted to the hours before the cut."""
-    before = hours(spark, sf_dir).filter(col(TIME) < F.lit(TRAIN_UNTIL).cast("timestamp_ntz"))
-    return fit_var(lag_features(before, TARGETS, LAGS, [TIME], max_rows=None), TARGETS, LAGS)
+    return fit_var(hourly_lags(rows.filter(f"{TIME} < TIMESTAMP_NTZ '{TRAIN_UNTIL}'")), TARGETS, LAGS)
 
 
-def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch_layer(
-        hours(spark, sf_dir), history_model(spark, sf_dir), TARGETS, LAGS, [TIME], max_rows=None
-    )
+def batch_rows(rows: DataFrame) -> DataFrame:
+    return batch_layer(rows, history_model(rows), TARGETS, LAGS, [TIME], max_rows=None)
 
 
-def speed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speed_layer(hours(spark, sf_dir), TARGETS, LAGS, [TIME], max_rows=None)
+def speed_rows(rows: DataFrame) -> DataFrame:
+    return speed_layer(rows, TARGETS, LAGS, [TIME], max_rows=None)
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -149,11 +146,11 @@ def q_drop_warmup(spark, sf_dir):
 
 
 def q_var_fit(spark, sf_dir):
-    return rounded(fit_var(hourly_lags(spark, sf_dir), TARGETS, LAGS))
+    return rounded(fit_var(hourly_lags(hours(spark, sf_dir)), TARGETS, LAGS))
 
 
 def q_var_fit_mllib(spark, sf_dir):
-    return rounded(fit_var_mllib(hourly_lags(spark, sf_dir), TARGETS, LAGS))
+    return rounded(fit_var_mllib(hourly_lags(hours(spark, sf_dir)), TARGETS, LAGS))
 
 
 def q_var_fit_by_epoch(spark, sf_dir):
@@ -169,28 +166,31 @@ def q_var_fit_by_series(spark, sf_dir):
 
 
 def q_var_coef_matrix(spark, sf_dir):
-    return rounded(coef_matrix(fit_var(hourly_lags(spark, sf_dir), TARGETS, LAGS), TARGETS, LAGS))
+    return rounded(coef_matrix(fit_var(hourly_lags(hours(spark, sf_dir)), TARGETS, LAGS), TARGETS, LAGS))
 
 
 def q_model_roundtrip(spark, sf_dir):
     path = fresh_dir(spark, "models")
-    write_model(fit_var(hourly_lags(spark, sf_dir), TARGETS, LAGS), path, "history")
-    write_model(fit_var(hourly_lags(spark, sf_dir), TARGETS, LAGS), path, "all")
-    write_model(history_model(spark, sf_dir), path, "history")
+    rows = hours(spark, sf_dir)
+    everything = fit_var(hourly_lags(rows), TARGETS, LAGS)
+    write_model(everything, path, "history")
+    write_model(everything, path, "all")
+    write_model(history_model(rows), path, "history")
     return rounded(read_model(spark, path, "history"))
 
 
 def q_var_predict_loaded(spark, sf_dir):
     path = fresh_dir(spark, "models")
-    write_model(history_model(spark, sf_dir), path, "history")
+    rows = hours(spark, sf_dir)
+    write_model(history_model(rows), path, "history")
     predicted = predict_var(
-        hourly_lags(spark, sf_dir), TARGETS, LAGS, read_model(spark, path, "history")
+        hourly_lags(rows), TARGETS, LAGS, read_model(spark, path, "history")
     )
     return rounded(predicted.drop("epoch_id"))
 
 
 def q_var_predict_epoch(spark, sf_dir):
-    return rounded(speed_rows(spark, sf_dir))
+    return rounded(speed_rows(hours(spark, sf_dir)))
 
 
 def q_var_predict_by_series(spark, sf_dir):
@@ -199,7 +199,7 @@ def q_var_predict_by_series(spark, sf_dir):
 
 
 def in_sample(spark, sf_dir):
-    return predict_var(hourly_lags(spark, sf_dir), TARGETS, LAGS)
+    return predict_var(hourly_lags(hours(spark, sf_dir)), TARGETS, LAGS)
 
 
 def q_var_scores(spark, sf_dir):
@@ -207,11 +207,11 @@ def q_var_scores(spark, sf_dir):
 
 
 def q_var_scores_by_epoch(spark, sf_dir):
-    return rounded(score(speed_rows(spark, sf_dir), TARGETS, ["epoch_id"]))
+    return rounded(score(speed_rows(hours(spark, sf_dir)), TARGETS, ["epoch_id"]))
 
 
 def q_var_scores_attached(spark, sf_dir):
-    return rounded(scored(batch_rows(spark, sf_dir)))
+    return rounded(scored(batch_rows(hours(spark, sf_dir))))
 
 
 def q_var_residuals(spark, sf_dir):
@@ -224,7 +224,7 @@ def q_var_residual_cov(spark, sf_dir):
 
 
 def q_merge_predictions(spark, sf_dir):
-    stacked = stack_predictions(speed_rows(spark, sf_dir), TARGETS, [TIME])
+    stacked = stack_predictions(speed_rows(hours(spark, sf_dir)), TARGETS, [TIME])
     return rounded(merge_predictions(stacked, TARGETS, [TIME]))
 
 
@@ -263,16 +263,16 @@ def q_decode_rejected(spark, sf_dir):
 
 
 def q_encode_predictions(spark, sf_dir):
-    return prediction_messages(scored(batch_rows(spark, sf_dir)), TARGETS, TIME, digits=DIGITS)
+    return prediction_messages(scored(batch_rows(hours(spark, sf_dir))), TARGETS, TIME, digits=DIGITS)
 
 
 def q_decode_predictions(spark, sf_dir):
-    messages = prediction_messages(scored(speed_rows(spark, sf_dir)), TARGETS, TIME)
+    messages = prediction_messages(scored(speed_rows(hours(spark, sf_dir))), TARGETS, TIME)
     return rounded(decode(messages, prediction_fields(TARGETS, TIME))[0])
 
 
 def q_decode_predictions_short(spark, sf_dir):
-    messages = prediction_messages(speed_rows(spark, sf_dir), TARGETS, TIME, rmse=False)
+    messages = prediction_messages(speed_rows(hours(spark, sf_dir)), TARGETS, TIME, rmse=False)
     fields = prediction_fields(TARGETS, TIME, prefix="SP_", rmse=False)
     return rounded(decode(messages, fields)[0])
 
@@ -323,9 +323,8 @@ def q_time_extent(spark, sf_dir):
 
 
 def joined_rows(spark, sf_dir):
-    return serving_join(
-        scored(speed_rows(spark, sf_dir)), scored(batch_rows(spark, sf_dir)), TARGETS, [TIME]
-    )
+    rows = hours(spark, sf_dir)
+    return serving_join(scored(speed_rows(rows)), scored(batch_rows(rows)), TARGETS, [TIME])
 
 
 def q_serving_join(spark, sf_dir):
@@ -361,12 +360,11 @@ def q_drift_abrupt(spark, sf_dir):
     return rounded(inject_abrupt(line_values(spark, sf_dir), LINE_VALUES, key, SEED))
 
 
-def drift_scenarios(spark, sf_dir):
+def drift_scenarios(rows: DataFrame) -> DataFrame:
     """The hours without drift, and with either drift from the cut on."""
-    rows = hours(spark, sf_dir)
-    late = col(TIME) >= F.lit(TRAIN_UNTIL).cast("timestamp_ntz")
+    late = F.expr(f"{TIME} >= TIMESTAMP_NTZ '{TRAIN_UNTIL}'")
     # Hours since 1970 identify the rows.
-    key = F.datediff(col(TIME).cast("date"), F.lit("1970-01-01").cast("date")) * 24 + F.hour(TIME)
+    key = F.expr(f"datediff(CAST({TIME} AS DATE), DATE '1970-01-01') * 24 + hour({TIME})")
     plain = rows.withColumn("step", F.lit(0))
     gradual = inject_gradual(rows, TARGETS, where=late)
     abrupt = inject_abrupt(rows, TARGETS, key, SEED, where=late)
@@ -378,12 +376,11 @@ def drift_scenarios(spark, sf_dir):
 
 
 def q_approach_scores_drift(spark, sf_dir):
-    rows = drift_scenarios(spark, sf_dir)
+    rows = hours(spark, sf_dir)
+    drifted = drift_scenarios(rows)
     order, by, keys = [TIME, "step"], ["scenario"], ["scenario", TIME, "step"]
-    speed = speed_layer(rows, TARGETS, LAGS, order, by, max_rows=None)
-    batch = batch_layer(
-        rows, history_model(spark, sf_dir), TARGETS, LAGS, order, by, max_rows=None
-    )
+    speed = speed_layer(drifted, TARGETS, LAGS, order, by, max_rows=None)
+    batch = batch_layer(drifted, history_model(rows), TARGETS, LAGS, order, by, max_rows=None)
     joined = serving_join(speed, batch, TARGETS, keys)
     blended = blend(joined, TARGETS, keys, SPEED_WEIGHT, BATCH_WEIGHT, digits=None)
     return rounded(compare_approaches(blended, TARGETS, APPROACHES, by))
@@ -405,7 +402,7 @@ def q_layer_batch(spark, sf_dir):
     """Messages in, master table, stored model, prediction table out."""
     master, models, out = (fresh_dir(spark, x) for x in ("master", "models", "predictions"))
     append_epoch(observations(spark, sf_dir), master)
-    write_model(history_model(spark, sf_dir), models, "history")
+    write_model(history_model(hours(spark, sf_dir)), models, "history")
     predicted = batch_layer(
         read_table(spark, master, [TIME, *TARGETS, "epoch_id"]),
         read_model(spark, models, "history"),
@@ -429,8 +426,9 @@ def q_layer_speed(spark, sf_dir):
 def send_predictions(spark, sf_dir):
     """Both layers' prediction messages in one envelope table, two topics."""
     path = fresh_dir(spark, "messages")
-    for topic, rows in (("speed", speed_rows), ("batch", batch_rows)):
-        values = prediction_messages(scored(rows(spark, sf_dir)), TARGETS, TIME)
+    rows = hours(spark, sf_dir)
+    for topic, layer in (("speed", speed_rows), ("batch", batch_rows)):
+        values = prediction_messages(scored(layer(rows)), TARGETS, TIME)
         write_messages(values, "parquet", {"path": path}, topic)
     return path
 
@@ -481,7 +479,7 @@ def q_stream_batch(spark, sf_dir):
     source, out, state, models = (
         fresh_dir(spark, x) for x in ("messages", "predictions", "checkpoint", "models")
     )
-    write_model(history_model(spark, sf_dir), models, "history")
+    write_model(history_model(hours(spark, sf_dir)), models, "history")
     write_messages(observation_messages(spark, sf_dir), "parquet", {"path": source}, "obs")
     messages = stream_messages(spark, "parquet", {"path": source}, ["obs"])
     good = with_epoch(decode(messages, observation_fields(TARGETS, TIME))[0])

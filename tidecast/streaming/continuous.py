@@ -77,38 +77,35 @@ def stream_lags(
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True)
+        frames = list(batches)
+        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
         last, tail = state.get if state.exists else (None, [])
         positions = as_positions(pdf)
-        fresh = sorts_after(positions, last)
-        ranked = np.lexsort(positions[fresh].T[::-1])
-        rows = pdf[fresh].iloc[ranked].reset_index(drop=True)
+        ranked = np.lexsort(positions.T[::-1])
+        positions = positions[ranked]
+        columns = {c: pdf[c].to_numpy()[ranked] for c in kept}
+        for t in targets:
+            columns[t] = columns[t].astype("float64")
+        # In this order late rows come first.
+        n = len(ranked)
+        start = n - int(sorts_after(positions, last).sum())
         old = np.array(tail, dtype="float64").reshape(-1, k)
-        new = rows[list(targets)].to_numpy(dtype="float64").reshape(-1, k)
-        values = np.concatenate([old, new])
-        if len(rows):
-            newest = positions[fresh][ranked[-1]]
-            keep = values[max(0, len(values) - p) :].ravel()
+        values = np.concatenate([old, np.stack([columns[t][start:] for t in targets], axis=1)])
+        # The lag i of the r-th row in time is values[len(old) + r - i]. Rows
+        # with fewer than p rows before them are warm-up rows, and are dropped.
+        warmup = min(n - start, max(0, p - len(old)))
+        begin = len(old) + warmup
+        for m, name in enumerate(lags):
+            i, j = 1 + m // k, m % k
+            columns[name] = np.full(n, np.nan)
+            columns[name][start + warmup :] = values[begin - i : len(values) - i, j]
+        columns["late"] = np.arange(n) < start
+        if start < n:
             # NaN stands for null in pandas; the state keeps it as null too.
-            state.update(
-                ([int(v) for v in newest], [None if np.isnan(v) else float(v) for v in keep])
-            )
-            # The lags of row r are values[len(old) + r - i]; rows with fewer
-            # than p rows before them are warm-up rows.
-            first = max(0, p - len(old))
-            result = rows.iloc[first:].reset_index(drop=True)
-            start = len(old) + first
-            for i in range(1, p + 1):
-                for j, t in enumerate(targets):
-                    result[lags[(i - 1) * k + j]] = values[start - i : len(values) - i, j]
-            result["late"] = False
-            yield result[out.names].astype({c: "float64" for c in [*targets, *lags]})
-        if not fresh.all():
-            behind = pdf[~fresh].reset_index(drop=True)
-            for c in lags:
-                behind[c] = np.nan
-            behind["late"] = True
-            yield behind[out.names].astype({c: "float64" for c in [*targets, *lags]})
+            newest = [None if np.isnan(v) else float(v) for v in values[-p:].ravel()]
+            state.update(([int(v) for v in positions[-1]], newest))
+        shown = np.r_[0:start, start + warmup : n]
+        yield pd.DataFrame({name: c[shown] for name, c in columns.items()})
 
     return (
         observations.select(*cols(kept))
