@@ -12,9 +12,10 @@ from tidecast.functions.columns import col, cols
 # Growth per step and rounding of both drift forms.
 STEP = 0.1
 DIGITS = 2
-# Multipliers of the arithmetic hash below, all below its modulus.
+# Parameters of the arithmetic hash below; the factors lie below its modulus.
 _MODULUS = 2_147_483_647
 _MULTIPLIER = 48_271
+_SHIFT = 13
 _STEP_FACTOR = 7_919
 _COLUMN_FACTOR = 104_729
 
@@ -63,11 +64,14 @@ def jump(key: Column, column: int, step: Column, seed: int) -> Column:
     Plain arithmetic instead of a random generator: the result is the same
     under any partitioning and when a lost task is run again.
     """
-    start = F.pmod(key, F.lit(_MODULUS).cast("bigint"))
+    modulus = F.lit(_MODULUS).cast("bigint")
     salt = F.lit(seed + column * _COLUMN_FACTOR).cast("bigint") + step * _STEP_FACTOR
-    once = F.pmod(start * _MULTIPLIER + salt, F.lit(_MODULUS).cast("bigint"))
-    twice = F.pmod(once * _MULTIPLIER + salt, F.lit(_MODULUS).cast("bigint"))
-    return F.pmod(F.shiftright(twice, 8), F.lit(10).cast("bigint")) + 1
+    mixed = F.pmod(key, modulus)
+    for _ in range(2):
+        mixed = F.pmod(mixed * _MULTIPLIER + salt, modulus)
+        # Without a step that is not linear the columns would jump alike.
+        mixed = mixed.bitwiseXOR(F.shiftright(mixed, _SHIFT))
+    return F.pmod(mixed, F.lit(10).cast("bigint")) + 1
 
 
 def inject_abrupt(

@@ -103,23 +103,28 @@ def solve(moment_rows: DataFrame, targets: Sequence[str], p: int, by: Sequence[s
         *[f"m_{i}" for i in range(d)],
         *[f"y_{j}" for j in range(k)],
     ]
-    solved = _eliminate(moment_rows, kept, d, k)
     enough = f"n_obs >= {d + 1}"
-    intercept = {
-        j: f"y_{j} - (" + " + ".join(f"b_{i}_{j} * m_{i}" for i in range(d)) + ")" for j in range(k)
-    }
-    return solved.selectExpr(
-        *[quote(c) for c in by],
+    means = {j: " + ".join(f"b_{i}_{j} * m_{i}" for i in range(d)) for j in range(k)}
+    solved = _eliminate(moment_rows, kept, d, k).selectExpr(
+        *cols(by),
         "n_obs",
-        f"CASE WHEN NOT {enough} THEN 'short' WHEN {intercept[0]} IS NULL THEN 'singular' "
-        "ELSE 'ok' END AS status",
+        *[f"if({enough}, y_{j} - ({means[j]}), NULL) AS {coef_column(j, 0)}" for j in range(k)],
         *[
-            f"if({enough}, {intercept[j] if i == 0 else f'b_{i - 1}_{j}'}, NULL) "
-            f"AS {coef_column(j, i)}"
+            f"if({enough}, b_{i}_{j}, NULL) AS {coef_column(j, i + 1)}"
             for j in range(k)
-            for i in range(d + 1)
+            for i in range(d)
         ],
     )
+    # There is one row per group already, in place. Grouping again moves nothing,
+    # but keeps a filter on a coefficient from being pushed down through the
+    # steps, where it would be written out once more for every use of a value.
+    names = [coef_column(j, i) for j in range(k) for i in range(d + 1)]
+    values = {c: f"any_value({c})" for c in ["n_obs", *names]}
+    status = (
+        f"CASE WHEN NOT {enough} THEN 'short' WHEN {names[0]} IS NULL THEN 'singular' "
+        "ELSE 'ok' END AS status"
+    )
+    return aggregate(solved, by, values).selectExpr(*cols(by), "n_obs", status, *names)
 
 
 def fit_wide(lagged: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()):

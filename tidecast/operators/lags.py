@@ -124,23 +124,30 @@ def continue_lags(
     order: Sequence[str],
     by: Sequence[str] = (),
     max_rows: int | None = MAX_ROWS,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lags of a micro-batch that go on from the rows before it.
 
-    ``tail`` holds the last p rows of each series so far (order, by and target
-    columns). Returns the lagged batch and the new tail. Rows of the batch must
-    come after the tail in order.
+    ``tail`` holds the last p rows of each series so far (by, order and target
+    columns). Returns the lagged batch, the late rows, which sort before the end
+    of the tail and so have no place in it, and the new tail.
     """
     kept = list(dict.fromkeys([*by, *order, *targets]))
-    both = batch.withColumn("__old", F.lit(False)).unionByName(
-        tail.select(*cols(kept)).withColumn("__old", F.lit(True)), allowMissingColumns=True
-    )
-    lagged = (
-        lag_features(both, targets, p, order, by, max_rows=max_rows)
-        .filter(~F.col("__old"))
-        .drop("__old")
+    position = f"struct({', '.join(cols(order))})"
+    newest = aggregate(tail, by, {"__newest": f"max({position})"})
+    placed = null_safe_join(batch, newest, by, "left") if by else batch.crossJoin(newest)
+    is_late = f"coalesce({position} <= __newest, false)"
+    late = placed.filter(is_late).drop("__newest")
+    both = (
+        placed.filter(f"NOT {is_late}")
+        .drop("__newest")
+        .withColumn("__old", F.lit(False))
+        .unionByName(
+            tail.select(*cols(kept)).withColumn("__old", F.lit(True)), allowMissingColumns=True
+        )
     )
-    return lagged, last_rows(both.select(*cols(kept)), p, order, by)
+    lagged = lag_features(both, targets, p, order, by, max_rows=max_rows)
+    new_tail = last_rows(both.select(*cols(kept)), p, order, by)
+    return lagged.filter("NOT __old").drop("__old"), late, new_tail
 
 
 def last_rows(df: DataFrame, p: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

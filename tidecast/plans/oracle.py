@@ -9,7 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from tidecast.functions.names import lag_name, lag_names
-from tidecast.operators.drift import _COLUMN_FACTOR, _MODULUS, _MULTIPLIER, _STEP_FACTOR
+from tidecast.operators.drift import (
+    _COLUMN_FACTOR,
+    _MODULUS,
+    _MULTIPLIER,
+    _SHIFT,
+    _STEP_FACTOR,
+)
 from tidecast.plans.catalog import (
     APPROACHES,
     BATCH_WEIGHT,
@@ -208,9 +214,11 @@ def approaches(source: str, by: str = "") -> str:
 
 def jump(key: str, column: int, step: str) -> str:
     salt = f"({SEED + column * _COLUMN_FACTOR} + {step} * {_STEP_FACTOR})"
-    once = f"((({key}) % {_MODULUS}) * {_MULTIPLIER} + {salt}) % {_MODULUS}"
-    twice = f"((({once}) * {_MULTIPLIER} + {salt}) % {_MODULUS})"
-    return f"((({twice} >> 8) % 10) + 1)"
+    mixed = f"(({key}) % {_MODULUS})"
+    for _ in range(2):
+        mixed = f"(({mixed} * {_MULTIPLIER} + {salt}) % {_MODULUS})"
+        mixed = f"xor({mixed}, {mixed} >> {_SHIFT})"
+    return f"(({mixed} % 10) + 1)"
 
 
 def gradual(columns: Sequence[str]) -> str:

@@ -19,11 +19,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidecast.functions.codec import decode, observation_fields
-from tidecast.functions.columns import col
+from tidecast.functions.codec import decode, encode, observation_fields
+from tidecast.functions.columns import cols
+from tidecast.operators.lags import continue_lags
+from tidecast.operators.predict import predict_var
 from tidecast.plans.layers import (
     batch_layer,
     prediction_messages,
@@ -33,16 +36,21 @@ from tidecast.plans.layers import (
 )
 from tidecast.plans.series import with_epoch
 from tidecast.sources.messages import write_messages
-from tidecast.sources.tables import append_epoch
+from tidecast.sources.tables import EPOCH, append_epoch, read_table
 
 Handler = Callable[[DataFrame, int], None]
 
 
 @dataclass
 class Sinks:
-    """Where a layer writes. Anything left out is not written."""
+    """Where a layer writes. Anything left out is not written.
+
+    With ``tail``, a table of each epoch's last rows, the batch layer's lags go
+    on from one micro-batch to the next; otherwise they start afresh in each.
+    """
 
     predictions: str | None = None
+    tail: str | None = None
     master: str | None = None
     rejects: str | None = None
     topic: str | None = None
@@ -62,8 +70,12 @@ def _deliver(rows: DataFrame, targets, time, epoch_id: int, sinks: Sinks) -> Non
         rows.unpersist()
 
 
-def _observing(targets, time, sinks: Sinks, predict: Callable[[DataFrame], DataFrame]) -> Handler:
-    """Decode a micro-batch once, keep what was read, predict, deliver."""
+def _observing(targets, time, sinks: Sinks, predict) -> Handler:
+    """Decode a micro-batch once, keep what was read, predict, deliver.
+
+    ``predict(rows, epoch_id)`` gives the predictions and any rows that came too
+    late to be predicted.
+    """
 
     def handle(messages: DataFrame, epoch_id: int) -> None:
         messages = messages.persist()
@@ -72,10 +84,14 @@ def _observing(targets, time, sinks: Sinks, predict: Callable[[DataFrame], DataF
         try:
             if sinks.master:
                 append_epoch(good, sinks.master, epoch_id)
+            predicted, late = predict(good, epoch_id)
             if sinks.rejects:
+                if late is not None:
+                    values = encode(late, [time, *targets]).withColumn("bad_field", F.lit("late"))
+                    rejected = rejected.unionByName(values)
                 append_epoch(rejected, sinks.rejects, epoch_id)
             if not good.isEmpty():
-                rows = scored_rows(predict(good), targets, [time], [])
+                rows = scored_rows(predicted, targets, [time], [])
                 _deliver(rows, targets, time, epoch_id, sinks)
         finally:
             good.unpersist()
@@ -88,22 +104,29 @@ def batch_handler(
     coefficients: DataFrame, targets: Sequence[str], p: int, sinks: Sinks, time: str = "TS"
 ) -> Handler:
     """Keep the observations in the master table; predict with the stored model."""
-    return _observing(
-        targets,
-        time,
-        sinks,
-        lambda rows: batch_layer(rows, coefficients, targets, p, [time, *targets], epoch=None),
-    )
+    order = [time, *targets]
+
+    def within_epoch(rows: DataFrame, _: int):
+        return batch_layer(rows, coefficients, targets, p, order, epoch=None), None
+
+    def over_epochs(rows: DataFrame, epoch_id: int):
+        tail = rows.limit(0)
+        if epoch_id > 0:
+            tail = read_table(rows.sparkSession, sinks.tail).filter(f"{EPOCH} = {epoch_id - 1}")
+        lagged, late, tail = continue_lags(rows, tail.drop(EPOCH), targets, p, order)
+        append_epoch(tail, sinks.tail, epoch_id)
+        return predict_var(lagged, targets, p, coefficients), late
+
+    return _observing(targets, time, sinks, over_epochs if sinks.tail else within_epoch)
 
 
 def speed_handler(targets: Sequence[str], p: int, sinks: Sinks, time: str = "TS") -> Handler:
     """Fit a model to the micro-batch and predict with it."""
-    return _observing(
-        targets,
-        time,
-        sinks,
-        lambda rows: speed_layer(rows, targets, p, [time, *targets], epoch=None),
-    )
+
+    def predict(rows: DataFrame, _: int):
+        return speed_layer(rows, targets, p, [time, *targets], epoch=None), None
+
+    return _observing(targets, time, sinks, predict)
 
 
 def serving_handler(
@@ -185,4 +208,4 @@ def landed(spark: SparkSession, path: str, targets: Sequence[str], time: str = "
             T.StructField("epoch_id", T.IntegerType()),
         ]
     )
-    return spark.read.schema(schema).parquet(path).select(*[col(f.name) for f in schema.fields])
+    return spark.read.schema(schema).parquet(path).select(*cols(schema.names))
