@@ -19,6 +19,7 @@ from tidecast.operators.predict import (
     stack_predictions,
 )
 from tidecast.operators.score import attach_scores, residual_cov, score
+from tidecast.plans.layers import serving_layer
 from tidecast.operators.serve import blend, by_topic, preview_latest, serving_join, time_extent
 
 ORDER = ["ts", "id"]
@@ -121,6 +122,22 @@ def test_blend_uses_weights_as_given(spark, speed_weight, batch_weight, expected
     }
 
 
+def test_tied_times_are_kept_apart_by_observed_values(spark):
+    messages = spark.createDataFrame(
+        [
+            (topic, f"2024-01-01 00:00:00,{y},{y + shift},0.5")
+            for topic, shift in (("s", 1), ("b", 2))
+            for y in (1.0, 2.0, 3.0)
+        ],
+        "topic string, value string",
+    )
+    by_time = serving_layer(messages, ["y"], "s", "b", 0.5, 0.5)
+    assert by_time.count() == 9
+    apart = serving_layer(messages, ["y"], "s", "b", 0.5, 0.5, on=["TS", "y"])
+    assert apart.columns == by_time.columns
+    assert sorted(r["Wt_y"] for r in apart.collect()) == [2.5, 3.5, 4.5]
+
+
 def test_blend_rounds_to_digits(spark):
     joined = spark.createDataFrame([(1, 1.23456, 2.0, 3.0)], "k int, y double, Speed_y double, Batch_y double")
     assert blend(joined, ["y"], ["k"], 0.5, 0.5).first()["y"] == 1.235

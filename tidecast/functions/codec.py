@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.functions.columns import cols, finite
+from tidecast.functions.columns import cols, finite, stacked
 from tidecast.functions.names import quote
 
 # The field order and the time text of the wire format.
@@ -60,13 +60,13 @@ def decode(
     with it only by that pattern.
     """
     text = f"CAST({quote(value)} AS STRING)"
-    parsed = df.selectExpr(
+    split = df.selectExpr(
         *cols(keep), f"{text} AS __text", f"split(translate({text}, '\"', ''), ',') AS __parts"
-    ).selectExpr(
-        *cols(keep),
-        "__text",
-        *[f"{_parsed(i, kind, time_pattern)} AS {quote(n)}" for i, (n, kind) in enumerate(fields)],
     )
+    # A one-row generator and not a projection: filters are not pushed through
+    # it, which would read every message again for each field they look at.
+    row = {name: _parsed(i, kind, time_pattern) for i, (name, kind) in enumerate(fields)}
+    parsed = stacked(split, [*keep, "__text"], [row])
     usable = {name: _usable(name, kind) for name, kind in fields}
     good = parsed.filter(" AND ".join(usable.values())).drop("__text")
     cases = " ".join(f"WHEN NOT ({ok}) THEN '{name}'" for name, ok in usable.items())

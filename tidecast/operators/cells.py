@@ -114,12 +114,12 @@ def split_hot(
     ``by`` must name at least one column. Runs one counting job, and a few more
     over the hot series alone if there are any.
     """
-    counts = aggregate(df, by, {"__n": "count(1)"})
-    hot = written(counts.filter(f"__n > {max_rows}").select(*cols(by)), "hot-series")
-    n_hot = hot.count()
     keys = _sort_keys(df, order)
-    if n_hot == 0 or not keys:
+    hot = aggregate(df, by, {"__n": "count(1)"}).filter(f"__n > {max_rows}").select(*cols(by))
+    if not keys or hot.isEmpty():
         return df, []
+    hot = written(hot, "hot-series")
+    n_hot = hot.count()
     names = [f"__k{i}" for i in range(len(keys))]
     narrow = df.select(*cols(by), *[k.alias(n) for k, n in zip(keys, names)])
     rows = null_safe_join(narrow, sized(hot, n_hot), by, "left_semi")

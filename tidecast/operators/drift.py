@@ -51,11 +51,18 @@ def inject_gradual(
     ``where`` limits the drift to some rows, such as those after a cut time.
     """
 
-    def moved(_: int, c: str) -> Column:
-        once = F.round(col(c) + F.lit(step), digits)
-        return F.round(once + F.lit(step) * (F.col("step") - 1), digits)
+    # The first step is the same for all copies of a row, so it is taken before
+    # they are made.
+    first = [f"__first_{c}" for c in columns]
+    started = df.select(
+        "*", *[F.round(col(c) + F.lit(step), digits).alias(f) for c, f in zip(columns, first)]
+    )
 
-    return _stepped(df, columns, steps, where, moved)
+    def moved(i: int, _: str) -> Column:
+        more = F.round(col(first[i]) + F.lit(step) * (F.col("step") - 1), digits)
+        return F.when(F.col("step") == 1, col(first[i])).otherwise(more)
+
+    return _stepped(started, columns, steps, where, moved).drop(*first)
 
 
 def jump(key: Column, column: int, step: Column, seed: int) -> Column:

@@ -32,6 +32,8 @@ def _in_cells(df, by, order, max_rows):
     if by:
         out, cells = split_hot(df, by, order, max_rows)
         return out, list(by), cells
+    if df.count() <= max_rows:
+        return df, [], []
     out, cells = split_hot(df.withColumn(_ONE, F.lit(0)), [_ONE], order, max_rows)
     return (out, [_ONE], cells) if cells else (df, [], [])
 

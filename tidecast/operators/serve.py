@@ -30,7 +30,7 @@ def serving_join(
     def side(df: DataFrame, prefix: str, observed: bool) -> DataFrame:
         return df.selectExpr(
             *cols(on),
-            *(cols(targets) if observed else []),
+            *(cols([t for t in targets if t not in on]) if observed else []),
             *[f"{quote(predict_name(t))} AS {quote(f'{prefix}_{t}')}" for t in targets],
             *([f"RMSE_Score AS {prefix}_RMSE"] if scored else []),
         )
@@ -61,7 +61,7 @@ def blend(
         )
     values |= {c: c for c in ("Speed_RMSE", "Batch_RMSE") if c in joined.columns}
     return joined.selectExpr(
-        *cols(on),
+        *cols([c for c in on if c not in targets]),
         *[
             f"{sql if digits is None else f'round({sql}, {digits})'} AS {quote(name)}"
             for name, sql in values.items()

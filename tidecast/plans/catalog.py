@@ -352,12 +352,12 @@ def line_values(spark, sf_dir):
 
 
 def q_drift_gradual(spark, sf_dir):
-    return rounded(inject_gradual(line_values(spark, sf_dir), LINE_VALUES))
+    return inject_gradual(line_values(spark, sf_dir), LINE_VALUES)
 
 
 def q_drift_abrupt(spark, sf_dir):
     key = col("l_orderkey") * 8 + col("l_linenumber")
-    return rounded(inject_abrupt(line_values(spark, sf_dir), LINE_VALUES, key, SEED))
+    return inject_abrupt(line_values(spark, sf_dir), LINE_VALUES, key, SEED)
 
 
 def drift_scenarios(rows: DataFrame) -> DataFrame:

@@ -89,10 +89,17 @@ def serving_layer(
     batch_weight: float,
     time: str = "TS",
     digits: int | None = 3,
+    on: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Blend the two layers' prediction messages, joined on their time."""
+    """Blend the two layers' prediction messages, joined on their time.
+
+    Where times tie, every speed message meets every batch message of that time.
+    Join ``on`` the time and the observed targets, which both layers repeat, to
+    keep the messages of different observations apart.
+    """
     fields = prediction_fields(targets, time)
+    keys = list(on or [time])
     speed, _ = decode(by_topic(messages, speed_topic), fields)
     batch, _ = decode(by_topic(messages, batch_topic), fields)
-    joined = serving_join(speed, batch, targets, [time])
-    return blend(joined, targets, [time], speed_weight, batch_weight, digits)
+    joined = serving_join(speed, batch, targets, keys)
+    return blend(joined, targets, keys, speed_weight, batch_weight, digits)
