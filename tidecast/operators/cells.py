@@ -21,50 +21,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidecast.functions.columns import aggregate, col, cols, null_safe_join, window
+from tidecast.functions.columns import aggregate, cols, null_safe_join, window
 from tidecast.functions.names import quote
 from tidecast.sources.scratch import written
 
-MAX_ROWS = 2_000_000
-# Wide enough for the difference of any two bigints.
-_WIDE = "decimal(20,0)"
+MAX_ROWS = 8_000_000
+_FIXED_ZONES = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00"}
 BROADCAST_ROWS = 200_000
 
 
-def _integer_key(name: str, dtype: T.DataType) -> Column | None:
-    """An integer that sorts like the column, or None if there is none."""
-    c = col(name)
-    days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c)
+def _integer_key(name: str, dtype: T.DataType, zone: str) -> str | None:
+    """SQL: an integer that sorts like the column, or None if there is none."""
+    c = quote(name)
     if isinstance(dtype, T.TimestampNTZType):
-        # Field by field: a cast to timestamp would not keep the order where
-        # the session zone changes its clocks.
-        minutes = days * 1440 + F.hour(c) * 60 + F.minute(c)
-        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+        if zone not in _FIXED_ZONES:
+            # Field by field: a cast to timestamp does not keep the order where
+            # the session zone changes its clocks.
+            minutes = f"(unix_date(DATE({c})) * 1440L + hour({c}) * 60 + minute({c}))"
+            return f"({minutes} * 60000000 + bigint(extract(SECOND FROM {c}) * 1000000))"
+        return f"unix_micros(CAST({c} AS TIMESTAMP))"
+    if isinstance(dtype, T.TimestampType):
+        return f"unix_micros({c})"
     if isinstance(dtype, T.DateType):
-        return days
+        return f"bigint(unix_date({c}))"
     if isinstance(dtype, T.IntegralType):
-        return c.cast("bigint")
+        return f"bigint({c})"
     return None
 
 
-def _sort_keys(df: DataFrame, order: Sequence[str]) -> list[Column]:
-    """Integer keys, in sort order, for the leading columns that have one.
+def _sort_keys(df: DataFrame, order: Sequence[str]) -> list[str]:
+    """SQL of integer keys, in sort order, for the leading columns that have one.
 
-    Each column gives two: whether it is set (nulls sort first), and its value.
+    Each column gives two, its upper 62 bits and its lower 2, so that the
+    difference of two keys is always a bigint. A null sorts below all of them.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    keys: list[Column] = []
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    keys: list[str] = []
     for name in order:
-        key = _integer_key(name, types[name])
+        key = _integer_key(name, types[name], zone)
         if key is None:
             break
-        keys += [col(name).isNotNull().cast("bigint"), F.coalesce(key, F.lit(0).cast("bigint"))]
+        keys += [f"coalesce({key} >> 2, {-(2**61) - 1}L)", f"coalesce({key} & 3L, 0L)"]
     return keys
 
 
@@ -83,16 +85,15 @@ def _first_varying(n_keys: int, value: str) -> str:
 
 def _cuts(stats: DataFrame, group: Sequence[str], n_keys: int, max_rows: int) -> DataFrame:
     """Start and step for each group above ``max_rows`` that can be cut."""
-    lo = f"CAST({_first_varying(n_keys, '__lo{}')} AS {_WIDE})"
-    hi = f"CAST({_first_varying(n_keys, '__hi{}')} AS {_WIDE})"
-    step = f"CAST(ceil(({hi} - {lo} + 1) / ceil(__n * 2 / {max_rows})) AS {_WIDE})"
+    lo, hi = _first_varying(n_keys, "__lo{}"), _first_varying(n_keys, "__hi{}")
+    pieces = f"bigint(ceil(__n * 2 / {max_rows}))"
     return (
         stats.filter(f"__n > {max_rows}")
         .selectExpr(
             *cols(group),
             f"{_first_varying(n_keys, '{}')} AS __key",
             f"{lo} AS __start",
-            f"greatest({step}, CAST(1 AS {_WIDE})) AS __step",
+            f"({hi} - {lo}) div {pieces} + 1 AS __step",
         )
         .filter("__key IS NOT NULL")
     )
@@ -101,7 +102,7 @@ def _cuts(stats: DataFrame, group: Sequence[str], n_keys: int, max_rows: int) ->
 def _numbered(rows, cuts, group, n_keys, how, name):
     """``rows`` with the number of each row's step, null outside the cut groups."""
     key = f"CASE __key {' '.join(f'WHEN {i} THEN __k{i}' for i in range(n_keys))} END"
-    number = F.expr(f"(CAST({key} AS {_WIDE}) - __start) div __step")
+    number = F.expr(f"({key} - __start) div __step")
     joined = null_safe_join(rows, cuts, group, how)
     return joined.withColumn(name, number).drop("__key", "__start", "__step")
 
@@ -121,9 +122,9 @@ def split_hot(
     hot = written(hot, "hot-series")
     n_hot = hot.count()
     names = [f"__k{i}" for i in range(len(keys))]
-    narrow = df.select(*cols(by), *[k.alias(n) for k, n in zip(keys, names)])
+    narrow = df.selectExpr(*cols(by), *[f"{k} AS {n}" for k, n in zip(keys, names)])
     rows = null_safe_join(narrow, sized(hot, n_hot), by, "left_semi")
-    out = df.withColumns(dict(zip(names, keys)))
+    out = df.selectExpr("*", *[f"{k} AS {n}" for k, n in zip(keys, names)])
     cells: list[str] = []
     while True:
         group = [*by, *cells]

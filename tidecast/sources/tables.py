@@ -35,9 +35,11 @@ def append_epoch(df: DataFrame, path: str, epoch: int | None = None) -> None:
 
     The table is partitioned by epoch, and writing an epoch again replaces its
     partition, so a replayed micro-batch adds nothing twice. Without ``epoch``
-    the rows carry their own ``epoch_id``, and a write may hold several.
+    the rows carry their own ``epoch_id``, and a write may hold several. They are
+    then rebalanced by epoch: not every task writes a file to every partition,
+    and AQE splits an epoch that is too large for one task.
     """
-    rows = df if epoch is None else df.withColumn(EPOCH, F.lit(epoch))
+    rows = df.hint("rebalance", EPOCH) if epoch is None else df.withColumn(EPOCH, F.lit(epoch))
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
