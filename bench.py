@@ -69,7 +69,7 @@ def timed(spark: SparkSession, sf_dir: str, name: str) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:
