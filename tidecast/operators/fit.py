@@ -5,8 +5,8 @@ z and an intercept. One aggregation per group gathers the count, the means and
 the covariances of z with z and with the targets. These combine on the map
 side, so a group shuffles one row per task however many rows it has, and being
 centred they stay accurate when the means are large. The d x d normal equations
-are then solved on that one row per group by d plain projections, so all groups
-of all series are solved in parallel without leaving Spark SQL.
+are then solved on that one row per group by array functions, so all groups of
+all series are solved in parallel without leaving Spark SQL.
 
 A group with fewer rows than unknowns gets status ``short``; one whose lags are
 constant or collinear gets ``singular``. Both have null coefficients.
@@ -63,68 +63,57 @@ def moments(lagged: DataFrame, targets: Sequence[str], p: int, by: Sequence[str]
     return aggregate(rows, by, values)
 
 
-def _eliminate(rows: DataFrame, kept: list[str], d: int, k: int) -> DataFrame:
-    """Turn ``b_i_j`` into the solution of the d x d system, pivot by pivot.
+def _solution(d: int, k: int) -> str:
+    """SQL: the moments' d x (d + k) matrix with its left part reduced to one.
 
-    The matrix is symmetric positive semidefinite, so its diagonal needs no row
-    exchange. A pivot that has lost all but ``TOLERANCE`` of its starting value
-    becomes null, and nulls then spread over the group's solution.
+    Gauss-Jordan steps s = 0..d-1 over an array of rows, so the plan does not
+    grow with d. The matrix is symmetric positive semidefinite, so its diagonal
+    needs no row exchange. A pivot that has lost all but ``TOLERANCE`` of its
+    starting value becomes null, and nulls then spread over the group's solution.
     """
-    rows = rows.selectExpr(
-        *kept,
-        *[f"a_{i}_{i} AS g_{i}" for i in range(d)],
-        *[f"a_{min(i, j)}_{max(i, j)} AS a_{i}_{j}" for i in range(d) for j in range(d)],
-        *[f"b_{i}_{j}" for i in range(d) for j in range(k)],
-    )
-    for s in range(d):
-        pivot = f"if(a_{s}_{s} > {TOLERANCE} * g_{s}, a_{s}_{s}, CAST(NULL AS DOUBLE))"
-        rest = range(s + 1, d)
-
-        def reduced(i: int, right: str, name: str) -> str:
-            if i == s:
-                return f"{right} / {pivot} AS {name}"
-            return f"{name} - a_{i}_{s} * ({right} / {pivot}) AS {name}"
-
-        rows = rows.selectExpr(
-            *kept,
-            *[f"g_{i}" for i in rest],
-            *[reduced(i, f"a_{s}_{j}", f"a_{i}_{j}") for i in range(d) for j in rest],
-            *[reduced(i, f"b_{s}_{j}", f"b_{i}_{j}") for i in range(d) for j in range(k)],
+    rows = ", ".join(
+        "array("
+        + ", ".join(
+            [*[f"a_{min(i, j)}_{max(i, j)}" for j in range(d)], *[f"b_{i}_{j}" for j in range(k)]]
         )
-    return rows
+        + ")"
+        for i in range(d)
+    )
+    start = f"array({', '.join(f'a_{i}_{i}' for i in range(d))})"
+    pivot = f"if(m[s][s] > {TOLERANCE} * {start}[s], m[s][s], CAST(NULL AS DOUBLE))"
+    # First the pivot row, divided; then all other rows less their share of it.
+    divided = f"transform(m[s], v -> v / {pivot})"
+    reduced = (
+        "transform(m, (r, i) -> if(i = s, top, transform(r, (v, j) -> v - r[s] * top[j])))"
+    )
+    step = f"transform(array({divided}), top -> {reduced})[0]"
+    return f"aggregate(sequence(0, {d - 1}), array({rows}), (m, s) -> {step})"
 
 
 def solve(moment_rows: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()):
     """Wide coefficients from ``moments``: by, n_obs, status, ``coef_<k>_<j>``."""
     d, k = len(targets) * p, len(targets)
-    kept = [
-        *[quote(c) for c in by],
-        "n_obs",
-        *[f"m_{i}" for i in range(d)],
-        *[f"y_{j}" for j in range(k)],
-    ]
-    enough = f"n_obs >= {d + 1}"
-    means = {j: " + ".join(f"b_{i}_{j} * m_{i}" for i in range(d)) for j in range(k)}
-    solved = _eliminate(moment_rows, kept, d, k).selectExpr(
+    means = [f"m_{i}" for i in range(d)]
+    solved = moment_rows.selectExpr(
         *cols(by),
         "n_obs",
-        *[f"if({enough}, y_{j} - ({means[j]}), NULL) AS {coef_column(j, 0)}" for j in range(k)],
-        *[
-            f"if({enough}, b_{i}_{j}, NULL) AS {coef_column(j, i + 1)}"
-            for j in range(k)
-            for i in range(d)
-        ],
+        *means,
+        *[f"y_{j}" for j in range(k)],
+        f"if(n_obs >= {d + 1}, {_solution(d, k)}, NULL) AS __x",
     )
-    # There is one row per group already, in place. Grouping again moves nothing,
-    # but keeps a filter on a coefficient from being pushed down through the
-    # steps, where it would be written out once more for every use of a value.
     names = [coef_column(j, i) for j in range(k) for i in range(d + 1)]
-    values = {c: f"any_value({c})" for c in ["n_obs", *names]}
+    values = {}
+    for j in range(k):
+        shares = " + ".join(f"__x[{i}][{d + j}] * {means[i]}" for i in range(d))
+        values[coef_column(j, 0)] = f"y_{j} - ({shares})"
+        values |= {coef_column(j, i + 1): f"__x[{i}][{d + j}]" for i in range(d)}
     status = (
-        f"CASE WHEN NOT {enough} THEN 'short' WHEN {names[0]} IS NULL THEN 'singular' "
-        "ELSE 'ok' END AS status"
+        "CASE WHEN __x IS NULL THEN 'short' "
+        f"WHEN {values[names[0]]} IS NULL THEN 'singular' ELSE 'ok' END AS status"
+    )
+    return solved.selectExpr(
+        *cols(by), "n_obs", status, *[f"{sql} AS {name}" for name, sql in values.items()]
     )
-    return aggregate(solved, by, values).selectExpr(*cols(by), "n_obs", status, *names)
 
 
 def fit_wide(lagged: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()):
