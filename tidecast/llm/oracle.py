@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import quality
+from tidecast.llm import licenses, quality
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -50,3 +50,50 @@ def _quality() -> str:
 
 
 ORACLE: dict[str, str] = {"op9_quality": _quality()}
+
+
+def _licenses() -> str:
+    t = licenses.Templates()
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    terms = ", ".join(f"({i}, {quote(n)}, {quote(w)}, {x!r}::DOUBLE)" for i, n, w, x in t.terms)
+    idf = ", ".join(f"({quote(w)}, {x!r}::DOUBLE)" for w, x in t.idf.items())
+    return rf"""
+        WITH terms(template, licence, token, weight) AS (VALUES {terms}), idf(token, idf) AS (VALUES {idf}),
+        files AS (
+            SELECT 'document' AS kind, doc_id AS id, source || '/' || doc_id AS path, text FROM documents
+            UNION ALL
+            SELECT 'page', page_id,
+                translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                    || regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1),
+                regexp_replace(html, '<[^>]*>', chr(10), 'g') FROM pages
+        ), lines AS (SELECT kind, id, path, unnest(string_split(text, chr(10))) AS line FROM files),
+        tokens AS (
+            SELECT line, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.TOKEN}')) AS token
+            FROM (SELECT DISTINCT line FROM lines)
+        ), weighted AS (
+            SELECT line, token, count(*) * coalesce(any_value(idf), {t.rare!r}) AS x
+            FROM tokens LEFT JOIN idf USING (token) GROUP BY line, token
+        ), norms AS (SELECT line, sqrt(sum(x * x)) AS norm FROM weighted GROUP BY line),
+        dots AS (SELECT line, template, licence, sum(x * weight) AS dot FROM weighted JOIN terms USING (token) GROUP BY ALL),
+        near AS (
+            SELECT line, b FROM (
+                SELECT line, min({{'s': -round(dot / norm, 6), 'licence': licence}}) AS b FROM dots JOIN norms USING (line) GROUP BY line
+            ) WHERE -b.s >= {licenses.LEAST}
+        ), best AS (SELECT kind, id, path, min(b) AS b FROM lines JOIN near USING (line) GROUP BY ALL),
+        scanned AS (
+            SELECT f.kind, f.id, f.path, -b.s AS similarity, b.licence AS own_licence, regexp_extract(f.path, '(?s)^(.*/)?[^/]*$', 1) AS folder
+            FROM files f LEFT JOIN best ON f.kind = best.kind AND f.id IS NOT DISTINCT FROM best.id AND f.path IS NOT DISTINCT FROM best.path
+        ), declared AS (
+            SELECT folder AS above, min({{'s': -similarity, 'licence': own_licence}}).licence AS declared FROM scanned
+            WHERE own_licence IS NOT NULL AND (ends_with(path, '/') OR regexp_matches(path, '{licenses.LICENCE_FILE}')) GROUP BY 1
+        ), inherited AS (
+            SELECT folder, max({{'n': length(above), 'above': above, 'declared': declared}}) AS n
+            FROM (SELECT DISTINCT folder FROM scanned WHERE own_licence IS NULL) JOIN declared ON starts_with(folder, above) GROUP BY folder
+        )
+        SELECT kind, id, path, own_licence, similarity, coalesce(own_licence, n.declared) AS licence,
+            CASE WHEN own_licence IS NULL THEN n.above END AS from_directory
+        FROM scanned LEFT JOIN inherited USING (folder)
+    """
+
+
+ORACLE["op10_licenses"] = _licenses()

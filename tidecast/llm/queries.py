@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import byte_bpe, quality, token_counts
-from tidecast.llm.common import table
+from tidecast.llm import byte_bpe, language, licenses, quality, simhash, token_counts, url_filter
+from tidecast.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,55 @@ def op1_token_counts(spark, sf_dir):
     )
 
 
+#: Longest rule that fits wins; a rule holds for its host and subdomains.
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op4_url_filter(spark, sf_dir):
+    """Every URL judged by the rules, or else by a model of what the rules judge."""
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
+def op10_licenses(spark, sf_dir):
+    """Documents (path: source and id) and pages (path: host and path of the URL) as files."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "source", "text").select(
+        F.lit("document").alias("kind"),
+        F.col("doc_id").alias("id"),
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"),
+        "text",
+    )
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html").select(
+        F.lit("page").alias("kind"),
+        F.col("page_id").alias("id"),
+        F.concat(url_filter.host_of(url), url_filter.path_of(url)).alias("path"),
+        F.regexp_replace("html", "<[^>]*>", "\n").alias("text"),
+    )
+    return licenses.scan(documents.unionByName(pages))
+
+
+#: Words of a shingle, as the query's contract has it; the pipeline's stage takes five.
+SIMHASH_WORDS = 4
+
+
+def op6_simhash(spark, sf_dir):
+    """Every text's fingerprint and near-duplicate component."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), SIMHASH_WORDS)
+
+
+def op7_language(spark, sf_dir):
+    """Every text's language, learnt from the labelled texts that are not held out."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = language.identify(documents, language.training_rows(documents))
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_byte_bpe(spark, sf_dir):
     """Every text encoded to ids and decoded again, as digests."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text")

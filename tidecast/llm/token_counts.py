@@ -19,7 +19,7 @@ differences of a unit are kept in the worker, and a text is the units' bytes joi
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame
 from tidecast.llm.common import in_arrow
 
 BLANK = "▁"
-#: Units longer than this are not kept; at most about so many units and prefixes are, in each worker.
-KEPT_CHARS, KEPT_PREFIXES = 64, 1_000_000
+#: Longer units are done in pieces; at most about so many prefixes and whole units are kept, in each worker.
+KEPT_CHARS, KEPT_PREFIXES, KEPT_UNITS = 64, 400_000, 400_000
+#: After a text longer than this, whose units may be long, no whole unit is kept.
+KEPT_TEXT = 1_000_000
 
-_UNIT = re.compile(f"{BLANK}+[^{BLANK}]*")
+_UNIT = re.compile(" +[^ ]*")
 DELTA = np.dtype("<i2")
+_EMPTY = (0, "", b"")
 
 
 class PrefixCounter:
@@ -47,18 +50,27 @@ class PrefixCounter:
     def __init__(self, model: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.score = {
-            sp.id_to_piece(i): sp.get_score(i)
+            sp.id_to_piece(i).replace(BLANK, " "): sp.get_score(i)  # plain blanks from here on
             for i in range(sp.get_piece_size())
             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))
         }
-        self.longest = max(map(len, self.score))
-        if any(BLANK in piece.lstrip(BLANK) for piece in self.score):
+        if any(" " in piece.lstrip(" ") for piece in self.score):
             raise ValueError("a piece has a blank after another character")
         if sp.encode(" a  b", out_type=str) != sp.encode(f"{BLANK}a{BLANK * 2}b", out_type=str):
             raise ValueError("the model does not write blanks as U+2581")
         if len(sp.encode("  ")) == 0 or not sp.encode("a", out_type=str)[0].startswith(BLANK):
             raise ValueError("the model changes white space")
-        self.units: dict[str, tuple[int, str, bytes]] = {"": (0, "", b"")}
+        # Every end of a piece that can be made, and whether it is such a piece itself.
+        self.tails: dict[str, bool] = {}
+        for piece in self.score:
+            if self._made(piece):
+                for i in range(1, len(piece)):
+                    self.tails.setdefault(piece[i:], False)
+                self.tails[piece] = True
+        self.ready: dict[str, bytes] = {}
+        self.units: dict[str, tuple[int, str, bytes]] = {"": _EMPTY}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.fits = lru_cache(200_000)(self.pair)
         self.made = cache(self._made)  # as many as the vocabulary has, at most
         self.packed = cache(lambda n: DELTA.type(n).tobytes())
 
@@ -83,8 +95,6 @@ class PrefixCounter:
         whether the two that stood there then would have merged first. Of equal merges
         the left one comes first.
         """
-        if not left:
-            return True
         made, until, at_until = self.made, np.inf, False
         while True:
             score = self.score.get(left + right)
@@ -98,48 +108,72 @@ class PrefixCounter:
             else:
                 right, until, at_until = y, t_right, True
 
-    def step(self, unit: str, i: int, known) -> tuple[int, str, bytes]:
-        """Count, last token and differences of ``unit[:i]``; ``known(j)`` gives those of ``unit[:j]``."""
-        char, (before, _, stored) = unit[i - 1], known(i - 1)
-        if char not in self.score:  # written as its bytes, which never merge
-            count, token = before + len(char.encode()), ""
-        else:
-            for size in range(min(self.longest, i), 0, -1):
-                token = unit[i - size : i]
-                if token in self.score and self.made(token):
-                    count, last, _ = known(i - size)
-                    if self.pair(last, token):
-                        count += 1
-                        break
+    def grown(self, unit: str, known: list[tuple[int, str, bytes]]) -> None:
+        """Add to ``known``, which has count, last token and differences of the first
+        prefixes of ``unit``, those of all the others."""
+        tails, fits = self.tails, self.fits
+        for i in range(len(known), len(unit) + 1):
+            before, _, stored = known[i - 1]
+            tokens, size, tail = [], 1, unit[i - 1]
+            if tail not in self.score:  # written as its bytes, which never merge
+                known.append((n := before + len(tail.encode()), "", stored + self.packed(n - before)))
+                continue
+            while tail in tails:  # pieces end so: go on to longer ones
+                if tails[tail]:
+                    tokens.append(tail)
+                size += 1
+                if size > i:
+                    break
+                tail = unit[i - size : i]
+            for token in reversed(tokens):
+                count, last, _ = known[i - len(token)]
+                if not last or fits(last, token):
+                    known.append((count + 1, token, stored + self.packed(count + 1 - before)))
+                    break
             else:
                 raise AssertionError(f"no token ends {unit[:i]!r}")
-        return count, token, stored + self.packed(count - before)
 
     def unit(self, unit: str) -> bytes:
-        """The differences of a unit; those of its prefixes are kept for units that share them."""
+        """The differences of a unit; its prefixes are kept for units that share them."""
         if len(unit) > KEPT_CHARS:
-            found = [(0, "", b"")]
-            for i in range(1, len(unit) + 1):
-                count, token, stored = self.step(unit, i, lambda j: (*found[j][:2], b""))
-                found.append((count, token, stored))
-            return b"".join(x[2] for x in found)
-        if len(self.units) >= KEPT_PREFIXES:
-            self.units.clear()
-            self.units[""] = (0, "", b"")
-        i = len(unit)
-        while unit[:i] not in self.units:
-            i -= 1
-        for j in range(i + 1, len(unit) + 1):
-            self.units[unit[:j]] = self.step(unit, j, lambda k: self.units[unit[:k]])
-        return self.units[unit][2]
+            return self.long_unit(unit)
+        kept = self.units
+        if len(kept) >= KEPT_PREFIXES:
+            # What is needed again comes back from the older ones.
+            self.older, self.units = kept, {"": _EMPTY}
+            kept = self.units
+        known, i = [_EMPTY], 1
+        while i <= len(unit):
+            found = kept.get(unit[:i]) or self.older.get(unit[:i])
+            if found is None:
+                break
+            known.append(found)
+            i += 1
+        self.grown(unit, known)
+        for j in range(i, len(unit) + 1):
+            kept[unit[:j]] = known[j]
+        return known[-1][2]
+
+    def long_unit(self, unit: str) -> bytes:
+        """As ``unit``, in pieces, so that differences are not copied again and again."""
+        known, parts = [_EMPTY], []
+        for end in range(KEPT_CHARS, len(unit) + KEPT_CHARS, KEPT_CHARS):
+            self.grown(unit[:end], known)
+            parts.append(known[-1][2])
+            known = [(n, token, b"") for n, token, _ in known]
+        return b"".join(parts)
 
     def deltas(self, text: str) -> np.ndarray:
         """For each character of the text, how many tokens it adds to the prefix before it."""
         if not text:
             return np.zeros(0, DELTA)
-        units = _UNIT.findall(BLANK + text.replace(" ", BLANK))
-        get, own = self.units.get, self.unit
-        joined = b"".join([found[2] if (found := get(u)) else own(u) for u in units])
+        units = _UNIT.findall(" " + text.replace(BLANK, " "))
+        ready = self.ready
+        for unit in set(units).difference(ready):
+            ready[unit] = self.unit(unit)
+        joined = b"".join(map(ready.__getitem__, units))
+        if len(ready) > KEPT_UNITS or len(text) > KEPT_TEXT:
+            ready.clear()
         # The blank in front belongs to no character: it counts with the first.
         out = np.frombuffer(joined, DELTA).copy()
         out[1] += out[0]
