@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import licenses, quality
+from tidecast.llm import decontaminate, licenses, quality
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -97,3 +97,24 @@ def _licenses() -> str:
 
 
 ORACLE["op10_licenses"] = _licenses()
+
+
+def _contained() -> str:
+    k = decontaminate.SHINGLE
+
+    def shingled(table: str, key: str) -> str:
+        words = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}')"
+        return f"""
+            SELECT DISTINCT {key}, array_to_string(w[i : i + {k - 1}], ' ') AS s
+            FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
+
+    return f"""
+        WITH d AS ({shingled("documents", "doc_id")}), b AS ({shingled("benchmark", "item_id")}),
+        sizes AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
+        shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_shingles, n_shared, round(n_shared / n_shingles, 6) AS containment
+        FROM shared JOIN sizes USING (item_id) WHERE n_shared >= {decontaminate.LEAST} * n_shingles - 1e-9
+    """
+
+
+ORACLE["op5_decontaminate"] = _contained()

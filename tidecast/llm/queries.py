@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import byte_bpe, language, licenses, quality, simhash, token_counts, url_filter
+from tidecast.llm import byte_bpe, decontaminate, language, licenses, quality, simhash, token_counts, toxicity, url_filter
 from tidecast.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op1_token_counts(spark, sf_dir):
     )
 
 
+def op2_toxicity(spark, sf_dir):
+    """Every text's toxicity, learnt from the labelled texts that are not held out."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.scores(documents, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 #: Longest rule that fits wins; a rule holds for its host and subdomains.
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -59,6 +65,12 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(documents.unionByName(pages))
 
 
+def op5_decontaminate(spark, sf_dir):
+    """Every pair of a document and a benchmark item that it holds."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.contained(documents, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 #: Words of a shingle, as the query's contract has it; the pipeline's stage takes five.
 SIMHASH_WORDS = 4
 
