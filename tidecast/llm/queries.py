@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import byte_bpe, decontaminate, language, licenses, quality, simhash, token_counts, toxicity, url_filter
+from tidecast.llm import byte_bpe, decontaminate, language, licenses, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
 from tidecast.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.scores(documents, table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    """Every text without the passages of documents before it, as digests."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 #: Longest rule that fits wins; a rule holds for its host and subdomains.
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
