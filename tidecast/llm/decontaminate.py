@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import lower_ascii, words, written
+from tidecast.llm.common import free_name, lower_ascii, words, written
 
 SHINGLE, LEAST = 5, 0.8
 #: Sizes of the partitions: from one power of this to the next.
@@ -113,3 +113,10 @@ def contained(
     )
     best = F.max(F.struct("containment", "n_shingles", "n_shared")).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_shingles", "best.n_shared", "best.containment")
+
+
+def without_contained(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that hold no item. Rows with a null id are not looked at and stay."""
+    key = free_name(documents, "held_by")
+    held = contained(documents, items, doc_id, text).select(F.col("doc_id").alias(key)).distinct()
+    return documents.join(held, documents[doc_id] == held[key], "left_anti")

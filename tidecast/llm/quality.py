@@ -133,16 +133,7 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.column(1)
-        lengths = [n or 0 for n in pa.compute.binary_length(column).to_pylist()]
-        found = [
-            measure([x or "" for x in column.slice(a, b - a).to_pylist()])
-            for a, b in slices([n + 1 for n in lengths], SHARED_CHARS)
-        ]
-        f = {name: np.concatenate([x[name] for x in found]) for name in FIGURES}
-        n = f["n_words"]
-        failed = (n < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_WINDOW_PERCENT * n)
-        kept = ~failed & (100 * f["n_covered_words"] <= MAX_COVER_PERCENT * n) & (f["longest_repeat"] <= MAX_REPEAT)
+        f, failed, kept = judged(batch.column(1))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(f[name]) for name in FIGURES), pa.array(failed), pa.array(kept)],
             names=["doc_id", *FIGURES, "base_failed", "kept"],
@@ -153,3 +144,23 @@ def quality(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         run,
         f"doc_id {kind}, {', '.join(f'{x} bigint' for x in FIGURES)}, base_failed boolean, kept boolean",
     )
+
+
+def kept_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text ``quality`` keeps, with all their columns."""
+    at = df.columns.index(text)
+    return in_arrow(df, lambda batch: batch.filter(pa.array(judged(batch.column(at))[2])), df.schema)
+
+
+def judged(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Figures, ``base_failed`` and ``kept`` of a column of texts."""
+    lengths = [n or 0 for n in pa.compute.binary_length(column).to_pylist()]
+    found = [
+        measure([x or "" for x in column.slice(a, b - a).to_pylist()])
+        for a, b in slices([n + 1 for n in lengths], SHARED_CHARS)
+    ]
+    f = {name: np.concatenate([x[name] for x in found]) for name in FIGURES}
+    n = f["n_words"]
+    failed = (n < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_WINDOW_PERCENT * n)
+    kept = ~failed & (100 * f["n_covered_words"] <= MAX_COVER_PERCENT * n) & (f["longest_repeat"] <= MAX_REPEAT)
+    return f, failed, kept

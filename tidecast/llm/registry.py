@@ -1,6 +1,10 @@
-"""What the driver contract adds: the operators' queries and SQL."""
+"""What the driver contract adds: the operators' queries, the pipeline, and SQL."""
 
-from tidecast.llm.oracle import ORACLE
-from tidecast.llm.queries import QUERIES
+import corpus_pipeline
+from tidecast.llm.oracle import ORACLE as OPERATORS_SQL
+from tidecast.llm.queries import QUERIES as OPERATORS
+
+QUERIES = {**OPERATORS, "pipeline": corpus_pipeline.run}
+ORACLE = dict(OPERATORS_SQL)
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -30,44 +30,72 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import in_arrow, written
+from tidecast.llm.common import free_name, in_arrow, written
 
 SEED, BITS = 42, 64
 RADIUS, BLOCKS = 4, 6
 #: Nodes that a slice has on average, at most; lanes that are compared at once.
 GROUP, LANES = 1024, 1 << 16
 
+#: For similar texts the fingerprint is ``WIDE_WORDS`` times as long, ``WIDE_RADIUS`` of its bits may differ, and
+#: candidates agree on one of the bands of ``BAND`` hex digits. A pair with a Jaccard similarity of 0.8 differs in 15
+#: of 100 bits, so it agrees on none of the 32 bands with a probability of 0.7 percent.
+WIDE_WORDS, WIDE_RADIUS, BAND = 6, 66, 3
+
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The fingerprint of a text's shingles, repeats included; zero without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none without words."""
     found = _SPLIT.findall((text or "").translate(_UPPER))
-    if not found:
-        return 0
-    n = max(1, len(found) - shingle + 1)
+    n = max(1, len(found) - shingle + 1) if found else 0
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(" ".join(found[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
-    # Of each byte of the hashes, how often it has each value, and from that each bit.
+    return np.fromiter((hashed(" ".join(found[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n = len(h)
     octets = h.view(np.uint8).reshape(n, 8)
     if n < 256:
         ones = np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    else:
+    else:  # of each byte of the hashes, how often it has each value, and from that each bit
         ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``bits`` (the fingerprint as a signed long) of each row."""
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The fingerprint of a text's shingles; zero without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """Several fingerprints in a row, each from the hashes mixed in another way."""
+    h = shingle_hashes(text, shingle)
+    out = []
+    for k in range(WIDE_WORDS):
+        mixed = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        out.append(majority(mixed ^ mixed >> np.uint64(29)))
+    return np.array(out, "<u8").tobytes()
+
+
+def fingerprints(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
+    """``doc_id`` and ``bits`` of each row: the fingerprint as a signed long, or a wide one's bytes."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "bits"])
+        texts = (x.as_py() for x in batch.column(1))
+        if wide:
+            bits = pa.array([wide_fingerprint(x, shingle) for x in texts], pa.binary())
+        else:
+            bits = pa.array(np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), bits], names=["doc_id", "bits"])
 
-    return in_arrow(df.select(df[doc_id], df[text]), run, f"doc_id {kind}, bits bigint")
+    return in_arrow(df.select(df[doc_id], df[text]), run, f"doc_id {kind}, bits {'binary' if wide else 'bigint'}")
 
 
 def block_masks() -> list[int]:
@@ -78,8 +106,9 @@ def block_masks() -> list[int]:
 
 
 def planes(values: np.ndarray) -> list[int]:
-    """For each bit one integer with a lane for each value."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """For each bit one integer with a lane for each value (a row of one word or more)."""
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(len(values), -1)
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
     return [int.from_bytes(row.tobytes(), "little") for row in packed]
 
@@ -126,8 +155,8 @@ def linked(group: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> np.nd
     own: list[int] = []
     while True:
         if shift == rebuild:  # keep only groups with rows that far apart
-            rows = rows[size[rows] > shift]
-            own, rebuild = planes(values[rows]), rebuild * 2
+            rows, rebuild = rows[size[rows] > shift], rebuild * 2
+            own = planes(values[rows]) if len(rows) else []
         if len(rows) <= shift:
             return root
         a, b = rows[:-shift], rows[shift:]
@@ -144,14 +173,17 @@ def linked(group: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> np.nd
         shift += 1
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """``a, b``: links between nodes (``node, bits``) that connect all within the radius."""
-    masks = block_masks()
-    keyed = nodes.select(
-        "node",
-        "bits",
-        F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("bits").bitwiseAND(_signed(m)).alias("agree")) for k, m in enumerate(masks)))).alias("e"),
-    ).select("node", "bits", "e.k", "e.agree")
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: links between nodes (``node, bits``) that connect all within the radius; of wide
+    fingerprints those that agree on a band."""
+    wide = nodes.schema["bits"].dataType.simpleString() == "binary"
+    if wide:
+        digits = F.hex("bits")
+        keys = [F.conv(digits.substr(i + 1, BAND), 16, 10).cast("bigint") for i in range(0, 16 * WIDE_WORDS, BAND)]
+    else:
+        keys = [F.col("bits").bitwiseAND(_signed(m)) for m in block_masks()]
+    each = F.array(*(F.struct(F.lit(k).alias("k"), key.alias("agree")) for k, key in enumerate(keys)))
+    keyed = nodes.select("node", "bits", F.explode(each).alias("e")).select("node", "bits", "e.k", "e.agree")
     sizes = keyed.groupBy("k", "agree").agg(F.count("*").alias("size")).filter("size > 1")
     cut = F.ceil(F.col("size") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("bits"), cut).cast("int")
@@ -173,7 +205,12 @@ def links(nodes: DataFrame) -> DataFrame:
             new[0] = True
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
-            root = linked(np.cumsum(new), part.column("bits").to_numpy().view(np.uint64))
+            bits = part.column("bits")
+            if wide:
+                values = np.frombuffer(b"".join(bits.to_pylist()), "<u8").reshape(part.num_rows, WIDE_WORDS)
+            else:
+                values = bits.to_numpy().view(np.uint64)
+            root = linked(np.cumsum(new), values, radius)
             node = part.column("node").to_numpy()
             other = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[root[other]])], names=["a", "b"])
@@ -250,3 +287,25 @@ def near_duplicates(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: s
     found = components(links(nodes.filter("node IS NOT NULL")))
     placed = nodes.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
     return prints.join(placed, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def copies(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` of the rows that repeat a text of similarity 0.8 or so or more with a smaller id, once each.
+
+    As ``near_duplicates``, with wide fingerprints: 64 bits cannot tell a Jaccard similarity of 0.8 (about 10 of
+    them differ, more or less) from one of 0.6. Null ids are nobody's copies.
+    """
+    prints = written(fingerprints(df, shingle, doc_id, text, wide=True), "fingerprints")
+    nodes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "nodes")
+    found = components(links(nodes, WIDE_RADIUS))
+    placed = nodes.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("first"))
+    return prints.join(placed, "bits").filter("doc_id <> first").select("doc_id").distinct()
+
+
+def without_copies(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that are nobody's copies: of each group the document with the smallest id, and rows with a
+    null id. Rows with one id are one document, which stays or goes as a whole."""
+    gone = copies(df, shingle, doc_id, text)
+    key = free_name(df, "copy_of")
+    gone = gone.select(F.col("doc_id").alias(key))
+    return df.join(gone, df[doc_id] == gone[key], "left_anti")
