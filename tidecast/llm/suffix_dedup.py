@@ -197,15 +197,19 @@ def repeated(table: pa.Table) -> pa.Table:
     return by_document(rows.column("doc_id").to_numpy(), rows.column("text_hash").to_numpy(), values)
 
 
-def cut_pieces(docs: DataFrame, parts: int) -> DataFrame:
-    """Step 2 before the shuffle, from documents with ``found``, a list of packed pieces."""
+def cut_pieces(docs: DataFrame, parts: int, text: str) -> DataFrame:
+    """Step 2 before the shuffle, from documents whose last columns are the id, the text's hash and a
+    list of packed pieces. It takes all columns, so that the plan can use one exchange of the
+    documents for this and for the last join."""
+    at = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch):
-        ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
-        for a, b in slices(pc.binary_length(batch.column(2)).to_numpy(), CHUNK):
-            data, sizes = bytes_of(batch.column(2).slice(a, b - a))
+        ids, hashes = (batch.column(batch.num_columns + i).to_numpy() for i in (-3, -2))
+        texts, pieces_of = batch.column(at), batch.column(batch.num_columns - 1)
+        for a, b in slices(pc.binary_length(texts).to_numpy(), CHUNK):
+            data, sizes = bytes_of(texts.slice(a, b - a))
             begin = np.cumsum(sizes) - sizes
-            found = [np.frombuffer(b"".join(x), _SPAN).reshape(-1, 3) for x in batch.column(3).slice(a, b - a).to_pylist()]
+            found = [np.frombuffer(b"".join(x), _SPAN).reshape(-1, 3) for x in pieces_of.slice(a, b - a).to_pylist()]
             own = np.repeat(np.arange(b - a), [len(x) for x in found])
             start, size, name = np.concatenate(found).astype(np.int64).T
             content = taken(data, begin[own] + start, size)
@@ -222,7 +226,7 @@ def cut_pieces(docs: DataFrame, parts: int) -> DataFrame:
             table = pa.table({"name": name.astype(np.int32), "doc_id": doc, "text_hash": hashes[a + own], "start": start.astype(np.int32), "size": size.astype(np.int32), "through": through, "content": content})
             yield dealt(table, part)
 
-    return _each(docs.select("doc_id", "text_hash", "text", "found"), run, "part int, packed binary")
+    return _each(docs, run, "part int, packed binary")
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,23 +237,24 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     word = np.zeros(n + depth + 8, np.uint64)
     for i in range(8):
         word |= padded[i : i + len(word)] << np.uint64(8 * (7 - i))
-    order = np.argsort(word[:n], kind="stable")
+    order = np.argsort(word[:n])
     key = word[order]
     eight = np.append(True, key[1:] != key[:-1])
-    new = eight
-    for at in range(8, depth, 8):
-        tied = ~(new & np.append(new[1:], True))
-        rows = np.flatnonzero(tied)
+    new, at = eight, 8
+    while at < depth:
+        rows = np.flatnonzero(~(new & np.append(new[1:], True)))  # those still tied
         if not len(rows):
             break
-        group = np.cumsum(new)[rows]
+        group = np.cumsum(new[rows], dtype=np.uint64)
+        # The group and as many of the next bytes as fit beside it in one number.
+        more = (64 - int(group[-1]).bit_length()) // 8
         suffix = order[rows]
-        key = word[suffix + at]
-        by = np.lexsort((key, group))
-        order[rows] = suffix[by]
-        key = key[by]
+        key = group << np.uint64(8 * more) | word[suffix + at] >> np.uint64(64 - 8 * more)
+        by = np.argsort(key)
+        order[rows], key = suffix[by], key[by]
         new = new.copy()
-        new[rows[1:]] |= (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        new[rows[1:]] |= key[1:] != key[:-1]
+        at += more
     return order, eight
 
 
@@ -257,8 +262,8 @@ def intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order, and where intervals of suffixes that agree in ``length`` bytes begin."""
     order, begins = suffix_order(data, length)
     n = len(data)
-    row = np.empty(n + 1, np.int64)
-    row[order] = np.arange(n)
+    row = np.empty(n + 1, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
     row[n] = 0
     following = row[order + 1]  # where the rest of each row's suffix stands: backward extension read forward
     begins = begins.copy()
@@ -266,7 +271,7 @@ def intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     open_rows = np.flatnonzero(~begins)
     while level < length and len(open_rows):
         # At this level the intervals of what follows, numbered; a byte in front keeps them apart.
-        number = np.cumsum(begins)
+        number = np.cumsum(begins, dtype=np.int32)
         parted = number[following[open_rows]] != number[following[open_rows - 1]]
         begins[open_rows[parted]] = True
         open_rows = open_rows[~parted]
@@ -353,18 +358,24 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     have no place in the order: nothing is removed from them or because of them. An empty table gives
     an empty one.
     """
-    spans, key = free_name(df, "spans"), free_name(df, "text_hash")
-    keyed = df.withColumn(key, F.xxhash64(df[text]))
-    docs = keyed.filter(df[doc_id].isNotNull() & (F.octet_length(df[text]) >= LENGTH)).select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(key).alias("text_hash"), F.col(text).alias("text")
-    )
-    total = docs.select(F.sum(F.octet_length("text").cast("bigint"))).collect()[0][0] or 0
+    spans, id_, hash_ = (free_name(df, x) for x in ("spans", "spans_id", "spans_hash"))
+    fit = df[doc_id].isNotNull() & (F.octet_length(df[text]) >= LENGTH)
+    keyed = df.withColumn(id_, F.coalesce(df[doc_id].cast("bigint"), F.lit(0))).withColumn(hash_, F.xxhash64(df[text]))
+    docs = keyed.filter(fit)
+    own = docs.select(F.col(id_).alias("doc_id"), F.col(hash_).alias("text_hash"), F.col(text).alias("text"))
+    total = own.select(F.sum(F.octet_length("text").cast("bigint"))).collect()[0][0] or 0
     parts = max(1, -(-total // PART))
-    candidates = _gathered(named_pieces(docs, parts), repeated)
-    found = _gathered(cut_pieces(docs.join(candidates, ["doc_id", "text_hash"]), parts), removed_spans)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("found").alias(spans))
-    same = (keyed[doc_id].cast("bigint") == F.col("_id")) & (F.col(key) == F.col("_hash"))
-    return keyed.join(found, same, "left").drop("_id", "_hash", key)
+
+    def as_keys(found: DataFrame) -> DataFrame:
+        return found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("found").alias(spans))
+
+    candidates = as_keys(_gathered(named_pieces(own, parts), repeated))
+    # Columns of the documents come first, then the keys and the pieces.
+    wanted = docs.join(candidates, [id_, hash_]).select(*df.columns, id_, hash_, spans)
+    found = as_keys(_gathered(cut_pieces(wanted, parts, text), removed_spans))
+    marked = docs.join(found, [id_, hash_], "left").select(*df.columns, spans)
+    rest = df.filter(~F.coalesce(fit, F.lit(False)))
+    return marked.unionByName(rest.withColumn(spans, F.lit(None).cast("array<binary>")))
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
