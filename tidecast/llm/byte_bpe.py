@@ -1,15 +1,19 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-The vocabulary is a literal in the plan: the ranks of all byte strings, dealt into
-buckets by their crc32 so that a look-up reads one small map, and the pieces by id.
-A word is encoded by a fold over its bytes: each step merges all places of the pair
-with the lowest rank, until no pair has one. Its state is the byte array, one character
-for each byte, with a mark around every part, so that a merge is one ``replace``.
+Token ids are kept as text while they are worked on: an id is the character with that code
+(ids end before the surrogates, so each is one), and a text's ids are one string. Joining,
+counting and slicing ids are then string functions, and UTF-16 turns them into numbers.
+
+The vocabulary is a literal in the plan: the ranks of all byte strings, dealt into buckets by
+their crc32, each bucket one string, so that a look-up is two string functions on it.
+A word is encoded by a fold over its bytes. The state is the byte array, a character for each
+byte, with marks around every part; each step merges the pair of lowest rank wherever it
+stands, which is one ``replace``, until no pair has a rank.
 
 Words repeat, so distinct words are encoded: a first pass counts the words of the
 table (combined before the shuffle) and encodes the ``FREQUENT`` most frequent ones
 once; they are a second literal of bounded size. Every other word is encoded by the
-same fold where it stands. A text's ids are those of its words in order.
+same fold where it stands.
 
 Decoding concatenates the pieces of the ids.
 """
@@ -17,19 +21,22 @@ Decoding concatenates the pieces of the ids.
 from __future__ import annotations
 
 import base64
-import json
 import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import free_name
+from tidecast.llm.common import free_name, written
 
-#: Words of the second literal, and their longest size in characters; both bound it.
-FREQUENT, FREQUENT_CHARS = 100_000, 24
-_BUCKETS = 1 << 16
+#: Words of the second literal, at most, and their longest size in characters; both bound it.
+FREQUENT, FREQUENT_CHARS = 150_000, 24
+_BUCKETS = 1 << 14
+#: No character of Latin-1, so never one of a word's bytes.
+_MARK = "ā"
+#: Marks within and between buckets: no ids, since they come after the surrogates. A word
+#: of the text that has them is left out of the literal.
+_ENTRY, _VALUE, _BUCKET = "", "", ""
 _PLACES = 1 << 31
-_MARK = "ā"  # no character of Latin-1, so never one of a word's bytes
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,18 +44,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def bucketed(entries: dict[str, object], kind: str) -> Column:
-    """A literal: maps from key to value, found by the crc32 of the key."""
-    maps: list[dict[str, object]] = [{} for _ in range(_BUCKETS)]
+def bucketed(entries: dict[str, str]) -> Column:
+    """A literal of strings by string: an array of buckets, found by the crc32 of the key."""
+    buckets = [[_ENTRY] for _ in range(_BUCKETS)]
     for key, value in entries.items():
-        maps[zlib.crc32(key.encode()) % _BUCKETS][key] = value
-    text = json.dumps(maps, separators=(",", ":"))
-    return F.from_json(F.lit(text), f"array<map<string,{kind}>>")
+        buckets[zlib.crc32(key.encode()) % _BUCKETS].append(f"{key}{_VALUE}{value}{_ENTRY}")
+    return F.split(F.lit(_BUCKET.join(map("".join, buckets))), _BUCKET)
 
 
 def looked_up(table: Column, key: Column) -> Column:
+    """The value of a key, null without one. A bucket is a mark and then, for each entry, the key, a
+    mark, the value and a mark; after an unknown key comes the whole bucket, so nothing up to its
+    first mark."""
     bucket = F.get(table, (F.crc32(key.cast("binary")) % _BUCKETS).cast("int"))
-    return F.try_element_at(bucket, key)
+    entry = F.concat(F.lit(_ENTRY), key, F.lit(_VALUE))
+    rest = F.call_function("substring_index", bucket, entry, F.lit(-1))
+    found = F.substring_index(rest, _ENTRY, 1)
+    return F.nullif(found, F.lit(""))
 
 
 def let(value: Column, body) -> Column:
@@ -61,34 +73,34 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         pieces = sorted(ranks, key=ranks.__getitem__)
-        if [ranks[p] for p in pieces] != list(range(len(pieces))):
-            raise ValueError("ranks must be 0 to n-1")
+        if [ranks[p] for p in pieces] != list(range(len(pieces))) or len(pieces) > 0xD800:
+            raise ValueError("ranks must be 0 to n-1, with n at most 55296")
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every byte needs a rank")
         self.pattern = "(?U)" + pattern  # white space of all of Unicode
-        self.ranks = bucketed({p.decode("latin-1"): r for p, r in ranks.items()}, "int")
-        self.pieces = F.from_json(F.lit(json.dumps([p.hex() for p in pieces])), "array<string>")
+        self.ranks = bucketed({p.decode("latin-1"): chr(r) for p, r in ranks.items()})
+        self.pieces = F.split(F.lit(" ".join(p.hex() for p in pieces)), " ")
 
     def split(self, text: Column) -> Column:
         """The matches of the pattern, in order; together they are the text."""
         return F.regexp_extract_all(text, F.lit(f"({self.pattern})"), F.lit(1))
 
     def merged(self, state: Column) -> Column:
-        """The state with the pair of lowest rank merged wherever it stands; null if no pair
-        has a rank. Of touching places every second is merged; the next step does the others."""
+        """The state with the pair of lowest rank merged wherever it stands, from left to right; null
+        if no pair has a rank."""
 
         def of_parts(parts: Column) -> Column:
-            # The first and the last are empty: marks stand on both sides of every part.
+            # Every part has a mark of its own on both sides, so between two there is an empty one.
             # Rank and place in one number, so that the least is the leftmost of lowest rank.
             ranked = F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(parts) - 3, F.lit(1))),
-                lambda i: looked_up(self.ranks, F.concat(F.get(parts, i), F.get(parts, i + 1))).cast("long") * _PLACES + i,
+                F.sequence(F.lit(1), F.greatest(F.size(parts) - 4, F.lit(1)), F.lit(2)),
+                lambda i: F.ascii(looked_up(self.ranks, F.concat(F.get(parts, i), F.get(parts, i + 2)))).cast("long") * _PLACES + i,
             )
             return let(F.array_min(ranked), lambda best: replaced(parts, (best % _PLACES).cast("int")))
 
         def replaced(parts: Column, i: Column) -> Column:
-            a, b, mark = F.get(parts, i), F.get(parts, i + 1), F.lit(_MARK)
-            return F.replace(state, F.concat(mark, a, mark, b, mark), F.concat(mark, a, b, mark))
+            a, b, mark = F.get(parts, i), F.get(parts, i + 2), F.lit(_MARK)
+            return F.replace(state, F.concat(mark, a, F.lit(2 * _MARK), b, mark), F.concat(mark, a, b, mark))
 
         return let(F.split(state, _MARK), of_parts)
 
@@ -96,7 +108,7 @@ class ByteBpe:
         """The ids of one match of the pattern."""
 
         def folded(chars: Column) -> Column:
-            start = F.concat(F.lit(_MARK), F.array_join(F.split(chars, ""), _MARK), F.lit(_MARK))
+            start = F.concat(F.lit(_MARK), F.array_join(F.split(chars, ""), 2 * _MARK), F.lit(_MARK))
             state = F.struct(start.alias("parts"), F.lit(False).alias("done"))
 
             def step(s: Column, _: Column) -> Column:
@@ -107,80 +119,84 @@ class ByteBpe:
                 return F.when(s["done"], s).otherwise(merged)
 
             def ids(end: Column) -> Column:
-                parts = F.split(end, _MARK)
-                return F.transform(
-                    F.slice(parts, F.lit(2), F.size(parts) - 2), lambda p: looked_up(self.ranks, p)
-                )
+                own = F.filter(F.split(end, _MARK), lambda p: p != "")
+                return F.array_join(F.transform(own, lambda p: looked_up(self.ranks, p)), "")
 
             steps = F.sequence(F.lit(1), F.length(chars))
             return let(F.aggregate(steps, state, step, lambda s: s["parts"]), ids)
 
         def known(chars: Column) -> Column:
-            whole = F.transform(F.array(looked_up(self.ranks, chars)), lambda r: r)
-            return F.coalesce(F.when(F.get(whole, F.lit(0)).isNotNull(), whole), folded(chars))
+            return F.coalesce(looked_up(self.ranks, chars), folded(chars))
 
-        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), known)
+        return let(F.decode(word.cast("binary"), "ISO-8859-1"), known)
 
-    def frequent(self, df: DataFrame, text: str) -> dict[str, list[int]]:
-        """The most frequent words of the table with their ids, at most ``FREQUENT``."""
-        counted = (
+    def frequent(self, df: DataFrame, text: str) -> dict[str, str]:
+        """The most frequent words of the table with their ids: all with some count or more, at most
+        ``FREQUENT``. Fewer than that come to the driver."""
+        counted = written(
             df.select(F.explode(self.split(df[text])).alias("word"))
-            .filter(F.length("word") <= FREQUENT_CHARS)
+            .filter((F.length("word") <= FREQUENT_CHARS) & ~F.rlike("word", F.lit(f"[{_ENTRY}-{_BUCKET}]")))
             .groupBy("word")
             .count()
-            .filter("count > 1")
-            .orderBy(F.desc("count"), "word")
-            .limit(FREQUENT)
+            .filter("count > 1"),
+            "words",
         )
-        found = counted.select("word", self.encode_word(F.col("word")).alias("ids"))
-        return dict(map(tuple, found.toArrow().select(["word", "ids"]).to_pandas().itertuples(index=False)))
-
-    def encode(self, text: Column, frequent: dict[str, list[int]]) -> Column:
-        """The ids of a text, null counting as empty."""
-        known = bucketed({w: [int(i) for i in ids] for w, ids in frequent.items()}, "array<int>")
+        sizes = counted.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).limit(FREQUENT).collect()
+        least, total = None, 0
+        for row in sizes:
+            total += row["n"]
+            if total > FREQUENT:
+                break
+            least = row["count"]
+        if least is None:
+            return {}
+        words = counted.filter(F.col("count") >= least).select("word", self.encode_word(F.col("word")).alias("ids"))
+        found = words.toArrow()
+        return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist()))
+
+    def encode(self, text: Column, frequent: dict[str, str]) -> Column:
+        """The ids of a text as characters, null counting as empty."""
+        known = bucketed(frequent)
         found = F.transform(
             self.split(F.coalesce(text, F.lit(""))),
             lambda w: F.coalesce(looked_up(known, w), self.encode_word(w)),
         )
-        return F.flatten(found)
+        return F.array_join(found, "")
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of the pieces, concatenated. An id outside the vocabulary gives null."""
-        hexes = F.transform(ids, lambda i: F.get(self.pieces, i))
-        whole = F.forall(hexes, lambda h: h.isNotNull())
-        return F.when(whole, F.unhex(F.array_join(hexes, "")))
+        """The bytes of the pieces of ids, which are characters, concatenated. An id outside the
+        vocabulary gives null."""
+        hexes = F.transform(each(ids), lambda c: F.get(self.pieces, F.ascii(c)))
+        return F.unhex(F.array_join(hexes, "", "-"))
+
+
+def each(ids: Column) -> Column:
+    """The single ids, still as characters."""
+    return F.when(F.length(ids) > 0, F.split(ids, "")).otherwise(F.array().cast("array<string>"))
+
+
+def as_numbers(ids: Column) -> Column:
+    """Ids as an array of numbers."""
+    return F.transform(each(ids), lambda c: F.ascii(c))
 
 
 def little_endian(ids: Column) -> Column:
-    """The ids as unsigned 32-bit integers, low byte first."""
-    return F.unhex(
-        F.array_join(
-            F.transform(
-                ids,
-                lambda i: F.hex(
-                    (i % 256).cast("long") * 16777216
-                    + (F.shiftright(i, 8) % 256).cast("long") * 65536
-                    + (F.shiftright(i, 16) % 256).cast("long") * 256
-                    + F.shiftright(i, 24).cast("long")
-                    + F.lit(1 << 32)
-                ).substr(2, 8),
-            ),
-            "",
-        )
-    )
+    """Ids as unsigned 32-bit integers, low byte first: each is two units of UTF-16, itself and zero."""
+    return F.encode(F.regexp_replace(ids, "(?s)(.)", "$1\x00"), "UTF-16LE")
 
 
 def encode_decode(
     df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded"
 ) -> DataFrame:
-    """``df`` with two more columns: the ids of ``text`` and the bytes they decode to.
+    """``df`` with two more columns: the ids of ``text``, as 32-bit integers in a binary, low byte first, and
+    the bytes they decode to.
 
     Null and empty texts give no ids and no bytes. Repeated rows and null ids stay as
     they are; an empty table gives an empty one. If a new name is taken, underscores
-    are added to it. A long text is one row's array; a long word takes one pass over its
+    are added to it. A long text is one row's string; a long word takes one pass over its
     bytes for each kind of merge in it.
     """
     bpe = ByteBpe(read_ranks(ranks_path), pattern)
-    ids, decoded = free_name(df, ids), free_name(df, decoded)
-    encoded = df.withColumn(ids, bpe.encode(df[text], bpe.frequent(df, text)))
-    return encoded.withColumn(decoded, bpe.decode(F.col(ids)))
+    ids, decoded, chars = free_name(df, ids), free_name(df, decoded), free_name(df, "id_characters")
+    encoded = df.withColumn(chars, bpe.encode(df[text], bpe.frequent(df, text)))
+    return encoded.select(*(encoded[c] for c in df.columns), little_endian(F.col(chars)).alias(ids), bpe.decode(F.col(chars)).alias(decoded))

@@ -98,8 +98,8 @@ def op8_byte_bpe(spark, sf_dir):
     coded = byte_bpe.encode_decode(documents, BYTE_RANKS, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.little_endian(F.col("token_ids")), 256).alias("ids_sha256"),
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
