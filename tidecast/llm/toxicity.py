@@ -13,11 +13,11 @@ does not hold both labels, as in tiny tables, that part takes all training rows.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -49,12 +49,13 @@ FEATURES = (
     "loud", "punctuation", "obfuscated", "stretched",
 )
 
-_TOKEN = regex.compile(r"[^\s]+")
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_MIXED = regex.compile(r"\p{L}[\d@$!|*]+\p{L}")
-_STRETCHED = regex.compile(r"(\p{L})\1\1")
-_PUNCTUATION = regex.compile(r"[^\w\s]")
-_UPPER_WORD = regex.compile(r"\b\p{Lu}{2,}\b")
+_TOKEN = re.compile(r"\S+")
+_WORD = re.compile(r"[^\W\d_]+")
+_MIXED = re.compile(r"[\d@$!|*](?<=[^\W\d_].)[\d@$!|*]*[^\W\d_]")
+_STRETCHED = tuple(3 * c for c in "aeioulst")
+_PUNCTUATION = re.compile(r"[^\w\s]")
+_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
+_UPPER_WORD = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
 
 
 def entries(word: str) -> tuple[str, ...]:
@@ -72,33 +73,34 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     lower = text.lower()
     words = _WORD.findall(lower)
     n = max(1, len(words))
-    hits, weights, kinds = [], [], set()
-    for i, w in enumerate(words):
-        own = max((lexicon.get(e, 0.0) for e in entries(w)), default=0.0)
-        if own:
-            hits.append(i)
-            weights.append(own)
-            kinds.add(w[:STEM])
-    you = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
-    near = sum(bool((np.abs(you - i) <= NEAR).any()) for i in hits[:1000]) if len(you) else 0
+    # Whole words and, for longer ones, beginnings.
+    found = {w for w in set(words) if w in lexicon or len(w) > STEM and w[:STEM] + "~" in lexicon}
+    hits = [i for i, w in enumerate(words) if w in found] if found else []
+    weights = [max(lexicon.get(e, 0.0) for e in entries(words[i])) for i in hits]
+    you = [i for i, w in enumerate(words) if w in SECOND_PERSON] if hits else []
+    near = 0
+    if you:
+        at = np.searchsorted(you, hits)
+        before = np.array(you)[np.maximum(at - 1, 0)]
+        after = np.array(you)[np.minimum(at, len(you) - 1)]
+        near = int((np.minimum(np.abs(before - hits), np.abs(after - hits)) <= NEAR).sum())
     mixed = [t for t in _TOKEN.findall(lower) if _MIXED.search(t)] if _MIXED.search(lower) else []
     hidden = sum(any(e in lexicon for e in entries(plain(t))) for t in mixed)
     letters = sum(map(len, words))
-    upper = sum(map(str.isupper, text))
     return [
         math.log1p(len(words)),
         100 * len(hits) / n,
         100 * sum(weights) / n,
         max(weights, default=0.0),
-        float(len(kinds)),
+        float(len({words[i][:STEM] for i in hits})),
         100 * hidden / n,
         near / max(1, len(hits)),
-        upper / max(1, letters),
+        len(_UPPER.findall(text)) / max(1, letters),
         len(_UPPER_WORD.findall(text)) / n,
         (text.count("!") + text.count("?")) / n,
         len(_PUNCTUATION.findall(text)) / max(1, len(text)),
         len(mixed) / n,
-        len(_STRETCHED.findall(lower)) / n,
+        sum(map(lower.count, _STRETCHED)) / n,
     ]
 
 
