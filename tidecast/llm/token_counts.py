@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from tidecast.llm.common import in_arrow
 
 BLANK = "▁"
-#: Longer units are done in pieces; at most about so many prefixes and whole units are kept, in each worker.
-KEPT_CHARS, KEPT_PREFIXES, KEPT_UNITS = 64, 400_000, 400_000
+#: Longer units are not kept; at most about so many prefixes and whole units are, in each worker.
+KEPT_CHARS, KEPT_PREFIXES, KEPT_UNITS = 64, 800_000, 300_000
 #: After a text longer than this, whose units may be long, no whole unit is kept.
 KEPT_TEXT = 1_000_000
 
@@ -69,8 +69,7 @@ class PrefixCounter:
                 self.tails[piece] = True
         self.ready: dict[str, bytes] = {}
         self.units: dict[str, tuple[int, str, bytes]] = {"": _EMPTY}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
-        self.fits = lru_cache(200_000)(self.pair)
+        self.fits = lru_cache(400_000)(self.pair)
         self.made = cache(self._made)  # as many as the vocabulary has, at most
         self.packed = cache(lambda n: DELTA.type(n).tobytes())
 
@@ -108,30 +107,34 @@ class PrefixCounter:
             else:
                 right, until, at_until = y, t_right, True
 
-    def grown(self, unit: str, known: list[tuple[int, str, bytes]]) -> None:
-        """Add to ``known``, which has count, last token and differences of the first
-        prefixes of ``unit``, those of all the others."""
-        tails, fits = self.tails, self.fits
-        for i in range(len(known), len(unit) + 1):
-            before, _, stored = known[i - 1]
-            tokens, size, tail = [], 1, unit[i - 1]
+    def grow(self, unit: str, known: dict[str, tuple[int, str, bytes]], i: int) -> None:
+        """Put count, last token and differences of the prefixes of ``unit`` into ``known``, which
+        has those of its first ``i`` characters and less."""
+        tails, fits, packed = self.tails, self.fits, self.packed
+        before, _, stored = known[unit[:i]]
+        for end in range(i + 1, len(unit) + 1):
+            tail = unit[end - 1 : end]
             if tail not in self.score:  # written as its bytes, which never merge
-                known.append((n := before + len(tail.encode()), "", stored + self.packed(n - before)))
-                continue
-            while tail in tails:  # pieces end so: go on to longer ones
-                if tails[tail]:
-                    tokens.append(tail)
-                size += 1
-                if size > i:
-                    break
-                tail = unit[i - size : i]
-            for token in reversed(tokens):
-                count, last, _ = known[i - len(token)]
-                if not last or fits(last, token):
-                    known.append((count + 1, token, stored + self.packed(count + 1 - before)))
-                    break
+                count, last = before + len(tail.encode()), ""
             else:
-                raise AssertionError(f"no token ends {unit[:i]!r}")
+                tokens, start = [], end - 1
+                while (whole := tails.get(tail)) is not None:  # pieces end so: go on to longer ones
+                    if whole:
+                        tokens.append((start, tail))
+                    if not start:
+                        break
+                    start -= 1
+                    tail = unit[start:end]
+                for start, last in reversed(tokens):
+                    count, left, _ = known[unit[:start]]
+                    if not left or fits(left, last):
+                        count += 1
+                        break
+                else:
+                    raise AssertionError(f"no token ends {unit[:end]!r}")
+            stored += packed(count - before)
+            known[unit[:end]] = (count, last, stored)
+            before = count
 
     def unit(self, unit: str) -> bytes:
         """The differences of a unit; its prefixes are kept for units that share them."""
@@ -139,29 +142,38 @@ class PrefixCounter:
             return self.long_unit(unit)
         kept = self.units
         if len(kept) >= KEPT_PREFIXES:
-            # What is needed again comes back from the older ones.
-            self.older, self.units = kept, {"": _EMPTY}
-            kept = self.units
-        known, i = [_EMPTY], 1
-        while i <= len(unit):
-            found = kept.get(unit[:i]) or self.older.get(unit[:i])
-            if found is None:
-                break
-            known.append(found)
-            i += 1
-        self.grown(unit, known)
-        for j in range(i, len(unit) + 1):
-            kept[unit[:j]] = known[j]
-        return known[-1][2]
+            kept.clear()
+            kept[""] = _EMPTY
+        i = len(unit)
+        while unit[:i] not in kept:
+            i -= 1
+        if i < len(unit):
+            self.grow(unit, kept, i)
+        return kept[unit][2]
 
     def long_unit(self, unit: str) -> bytes:
-        """As ``unit``, in pieces, so that differences are not copied again and again."""
-        known, parts = [_EMPTY], []
-        for end in range(KEPT_CHARS, len(unit) + KEPT_CHARS, KEPT_CHARS):
-            self.grown(unit[:end], known)
-            parts.append(known[-1][2])
-            known = [(n, token, b"") for n, token, _ in known]
-        return b"".join(parts)
+        """As ``unit``, with prefixes named by their place alone, so that they are not copied."""
+        known, last = [(0, "")], []
+        for end in range(1, len(unit) + 1):
+            count, token = known[-1][0], ""
+            tail = unit[end - 1]
+            if tail not in self.score:
+                count += len(tail.encode())
+            else:
+                found, start = None, end - 1
+                while (whole := self.tails.get(tail)) is not None:
+                    if whole and (not known[start][1] or self.fits(known[start][1], tail)):
+                        found = (known[start][0] + 1, tail)
+                    if not start:
+                        break
+                    start -= 1
+                    tail = unit[start:end]
+                if found is None:
+                    raise AssertionError(f"no token ends {unit[:end]!r}")
+                count, token = found
+            last.append(self.packed(count - known[-1][0]))
+            known.append((count, token))
+        return b"".join(last)
 
     def deltas(self, text: str) -> np.ndarray:
         """For each character of the text, how many tokens it adds to the prefix before it."""
