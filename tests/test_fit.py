@@ -77,7 +77,7 @@ def test_recovers_known_process(series):
 
 
 def test_guards_leave_other_groups_alone(series):
-    """Constant, collinear and short groups get nulls and a status."""
+    """Collinear and short groups get nulls and a status; a constant lag gets a zero."""
     rng = np.random.default_rng(5)
     good = rng.normal(size=(40, 2))
     groups = {
@@ -98,11 +98,17 @@ def test_guards_leave_other_groups_alone(series):
     status = {r["g"]: r["status"] for r in table.collect()}
     assert status == {
         "good": "ok",
-        "constant": "singular",
+        "constant": "constant",
         "collinear": "singular",
         "short": "short",
     }
-    assert table.filter("status <> 'ok' AND coef IS NOT NULL").isEmpty()
+    assert table.filter("status IN ('singular', 'short') AND coef IS NOT NULL").isEmpty()
+    stuck = table.filter("g = 'constant'")
+    assert stuck.filter("term LIKE 'y2%' AND coef <> 0").isEmpty()
+    own = by_numpy(good[:, :1], 2)[0]
+    by_lag = {r["term"]: r["coef"] for r in stuck.filter("target = 'y1'").collect()}
+    assert np.allclose([by_lag[t] for t in ("const", "y1_l1", "y1_l2")], own, atol=1e-9)
+    assert [r["coef"] for r in stuck.filter("target = 'y2' AND term = 'const'").collect()] == [7.0]
     expected = by_numpy(good, 2)
     assert np.allclose(coefs(table.filter("g = 'good'"), "y1"), expected[0], atol=1e-9)
 

@@ -131,9 +131,9 @@ def test_tied_times_are_kept_apart_by_observed_values(spark):
         ],
         "topic string, value string",
     )
-    by_time = serving_layer(messages, ["y"], "s", "b", 0.5, 0.5)
+    by_time = serving_layer(messages, ["y"], "s", "b", 0.5, 0.5, on=["TS"])
     assert by_time.count() == 9
-    apart = serving_layer(messages, ["y"], "s", "b", 0.5, 0.5, on=["TS", "y"])
+    apart = serving_layer(messages, ["y"], "s", "b", 0.5, 0.5)
     assert apart.columns == by_time.columns
     assert sorted(r["Wt_y"] for r in apart.collect()) == [2.5, 3.5, 4.5]
 
@@ -181,3 +181,24 @@ def test_abrupt_drift_in_steps_accumulates(series):
     rows = inject_abrupt(series([(0.0, 0.0)]), BOTH, F.col("id"), seed=1, steps=3).orderBy("step").collect()
     y = [r["y1"] for r in rows]
     assert len(y) == 3 and 0 < y[0] < y[1] < y[2]
+
+
+def test_odd_readings_leave_other_rows_alone(series):
+    """A NaN gives null predictions where it is a lag, and no score of its row."""
+    values = [(float(i * 7 % 11), float(i * i % 13)) for i in range(60)]
+    values[30] = (float("nan"), values[30][1])
+    lagged = lag_features(series(values), ["y1", "y2"], 2, ["ts", "id"])
+    predicted = predict_var(lagged, ["y1", "y2"], 2)
+    assert {r["id"] for r in predicted.filter("y1_Predict IS NULL").collect()} == {31, 32}
+    assert predicted.filter("isnan(y1_Predict) OR isnan(y2_Predict)").isEmpty()
+    found = {r["target"]: r for r in score(predicted, ["y1", "y2"]).collect()}
+    assert (found["y1"]["n"], found["y2"]["n"]) == (55, 56)
+    assert all(np.isfinite(r[m]) for r in found.values() for m in ("mae", "mse", "rmse"))
+
+
+def test_gradual_drift_is_rounded_at_each_step(series):
+    """A step that rounding swallows changes nothing, however often it is taken."""
+    df = series([(1.0,), (2.5,)])
+    for steps in (3, 6):
+        moved = inject_gradual(df, ["y1"], step=0.004, steps=steps)
+        assert {r["y1"] for r in moved.collect()} == {1.0, 2.5}

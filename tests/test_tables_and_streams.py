@@ -23,14 +23,17 @@ from tidecast.sources.tables import (
     read_csv,
     read_model,
     read_table,
+    with_file_order,
     write_csv,
     write_model,
 )
 from tidecast.streaming.continuous import stream_lags
+from tidecast.streaming.epochs import late_rows, run_epochs
 from tidecast.streaming.layers import (
     Sinks,
     batch_handler,
     land_observations,
+    land_rejected,
     landed,
     serving_handler,
     speed_handler,
@@ -221,7 +224,7 @@ def test_serving_stream_joins_over_batches(spark):
         values = encode(df, ["TS", "y", "y_Predict", "RMSE_Score"])
         write_messages(values, "parquet", {"path": box}, topic)
         messages = stream_messages(spark, "parquet", {"path": box}, ["speed", "batch"])
-        blended = serving_stream(messages, ["y"], "speed", "batch", 0.5, 0.5)
+        blended = serving_stream(messages, ["y"], "speed", "batch", 0.5, 0.5, delay="1 hour")
         run(to_files(blended, path, state))
     out = read_table(spark, path)
     assert out.count() == 30
@@ -230,3 +233,93 @@ def test_serving_stream_joins_over_batches(spark):
 
 def test_observation_fields():
     assert observation_fields(["a"]) == [("TS", "timestamp_ntz"), ("a", "double")]
+
+
+def test_unknown_models_are_refused(spark, observed):
+    path = fresh_dir(spark, "m")
+    write_model(fit_var(lag_features(observed, TARGETS, 2, ["TS"]), TARGETS, 2), path, "a")
+    with pytest.raises(ValueError, match="no model 'b'"):
+        read_model(spark, path, "b")
+
+
+def test_first_epoch_without_a_usable_row(spark, observed):
+    """The tail of an epoch that left no row is empty, not an error."""
+    model = fit_var(lag_features(observed, TARGETS, 2, ["TS"]), TARGETS, 2).persist()
+    sinks = Sinks(**{x: fresh_dir(spark, x) for x in ("predictions", "tail", "rejects")})
+    handle = batch_handler(model, TARGETS, 2, sinks)
+    handle(spark.createDataFrame([("nonsense",)], "value string"), 0)
+    handle(messages_of(observed), 1)
+    assert read_table(spark, sinks.predictions).count() == 58
+    assert [r["value"] for r in read_table(spark, sinks.rejects).collect()] == ["nonsense"]
+
+
+def test_equal_stamps_at_the_edge_of_a_micro_batch(spark):
+    """Partition and offset order messages of one time, so none is late for its tie."""
+    start = dt.datetime(2024, 1, 1)
+    data = [(start + dt.timedelta(seconds=i // 4), 1.0 + i % 3, 0, i) for i in range(40)]
+    df = spark.createDataFrame(data, "TS timestamp_ntz, y double, partition int, offset bigint")
+    model = fit_var(lag_features(df, ["y"], 2, ["offset"]), ["y"], 2).persist()
+    sinks = Sinks(**{x: fresh_dir(spark, x) for x in ("predictions", "tail", "rejects")})
+    handle = batch_handler(model, ["y"], 2, sinks)
+    values = encode(df, ["TS", "y"], keep=["partition", "offset"], quoted=True)
+    for epoch, part in enumerate(("offset < 22", "offset >= 22")):
+        handle(values.filter(part), epoch)
+    assert read_table(spark, sinks.predictions).count() == 38
+    # No epoch left a reject, so no file either.
+    assert spark.read.schema("value string, bad_field string").parquet(sinks.rejects).isEmpty()
+
+
+@pytest.mark.parametrize("files_per_trigger", ["1", "3", "100"])
+def test_landed_epochs_do_not_depend_on_micro_batches(spark, files_per_trigger):
+    """Rows in = rows out + warm-up + late + rejected, however the source is cut."""
+    start = dt.datetime(2024, 1, 1)
+    data = [(start + dt.timedelta(hours=i), float(i * i % 17), float(-i)) for i in range(90)]
+    observed = spark.createDataFrame(data, SCHEMA)
+    bad = spark.createDataFrame([("nonsense",), ("2024-01-01 00:00:00,x,1",)], "value string")
+    model = fit_var(lag_features(observed, TARGETS, 2, ["TS"]), TARGETS, 2).persist()
+    box, path, state, refused, refused_state, progress = (fresh_dir(spark, x) for x in "abcdef")
+    sinks = Sinks(**{x: fresh_dir(spark, x) for x in ("predictions", "tail", "rejects", "master")})
+
+    def arrive(values):
+        write_messages(values.repartition(4), "parquet", {"path": box}, "obs")
+        options = {"path": box, "maxFilesPerTrigger": files_per_trigger}
+        messages = stream_messages(spark, "parquet", options, ["obs"])
+        run(land_observations(messages, TARGETS, path, state))
+        run(land_rejected(messages, observation_fields(TARGETS), refused, refused_state))
+        return landed(spark, path, TARGETS)
+
+    handler = batch_handler(model, TARGETS, 2, sinks)
+    first = observed.filter("TS < '2024-01-03 10:00:00' AND hour(TS) <> 5")
+    assert run_epochs(arrive(messages_of(first).unionByName(bad)), handler.rows, progress) == [19723, 19724]
+    # What comes for a closed day is late; the open day goes on.
+    rows = arrive(messages_of(observed.exceptAll(first)))
+    assert run_epochs(rows, handler.rows, progress, ended=True) == [19725, 19726]
+    master = read_table(spark, sinks.master)
+    late = late_rows(rows, master, progress, ["TS", *TARGETS])
+    assert {r["TS"].hour for r in late.collect()} == {5} and late.count() == 2
+    rejected = read_table(spark, refused).count()
+    out = read_table(spark, sinks.predictions)
+    assert rejected == 2 and out.count() + 2 + late.count() + rejected == 90 + 2
+    whole = predict_var(lag_features(master.drop("epoch_id"), TARGETS, 2, ["TS"]), TARGETS, 2, model)
+    assert same_rows(out.select("TS", *TARGETS, "y1_Predict", "y2_Predict"), whole)
+
+
+def test_tied_times_are_served_once_each(spark):
+    """Three readings a second: joined on time alone each would meet all three."""
+    from tidecast.plans.layers import serving_layer
+
+    data = [(t.replace(second=0), float(i), float(i) + 1, 0.5) for i, (t, *_) in enumerate(rows(4) * 3)]
+    df = spark.createDataFrame(data, "TS timestamp_ntz, y double, y_Predict double, RMSE_Score double")
+    box = fresh_dir(spark, "box")
+    for topic in ("speed", "batch"):
+        write_messages(encode(df, ["TS", "y", "y_Predict", "RMSE_Score"]), "parquet", {"path": box}, topic)
+    messages = read_messages(spark, "parquet", {"path": box})
+    assert serving_layer(messages, ["y"], "speed", "batch", 0.5, 0.5).count() == 12
+    assert serving_layer(messages, ["y"], "speed", "batch", 0.5, 0.5, on=["TS"]).count() == 36
+
+
+def test_file_order(spark, observed):
+    path = fresh_dir(spark, "ordered")
+    write_csv(observed.repartitionByRange(4, "TS").sortWithinPartitions("TS"), path)
+    read = with_file_order(read_csv(spark, path, observed.schema))
+    assert [r["TS"] for r in read.orderBy("row").collect()] == [r["TS"] for r in observed.orderBy("TS").collect()]

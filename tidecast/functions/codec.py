@@ -18,16 +18,22 @@ TIME_PATTERN = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 Field = tuple[str, str]
 
 
-def observation_fields(targets: Sequence[str], time: str = "TS") -> list[Field]:
-    """``time,x1,x2,...``"""
-    return [(time, "timestamp_ntz"), *[(t, "double") for t in targets]]
+def observation_fields(
+    targets: Sequence[str], time: str = "TS", keys: Sequence[Field] = ()
+) -> list[Field]:
+    """``time,[key,...]x1,x2,...``; the keys name the series and tell tied rows apart."""
+    return [(time, "timestamp_ntz"), *keys, *[(t, "double") for t in targets]]
 
 
 def prediction_fields(
-    targets: Sequence[str], time: str = "TS", prefix: str = "", rmse: bool = True
+    targets: Sequence[str],
+    time: str = "TS",
+    prefix: str = "",
+    rmse: bool = True,
+    keys: Sequence[Field] = (),
 ) -> list[Field]:
-    """``time,x1,x1_hat,x2,x2_hat,...[,rmse]``; ``prefix`` renames the value fields."""
-    fields = [(time, "timestamp_ntz")]
+    """``time,[key,...]x1,x1_hat,x2,x2_hat,...[,rmse]``; ``prefix`` renames the value fields."""
+    fields = [(time, "timestamp_ntz"), *keys]
     for t in targets:
         fields += [(f"{prefix}{t}", "double"), (f"{prefix}{t}_Predict", "double")]
     return fields + ([("RMSE_Score", "double")] if rmse else [])

@@ -48,21 +48,16 @@ def inject_gradual(
 ) -> DataFrame:
     """``steps`` rows per row; each adds ``step`` once more, rounded every time.
 
-    ``where`` limits the drift to some rows, such as those after a cut time.
+    ``where`` limits the drift to some rows, such as those after a cut time. A step that
+    rounding swallows leaves a value where it is, however many are taken.
     """
 
-    # The first step is the same for all copies of a row, so it is taken before
-    # they are made.
-    first = [f"__first_{c}" for c in columns]
-    started = df.select(
-        "*", *[F.round(col(c) + F.lit(step), digits).alias(f) for c, f in zip(columns, first)]
-    )
-
-    def moved(i: int, _: str) -> Column:
-        more = F.round(col(first[i]) + F.lit(step) * (F.col("step") - 1), digits)
-        return F.when(F.col("step") == 1, col(first[i])).otherwise(more)
+    def moved(_: int, c: str) -> Column:
+        taken = F.sequence(F.lit(1), F.col("step"))
+        start = col(c).cast("double")
+        return F.aggregate(taken, start, lambda x, _: F.round(x + F.lit(step), digits))
 
-    return _stepped(started, columns, steps, where, moved).drop(*first)
+    return _stepped(df, columns, steps, where, moved)
 
 
 def jump(key: Column, column: int, step: Column, seed: int) -> Column:

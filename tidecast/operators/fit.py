@@ -9,7 +9,9 @@ are then solved on that one row per group by array functions, so all groups of
 all series are solved in parallel without leaving Spark SQL.
 
 A group with fewer rows than unknowns gets status ``short``; one whose lags are
-constant or collinear gets ``singular``. Both have null coefficients.
+collinear gets ``singular``. Both have null coefficients. A lag that never varies, as
+of a sensor that is stuck, tells nothing: its coefficient is 0, the others are fitted
+as without it, and the status is ``constant``.
 """
 
 from __future__ import annotations
@@ -69,7 +71,8 @@ def _solution(d: int, k: int) -> str:
     Gauss-Jordan steps s = 0..d-1 over an array of rows, so the plan does not
     grow with d. The matrix is symmetric positive semidefinite, so its diagonal
     needs no row exchange. A pivot that has lost all but ``TOLERANCE`` of its
-    starting value becomes null, and nulls then spread over the group's solution.
+    starting value becomes null, and nulls then spread over the group's solution. A
+    pivot that starts at 0 is a constant lag, whose row and column are 0 and stay so.
     """
     rows = ", ".join(
         "array("
@@ -86,7 +89,7 @@ def _solution(d: int, k: int) -> str:
     reduced = (
         "transform(m, (r, i) -> if(i = s, top, transform(r, (v, j) -> v - r[s] * top[j])))"
     )
-    step = f"transform(array({divided}), top -> {reduced})[0]"
+    step = f"if({start}[s] <= 0, m, transform(array({divided}), top -> {reduced})[0])"
     return f"aggregate(sequence(0, {d - 1}), array({rows}), (m, s) -> {step})"
 
 
@@ -100,6 +103,7 @@ def solve(moment_rows: DataFrame, targets: Sequence[str], p: int, by: Sequence[s
         *means,
         *[f"y_{j}" for j in range(k)],
         f"if(n_obs >= {d + 1}, {_solution(d, k)}, NULL) AS __x",
+        f"{' OR '.join(f'a_{i}_{i} <= 0' for i in range(d))} AS __constant",
     )
     names = [coef_column(j, i) for j in range(k) for i in range(d + 1)]
     values = {}
@@ -109,7 +113,8 @@ def solve(moment_rows: DataFrame, targets: Sequence[str], p: int, by: Sequence[s
         values |= {coef_column(j, i + 1): f"__x[{i}][{d + j}]" for i in range(d)}
     status = (
         "CASE WHEN __x IS NULL THEN 'short' "
-        f"WHEN {values[names[0]]} IS NULL THEN 'singular' ELSE 'ok' END AS status"
+        f"WHEN {values[names[0]]} IS NULL THEN 'singular' "
+        "WHEN __constant THEN 'constant' ELSE 'ok' END AS status"
     )
     return solved.selectExpr(
         *cols(by), "n_obs", status, *[f"{sql} AS {name}" for name, sql in values.items()]

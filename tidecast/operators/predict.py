@@ -6,15 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tidecast.functions.columns import aggregate, cols, join_back, stacked
+from tidecast.functions.columns import aggregate, cols, finite, join_back, stacked
 from tidecast.functions.names import lag_names, predict_name, quote
 from tidecast.operators.fit import coef_column, fit_wide, to_wide
 
 
 def _dot(k: int, features: Sequence[str]) -> str:
-    """SQL: the prediction of target k."""
+    """SQL: the prediction of target k, null unless all lags are finite numbers."""
     products = [f"{coef_column(k, j)} * {quote(z)}" for j, z in enumerate(features, start=1)]
-    return " + ".join([coef_column(k, 0), *products])
+    usable = " AND ".join(finite(z) for z in features)
+    return f"if({usable}, {' + '.join([coef_column(k, 0), *products])}, NULL)"
 
 
 def predict_var(

@@ -18,11 +18,13 @@ def score_wide(
     """One row per group: ``<label>_n``, ``<label>_mae``, ``_mse`` and ``_rmse``.
 
     ``predictions`` maps a predicted column to its observed column; the predicted
-    column's name is the label. All are gathered in one pass.
+    column's name is the label. All are gathered in one pass. Errors that are not finite
+    numbers, from readings or predictions that are not, are left out.
     """
     values = {}
     for label, actual in predictions.items():
         error = f"({quote(actual)} - {quote(label)})"
+        error = f"if(coalesce(abs({error}) < double('Infinity'), false), {error}, NULL)"
         values[f"{label}_n"] = f"count({error})"
         values[f"{label}_mae"] = f"avg(abs({error}))"
         values[f"{label}_mse"] = f"avg({error} * {error})"

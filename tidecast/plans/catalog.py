@@ -18,7 +18,7 @@ from tidecast.functions.codec import (
     prediction_fields,
 )
 from tidecast.functions.columns import col, cols
-from tidecast.functions.names import predict_name, quote
+from tidecast.functions.names import predict_name, quote, target_columns
 from tidecast.operators import cells
 from tidecast.operators.drift import inject_abrupt, inject_gradual
 from tidecast.operators.fit import coef_matrix, fit_var
@@ -30,7 +30,7 @@ from tidecast.operators.predict import (
     residuals,
     stack_predictions,
 )
-from tidecast.operators.score import compare_approaches, residual_cov, score
+from tidecast.operators.score import attach_scores, compare_approaches, residual_cov, score
 from tidecast.operators.serve import blend, by_topic, preview_latest, serving_join, time_extent
 from tidecast.plans.layers import (
     batch_layer,
@@ -47,11 +47,20 @@ from tidecast.sources.tables import (
     read_csv,
     read_model,
     read_table,
+    with_file_order,
     write_csv,
     write_model,
 )
-from tidecast.streaming.continuous import stream_lags
-from tidecast.streaming.layers import land_observations, landed, to_files
+from tidecast.streaming.epochs import run_epochs
+from tidecast.streaming.layers import (
+    Sinks,
+    batch_handler,
+    land_observations,
+    land_rejected,
+    landed,
+    speed_handler,
+    to_files,
+)
 from tidecast.streaming.serving import serving_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,16 +258,19 @@ def q_decode_observations(spark, sf_dir):
     return good
 
 
-def q_decode_rejected(spark, sf_dir):
+def spoilt_messages(spark, sf_dir):
     """Error events with an unreadable number, views cut after the time."""
     text = col("value")
-    messages = event_messages(spark, sf_dir).withColumn(
+    return event_messages(spark, sf_dir).withColumn(
         "value",
         F.when(col("event_type") == "error", F.regexp_replace(text, ",[^,]*,", ",oops,"))
         .when(col("event_type") == "view", F.substring_index(text, ",", 1))
         .otherwise(text),
     )
-    _, rejected = decode(messages, EVENT_FIELDS, keep=["event_id"])
+
+
+def q_decode_rejected(spark, sf_dir):
+    _, rejected = decode(spoilt_messages(spark, sf_dir), EVENT_FIELDS, keep=["event_id"])
     return rejected.select("event_id", "bad_field", F.translate("value", '"', "").alias("value"))
 
 
@@ -278,10 +290,10 @@ def q_decode_predictions_short(spark, sf_dir):
 
 
 def q_topic_demux(spark, sf_dir):
-    """Clicks and purchases sent to two topics, read together, told apart again."""
+    """All events sent to a topic of their type; two topics read together and told apart again."""
     path = fresh_dir(spark, "messages")
     events = event_messages(spark, sf_dir)
-    for kind in ("click", "purchase"):
+    for kind in ("click", "purchase", "view", "signup", "error"):
         values = events.filter(col("event_type") == kind)
         write_messages(values, "parquet", {"path": path}, kind)
     messages = read_messages(spark, "parquet", {"path": path}, ["click", "purchase"])
@@ -462,69 +474,143 @@ def q_stream_decode(spark, sf_dir):
     return read_table(spark, out, ["ts", "value", "user_id"])
 
 
-def q_stream_speed(spark, sf_dir):
-    """Observations landed by a stream in epochs, then one fit per landed epoch."""
+#: The streams below take their source, which is in many files, this many files at a time.
+FILES_PER_TRIGGER = {"maxFilesPerTrigger": "2"}
+
+
+def in_files(values, path, topic, files=7):
+    """Messages in several files, none of which is in the order of time."""
+    write_messages(values.repartition(files), "parquet", {"path": path}, topic)
+
+
+def land(spark, source, path, state, targets, keys=(), topic="obs", time=TIME):
+    messages = stream_messages(spark, "parquet", {"path": source, **FILES_PER_TRIGGER}, [topic])
+    drained(land_observations(messages, targets, path, state, time=time, keys=keys))
+    return landed(spark, path, targets, time, keys)
+
+
+def landed_hours(spark, sf_dir):
     source, out, state = (fresh_dir(spark, x) for x in ("messages", "landed", "checkpoint"))
-    write_messages(observation_messages(spark, sf_dir), "parquet", {"path": source}, "obs")
-    messages = stream_messages(spark, "parquet", {"path": source}, ["obs"])
-    drained(land_observations(messages, TARGETS, out, state))
-    predicted = speed_layer(
-        landed(spark, out, TARGETS), TARGETS, LAGS, [TIME], max_rows=None
-    )
-    return rounded(scored(predicted))
+    in_files(observation_messages(spark, sf_dir), source, "obs")
+    return land(spark, source, out, state, TARGETS)
+
+
+def q_stream_speed(spark, sf_dir):
+    """Observations landed by a stream, then each epoch through the speed layer's handler."""
+    sinks = Sinks(predictions=fresh_dir(spark, "predictions"))
+    progress = fresh_dir(spark, "progress")
+    rows = landed_hours(spark, sf_dir)
+    run_epochs(rows, speed_handler(TARGETS, LAGS, sinks).rows, progress)
+    # A second run, as after a restart, takes up the epoch that was still open.
+    run_epochs(rows, speed_handler(TARGETS, LAGS, sinks).rows, progress, ended=True)
+    return rounded(read_table(spark, sinks.predictions).drop("epoch_id"))
 
 
 def q_stream_batch(spark, sf_dir):
-    """Decode, lag within the epoch, predict with the stored model: all streaming."""
-    source, out, state, models = (
-        fresh_dir(spark, x) for x in ("messages", "predictions", "checkpoint", "models")
+    """Observations landed by a stream, then lagged within their epoch and predicted with the
+    stored model."""
+    models = fresh_dir(spark, "models")
+    write_model(history_model(hours(spark, sf_dir)), models, "history")
+    predicted = batch_layer(
+        landed_hours(spark, sf_dir), read_model(spark, models, "history"), TARGETS, LAGS, [TIME], max_rows=None
     )
+    return rounded(predicted.drop("epoch_id"))
+
+
+def q_stream_batch_continuous(spark, sf_dir):
+    """As ``stream_batch``, with lags that go on from epoch to epoch through the handler's tail."""
+    models, progress = fresh_dir(spark, "models"), fresh_dir(spark, "progress")
     write_model(history_model(hours(spark, sf_dir)), models, "history")
-    write_messages(observation_messages(spark, sf_dir), "parquet", {"path": source}, "obs")
-    messages = stream_messages(spark, "parquet", {"path": source}, ["obs"])
-    good = with_epoch(decode(messages, observation_fields(TARGETS, TIME))[0])
-    lagged = stream_lags(good, TARGETS, LAGS, [TIME], ["epoch_id"])
-    predicted = predict_var(lagged, TARGETS, LAGS, read_model(spark, models, "history"))
-    drained(to_files(predicted, out, state))
-    names = [TIME, *[c for t in TARGETS for c in (t, predict_name(t))]]
-    return rounded(read_table(spark, out).filter(~col("late")).select(*cols(names)))
+    sinks = Sinks(**{x: fresh_dir(spark, x) for x in ("predictions", "tail", "rejects")})
+    handler = batch_handler(read_model(spark, models, "history"), TARGETS, LAGS, sinks)
+    run_epochs(landed_hours(spark, sf_dir), handler.rows, progress, ended=True)
+    predicted = read_table(spark, sinks.predictions)
+    return rounded(predicted.select(TIME, *[c for t in TARGETS for c in (t, predict_name(t))]))
+
+
+def q_stream_rejected(spark, sf_dir):
+    """The messages of a stream that cannot be read, landed beside it."""
+    source, out, state = (fresh_dir(spark, x) for x in ("messages", "rejected", "checkpoint"))
+    in_files(spoilt_messages(spark, sf_dir), source, "events")
+    messages = stream_messages(spark, "parquet", {"path": source, **FILES_PER_TRIGGER}, ["events"])
+    drained(land_rejected(messages, EVENT_FIELDS, out, state))
+    return read_table(spark, out).select("bad_field", F.translate("value", '"', "").alias("value"))
 
 
 def q_serving_join_stream(spark, sf_dir):
     source = send_predictions(spark, sf_dir)
     out, state = fresh_dir(spark, "serving"), fresh_dir(spark, "checkpoint")
     messages = stream_messages(spark, "parquet", {"path": source}, ["speed", "batch"])
+    # The source ends, so predictions may wait for their partner without a limit.
     blended = serving_stream(
-        messages, TARGETS, "speed", "batch", SPEED_WEIGHT, BATCH_WEIGHT, delay="60 days"
+        messages, TARGETS, "speed", "batch", SPEED_WEIGHT, BATCH_WEIGHT, delay=None
     )
     drained(to_files(blended, out, state))
     return read_table(spark, out)
 
 
 def q_stream_lag_continuous(spark, sf_dir):
-    """All users' events in three arrivals, each a restart from the checkpoint."""
-    source, out, state = (fresh_dir(spark, x) for x in ("messages", "lagged", "checkpoint"))
+    """All users' events in three arrivals, each a restart from the checkpoint, in several files
+    and micro-batches; lags over the landed epochs in order of time."""
+    source, out, state = (fresh_dir(spark, x) for x in ("messages", "landed", "checkpoint"))
     events = events_of(spark, sf_dir, "event_id", "ts", "value", "user_id")
-    values = encode(events, ["ts", "event_id", "user_id", "value"], keep=["ts"])
-    fields = [
-        ("ts", "timestamp_ntz"),
-        ("event_id", "bigint"),
-        ("user_id", "bigint"),
-        ("value", "double"),
-    ]
-    edges = [None, "2024-01-11 00:00:00", "2024-01-21 00:00:00", None]
-    for start, end in zip(edges, edges[1:]):
-        arrival = values
-        if start:
-            arrival = arrival.filter(col("ts") >= F.lit(start).cast("timestamp_ntz"))
-        if end:
-            arrival = arrival.filter(col("ts") < F.lit(end).cast("timestamp_ntz"))
-        write_messages(arrival, "parquet", {"path": source}, "events")
-        messages = stream_messages(spark, "parquet", {"path": source}, ["events"])
-        good, _ = decode(messages, fields)
-        lagged = stream_lags(good, ["value"], LAGS, USER_ORDER, ["user_id"])
-        drained(to_files(lagged, out, state))
-    return read_table(spark, out).filter(~col("late")).drop("late")
+    values = encode(events, ["ts", "event_id", "user_id", "value"], keep=["event_id"])
+    keys = [("event_id", "bigint"), ("user_id", "bigint")]
+    for arrival in range(3):
+        in_files(values.filter(col("event_id") % 3 == arrival), source, "events", files=3)
+        rows = land(spark, source, out, state, ["value"], keys, "events", "ts")
+    return lag_features(rows.drop("epoch_id"), ["value"], LAGS, USER_ORDER, ["user_id"])
+
+
+# -- odd readings, other sources ---------------------------------------------
+
+
+def q_var_scores_nonfinite(spark, sf_dir):
+    """In-sample scores where every seventh reading of the first target is NaN."""
+    hour = F.expr(f"hour({TIME})")
+    spoilt = hours(spark, sf_dir).withColumn("y1", F.when(hour % 7 == 3, F.lit(float("nan"))).otherwise(col("y1")))
+    return rounded(score(predict_var(hourly_lags(spoilt), TARGETS, LAGS), TARGETS))
+
+
+def q_var_fit_constant(spark, sf_dir):
+    """A fit where one target is stuck at a value."""
+    stuck = hours(spark, sf_dir).withColumn("y2", F.lit(5.0))
+    return rounded(fit_var(hourly_lags(stuck), TARGETS, LAGS))
+
+
+def q_train_from_csv(spark, sf_dir):
+    """A model from CSV files without a time column: lags in file order, targets discovered."""
+    path, models = fresh_dir(spark, "csv"), fresh_dir(spark, "models")
+    write_csv(hours(spark, sf_dir).select(TIME, *TARGETS).repartitionByRange(3, TIME).sortWithinPartitions(TIME).select(*TARGETS), path)
+    rows = with_file_order(read_csv(spark, path, "y1 double, y2 double"))
+    found = target_columns(rows.columns, "row")
+    write_model(fit_var(lag_features(rows, found, LAGS, ["row"], max_rows=None), found, LAGS), models, "csv")
+    return rounded(read_model(spark, models, "csv"))
+
+
+def q_drift_file_roundtrip(spark, sf_dir):
+    """Drifted values written as files without a header, and read again."""
+    path = fresh_dir(spark, "drift")
+    write_csv(inject_gradual(line_values(spark, sf_dir), LINE_VALUES), path, header=False)
+    return spark.read.schema("l_orderkey bigint, l_linenumber int, step int, l_quantity double, l_extendedprice double").csv(path)
+
+
+SERIES_KEYS = [("event_id", "bigint"), ("user_id", "bigint")]
+
+
+def q_layer_serving_by_series(spark, sf_dir):
+    """Both layers' prediction messages of every user's events, joined by series and event."""
+    path = fresh_dir(spark, "messages")
+    lagged = q_lag_features_by_series(spark, sf_dir)
+    speed = predict_var(lagged, ["value"], LAGS, by=["user_id"])
+    batch = predict_var(lagged, ["value"], LAGS, fit_var(lagged, ["value"], LAGS))
+    for topic, rows in (("speed", speed), ("batch", batch)):
+        scored_ones = attach_scores(rows, ["value"], ["user_id"])
+        values = prediction_messages(scored_ones, ["value"], "ts", keys=SERIES_KEYS)
+        write_messages(values, "parquet", {"path": path}, topic)
+    messages = read_messages(spark, "parquet", {"path": path}, ["speed", "batch"])
+    served = serving_layer(messages, ["value"], "speed", "batch", SPEED_WEIGHT, BATCH_WEIGHT, "ts", None, keys=SERIES_KEYS)
+    return rounded(served.drop("Speed_RMSE", "Batch_RMSE"))
 
 
 QUERIES: dict[str, Query] = {

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tidecast.functions.codec import decode, encode, prediction_fields
-from tidecast.functions.columns import cols
+from tidecast.functions.codec import Field, decode, encode, prediction_fields
+from tidecast.functions.columns import col, cols
 from tidecast.functions.names import predict_name
 from tidecast.operators.cells import MAX_ROWS
 from tidecast.operators.lags import lag_features
@@ -75,9 +75,11 @@ def prediction_messages(
     time: str = "TS",
     digits: int | None = None,
     rmse: bool = True,
+    keys: Sequence[Field] = (),
 ) -> DataFrame:
     """Prediction rows as messages."""
-    return encode(rows, [f for f, _ in prediction_fields(targets, time, rmse=rmse)], digits=digits)
+    fields = prediction_fields(targets, time, rmse=rmse, keys=keys)
+    return encode(rows, [f for f, _ in fields], digits=digits)
 
 
 def serving_layer(
@@ -90,16 +92,44 @@ def serving_layer(
     time: str = "TS",
     digits: int | None = 3,
     on: Sequence[str] | None = None,
+    keys: Sequence[Field] = (),
 ) -> DataFrame:
-    """Blend the two layers' prediction messages, joined on their time.
+    """Blend the two layers' prediction messages.
 
-    Where times tie, every speed message meets every batch message of that time.
-    Join ``on`` the time and the observed targets, which both layers repeat, to
-    keep the messages of different observations apart.
+    They are joined on their time, keys and observed targets, which both layers repeat, so
+    that messages of different observations with one time stay apart; give keys with a
+    tie-break if observations can be equal. ``on=[time]`` joins on time alone.
     """
-    fields = prediction_fields(targets, time)
-    keys = list(on or [time])
-    speed, _ = decode(by_topic(messages, speed_topic), fields)
-    batch, _ = decode(by_topic(messages, batch_topic), fields)
-    joined = serving_join(speed, batch, targets, keys)
-    return blend(joined, targets, keys, speed_weight, batch_weight, digits)
+    served, _ = served_and_rejected(
+        messages, targets, speed_topic, batch_topic, speed_weight, batch_weight, time, digits, on, keys
+    )
+    return served
+
+
+def served_and_rejected(
+    messages: DataFrame,
+    targets: Sequence[str],
+    speed_topic: str,
+    batch_topic: str,
+    speed_weight: float,
+    batch_weight: float,
+    time: str = "TS",
+    digits: int | None = 3,
+    on: Sequence[str] | None = None,
+    keys: Sequence[Field] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """``serving_layer`` and the messages of both topics that cannot be read."""
+    fields = prediction_fields(targets, time, keys=keys)
+    join = joined_on(on, time, keys, targets)
+    both = messages.filter(col("topic").isin(speed_topic, batch_topic))
+    good, rejected = decode(both, fields, keep=["topic"])
+    speed, batch = (by_topic(good, topic).drop("topic") for topic in (speed_topic, batch_topic))
+    joined = serving_join(speed, batch, targets, join)
+    return blend(joined, targets, join, speed_weight, batch_weight, digits), rejected
+
+
+def joined_on(
+    on: Sequence[str] | None, time: str, keys: Sequence[Field], targets: Sequence[str]
+) -> list[str]:
+    """The columns that predictions are joined on, unless the caller names others."""
+    return list(on or [time, *[k for k, _ in keys], *targets])

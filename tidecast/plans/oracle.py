@@ -222,7 +222,13 @@ def jump(key: str, column: int, step: str) -> str:
 
 
 def gradual(columns: Sequence[str]) -> str:
-    return ", ".join(r(f"round({c} + 0.1, 2) + 0.1 * (step - 1)", c, 2) for c in columns)
+    def value(c: str) -> str:
+        one = f"round({c} + 0.1, 2)"
+        two = f"round({one} + 0.1, 2)"
+        three = f"round({two} + 0.1, 2)"
+        return f"(CASE step WHEN 1 THEN {one} WHEN 2 THEN {two} ELSE {three} END)"
+
+    return ", ".join(r(value(c), c, 2) for c in columns)
 
 
 def abrupt(columns: Sequence[str], key: str) -> str:
@@ -299,6 +305,39 @@ USER_LAGS = lagged(
     "user_id",
 )
 USER_FIT = f"{USER_LAGS}, {fit('m', 'u', ['value'], ['user_id'])}"
+# Readings that are not numbers are nulls here: every aggregate leaves them out.
+NONFINITE = ",\n".join(
+    [
+        HOURS,
+        "spoilt AS MATERIALIZED (SELECT TS, CASE WHEN hour(TS) % 7 = 3 THEN NULL ELSE y1 END AS y1, y2 FROM hours)",
+        lagged("spoilt_lags", "spoilt", TARGETS, "TS"),
+        f"usable AS MATERIALIZED (SELECT * FROM spoilt_lags WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*TARGETS, *lag_names(TARGETS, LAGS)])})",
+        fit("model", "usable", TARGETS),
+        predicted("pred", "spoilt_lags", "model", TARGETS),
+    ]
+)
+
+
+def constant_fit() -> str:
+    """The second target is always 5: the first one's own lags are all there is to fit."""
+    rows = [("y1", "const", 0, "c_0_0"), ("y2", "const", 0, "5.0")]
+    for i in range(1, LAGS + 1):
+        rows += [("y1", f"y1_l{i}", i, f"c_0_{i}"), ("y1", f"y2_l{i}", i, "0.0")]
+        rows += [("y2", f"y1_l{i}", i, "0.0"), ("y2", f"y2_l{i}", i, "0.0")]
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS target, '{term}' AS term, {i}::INTEGER AS lag, {r(c + '::DOUBLE', 'coef')}, n_obs, 'constant' AS status FROM alone"
+        for t, term, i, c in rows
+    )
+
+
+SERIES_SERVED = f"""WITH {USER_FIT}, {predicted('s', 'u', 'm', ['value'], ['user_id'])},
+    {fit('whole', 'u', ['value'])}, {predicted('b', 'u', 'whole', ['value'])}
+    SELECT s.ts, s.event_id, s.user_id, {r('s.value', 'value')}, {r('s.value_Predict', 'Speed_value')},
+    {r('b.value_Predict', 'Batch_value')},
+    {r(f'{SPEED_WEIGHT} * s.value_Predict + {BATCH_WEIGHT} * b.value_Predict', 'Wt_value')}
+    FROM s JOIN b USING (event_id) WHERE s.value_Predict IS NOT NULL"""
+PREDICT_LOADED = f"""WITH {HOURS}, {LAGGED}, {HISTORY},
+        {predicted('p', 'lagged', 'history', TARGETS)}"""
 VALUES = "TS, " + ", ".join(r(c, c) for c in PAIRS)
 LINE_KEY = "l_orderkey * 8 + l_linenumber"
 
@@ -364,5 +403,12 @@ ORACLE: dict[str, str] = {
     "layer_speed": SCORED_SPEED,
     "stream_speed": SCORED_SPEED,
     "stream_batch": f"WITH {BOTH} SELECT {VALUES} FROM batch",
+    "stream_batch_continuous": f"{PREDICT_LOADED} SELECT {VALUES} FROM p",
+    "var_scores_nonfinite": f"WITH {NONFINITE} {scores('pred')}",
+    "var_fit_constant": f"WITH {HOURS}, {LAGGED}, {fit('alone', 'lagged', ['y1'])} {constant_fit()}",
+    "train_from_csv": f"WITH {IN_SAMPLE} {coefficients('model', TARGETS)}",
+    "layer_serving_by_series": SERIES_SERVED,
     "stream_decode": "SELECT ts, value, user_id::DOUBLE AS user_id FROM events",
 }
+ORACLE["drift_file_roundtrip"] = ORACLE["drift_gradual"]
+ORACLE["stream_rejected"] = f"SELECT bad_field, value FROM ({ORACLE['decode_rejected']})"

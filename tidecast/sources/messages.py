@@ -27,10 +27,6 @@ ENVELOPE = T.StructType(
     ]
 )
 
-# A micro-batch takes at most this much unless the caller says otherwise, so a
-# restart that has to catch up does not become one huge batch.
-RATE_LIMITS = {"kafka": ("maxOffsetsPerTrigger", 5_000_000), "files": ("maxFilesPerTrigger", 1000)}
-
 
 def _options(fmt: str, options: Mapping[str, str], topics: Sequence[str]) -> dict[str, str]:
     if fmt == "kafka":
@@ -57,11 +53,12 @@ def read_messages(
 def stream_messages(
     spark: SparkSession, fmt: str, options: Mapping[str, str], topics: Sequence[str] = ()
 ) -> DataFrame:
-    """Messages as a stream from one or more topics, from the earliest on."""
-    limit, value = RATE_LIMITS["kafka" if fmt == "kafka" else "files"]
-    reader = spark.readStream.format(fmt).options(
-        **{limit: str(value), **_options(fmt, options, topics)}
-    )
+    """Messages as a stream from one or more topics, from the earliest on.
+
+    How much a micro-batch takes is the caller's choice: ``maxOffsetsPerTrigger`` or
+    ``maxFilesPerTrigger`` among the options. Landed epochs do not depend on it.
+    """
+    reader = spark.readStream.format(fmt).options(**_options(fmt, options, topics))
     return _renamed((reader if fmt == "kafka" else reader.schema(ENVELOPE)).load(), fmt, topics)
 
 

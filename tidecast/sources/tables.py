@@ -26,6 +26,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return spark.read.option("header", True).options(**_CSV_TIMES).schema(schema).csv(path)
 
 
+def with_file_order(rows: DataFrame, name: str = "row") -> DataFrame:
+    """Rows of a file scan with their place in the files: by file name, then as they stand.
+
+    Apply it to the scan itself. ``name`` is a bigint that sorts like the rows and has gaps: Spark
+    reads a file in blocks, so it is the number of the block, by file and start, and the
+    row's number within it. The blocks are counted in one task; there is a row for each.
+    """
+    placed = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"),
+    )
+    starts = placed.groupBy("__file", "__block").agg(F.min("__id").alias("__start"))
+    order = "OVER (ORDER BY __file, __block)"
+    numbered = starts.select("*", F.expr(f"bigint(row_number() {order}) AS __n"))
+    joined = placed.join(numbered, ["__file", "__block"])
+    place = F.shiftleft("__n", 33) + F.col("__id") - F.col("__start")
+    return joined.withColumn(name, place).drop("__file", "__block", "__id", "__start", "__n")
+
+
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.option("header", header).options(**_CSV_TIMES).csv(path)
 
@@ -60,8 +81,11 @@ def write_model(coefficients: DataFrame, path: str, model_id: str) -> None:
 
 
 def read_model(spark: SparkSession, path: str, model_id: str) -> DataFrame:
-    """One model's coefficients; only its partition is read."""
-    return spark.read.parquet(path).filter(col("model_id") == model_id).drop("model_id")
+    """One model's coefficients; only its partition is read. An unknown id is an error."""
+    model = spark.read.parquet(path).filter(col("model_id") == model_id).drop("model_id")
+    if model.isEmpty():
+        raise ValueError(f"no model {model_id!r} in {path}")
+    return model
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -1,0 +1,68 @@
+"""Running handlers over landed epochs, one by one, without a callback port.
+
+A stream lands observations by event day. An epoch is closed once a later one has landed (or
+the caller says that the source has ended), and is then handled once, whole and in order,
+however the source was cut into micro-batches. Which epochs are done is a table, so a
+restart goes on behind the last one; an epoch that was cut off is handled again, and
+what it writes by epoch replaces what it wrote before.
+
+Rows that land in an epoch after it was handled are late: ``late_rows`` has them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidecast.functions.columns import cols
+from tidecast.sources.tables import EPOCH, append_epoch
+
+_DONE = f"n_rows bigint, {EPOCH} int"
+
+
+def done_epochs(spark: SparkSession, progress: str) -> DataFrame:
+    """The epochs handled so far, with their rows; empty before the first."""
+    try:
+        return spark.read.schema(_DONE).parquet(progress)
+    except AnalysisException:  # nothing written yet
+        return spark.createDataFrame([], _DONE)
+
+
+def run_epochs(
+    rows: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    progress: str,
+    ended: bool = False,
+) -> list[int]:
+    """Hand each closed epoch of ``rows`` that is not done to ``handle``; returns their numbers.
+
+    The driver gets the numbers of the landed epochs, one for each day.
+    """
+    landed = sorted(r[EPOCH] for r in rows.select(EPOCH).distinct().collect())
+    done = done_epochs(rows.sparkSession, progress).agg(F.max(EPOCH)).collect()[0][0]
+    open_ones = [e for e in landed if done is None or e > done]
+    if not ended:
+        # The latest epoch is still open.
+        open_ones = [e for e in open_ones if e < landed[-1]]
+    for epoch in open_ones:
+        own = rows.filter(f"{EPOCH} = {epoch}").drop(EPOCH).persist()
+        try:
+            handle(own, epoch)
+            append_epoch(own.agg(F.count("*").alias("n_rows")), progress, epoch)
+        finally:
+            own.unpersist()
+    return open_ones
+
+
+def late_rows(rows: DataFrame, master: DataFrame, progress: str, columns: Sequence[str]) -> DataFrame:
+    """The landed rows of epochs up to the last one handled that are not among those handled.
+
+    ``master`` has the rows that the handler was given. Equal rows are counted.
+    """
+    done = done_epochs(rows.sparkSession, progress).agg(F.max(EPOCH).alias("__last"))
+    names = cols([*columns, EPOCH])
+    closed = rows.join(done, F.col(EPOCH) <= F.col("__last")).select(*names)
+    return closed.exceptAll(master.select(*names))

@@ -7,8 +7,10 @@ Two ways to run them:
   replayed micro-batch replaces its earlier output.
 * ``to_files`` writes a streaming plan straight to a table through the exactly-
   once file sink. ``land_observations`` does so for decoded messages, split by
-  an epoch taken from the event time; the batch functions then work on the
-  landed epochs.
+  an epoch taken from the event time, and ``land_rejected`` for those that cannot be
+  read. ``epochs.run_epochs`` then takes the landed epochs to a handler's ``Observed`` form,
+  one by one, once they are closed. What comes out does not depend on how the source
+  was cut into micro-batches.
 
 Both need a checkpoint location and go on from it after a restart.
 """
@@ -18,27 +20,31 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidecast.functions.codec import decode, encode, observation_fields
+from tidecast.functions.codec import Field, decode, encode, observation_fields
 from tidecast.functions.columns import cols
+from tidecast.functions.names import quote
 from tidecast.operators.lags import continue_lags
 from tidecast.operators.predict import predict_var
 from tidecast.plans.layers import (
     batch_layer,
     prediction_messages,
     scored_rows,
-    serving_layer,
+    served_and_rejected,
     speed_layer,
 )
 from tidecast.plans.series import with_epoch
 from tidecast.sources.messages import write_messages
-from tidecast.sources.tables import EPOCH, append_epoch, read_table
+from tidecast.sources.tables import EPOCH, append_epoch
 
 Handler = Callable[[DataFrame, int], None]
+# Columns of the envelope that put messages with one time in order.
+ARRIVAL = ["partition", "offset"]
 
 
 @dataclass
@@ -58,75 +64,125 @@ class Sinks:
     message_options: dict[str, str] = field(default_factory=dict)
 
 
-def _deliver(rows: DataFrame, targets, time, epoch_id: int, sinks: Sinks) -> None:
+def _deliver(rows: DataFrame, targets, time, epoch_id: int, sinks: Sinks, keys) -> None:
     rows = rows.persist()
     try:
         if sinks.predictions:
             append_epoch(rows, sinks.predictions, epoch_id)
         if sinks.topic:
-            values = prediction_messages(rows, targets, time)
+            values = prediction_messages(rows, targets, time, keys=keys)
             write_messages(values, sinks.message_format, sinks.message_options, sinks.topic)
     finally:
         rows.unpersist()
 
 
-def _observing(targets, time, sinks: Sinks, predict) -> Handler:
-    """Decode a micro-batch once, keep what was read, predict, deliver.
+class Observed:
+    """A handler of observations: keep what was read, predict, deliver.
 
-    ``predict(rows, epoch_id)`` gives the predictions and any rows that came too
+    Called with messages, as ``foreachBatch`` does, it decodes them once. ``rows`` takes
+    observations that are decoded already, such as those of a landed epoch.
+    ``predict(rows, epoch_id, order)`` gives the predictions and any rows that came too
     late to be predicted.
     """
 
-    def handle(messages: DataFrame, epoch_id: int) -> None:
-        messages = messages.persist()
-        good, rejected = decode(messages, observation_fields(targets, time))
-        good = good.persist()
+    def __init__(self, targets: Sequence[str], time: str, sinks: Sinks, keys: Sequence[Field], predict):
+        self.targets, self.time, self.sinks, self.keys = list(targets), time, sinks, list(keys)
+        self.predict = predict
+
+    def order(self, rows: DataFrame) -> list[str]:
+        """Time, then keys and arrival if there are any; equal rows are told apart by nothing else."""
+        own = [self.time, *[k for k, _ in self.keys], *[c for c in ARRIVAL if c in rows.columns]]
+        return [*own, *self.targets]
+
+    def __call__(self, messages: DataFrame, epoch_id: int) -> None:
+        keep = [c for c in ARRIVAL if c in messages.columns]
+        good, rejected = decode(messages, observation_fields(self.targets, self.time, self.keys), keep=keep)
+        # One decoded copy serves both: a message is either read or rejected.
+        both = good.withColumn("__bad", F.lit(False)).unionByName(
+            rejected.drop(*keep).withColumn("__bad", F.lit(True)), allowMissingColumns=True
+        ).persist()
         try:
-            if sinks.master:
-                append_epoch(good, sinks.master, epoch_id)
-            predicted, late = predict(good, epoch_id)
-            if sinks.rejects:
-                if late is not None:
-                    values = encode(late, [time, *targets]).withColumn("bad_field", F.lit("late"))
-                    rejected = rejected.unionByName(values)
-                append_epoch(rejected, sinks.rejects, epoch_id)
-            if not good.isEmpty():
-                rows = scored_rows(predicted, targets, [time], [])
-                _deliver(rows, targets, time, epoch_id, sinks)
+            self.rows(
+                both.filter("NOT __bad").select(*cols(good.columns)),
+                epoch_id,
+                both.filter("__bad").select("value", "bad_field"),
+            )
         finally:
-            good.unpersist()
-            messages.unpersist()
-
-    return handle
+            both.unpersist()
+
+    def rows(self, good: DataFrame, epoch_id: int, rejected: DataFrame | None = None) -> None:
+        sinks = self.sinks
+        if sinks.master:
+            append_epoch(good.drop(*ARRIVAL), sinks.master, epoch_id)
+        predicted, late = self.predict(good, epoch_id, self.order(good))
+        if late is not None:
+            fields = [f for f, _ in observation_fields(self.targets, self.time, self.keys)]
+            values = encode(late, fields).withColumn("bad_field", F.lit("late"))
+            rejected = values if rejected is None else rejected.unionByName(values)
+        if sinks.rejects and rejected is not None:
+            append_epoch(rejected, sinks.rejects, epoch_id)
+        if not good.isEmpty():
+            names = [self.time, *[k for k, _ in self.keys]]
+            scored = scored_rows(predicted, self.targets, names, [])
+            _deliver(scored, self.targets, self.time, epoch_id, sinks, self.keys)
+
+
+def _tail(rows: DataFrame, path: str, names: Sequence[str], epoch_id: int) -> DataFrame:
+    """The last rows before an epoch: those that the latest epoch before it left.
+
+    Read with the rows' own schema, since an epoch may have left no file, or no epoch has
+    been before.
+    """
+    schema = T.StructType([*[rows.schema[n] for n in names], T.StructField(EPOCH, T.IntegerType())])
+    try:
+        left = rows.sparkSession.read.schema(schema).parquet(path).filter(f"{EPOCH} < {epoch_id}")
+    except AnalysisException:  # nothing written yet
+        return rows.select(*cols(names)).limit(0)
+    newest = left.agg(F.max(EPOCH).alias("__newest"))
+    return left.join(newest, F.col(EPOCH) == F.col("__newest")).select(*cols(names))
 
 
 def batch_handler(
-    coefficients: DataFrame, targets: Sequence[str], p: int, sinks: Sinks, time: str = "TS"
-) -> Handler:
-    """Keep the observations in the master table; predict with the stored model."""
-    order = [time, *targets]
-
-    def within_epoch(rows: DataFrame, _: int):
-        return batch_layer(rows, coefficients, targets, p, order, epoch=None), None
-
-    def over_epochs(rows: DataFrame, epoch_id: int):
-        tail = rows.limit(0)
-        if epoch_id > 0:
-            tail = read_table(rows.sparkSession, sinks.tail).filter(f"{EPOCH} = {epoch_id - 1}")
-        lagged, late, tail = continue_lags(rows, tail.drop(EPOCH), targets, p, order)
-        append_epoch(tail, sinks.tail, epoch_id)
+    coefficients: DataFrame,
+    targets: Sequence[str],
+    p: int,
+    sinks: Sinks,
+    time: str = "TS",
+    by: Sequence[str] = (),
+    keys: Sequence[Field] = (),
+) -> Observed:
+    """Keep the observations in the master table; predict with the stored model.
+
+    ``keys`` are the further fields of the messages, ``by`` those of them that name a series.
+    """
+
+    def within_epoch(rows: DataFrame, _: int, order: list[str]):
+        return batch_layer(rows, coefficients, targets, p, order, by, epoch=None), None
+
+    def over_epochs(rows: DataFrame, epoch_id: int, order: list[str]):
+        names = list(dict.fromkeys([*by, *order, *targets]))
+        before = _tail(rows, sinks.tail, names, epoch_id)
+        lagged, late, after = continue_lags(rows, before, targets, p, order, by)
+        append_epoch(after, sinks.tail, epoch_id)
         return predict_var(lagged, targets, p, coefficients), late
 
-    return _observing(targets, time, sinks, over_epochs if sinks.tail else within_epoch)
+    return Observed(targets, time, sinks, keys, over_epochs if sinks.tail else within_epoch)
 
 
-def speed_handler(targets: Sequence[str], p: int, sinks: Sinks, time: str = "TS") -> Handler:
-    """Fit a model to the micro-batch and predict with it."""
+def speed_handler(
+    targets: Sequence[str],
+    p: int,
+    sinks: Sinks,
+    time: str = "TS",
+    by: Sequence[str] = (),
+    keys: Sequence[Field] = (),
+) -> Observed:
+    """Fit a model to each series of the micro-batch and predict with it."""
 
-    def predict(rows: DataFrame, _: int):
-        return speed_layer(rows, targets, p, [time, *targets], epoch=None), None
+    def predict(rows: DataFrame, _: int, order: list[str]):
+        return speed_layer(rows, targets, p, order, by, epoch=None), None
 
-    return _observing(targets, time, sinks, predict)
+    return Observed(targets, time, sinks, keys, predict)
 
 
 def serving_handler(
@@ -137,17 +193,26 @@ def serving_handler(
     batch_weight: float,
     sinks: Sinks,
     time: str = "TS",
+    on: Sequence[str] | None = None,
+    keys: Sequence[Field] = (),
 ) -> Handler:
-    """Blend the predictions that came in the same micro-batch.
+    """Blend the predictions that came in the same micro-batch, joined as in ``serving_layer``.
 
     ``serving.serving_stream`` also joins those that came in different ones.
     """
 
     def handle(messages: DataFrame, epoch_id: int) -> None:
-        rows = serving_layer(
-            messages, targets, speed_topic, batch_topic, speed_weight, batch_weight, time
-        )
-        append_epoch(rows, sinks.predictions, epoch_id)
+        messages = messages.persist()
+        try:
+            rows, rejected = served_and_rejected(
+                messages, targets, speed_topic, batch_topic, speed_weight, batch_weight, time, on=on, keys=keys
+            )
+            if sinks.predictions:
+                append_epoch(rows, sinks.predictions, epoch_id)
+            if sinks.rejects:
+                append_epoch(rejected, sinks.rejects, epoch_id)
+        finally:
+            messages.unpersist()
 
     return handle
 
@@ -193,19 +258,37 @@ def land_observations(
     checkpoint: str,
     interval: str | None = None,
     time: str = "TS",
+    keys: Sequence[Field] = (),
 ) -> StreamingQuery:
-    """Decode an observation stream into a table of event-day epochs."""
-    good, _ = decode(messages, observation_fields(targets, time))
+    """Decode an observation stream into a table of event-day epochs.
+
+    ``land_rejected`` lands the messages that this leaves out.
+    """
+    good, _ = decode(messages, observation_fields(targets, time, keys))
     return to_files(with_epoch(good, time), path, checkpoint, interval, ["epoch_id"])
 
 
-def landed(spark: SparkSession, path: str, targets: Sequence[str], time: str = "TS") -> DataFrame:
+def land_rejected(
+    messages: DataFrame,
+    fields: Sequence[Field],
+    path: str,
+    checkpoint: str,
+    interval: str | None = None,
+    keep: Sequence[str] = (),
+) -> StreamingQuery:
+    """The messages of a stream that cannot be read, with the field that is to blame."""
+    _, rejected = decode(messages, fields, keep=keep)
+    return to_files(rejected, path, checkpoint, interval)
+
+
+def landed(
+    spark: SparkSession,
+    path: str,
+    targets: Sequence[str],
+    time: str = "TS",
+    keys: Sequence[Field] = (),
+) -> DataFrame:
     """The landed observations so far."""
-    schema = T.StructType(
-        [
-            T.StructField(time, T.TimestampNTZType()),
-            *[T.StructField(t, T.DoubleType()) for t in targets],
-            T.StructField("epoch_id", T.IntegerType()),
-        ]
-    )
-    return spark.read.schema(schema).parquet(path).select(*cols(schema.names))
+    fields = [*observation_fields(targets, time, keys), ("epoch_id", "int")]
+    schema = ", ".join(f"{quote(name)} {kind}" for name, kind in fields)
+    return spark.read.schema(schema).parquet(path).select(*cols([name for name, _ in fields]))

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tidecast.functions.codec import decode, prediction_fields
+from tidecast.functions.codec import Field, decode, prediction_fields
 from tidecast.functions.columns import col
 from tidecast.operators.serve import blend, by_topic, serving_join
+from tidecast.plans.layers import joined_on
 
 # A watermark needs a timestamp with zone; the time itself stays a join key.
 _EVENT = "__event"
@@ -21,22 +22,30 @@ def serving_stream(
     batch_topic: str,
     speed_weight: float,
     batch_weight: float,
+    delay: str | None,
     time: str = "TS",
-    delay: str = "1 hour",
     digits: int | None = 3,
+    on: Sequence[str] | None = None,
+    keys: Sequence[Field] = (),
 ) -> DataFrame:
-    """The blend of ``serving_layer`` on a stream.
+    """The blend of ``serving_layer`` on a stream, joined on the same columns.
 
     The two predictions of a time may come in different micro-batches. A
     prediction waits until the watermark, the latest time seen in the slower
-    stream less ``delay``, has passed it; then its state is dropped.
+    stream less ``delay``, has passed it; then its state is dropped, and a partner
+    that comes later finds nothing. The caller must know how late partners can be.
+    With ``delay=None`` predictions wait for ever: no pair is lost, but the state is
+    never dropped either, so it is for streams that end.
     """
-    fields = prediction_fields(targets, time)
+    fields = prediction_fields(targets, time, keys=keys)
+    names = joined_on(on, time, keys, targets)
 
     def side(topic: str) -> DataFrame:
         good, _ = decode(by_topic(messages, topic), fields)
+        if delay is None:
+            return good
         return good.withColumn(_EVENT, col(time).cast("timestamp")).withWatermark(_EVENT, delay)
 
-    keys = [time, _EVENT]
-    joined = serving_join(side(speed_topic), side(batch_topic), targets, keys)
-    return blend(joined, targets, keys, speed_weight, batch_weight, digits).drop(_EVENT)
+    join = names if delay is None else [*names, _EVENT]
+    joined = serving_join(side(speed_topic), side(batch_topic), targets, join)
+    return blend(joined, targets, join, speed_weight, batch_weight, digits).drop(_EVENT)
