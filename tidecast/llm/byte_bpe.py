@@ -85,7 +85,7 @@ class ByteBpe:
         """The matches of the pattern, in order; together they are the text."""
         return F.regexp_extract_all(text, F.lit(f"({self.pattern})"), F.lit(1))
 
-    def merged(self, state: Column) -> Column:
+    def merged(self, state: Column, ranks: Column) -> Column:
         """The state with the pair of lowest rank merged wherever it stands, from left to right; null
         if no pair has a rank."""
 
@@ -94,7 +94,7 @@ class ByteBpe:
             # Rank and place in one number, so that the least is the leftmost of lowest rank.
             ranked = F.transform(
                 F.sequence(F.lit(1), F.greatest(F.size(parts) - 4, F.lit(1)), F.lit(2)),
-                lambda i: F.ascii(looked_up(self.ranks, F.concat(F.get(parts, i), F.get(parts, i + 2)))).cast("long") * _PLACES + i,
+                lambda i: F.ascii(looked_up(ranks, F.concat(F.get(parts, i), F.get(parts, i + 2)))).cast("long") * _PLACES + i,
             )
             return let(F.array_min(ranked), lambda best: replaced(parts, (best % _PLACES).cast("int")))
 
@@ -104,8 +104,9 @@ class ByteBpe:
 
         return let(F.split(state, _MARK), of_parts)
 
-    def encode_word(self, word: Column) -> Column:
-        """The ids of one match of the pattern."""
+    def encode_word(self, word: Column, ranks: Column) -> Column:
+        """The ids of one match of the pattern. ``ranks`` is the literal, bound once for all its uses, so
+        that the plan has it once."""
 
         def folded(chars: Column) -> Column:
             start = F.concat(F.lit(_MARK), F.array_join(F.split(chars, ""), 2 * _MARK), F.lit(_MARK))
@@ -113,20 +114,20 @@ class ByteBpe:
 
             def step(s: Column, _: Column) -> Column:
                 merged = let(
-                    self.merged(s["parts"]),
+                    self.merged(s["parts"], ranks),
                     lambda m: F.struct(F.coalesce(m, s["parts"]).alias("parts"), m.isNull().alias("done")),
                 )
                 return F.when(s["done"], s).otherwise(merged)
 
             def ids(end: Column) -> Column:
                 own = F.filter(F.split(end, _MARK), lambda p: p != "")
-                return F.array_join(F.transform(own, lambda p: looked_up(self.ranks, p)), "")
+                return F.array_join(F.transform(own, lambda p: looked_up(ranks, p)), "")
 
             steps = F.sequence(F.lit(1), F.length(chars))
             return let(F.aggregate(steps, state, step, lambda s: s["parts"]), ids)
 
         def known(chars: Column) -> Column:
-            return F.coalesce(looked_up(self.ranks, chars), folded(chars))
+            return F.coalesce(looked_up(ranks, chars), folded(chars))
 
         return let(F.decode(word.cast("binary"), "ISO-8859-1"), known)
 
@@ -150,23 +151,24 @@ class ByteBpe:
             least = row["count"]
         if least is None:
             return {}
-        words = counted.filter(F.col("count") >= least).select("word", self.encode_word(F.col("word")).alias("ids"))
+        words = counted.filter(F.col("count") >= least).select("word", let(self.ranks, lambda r: self.encode_word(F.col("word"), r)).alias("ids"))
         found = words.toArrow()
         return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist()))
 
     def encode(self, text: Column, frequent: dict[str, str]) -> Column:
         """The ids of a text as characters, null counting as empty."""
-        known = bucketed(frequent)
-        found = F.transform(
-            self.split(F.coalesce(text, F.lit(""))),
-            lambda w: F.coalesce(looked_up(known, w), self.encode_word(w)),
-        )
-        return F.array_join(found, "")
+        words = self.split(F.coalesce(text, F.lit("")))
+
+        def encoded(known: Column, ranks: Column) -> Column:
+            found = F.transform(words, lambda w: F.coalesce(looked_up(known, w), self.encode_word(w, ranks)))
+            return F.array_join(found, "")
+
+        return let(bucketed(frequent), lambda known: let(self.ranks, lambda ranks: encoded(known, ranks)))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the pieces of ids, which are characters, concatenated. An id outside the
         vocabulary gives null."""
-        hexes = F.transform(each(ids), lambda c: F.get(self.pieces, F.ascii(c)))
+        hexes = let(self.pieces, lambda pieces: F.transform(each(ids), lambda c: F.get(pieces, F.ascii(c))))
         return F.unhex(F.array_join(hexes, "", "-"))
 
 
