@@ -180,8 +180,9 @@ def _each(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def repeated(table: pa.Table) -> pa.Table:
-    """Step 1 after the shuffle: the pieces whose names occur in two documents."""
+def repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Step 1 after the shuffle: the pieces whose names occur in two documents (document, text's hash,
+    and start, size and name)."""
     rows = unpacked(table.column("packed"))
     name, doc, kind = (rows.column(c).to_numpy() for c in ("name", "doc_id", "kind"))
     sent = np.flatnonzero(kind < 2)
@@ -194,12 +195,12 @@ def repeated(table: pa.Table) -> pa.Table:
         keep[order] = several[np.cumsum(new) - 1]
     rows = rows.filter(pa.array(keep))
     values = np.stack([rows.column("start").to_numpy(), rows.column("size").to_numpy(), rows.column("name").to_numpy().view(np.int32)], 1)
-    return by_document(rows.column("doc_id").to_numpy(), rows.column("text_hash").to_numpy(), values)
+    return rows.column("doc_id").to_numpy(), rows.column("text_hash").to_numpy(), values
 
 
 def cut_pieces(docs: DataFrame, parts: int, text: str) -> DataFrame:
     """Step 2 before the shuffle, from documents whose last columns are the id, the text's hash and a
-    list of packed pieces. It takes all columns, so that the plan can use one exchange of the
+    packed pieces. It takes all columns, so that the plan can use one exchange of the
     documents for this and for the last join."""
     at = docs.columns.index(text)
 
@@ -209,7 +210,7 @@ def cut_pieces(docs: DataFrame, parts: int, text: str) -> DataFrame:
         for a, b in slices(pc.binary_length(texts).to_numpy(), CHUNK):
             data, sizes = bytes_of(texts.slice(a, b - a))
             begin = np.cumsum(sizes) - sizes
-            found = [np.frombuffer(b"".join(x), _SPAN).reshape(-1, 3) for x in pieces_of.slice(a, b - a).to_pylist()]
+            found = [np.frombuffer(x, _SPAN).reshape(-1, 3) for x in pieces_of.slice(a, b - a).to_pylist()]
             own = np.repeat(np.arange(b - a), [len(x) for x in found])
             start, size, name = np.concatenate(found).astype(np.int64).T
             content = taken(data, begin[own] + start, size)
@@ -298,14 +299,12 @@ def owned(contents: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, start
 
 
-def removed_spans(table: pa.Table) -> pa.Table:
-    """Step 2 after the shuffle: spans (start, stop) to remove, for each document."""
+def removed_spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Step 2 after the shuffle: spans to remove (document, text's hash, and start and stop)."""
     rows = unpacked(table.column("packed"))
     doc, text_hash, start, size, through = (rows.column(c).to_numpy() for c in ("doc_id", "text_hash", "start", "size", "through"))
-    own = [through]
     spans = [np.stack([start, start + size], 1)[through]]
     keys = [np.stack([doc, text_hash], 1)[through]]
-    del own
     here = np.flatnonzero(~through)
     if len(here):
         coded = rows.column("content").combine_chunks().take(pa.array(here)).dictionary_encode()
@@ -329,12 +328,12 @@ def removed_spans(table: pa.Table) -> pa.Table:
             spans.append(np.stack([start[piece] + w[first], start[piece] + w[last] + LENGTH], 1))
             keys.append(np.stack([doc[piece], text_hash[piece]], 1))
     key = np.concatenate(keys)
-    return by_document(key[:, 0], key[:, 1], np.concatenate(spans))
+    return key[:, 0], key[:, 1], np.concatenate(spans)
 
 
-def united(spans: list[bytes] | None) -> np.ndarray:
+def united(spans: bytes | None) -> np.ndarray:
     """Disjoint spans in order, none touching the next."""
-    found = np.frombuffer(b"".join(spans or []), _SPAN).reshape(-1, 2).astype(np.int64)
+    found = np.frombuffer(spans or b"", _SPAN).reshape(-1, 2).astype(np.int64)
     if not len(found):
         return found
     found = found[np.argsort(found[:, 0], kind="stable")]
@@ -343,15 +342,35 @@ def united(spans: list[bytes] | None) -> np.ndarray:
     return np.stack([found[new, 0], stop[np.append(new[1:], True)]], 1)
 
 
-def _gathered(parts: DataFrame, fn) -> DataFrame:
-    """``fn`` over each part, and then all that was found of each document."""
-    found = parts.groupBy("part").applyInArrow(fn, f"{_KEY}, found binary")
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list("found").alias("found"))
+def _gathered(rows: DataFrame, fn, parts: int) -> DataFrame:
+    """``fn`` over each part, and then all that was found of each document as one row.
+
+    What a part finds is sent on packed, by shares of the documents, so that the rows between are
+    as many as parts and shares and not as parts and documents.
+    """
+
+    def found(table: pa.Table) -> pa.Table:
+        doc, text_hash, values = fn(table)
+        values = values.astype(np.int32)
+        columns = {"doc_id": doc, "text_hash": text_hash} | {f"v{i}": values[:, i] for i in range(values.shape[1])}
+        order = np.lexsort((values[:, 0], doc))
+        sent = dealt(pa.table({k: v[order] for k, v in columns.items()}), spread(doc[order], parts))
+        if sent is None:
+            return pa.table({"part": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
+        return pa.Table.from_batches([sent])
+
+    def gathered(table: pa.Table) -> pa.Table:
+        rows = unpacked(table.column("packed"))
+        columns = [rows.column(c).to_numpy() for c in rows.column_names]
+        return by_document(columns[0], columns[1], np.stack(columns[2:], 1))
+
+    shares = rows.groupBy("part").applyInArrow(found, "part int, packed binary")
+    return shares.groupBy("part").applyInArrow(gathered, f"{_KEY}, found binary")
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one more column, ``spans`` (underscores are added if it is taken): the byte spans to
-    remove from ``text``, a list of packed (start, stop), or null.
+    remove from ``text``, packed pairs of start and stop, or null.
 
     Matches do not cross documents; rows with one id are one document's, so they remove nothing from
     each other. Texts that are null or shorter than ``LENGTH`` bytes have none. Rows with a null id
@@ -369,13 +388,13 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     def as_keys(found: DataFrame) -> DataFrame:
         return found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("found").alias(spans))
 
-    candidates = as_keys(_gathered(named_pieces(own, parts), repeated))
+    candidates = as_keys(_gathered(named_pieces(own, parts), repeated, parts))
     # Columns of the documents come first, then the keys and the pieces.
     wanted = docs.join(candidates, [id_, hash_]).select(*df.columns, id_, hash_, spans)
-    found = as_keys(_gathered(cut_pieces(wanted, parts, text), removed_spans))
+    found = as_keys(_gathered(cut_pieces(wanted, parts, text), removed_spans, parts))
     marked = docs.join(found, [id_, hash_], "left").select(*df.columns, spans)
     rest = df.filter(~F.coalesce(fit, F.lit(False)))
-    return marked.unionByName(rest.withColumn(spans, F.lit(None).cast("array<binary>")))
+    return marked.unionByName(rest.withColumn(spans, F.lit(None).cast("binary")))
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
