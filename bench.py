@@ -43,7 +43,9 @@ HEADLINE = [
     "layer_serving",
     "stream_decode",
     "stream_speed",
+    "stream_batch",
     "stream_lag_continuous",
+    "serving_join_stream",
 ]
 
 

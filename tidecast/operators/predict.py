@@ -47,6 +47,11 @@ def predict_var(
         long = "term" in coefficients.columns
         model = to_wide(coefficients, targets, p, by) if long else coefficients
         model = model.select(*cols([*by, *names]))
+        if not by and not long:
+            # One row whatever is given, so that rows are never multiplied by models.
+            refuse = "raise_error('more than one model without a key')"
+            one = {n: f"if(count(1) > 1, {refuse}, max({n}))" for n in names}
+            model = aggregate(model, [], one)
         joined = lagged.join(model, list(by), "left") if by else lagged.crossJoin(model)
     kept = [c for c in lagged.columns if keep_lags or c not in features]
     return joined.selectExpr(
