@@ -67,6 +67,38 @@ def test_copies_of_similar_texts(spark):
     assert ids == {None, *(d for d, _ in rows if d is not None and d % 3 != 1)}
 
 
+def exact_copies(rows, size=5):
+    """Ids that exact links of a Jaccard similarity of 0.8 lead from to a smaller id."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+    near = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    ids = [d for d, _ in rows]
+    return {d for d, first in zip(ids, smallest_reachable(ids, near)) if d != first}
+
+
+def around_the_border(r, groups, n=120):
+    """Texts that have changed words enough for similarities from 0.7 to 0.9, against the first of their group."""
+    rows = []
+    for g in range(groups):
+        base = [f"w{r.integers(10**6)}" for _ in range(n)]
+        for k in range(8):
+            words = list(base)
+            for at in r.choice(n - 10, k // 2 + k % 2, replace=False):
+                words[at + 5] = f"x{r.integers(10**6)}"
+            rows.append((len(rows), " ".join(words + [f"y{r.integers(10**6)}" for _ in range(r.integers(0, 5))])))
+    return [(int(i), t) for i, (_, t) in zip(r.permutation(len(rows)), rows)]
+
+
+def test_copies_are_exact_around_the_border(spark):
+    rows = around_the_border(np.random.default_rng(7), 40)
+    expected = exact_copies(rows)
+    assert len(rows) / 4 < len(expected) < len(rows) - 40  # some go and some stay
+    df = with_clashes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {x["doc_id"] for x in simhash.copies(df, 5).collect()} == expected
+
+
 @pytest.mark.parametrize(("chunk", "part"), [(suffix_dedup.CHUNK, suffix_dedup.PART), (500, 8 << 20), (2 << 20, 300)])
 def test_repeats_equal_brute_force(spark, monkeypatch, chunk, part):
     """Whole tables at once, and cut into many chunks and parts."""

@@ -42,6 +42,12 @@ GROUP, LANES = 1024, 1 << 16
 #: of 100 bits, so it agrees on none of the 32 bands with a probability of 0.7 percent.
 WIDE_WORDS, WIDE_RADIUS, BAND = 6, 66, 3
 
+#: Least Jaccard similarity of near copies, as a fraction. Nodes that a key may have before its nodes are bundled;
+#: most keys that are taken last; sets of a bundle and shingles in them, at most on average; shingles that are compared at once.
+SIMILAR = (4, 5)
+MEMBERS, COMMON = 64, 1 << 20
+BUNDLE, BUNDLE_HASHES, WORDS = 256, 1 << 16, 4096
+
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -289,17 +295,208 @@ def near_duplicates(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: s
     return prints.join(placed, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def distinct_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the distinct shingles, ascending."""
+    return np.unique(shingle_hashes(text, shingle)).view(np.int64)
+
+
+def similar(shared, a, b):
+    """Whether sets of the sizes a and b that share so many are similar, in whole numbers."""
+    return SIMILAR[1] * shared >= SIMILAR[0] * (a + b - shared)
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.append(0, np.cumsum([len(x) for x in values])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+
+
+def prefixes(df: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+    """``doc_id, text`` to ``doc_id``, ``same`` (a digest that equal shingle sets share), ``size`` of the set and
+    ``keys``, its first shingles: by hash, but those in ``common`` (ascending) last.
+
+    If at least 0.8 n of n elements are in another set, the first n - 0.8 n + 1 of both, in one order, have one in common.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        same, size, keys = [], [], []
+        for x in batch.column(1):
+            h = distinct_hashes(x.as_py(), shingle)
+            same.append(xxhash.xxh128_digest(h.tobytes()))
+            size.append(len(h))
+            if len(common):
+                late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+                h = np.append(h[~late], h[late])
+            keys.append(h[: len(h) + 1 + -len(h) * SIMILAR[0] // SIMILAR[1]] if len(h) else h)
+        columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), _lists(keys)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "size", "keys"])
+
+    return in_arrow(df, run, "doc_id bigint, same binary, size int, keys array<bigint>")
+
+
+def common_keys(prints: DataFrame) -> np.ndarray:
+    """Keys that more than ``MEMBERS`` documents have, ascending. Only keys that repeat within a batch are counted,
+    and the ``COMMON`` most frequent returned: it decides on an order, and every order finds all."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], names=["key", "n"])
+
+    counted = in_arrow(prints.select("keys"), run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") > MEMBERS).orderBy(F.desc("n"), "key").limit(COMMON).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy())
+
+
+def candidates(keyed: DataFrame) -> DataFrame:
+    """``key, a, b``: pairs of nodes (``key, node, size, rest``) that share a key and may be similar (its key is
+    null). Of a key with more than ``MEMBERS`` nodes there is a row for each node instead, its b null.
+
+    ``rest`` is how many shingles of the node come at the key or after it. At the first key that
+    two nodes share, they share no more than the smaller rest.
+    """
+    most = MEMBERS
+
+    def compared(part: pa.Table):
+        key, node, size, rest = (part.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "size", "rest"))
+        members = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+        many = np.repeat(members > most, members)
+        hot = np.unique(np.stack([key[many], node[many]], 1), axis=0)
+        found = [np.zeros((0, 2), np.int64)]
+        key, node, size, rest = (x[~many] for x in (key, node, size, rest))
+        for shift in range(1, most):
+            at = np.flatnonzero(key[shift:] == key[:-shift])
+            if not len(at):
+                break
+            to = at + shift
+            near = similar(np.minimum(rest[at], rest[to]), size[at], size[to]) & (node[at] != node[to])
+            near &= similar(np.minimum(size[at], size[to]), size[at], size[to])
+            found.append(np.sort(np.stack([node[at[near]], node[to[near]]], 1), 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        nulls = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(hot), pa.int64())
+        columns = [pa.array(hot[:, 0]), pa.array(hot[:, 1]), nulls[1]], [nulls[0], pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+        for c in columns:
+            yield pa.RecordBatch.from_arrays(c, names=["key", "a", "b"])
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            key = held.column("key").to_numpy()
+            at = int(np.searchsorted(key, key[-1]))  # the next batch may continue the last key
+            if held.num_rows >= LANES and at:
+                yield from compared(held.slice(0, at).combine_chunks())
+                held = held.slice(at).combine_chunks()
+        if held is not None:
+            yield from compared(held)
+
+    sorted_keys = keyed.select("key", "node", "size", "rest").repartition("key").sortWithinPartitions("key")
+    return sorted_keys.mapInArrow(run, "key bigint, a bigint, b bigint")
+
+
+def set_links(sets: list[np.ndarray], left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all similar pairs between the first ``left`` sets and the others, or of all sets
+    if that is zero."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), size)
+    _, word, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = count > 1  # what one set only has cannot be shared
+    column = (np.cumsum(held) - 1)[word]
+    owner, column = owner[held[word]], column[held[word]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    shared = np.zeros((n, n), np.int64)
+    for first in range(0, int(held.sum()), WORDS):
+        a, b = np.searchsorted(column, [first, first + WORDS])
+        dense = np.zeros((n, WORDS), np.float32)
+        dense[owner[a:b], column[a:b] - first] = 1
+        shared += (dense @ dense.T).astype(np.int64)
+    near = np.triu(similar(shared, size[:, None], size), 1)
+    if left:
+        near[:left, :left] = near[left:, left:] = False
+    root, links = np.arange(n), []
+    for i, j in np.argwhere(near).tolist():
+        if root[i] != root[j]:
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+            links.append((i, j))
+    found = np.array(links, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def bundled_links(hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links between nodes with a common key (``key, node``), by their sets (``node, hashes``).
+
+    A node goes to a bundle of one of its keys, the least, so that a group of near copies fills a few. A
+    bundle is one packed row, and every two bundles that have a key in common are compared in one task.
+    """
+    own = sets.select("node", F.size("hashes").alias("size")).join(hot.groupBy("node").agg(F.min("key").alias("home")), "node")
+    weights = own.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BUNDLE), F.ceil(F.sum("size") / BUNDLE_HASHES)).alias("cuts"))
+    homes = own.select("node", "home").distinct().join(weights, "home")
+    placed = written(homes.select("node", F.struct("home", F.pmod(F.xxhash64("node"), "cuts").alias("cut")).alias("bundle")), "bundles")
+
+    def pack(table: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return pa.table({"home": table["home"][:1], "cut": table["cut"][:1], "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    members = placed.join(sets, "node").select("bundle.home", "bundle.cut", "node", "hashes")
+    packs = members.groupBy("home", "cut").applyInArrow(pack, "home bigint, cut bigint, packed binary")
+    packs = written(packs.select(F.struct("home", "cut").alias("bundle"), "packed"), "packs")
+    met = hot.join(placed, "node").select("key", "bundle").distinct()
+    pairs = met.withColumnRenamed("bundle", "x").join(met.withColumnRenamed("bundle", "y"), "key").filter("x <= y").select("x", "y").distinct()
+    both = pairs.join(packs.select(F.col("bundle").alias("x"), F.col("packed").alias("left")), "x").join(
+        packs.select(F.col("bundle").alias("y"), F.col("packed").alias("right")), "y"
+    )
+
+    def run(batches):
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1)):
+                tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in (left, right) if x.is_valid]
+                node = np.concatenate([t["node"].to_numpy() for t in tables])
+                a, b = set_links([x.values.to_numpy() for t in tables for x in t["hashes"]], tables[0].num_rows if len(tables) > 1 else 0)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return both.select(F.when(F.col("x") != F.col("y"), F.col("left")), "right").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """``a, b``: links that connect all nodes whose shingle sets are similar, and no others. A node is the
+    smallest id of equal sets, in ``prints`` (``doc_id, same, keys``) of ``docs``."""
+    firsts = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    again = prefixes(docs, shingle, common_keys(prints)).filter("size > 0").join(firsts, ["same", "doc_id"], "left_semi")
+    keyed = again.select(F.col("doc_id").alias("node"), "size", F.posexplode("keys").alias("at", "key"))
+    found = written(candidates(keyed.select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))), "candidates")
+    pairs, hot = found.filter("b IS NOT NULL").select("a", "b").distinct(), found.filter("b IS NULL").select("key", F.col("a").alias("node"))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [distinct_hashes(x.as_py(), shingle) for x in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["node", "hashes"])
+
+    sets = in_arrow(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), hashed, "node bigint, hashes array<bigint>")
+    sets = written(sets.filter("size(hashes) > 0"), "sets")
+    x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
+    shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    exact = pairs.join(x, "a").join(y, "b").filter(similar(shared, F.size("a_hashes"), F.size("b_hashes"))).select("a", "b")
+    return exact.unionByName(bundled_links(hot, sets))
+
+
 def copies(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` of the rows that repeat a text of similarity 0.8 or so or more with a smaller id, once each.
+    """``doc_id`` of the rows linked with a smaller id by texts of similarity ``SIMILAR`` or more, once each.
 
-    As ``near_duplicates``, with wide fingerprints: 64 bits cannot tell a Jaccard similarity of 0.8 (about 10 of
-    them differ, more or less) from one of 0.6. Null ids are nobody's copies.
+    The similarity is that of Jaccard, of the texts' distinct shingles (by 64-bit hash). Links are exact and
+    complete; they join to components, so that the ends of a chain need not be similar. Texts without words are
+    equal. Null ids are nobody's copies. Rows with one id are one document, linked by any of its texts.
     """
-    prints = written(fingerprints(df, shingle, doc_id, text, wide=True), "fingerprints")
-    nodes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL"), "nodes")
-    found = components(links(nodes, WIDE_RADIUS))
-    placed = nodes.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("first"))
-    return prints.join(placed, "bits").filter("doc_id <> first").select("doc_id").distinct()
+    docs = df.select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).filter("doc_id IS NOT NULL")
+    prints = written(prefixes(docs, shingle, np.zeros(0, np.int64)), "prints")
+    equal = prints.groupBy("same").agg(F.min("doc_id").alias("a"))
+    equal = prints.join(equal, "same").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    found = components(similar_links(docs, prints, shingle).unionByName(equal))
+    return found.filter("node <> component").select(F.col("node").alias("doc_id"))
 
 
 def without_copies(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
