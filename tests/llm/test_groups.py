@@ -99,6 +99,19 @@ def test_copies_are_exact_around_the_border(spark):
     assert {x["doc_id"] for x in simhash.copies(df, 5).collect()} == expected
 
 
+def test_a_repeated_line_makes_no_copies(spark):
+    """Long texts that share one line, repeated between words of their own."""
+    r = np.random.default_rng(8)
+    line = [f"line{k}" for k in range(10)]
+    rows = []
+    for i in range(10):
+        words = [w for _ in range(40) for w in [*line, *(f"w{r.integers(10**9)}" for _ in range(11))]]
+        rows.append((i, " ".join(words)))
+    assert exact_copies(rows) == set()
+    df = with_clashes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert simhash.copies(df, 5).count() == 0
+
+
 @pytest.mark.parametrize(("chunk", "part"), [(suffix_dedup.CHUNK, suffix_dedup.PART), (500, 8 << 20), (2 << 20, 300)])
 def test_repeats_equal_brute_force(spark, monkeypatch, chunk, part):
     """Whole tables at once, and cut into many chunks and parts."""

@@ -17,6 +17,9 @@ the planes is skipped. A task sends on a link to the first node of each part it
 not all pairs, which keeps a group of near copies linear and loses no connection.
 
 Components then come from links to ever smaller numbers, by joins and minima.
+
+``copies`` uses no fingerprints: it links texts by the exact Jaccard similarity of their distinct shingles,
+with candidates from a prefix filter, which loses none.
 """
 
 from __future__ import annotations
@@ -37,11 +40,6 @@ RADIUS, BLOCKS = 4, 6
 #: Nodes that a slice has on average, at most; lanes that are compared at once.
 GROUP, LANES = 1024, 1 << 16
 
-#: For similar texts the fingerprint is ``WIDE_WORDS`` times as long, ``WIDE_RADIUS`` of its bits may differ, and
-#: candidates agree on one of the bands of ``BAND`` hex digits. A pair with a Jaccard similarity of 0.8 differs in 15
-#: of 100 bits, so it agrees on none of the 32 bands with a probability of 0.7 percent.
-WIDE_WORDS, WIDE_RADIUS, BAND = 6, 66, 3
-
 #: Least Jaccard similarity of near copies, as a fraction. Nodes that a key may have before its nodes are bundled;
 #: most keys that are taken last; sets of a bundle and shingles in them, at most on average; shingles that are compared at once.
 SIMILAR = (4, 5)
@@ -77,31 +75,16 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """Several fingerprints in a row, each from the hashes mixed in another way."""
-    h = shingle_hashes(text, shingle)
-    out = []
-    for k in range(WIDE_WORDS):
-        mixed = (h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0x94D049BB133111EB)
-        out.append(majority(mixed ^ mixed >> np.uint64(29)))
-    return np.array(out, "<u8").tobytes()
-
-
-def fingerprints(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
-    """``doc_id`` and ``bits`` of each row: the fingerprint as a signed long, or a wide one's bytes."""
+def fingerprints(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and ``bits`` of each row: the fingerprint as a signed long."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = (x.as_py() for x in batch.column(1))
-        if wide:
-            bits = pa.array([wide_fingerprint(x, shingle) for x in texts], pa.binary())
-        else:
-            bits = pa.array(np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64))
+        bits = pa.array(np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column(0), bits], names=["doc_id", "bits"])
 
-    return in_arrow(df.select(df[doc_id], df[text]), run, f"doc_id {kind}, bits {'binary' if wide else 'bigint'}")
+    return in_arrow(df.select(df[doc_id], df[text]), run, f"doc_id {kind}, bits bigint")
 
 
 def block_masks() -> list[int]:
@@ -180,14 +163,8 @@ def linked(group: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> np.nd
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a, b``: links between nodes (``node, bits``) that connect all within the radius; of wide
-    fingerprints those that agree on a band."""
-    wide = nodes.schema["bits"].dataType.simpleString() == "binary"
-    if wide:
-        digits = F.hex("bits")
-        keys = [F.conv(digits.substr(i + 1, BAND), 16, 10).cast("bigint") for i in range(0, 16 * WIDE_WORDS, BAND)]
-    else:
-        keys = [F.col("bits").bitwiseAND(_signed(m)) for m in block_masks()]
+    """``a, b``: links between nodes (``node, bits``) that connect all within the radius."""
+    keys = [F.col("bits").bitwiseAND(_signed(m)) for m in block_masks()]
     each = F.array(*(F.struct(F.lit(k).alias("k"), key.alias("agree")) for k, key in enumerate(keys)))
     keyed = nodes.select("node", "bits", F.explode(each).alias("e")).select("node", "bits", "e.k", "e.agree")
     sizes = keyed.groupBy("k", "agree").agg(F.count("*").alias("size")).filter("size > 1")
@@ -211,11 +188,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             new[0] = True
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
-            bits = part.column("bits")
-            if wide:
-                values = np.frombuffer(b"".join(bits.to_pylist()), "<u8").reshape(part.num_rows, WIDE_WORDS)
-            else:
-                values = bits.to_numpy().view(np.uint64)
+            values = part.column("bits").to_numpy().view(np.uint64)
             root = linked(np.cumsum(new), values, radius)
             node = part.column("node").to_numpy()
             other = np.flatnonzero(root != np.arange(len(root)))
