@@ -112,6 +112,30 @@ def test_a_repeated_line_makes_no_copies(spark):
     assert simhash.copies(df, 5).count() == 0
 
 
+@pytest.mark.parametrize("members", [1, 4, simhash.MEMBERS])
+def test_copies_lose_no_pair(spark, monkeypatch, members):
+    """Pairs just at 0.8, awkward rows, and groups in one bundle, in many, or in none."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "BUNDLE", 8)
+    r = np.random.default_rng(9)
+    rows = []
+    for g in range(300):  # 96 shingles each; similarities of 0.81, 0.75 and 0.83
+        words = [f"w{r.integers(10**9)}" for _ in range(100)]
+        other = words[:91] + [f"x{r.integers(10**9)}" for _ in range(9)]
+        if g % 3 == 0:
+            other[0] = "changed"
+        if g % 3 == 1:
+            other[40] = "changed"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+    rows += [(1000 + d, t) for d, t in around_the_border(r, 4, 60)]
+    expected = exact_copies(rows)
+    assert {2 * g + 1 for g in range(300) if g % 3 != 1} <= expected and not expected & {2 * g + 1 for g in range(1, 300, 3)}
+    rows += [(None, rows[0][1]), (3000, rows[1][1].upper()), (2, rows[2][1])]
+    rows += [(5000 + d, t) for d, t in AWKWARD if d is not None and d not in (2, 3)]
+    df = with_clashes(spark.createDataFrame(rows, "doc_id bigint, text string")).repartition(5)
+    assert {x["doc_id"] for x in simhash.copies(df, 5).collect()} == expected | {3000}
+
+
 @pytest.mark.parametrize(("chunk", "part"), [(suffix_dedup.CHUNK, suffix_dedup.PART), (500, 8 << 20), (2 << 20, 300)])
 def test_repeats_equal_brute_force(spark, monkeypatch, chunk, part):
     """Whole tables at once, and cut into many chunks and parts."""
