@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import decontaminate, licenses, quality
+from tidecast.llm import collocations, decontaminate, fill_middle, licenses, quality, queries, warc
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -118,3 +118,81 @@ def _contained() -> str:
 
 
 ORACLE["op5_decontaminate"] = _contained()
+
+
+def _fill_middle() -> str:
+    r = fill_middle.Recipe()
+    h = [f"('0x' || h[{8 * i + 1} : {8 * i + 8}])::BIGINT" for i in range(4)]
+    marked = " OR ".join(f"contains(t, '{m}')" for m in (r.prefix_mark, r.suffix_mark, r.middle_mark))
+    return rf"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                sha256('{r.seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), cuts AS (SELECT *, len(u) AS n, {h[0]} % (len(u) + 1) AS c1, {h[1]} % (len(u) + 1) AS c2 FROM texts),
+        sections AS (
+            SELECT doc_id, t, n,
+                CASE WHEN t = '' OR {marked} OR {h[2]} % 100 >= {r.rate} THEN 'plain' WHEN {h[3]} % 100 < {r.spm} THEN 'spm' ELSE 'psm' END AS form,
+                array_to_string(u[1 : least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m,
+                array_to_string(u[greatest(c1, c2) + 1 :], '') AS s
+            FROM cuts
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t
+                WHEN 'psm' THEN '{r.prefix_mark}' || p || '{r.suffix_mark}' || s || '{r.middle_mark}' || m
+                ELSE '{r.suffix_mark}' || s || '{r.prefix_mark}' || p || '{r.middle_mark}' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM sections
+    """.replace("\\n", "\n")
+
+
+ORACLE["op11_fill_middle"] = _fill_middle()
+
+
+def _collocations() -> str:
+    least, best, absorbed, longest = queries.LEAST_OCCURRENCES, queries.BEST_PHRASES, queries.ABSORBED, collocations.LONGEST
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, array_to_string(w[i : i + {k - 1}], ' ') AS phrase "
+        f"FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM pieces)"
+        for k in range(1, longest + 1)
+    )
+    return rf"""
+        WITH pieces AS MATERIALIZED (
+            SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+                FROM documents)
+        ), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL HAVING count(*) >= {least}),
+        longer AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        inside AS (
+            SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase
+            FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM longer))
+        ), most AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL),
+        kept AS (SELECT longer.* FROM longer LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR 100 * most < {absorbed} * a),
+        cuts AS (
+            SELECT lang, phrase, a, cut, array_to_string(w[1 : cut], ' ') AS head, array_to_string(w[cut + 1 :], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)
+        ), scored AS (
+            SELECT cuts.lang, cuts.phrase, a, n,
+                min({{'score': ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT, 'cut': cut, 'l': x.f, 'r': y.f}}) AS s
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+                JOIN totals ON totals.lang = cuts.lang
+            GROUP BY ALL
+        )
+        SELECT lang, rank, phrase, a, s.l AS l, s.r AS r, n, s.score AS score FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s.score DESC, a DESC, phrase) AS rank FROM scored
+        ) WHERE rank <= {best}
+    """
+
+
+ORACLE["op12_collocations"] = _collocations()
+ORACLE["op13_warc"] = f"""
+    WITH payloads AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    equal AS (SELECT h, max(page_id) AS winner FROM payloads WHERE strlen(h) >= {warc.LEAST} GROUP BY h)
+    SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
+        CASE WHEN page_id IS DISTINCT FROM winner AND winner IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+    FROM payloads p LEFT JOIN equal ON p.h = equal.h
+"""

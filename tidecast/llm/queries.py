@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import byte_bpe, decontaminate, language, licenses, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter
+from tidecast.llm import (
+    byte_bpe,
+    collocations,
+    decontaminate,
+    fill_middle,
+    language,
+    licenses,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+    warc,
+)
 from tidecast.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +123,27 @@ def op9_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text")).drop("longest_repeat")
 
 
+def op11_fill_middle(spark, sf_dir):
+    """Every text cut and put in another order, and back, as digests."""
+    return fill_middle.digests(fill_middle.output_pieces(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+#: Occurrences of a phrase, phrases of a language, percent of a phrase that a longer one must have to absorb it.
+LEAST_OCCURRENCES, BEST_PHRASES, ABSORBED = 100, 2000, 100
+
+
+def op12_collocations(spark, sf_dir):
+    """Each language's best collocations."""
+    documents = table(spark, sf_dir, "documents", "text", "lang")
+    return collocations.collocations(documents, least=LEAST_OCCURRENCES, best=BEST_PHRASES, absorbed=ABSORBED)
+
+
+def op13_warc(spark, sf_dir):
+    """Every page written to seekable WARC bundles and read back."""
+    back = warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return back.withColumnRenamed("key", "page_id")
+
+
 QUERIES: dict[str, Query] = {
     name: fn for name, fn in list(globals().items()) if name.startswith("op") and callable(fn)
 }
