@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +121,10 @@ def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Maps:
-    """Bit maps of the phrases that reached the threshold, and of those that did in the last cycle."""
+    """Bit maps of the phrases that reached the threshold, and of those that did in the last cycle.
+
+    They are sent to every scan, so they are compressed: most bits are zero.
+    """
 
     bits: int
     reached: bytes
@@ -137,7 +141,7 @@ def _test(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
-def _counted(text: bytes, lang: str, words_too: bool, maps: Maps | None):
+def _counted(text: bytes, lang: str, words_too: bool, maps: Maps | None, bitmaps: list[np.ndarray]):
     """``(length, phrases, counts)`` of the active phrases of a text."""
     encoded = pc.split_pattern(pa.array([text], pa.binary()).cast(pa.string()), " ").values.dictionary_encode()
     a, vocabulary = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
@@ -148,7 +152,7 @@ def _counted(text: bytes, lang: str, words_too: bool, maps: Maps | None):
         yield 1, vocabulary.filter(pa.array(~stops)), counts[~stops]
     if maps is None or not maps.lengths:
         return
-    reached_map, recent_map = np.frombuffer(maps.reached, np.uint8), np.frombuffer(maps.recent, np.uint8)
+    reached_map, recent_map = bitmaps
     x = _word_hashes(words, lang)
     slots = _slots(_mixed(x), maps.bits)
     reached = (_test(reached_map, slots) & ~stops)[a]
@@ -172,8 +176,10 @@ def _counted(text: bytes, lang: str, words_too: bool, maps: Maps | None):
 
 def _grouped(a: np.ndarray, at: np.ndarray, h: np.ndarray, k: int, vocabulary: pa.Array):
     """The different phrases of k words at the places, with their counts."""
-    _, first, which, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    first = at[first]
+    which = pa.array(h).dictionary_encode().indices.to_numpy()
+    counts = np.bincount(which)
+    first = np.zeros(len(counts), np.int64)
+    first[which] = at  # any of its places
     if any((a[at + j] != a[first[which] + j]).any() for j in range(k)):
         # Two phrases with one hash: group by the words themselves.
         rows = np.stack([a[at + j] for j in range(k)], axis=1)
@@ -186,9 +192,9 @@ def _grouped(a: np.ndarray, at: np.ndarray, h: np.ndarray, k: int, vocabulary: p
 def _scan(blocks: DataFrame, words_too: bool, maps: Maps | None) -> DataFrame:
     """Counts of the active phrases in a shard."""
 
-    def out(open_: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def out(open_: dict[str, list[bytes]], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, parts in open_.items():
-            for k, phrases, counts in _counted(b" . ".join(parts), lang, words_too, maps):
+            for k, phrases, counts in _counted(b" . ".join(parts), lang, words_too, maps, bitmaps):
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, k, np.int32)), phrases, pa.array(counts.astype(np.int64))],
@@ -196,6 +202,8 @@ def _scan(blocks: DataFrame, words_too: bool, maps: Maps | None) -> DataFrame:
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        bitmaps = [np.frombuffer(unpack(m), np.uint8) for m in ((maps.reached, maps.recent) if maps else ())]
         open_, size = {}, 0
         for batch in batches:
             for lang, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -203,9 +211,9 @@ def _scan(blocks: DataFrame, words_too: bool, maps: Maps | None) -> DataFrame:
                     open_.setdefault(lang, []).append(words)
                     size += len(words)
                 if size >= SLICE:
-                    yield from out(open_)
+                    yield from out(open_, bitmaps)
                     open_, size = {}, 0
-        yield from out(open_)
+        yield from out(open_, bitmaps)
 
     counted = blocks.select("lang", "words").mapInArrow(run, "lang string, length int, phrase string, n bigint")
     return counted.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
@@ -251,7 +259,7 @@ def _maps(reached: DataFrame, since: int, bits: int) -> Maps:
     for name in ("reached", "recent"):
         bitmap = np.zeros(1 << bits >> 6, np.int64)
         bitmap[at] = found[name].to_numpy()
-        whole.append(bitmap.tobytes())
+        whole.append(zstandard.ZstdCompressor().compress(bitmap.tobytes()))
     lengths = np.bitwise_or.reduce(found["lengths"].to_numpy(), initial=0)
     return Maps(bits, *whole, [k for k in range(1, LONGEST) if lengths >> k & 1])
 
