@@ -16,7 +16,8 @@ last cycle's scans is never above the true count, and for a phrase at the end of
 true count. Counts themselves are kept by the phrases' text, exactly.
 
 Each scan's counts are one written table. Of the sums over a cycle only those can reach the threshold
-of which one shard has its share, so the others' counts are not shuffled again.
+of which one shard has its share, so most other phrases' counts are not shuffled again: a third
+bit map, of those that have a share, sorts them out.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SHARDS, LONGEST = 3, 5
 BLOCK, SLICE = 1 << 13, 1 << 24
 #: A bit map has two to this power bits (8 MB). The more phrases, the more others are counted in vain.
 BITS = 26
+#: The same of the map by which the counts of a cycle are looked through (at most 8 MB of rows).
+SHARE_BITS = 25
 
 #: A to Z in lower case; what ends a piece becomes a full stop, which no word then has.
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -142,14 +145,14 @@ def _test(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def _counted(text: bytes, lang: str, words_too: bool, maps: Maps | None, bitmaps: list[np.ndarray]):
-    """``(length, phrases, counts)`` of the active phrases of a text."""
+    """``(phrases, counts)`` of the active phrases of a text, length by length."""
     encoded = pc.split_pattern(pa.array([text], pa.binary()).cast(pa.string()), " ").values.dictionary_encode()
     a, vocabulary = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
     words = vocabulary.cast(pa.binary()).to_pylist()
     stops = np.array([w == b"." for w in words])
     if words_too:
         counts = np.bincount(a, minlength=len(words))
-        yield 1, vocabulary.filter(pa.array(~stops)), counts[~stops]
+        yield vocabulary.filter(pa.array(~stops)), counts[~stops]
     if maps is None or not maps.lengths:
         return
     reached_map, recent_map = bitmaps
@@ -165,7 +168,7 @@ def _counted(text: bytes, lang: str, words_too: bool, maps: Maps | None, bitmaps
         h_at = _longer(h[at], x[at + k - 1])
         if k - 1 in maps.lengths:
             active = recent[at] | recent[at + 1]
-            yield k, *_grouped(a, at[active], h_at[active], k, vocabulary)
+            yield _grouped(a, at[active], h_at[active], k, vocabulary)
         slots = _slots(h_at, maps.bits)
         h[at] = h_at
         reached = np.zeros(len(a), bool)
@@ -194,11 +197,11 @@ def _scan(blocks: DataFrame, words_too: bool, maps: Maps | None) -> DataFrame:
 
     def out(open_: dict[str, list[bytes]], bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, parts in open_.items():
-            for k, phrases, counts in _counted(b" . ".join(parts), lang, words_too, maps, bitmaps):
+            for phrases, counts in _counted(b" . ".join(parts), lang, words_too, maps, bitmaps):
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, k, np.int32)), phrases, pa.array(counts.astype(np.int64))],
-                    names=["lang", "length", "phrase", "n"],
+                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))), phrases, pa.array(counts.astype(np.int64))],
+                    names=["lang", "phrase", "n"],
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +218,8 @@ def _scan(blocks: DataFrame, words_too: bool, maps: Maps | None) -> DataFrame:
                     open_, size = {}, 0
         yield from out(open_, bitmaps)
 
-    counted = blocks.select("lang", "words").mapInArrow(run, "lang string, length int, phrase string, n bigint")
-    return counted.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
+    counted = blocks.select("lang", "words").mapInArrow(run, "lang string, phrase string, n bigint")
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _phrase_slots(phrases: list[str], langs: list[str], bits: int) -> np.ndarray:
@@ -264,6 +267,19 @@ def _maps(reached: DataFrame, since: int, bits: int) -> Maps:
     return Maps(bits, *whole, [k for k in range(1, LONGEST) if lengths >> k & 1])
 
 
+def _promising(counts: DataFrame, share: int) -> DataFrame:
+    """The rows of ``counts`` of phrases that have a row with ``share`` or more, and a few others.
+
+    Phrases are looked up by a hash in a bit map, which is broadcast: at most 2^(SHARE_BITS - 6) rows
+    of two numbers.
+    """
+    slot = F.expr(f"shiftrightunsigned(xxhash64(lang, phrase), {64 - SHARE_BITS})")
+    cell, bit = F.expr("slot DIV 64"), F.expr("CAST(slot % 64 AS INT)")
+    placed = counts.withColumn("slot", slot).withColumn("cell", cell).withColumn("bit", bit)
+    cells = placed.filter(F.col("n") >= share).groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, bit)) AS bits"))
+    return placed.join(F.broadcast(cells), "cell").filter("getbit(bits, bit) = 1").select("lang", "phrase", "n")
+
+
 _REACHED = "lang string, length int, phrase string, since int, f bigint"
 
 
@@ -290,15 +306,12 @@ def frequent_phrases(
         counts = cycle[0]
         for scan in cycle[1:]:
             counts = counts.unionByName(scan)
-        # A sum over the cycle is below ``least`` if every shard's part is below its share.
-        share = counts.filter(F.col("n") >= -(-least // SHARDS)).select("lang", "phrase").distinct()
-        share = written(share, "phrase-shares")
         sums = (
-            counts.join(share, ["lang", "phrase"], "left_semi")
-            .groupBy("lang", "length", "phrase")
+            _promising(counts, -(-least // SHARDS))
+            .groupBy("lang", "phrase")
             .agg(F.sum("n").alias("f"))
             .filter(F.col("f") >= least)
-            .withColumn("since", F.lit(tick + 1))
+            .select("lang", F.expr("size(split(phrase, ' ', -1))").alias("length"), "phrase", F.lit(tick + 1).alias("since"), "f")
         )
         reached = written(
             reached.unionByName(sums)
