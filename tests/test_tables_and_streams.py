@@ -6,6 +6,7 @@ handlers are called on plain DataFrames, as a micro-batch would call them.
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from conftest import same_rows
@@ -16,6 +17,7 @@ from tidecast.operators.fit import fit_var
 from tidecast.operators.lags import lag_features
 from tidecast.operators.predict import predict_var
 from tidecast.plans.layers import scored_rows, speed_layer
+from tidecast.plans.series import with_epoch
 from tidecast.sources.messages import ENVELOPE, read_messages, stream_messages, write_messages
 from tidecast.sources.scratch import fresh_dir
 from tidecast.sources.tables import (
@@ -28,7 +30,6 @@ from tidecast.sources.tables import (
     write_model,
 )
 from tidecast.streaming.continuous import stream_lags
-from tidecast.streaming.epochs import late_rows, run_epochs
 from tidecast.streaming.layers import (
     Sinks,
     batch_handler,
@@ -40,6 +41,7 @@ from tidecast.streaming.layers import (
     to_files,
 )
 from tidecast.streaming.serving import serving_stream
+from tidecast.streaming.speed import epoch_fits, epoch_lags, lagged_schema, speed_predictions
 
 TARGETS = ["y1", "y2"]
 SCHEMA = "TS timestamp_ntz, y1 double, y2 double"
@@ -269,39 +271,140 @@ def test_equal_stamps_at_the_edge_of_a_micro_batch(spark):
     assert spark.read.schema("value string, bad_field string").parquet(sinks.rejects).isEmpty()
 
 
-@pytest.mark.parametrize("files_per_trigger", ["1", "3", "100"])
-def test_landed_epochs_do_not_depend_on_micro_batches(spark, files_per_trigger):
-    """Rows in = rows out + warm-up + late + rejected, however the source is cut."""
+def hourly(n, skip=()):
     start = dt.datetime(2024, 1, 1)
-    data = [(start + dt.timedelta(hours=i), float(i * i % 17), float(-i)) for i in range(90)]
-    observed = spark.createDataFrame(data, SCHEMA)
-    bad = spark.createDataFrame([("nonsense",), ("2024-01-01 00:00:00,x,1",)], "value string")
-    model = fit_var(lag_features(observed, TARGETS, 2, ["TS"]), TARGETS, 2).persist()
-    box, path, state, refused, refused_state, progress = (fresh_dir(spark, x) for x in "abcdef")
-    sinks = Sinks(**{x: fresh_dir(spark, x) for x in ("predictions", "tail", "rejects", "master")})
+    return [(start + dt.timedelta(hours=i), float(i * i % 17), float(-i)) for i in range(n) if i not in skip]
 
-    def arrive(values):
-        write_messages(values.repartition(4), "parquet", {"path": box}, "obs")
-        options = {"path": box, "maxFilesPerTrigger": files_per_trigger}
-        messages = stream_messages(spark, "parquet", options, ["obs"])
-        run(land_observations(messages, TARGETS, path, state))
+
+@pytest.mark.parametrize("files_per_trigger", ["1", "3", "100"])
+def test_lags_out_of_order_do_not_depend_on_micro_batches(spark, files_per_trigger):
+    """Rows in = rows out + warm-up + late + rejected + dropped + waiting, however the source is cut."""
+    rng = random.Random(int(files_per_trigger))
+    on_time = sorted(hourly(90, skip=(20, 30, 31)), key=lambda r: r[0] + dt.timedelta(hours=rng.random() * 3))
+    box, path, state, refused, refused_state = (fresh_dir(spark, x) for x in "abcde")
+
+    def arrive(rows, bad=()):
+        values = messages_of(spark.createDataFrame(rows, SCHEMA))
+        values = values.unionByName(spark.createDataFrame([(b,) for b in bad], "value string"))
+        write_messages(values.coalesce(1), "parquet", {"path": box}, "obs")
+
+    def go_on():
+        messages = stream_messages(spark, "parquet", {"path": box, "maxFilesPerTrigger": files_per_trigger}, ["obs"])
+        good, _ = decode(messages, observation_fields(TARGETS))
+        query = to_files(stream_lags(good, TARGETS, 2, ["TS"], (), "4 hours", grace="1 day"), path, state)
+        run(query)
         run(land_rejected(messages, observation_fields(TARGETS), refused, refused_state))
-        return landed(spark, path, TARGETS)
-
-    handler = batch_handler(model, TARGETS, 2, sinks)
-    first = observed.filter("TS < '2024-01-03 10:00:00' AND hour(TS) <> 5")
-    assert run_epochs(arrive(messages_of(first).unionByName(bad)), handler.rows, progress) == [19723, 19724]
-    # What comes for a closed day is late; the open day goes on.
-    rows = arrive(messages_of(observed.exceptAll(first)))
-    assert run_epochs(rows, handler.rows, progress, ended=True) == [19725, 19726]
-    master = read_table(spark, sinks.master)
-    late = late_rows(rows, master, progress, ["TS", *TARGETS])
-    assert {r["TS"].hour for r in late.collect()} == {5} and late.count() == 2
-    rejected = read_table(spark, refused).count()
-    out = read_table(spark, sinks.predictions)
-    assert rejected == 2 and out.count() + 2 + late.count() + rejected == 90 + 2
-    whole = predict_var(lag_features(master.drop("epoch_id"), TARGETS, 2, ["TS"]), TARGETS, 2, model)
-    assert same_rows(out.select("TS", *TARGETS, "y1_Predict", "y2_Predict"), whole)
+        return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+    for i in range(0, 60, 20):
+        arrive(on_time[i : i + 20], bad=["nonsense"] if i else ["2024-01-01 00:00:00,x,1"])
+    assert go_on() == 0
+    arrive(on_time[60:])
+    assert go_on() == 0  # a restart
+    # An hour that is too late by less than the grace, and two that are too late by more.
+    arrive([r for r in hourly(90) if r[0].hour == 20 and r[0].day == 1 or r[0].hour in (6, 7) and r[0].day == 2])
+    dropped = go_on()
+    far = dt.datetime(2024, 1, 20)
+    arrive([(far, 0.0, 0.0)])
+    assert go_on() == 0
+    out = read_table(spark, path).persist()
+    late = out.filter("late").count()
+    assert late + dropped == 3 and dropped >= 1 and read_table(spark, refused).count() == 3
+    expected = lag_features(spark.createDataFrame(hourly(90, skip=(20, 30, 31)), SCHEMA), TARGETS, 2, ["TS"])
+    assert same_rows(out.filter("NOT late").drop("late"), expected)
+    out.unpersist()
+
+
+def test_quiet_series_are_forgotten(spark):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda h: start + dt.timedelta(hours=h)
+    box, path, state = (fresh_dir(spark, x) for x in "abc")
+    arrivals = [
+        [("a", at(0), 1.0), ("a", at(1), 2.0), ("b", at(0), 1.0), ("b", at(1), 2.0)],
+        [("a", at(40), 3.0)],  # b is quiet for longer than a day
+        [("a", at(60), 4.0)],
+        [("a", at(61), 5.0), ("b", at(61), 6.0), ("b", at(62), 7.0)],
+        [("c", at(100), 0.0)],
+    ]
+    for part in arrivals:
+        spark.createDataFrame(part, "k string, ts timestamp_ntz, y double").coalesce(1).write.mode("append").parquet(box)
+        stream = spark.readStream.schema("k string, ts timestamp_ntz, y double").parquet(box)
+        run(to_files(stream_lags(stream, ["y"], 1, ["ts"], ["k"], "1 hour", "0 seconds", idle="45 hours"), path, state))
+    got = sorted((r["k"], r["y"], r["y_l1"]) for r in read_table(spark, path).filter("NOT late").collect())
+    # For b the lag at 61 is gone with its state, and it starts anew.
+    assert got == [("a", 2.0, 1.0), ("a", 3.0, 2.0), ("a", 4.0, 3.0), ("a", 5.0, 4.0), ("b", 2.0, 1.0), ("b", 7.0, 6.0)]
+
+
+def test_epoch_fits_are_those_of_the_batch(spark):
+    """Moments that merge over micro-batches and a restart give each closed epoch's model once."""
+    data = hourly(96)
+    rows = spark.createDataFrame([(f"s{j}", *r) for j in range(2) for r in data], f"k string, {SCHEMA}")
+    box, lags, fits, lag_state, fit_state = (fresh_dir(spark, x) for x in "abcde")
+    for day in range(5):
+        part = rows.filter(F.dayofmonth("TS") == day + 1) if day < 4 else rows.limit(1).withColumn("TS", F.lit("2024-01-09").cast("timestamp_ntz"))
+        part.orderBy(F.hash("TS")).coalesce(1).write.mode("append").parquet(box)
+        stream = spark.readStream.schema(rows.schema).parquet(box)
+        run(to_files(epoch_lags(stream, TARGETS, 2, ["TS"], ["k"], "2 hours"), lags, lag_state))
+        schema = lagged_schema(rows, TARGETS, 2, ["TS"], ["k"])
+        lagged = spark.readStream.schema(schema).parquet(lags)
+        run(to_files(epoch_fits(lagged, TARGETS, 2, "TS", ["k"], "2 hours"), fits, fit_state))
+    models = read_table(spark, fits)
+    assert models.count() == models.select("k", "epoch_id").distinct().count() == 6  # the fourth day is open
+    got = speed_predictions(spark.read.schema(schema).parquet(lags), models, TARGETS, 2, ["k"])
+    expected = speed_layer(with_epoch(rows), TARGETS, 2, ["TS"], ["k"])
+    digits = [F.round(c, 6).alias(c) for c in ("y1_Predict", "y2_Predict")]
+    assert expected.count() == 2 * 4 * 22
+    assert same_rows(got.select("k", "TS", "epoch_id", *digits), expected.select("k", "TS", "epoch_id", *digits))
+
+
+def test_lone_predictions_come_out(spark):
+    """Served + unmatched + dropped = all predictions, in a join whose state is let go."""
+    schema = "TS timestamp_ntz, y double, y_Predict double, RMSE_Score double"
+    data = [(t, a, a + 1, 0.5) for t, a, _ in hourly(48)]
+    end = (dt.datetime(2024, 1, 20), 0.0, 0.0, 0.5)
+    box, path, state = (fresh_dir(spark, x) for x in ("box", "served", "cp"))
+    steps = [
+        ("speed", data[:24]), ("batch", data[:20]), ("speed", data[24:40]), ("batch", data[24:48]),
+        ("speed", [end]), ("batch", [(end[0], 1.0, 0.0, 0.5)]), ("batch", data[20:22]),
+    ]
+    dropped = 0
+    for i, (topic, part) in enumerate(steps):
+        values = encode(spark.createDataFrame(part, schema).coalesce(1), ["TS", "y", "y_Predict", "RMSE_Score"])
+        write_messages(values, "parquet", {"path": box}, topic)
+        if i not in (1, 3, 5, 6):
+            continue
+        messages = stream_messages(spark, "parquet", {"path": box}, ["speed", "batch"])
+        query = to_files(serving_stream(messages, ["y"], "speed", "batch", 0.5, 0.5, "3 hours", unmatched=True), path, state)
+        run(query)
+        dropped += sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    counts = {r["missing"]: r["count"] for r in read_table(spark, path).groupBy("missing").count().collect()}
+    assert counts == {None: 36, "batch": 4, "speed": 8} and dropped == 2
+    assert read_table(spark, path).filter("missing IS NOT NULL AND Wt_y IS NOT NULL").isEmpty()
+    with pytest.raises(ValueError, match="delay"):
+        serving_stream(messages, ["y"], "speed", "batch", 0.5, 0.5, None, unmatched=True)
+
+
+def test_streams_run_on_a_trigger(spark, observed):
+    """Micro-batches on a timer until the query is stopped."""
+    box, path, state = (fresh_dir(spark, x) for x in ("box", "landed", "cp"))
+    write_messages(messages_of(observed.filter("minute(TS) < 30")), "parquet", {"path": box}, "obs")
+    messages = stream_messages(spark, "parquet", {"path": box}, ["obs"])
+    query = land_observations(messages, TARGETS, path, state, interval="200 milliseconds")
+
+    def wait_for(n):
+        until = time.time() + 60
+        while time.time() < until and query.exception() is None:
+            if sum(p["numInputRows"] for p in query.recentProgress) >= n:
+                return
+            time.sleep(0.1)
+        raise AssertionError(query.exception() or "no micro-batch")
+
+    wait_for(30)
+    write_messages(messages_of(observed.filter("minute(TS) >= 30")), "parquet", {"path": box}, "obs")
+    wait_for(60)
+    query.stop()
+    assert len({p["batchId"] for p in query.recentProgress if p["numInputRows"]}) >= 2
+    assert same_rows(landed(spark, path, TARGETS).drop("epoch_id"), observed)
 
 
 def test_tied_times_are_served_once_each(spark):

@@ -12,6 +12,8 @@ from tidecast.functions.columns import col, cols
 # Growth per step and rounding of both drift forms.
 STEP = 0.1
 DIGITS = 2
+#: Gradual drift of up to so many steps is written out step by step.
+UNROLLED = 16
 # Parameters of the arithmetic hash below; the factors lie below its modulus.
 _MODULUS = 2_147_483_647
 _MULTIPLIER = 48_271
@@ -52,12 +54,24 @@ def inject_gradual(
     rounding swallows leaves a value where it is, however many are taken.
     """
 
-    def moved(_: int, c: str) -> Column:
-        taken = F.sequence(F.lit(1), F.col("step"))
-        start = col(c).cast("double")
-        return F.aggregate(taken, start, lambda x, _: F.round(x + F.lit(step), digits))
+    def taken(c: str) -> list[Column]:
+        """The values after one step, two steps, ..., each from the one before."""
+        values = [col(c).cast("double")]
+        for _ in range(steps):
+            values.append(F.round(values[-1] + F.lit(step), digits))
+        return values[1:]
 
-    return _stepped(df, columns, steps, where, moved)
+    def folded(_: int, c: str) -> Column:
+        start = col(c).cast("double")
+        return F.aggregate(F.sequence(F.lit(1), F.col("step")), start, lambda x, _: F.round(x + F.lit(step), digits))
+
+    if steps > UNROLLED:
+        return _stepped(df, columns, steps, where, folded)
+    # Compiled, and once for each row rather than for each of its copies.
+    arrays = {c: f"__taken_{i}" for i, c in enumerate(columns)}
+    before = df.select("*", *[F.array(*taken(c)).alias(a) for c, a in arrays.items()])
+    stepped = _stepped(before, columns, steps, where, lambda _, c: F.element_at(arrays[c], F.col("step")))
+    return stepped.drop(*arrays.values())
 
 
 def jump(key: Column, column: int, step: Column, seed: int) -> Column:

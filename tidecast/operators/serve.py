@@ -17,9 +17,9 @@ def by_topic(messages: DataFrame, topic: str) -> DataFrame:
 
 
 def serving_join(
-    speed: DataFrame, batch: DataFrame, targets: Sequence[str], on: Sequence[str]
+    speed: DataFrame, batch: DataFrame, targets: Sequence[str], on: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Inner equi-join of the two layers' prediction rows.
+    """Equi-join of the two layers' prediction rows.
 
     Observed values are the speed layer's. Predictions become ``Speed_<t>`` and
     ``Batch_<t>``, the row scores ``Speed_RMSE`` and ``Batch_RMSE`` if both have
@@ -35,7 +35,7 @@ def serving_join(
             *([f"RMSE_Score AS {prefix}_RMSE"] if scored else []),
         )
 
-    return side(speed, "Speed", True).join(side(batch, "Batch", False), list(on), "inner")
+    return side(speed, "Speed", True).join(side(batch, "Batch", False), list(on), how)
 
 
 def blend(

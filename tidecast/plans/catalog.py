@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions.codec import (
+    TIME_PATTERN,
     decode,
     encode,
     observation_fields,
     prediction_fields,
 )
-from tidecast.functions.columns import col, cols
+from tidecast.functions.columns import col
 from tidecast.functions.names import predict_name, quote, target_columns
 from tidecast.operators import cells
 from tidecast.operators.drift import inject_abrupt, inject_gradual
@@ -51,17 +52,10 @@ from tidecast.sources.tables import (
     write_csv,
     write_model,
 )
-from tidecast.streaming.epochs import run_epochs
-from tidecast.streaming.layers import (
-    Sinks,
-    batch_handler,
-    land_observations,
-    land_rejected,
-    landed,
-    speed_handler,
-    to_files,
-)
+from tidecast.streaming.continuous import stream_lags
+from tidecast.streaming.layers import land_rejected, to_files
 from tidecast.streaming.serving import serving_stream
+from tidecast.streaming.speed import epoch_fits, epoch_lags, lagged_schema, speed_predictions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,6 +252,15 @@ def q_decode_observations(spark, sf_dir):
     return good
 
 
+def q_decode_time_pattern(spark, sf_dir):
+    """Times read by a fixed pattern; those of purchases have another form and are rejected."""
+    other = F.when(col("event_type") == "purchase", F.translate("value", "-", "/")).otherwise(col("value"))
+    messages = event_messages(spark, sf_dir).withColumn("value", other)
+    good, rejected = decode(messages, EVENT_FIELDS, keep=["event_id"], time_pattern=TIME_PATTERN)
+    read = good.select("event_id", "ts", F.lit(None).cast("string").alias("bad_field"))
+    return read.unionByName(rejected.select("event_id", "bad_field"), allowMissingColumns=True)
+
+
 def spoilt_messages(spark, sf_dir):
     """Error events with an unreadable number, views cut after the time."""
     text = col("value")
@@ -483,49 +486,75 @@ def in_files(values, path, topic, files=7):
     write_messages(values.repartition(files), "parquet", {"path": path}, topic)
 
 
-def land(spark, source, path, state, targets, keys=(), topic="obs", time=TIME):
-    messages = stream_messages(spark, "parquet", {"path": source, **FILES_PER_TRIGGER}, [topic])
-    drained(land_observations(messages, targets, path, state, time=time, keys=keys))
-    return landed(spark, path, targets, time, keys)
+#: How far messages may come out of order; the queries' sources are shuffled by less.
+DELAY = "6 hours"
 
 
-def landed_hours(spark, sf_dir):
-    source, out, state = (fresh_dir(spark, x) for x in ("messages", "landed", "checkpoint"))
-    in_files(observation_messages(spark, sf_dir), source, "obs")
-    return land(spark, source, out, state, TARGETS)
+def arrivals(spark, rows, time, values, closing, n=4):
+    """``rows`` as messages in ``n`` files, one after the other, each row up to five hours out of order.
+
+    Yields the path after every second file. Two days after the last row ``closing``, values by column, closes
+    the stream: all others come out before it does, and it never comes out.
+    """
+    path = fresh_dir(spark, "messages")
+    hour = F.expr(f"unix_timestamp(CAST({time} AS TIMESTAMP)) DIV 3600")
+    first, last = rows.agg(F.min(hour), F.max(hour)).collect()[0]
+    step = (last - first) // n + 1
+    turn = F.least(F.floor((hour + hour * 7 % 5 - first) / step), F.lit(n - 1))
+    end = rows.agg(F.expr(f"max({time}) + INTERVAL 2 DAYS AS {time}")).select(
+        time, *[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in closing.items()]
+    )
+    placed = rows.unionByName(end).withColumn("__turn", turn).persist()
+    for i in range(n):
+        part = placed.filter(col("__turn") == i).orderBy(F.hash(time)).coalesce(1)
+        write_messages(encode(part, values, quoted=True), "parquet", {"path": path}, "obs")
+        if i % 2:
+            yield path
+    placed.unpersist()
+
+
+def hourly_arrivals(spark, sf_dir):
+    rows = hours(spark, sf_dir).select(TIME, *TARGETS)
+    return arrivals(spark, rows, TIME, [TIME, *TARGETS], dict.fromkeys(TARGETS, 0.0))
+
+
+def observed_stream(spark, path, targets=TARGETS, time=TIME, keys=()):
+    messages = stream_messages(spark, "parquet", {"path": path, **FILES_PER_TRIGGER}, ["obs"])
+    return decode(messages, observation_fields(targets, time, keys))[0]
 
 
 def q_stream_speed(spark, sf_dir):
-    """Observations landed by a stream, then each epoch through the speed layer's handler."""
-    sinks = Sinks(predictions=fresh_dir(spark, "predictions"))
-    progress = fresh_dir(spark, "progress")
-    rows = landed_hours(spark, sf_dir)
-    run_epochs(rows, speed_handler(TARGETS, LAGS, sinks).rows, progress)
-    # A second run, as after a restart, takes up the epoch that was still open.
-    run_epochs(rows, speed_handler(TARGETS, LAGS, sinks).rows, progress, ended=True)
-    return rounded(read_table(spark, sinks.predictions).drop("epoch_id"))
+    """Lags within each day and each day's moments as streams, over arrivals out of order, micro-batches and a restart."""
+    lags, fits, lag_state, fit_state = (fresh_dir(spark, x) for x in ("lags", "fits", "checkpoint", "checkpoint"))
+    for path in hourly_arrivals(spark, sf_dir):
+        observed = observed_stream(spark, path)
+        drained(to_files(epoch_lags(observed, TARGETS, LAGS, [TIME], (), DELAY), lags, lag_state))
+        schema = lagged_schema(observed, TARGETS, LAGS, [TIME])
+        lagged = spark.readStream.schema(schema).parquet(lags)
+        drained(to_files(epoch_fits(lagged, TARGETS, LAGS, TIME, (), DELAY), fits, fit_state))
+    predicted = speed_predictions(spark.read.schema(schema).parquet(lags), read_table(spark, fits), TARGETS, LAGS)
+    return rounded(scored_rows(predicted, TARGETS, [TIME], ["epoch_id"]))
+
+
+def batch_stream(spark, sf_dir, lags_of):
+    """The batch layer as one streaming plan: decode, lags from state, the stored model, a table."""
+    models, out, state = (fresh_dir(spark, x) for x in ("models", "predictions", "checkpoint"))
+    write_model(history_model(hours(spark, sf_dir)), models, "history")
+    for path in hourly_arrivals(spark, sf_dir):
+        lagged = lags_of(observed_stream(spark, path)).filter("NOT late")
+        model = read_model(spark, models, "history")
+        drained(to_files(predict_var(lagged, TARGETS, LAGS, model).drop("late"), out, state))
+    return rounded(read_table(spark, out).select(TIME, *[c for t in TARGETS for c in (t, predict_name(t))]))
 
 
 def q_stream_batch(spark, sf_dir):
-    """Observations landed by a stream, then lagged within their epoch and predicted with the
-    stored model."""
-    models = fresh_dir(spark, "models")
-    write_model(history_model(hours(spark, sf_dir)), models, "history")
-    predicted = batch_layer(
-        landed_hours(spark, sf_dir), read_model(spark, models, "history"), TARGETS, LAGS, [TIME], max_rows=None
-    )
-    return rounded(predicted.drop("epoch_id"))
+    """The batch layer as a stream, with lags within their epoch."""
+    return batch_stream(spark, sf_dir, lambda rows: epoch_lags(rows, TARGETS, LAGS, [TIME], (), DELAY))
 
 
 def q_stream_batch_continuous(spark, sf_dir):
-    """As ``stream_batch``, with lags that go on from epoch to epoch through the handler's tail."""
-    models, progress = fresh_dir(spark, "models"), fresh_dir(spark, "progress")
-    write_model(history_model(hours(spark, sf_dir)), models, "history")
-    sinks = Sinks(**{x: fresh_dir(spark, x) for x in ("predictions", "tail", "rejects")})
-    handler = batch_handler(read_model(spark, models, "history"), TARGETS, LAGS, sinks)
-    run_epochs(landed_hours(spark, sf_dir), handler.rows, progress, ended=True)
-    predicted = read_table(spark, sinks.predictions)
-    return rounded(predicted.select(TIME, *[c for t in TARGETS for c in (t, predict_name(t))]))
+    """The batch layer as a stream, with lags that go on from epoch to epoch."""
+    return batch_stream(spark, sf_dir, lambda rows: stream_lags(rows, TARGETS, LAGS, [TIME], (), DELAY))
 
 
 def q_stream_rejected(spark, sf_dir):
@@ -549,17 +578,46 @@ def q_serving_join_stream(spark, sf_dir):
     return read_table(spark, out)
 
 
+def q_serving_unmatched_stream(spark, sf_dir):
+    """Both layers' predictions with gaps, hours apart, over micro-batches and a restart: pairs and those left alone."""
+    source, out, state = (fresh_dir(spark, x) for x in ("messages", "serving", "checkpoint"))
+    rows = hours(spark, sf_dir)
+    sides = {"speed": scored(speed_rows(rows)).filter(f"hour({TIME}) % 7 <> 3"), "batch": scored(batch_rows(rows)).filter(f"hour({TIME}) % 11 <> 5")}
+    # Two days later each layer predicts something else; these wait for ever.
+    for i, (topic, predicted) in enumerate(sides.items()):
+        kinds = {f.name: f.dataType for f in predicted.schema.fields}
+        end = predicted.agg(F.expr(f"max({TIME}) + INTERVAL 2 DAYS AS {TIME}")).select(
+            TIME, *[F.lit(-1.0 - i).cast(t).alias(c) for c, t in kinds.items() if c != TIME]
+        )
+        sides[topic] = predicted.unionByName(end).persist()
+    for turn in range(3):
+        for hours_later, (topic, predicted) in enumerate(sides.items()):
+            # Days 0-9, 10-19 and 20 on of the month; the batch layer's messages come four hours later.
+            day = F.expr(f"least((dayofmonth({TIME} + INTERVAL {4 * hours_later} HOURS) - 1) DIV 10, 2)")
+            late = F.when(col(TIME) > F.lit("2024-01-31").cast("timestamp_ntz"), 2).otherwise(day)
+            part = predicted.filter(late == turn)
+            write_messages(prediction_messages(part, TARGETS, TIME).coalesce(1), "parquet", {"path": source}, topic)
+        if turn:
+            messages = stream_messages(spark, "parquet", {"path": source, **FILES_PER_TRIGGER}, ["speed", "batch"])
+            joined = serving_stream(
+                messages, TARGETS, "speed", "batch", SPEED_WEIGHT, BATCH_WEIGHT, DELAY, unmatched=True
+            )
+            drained(to_files(joined, out, state))
+    for predicted in sides.values():
+        predicted.unpersist()
+    return read_table(spark, out)
+
+
 def q_stream_lag_continuous(spark, sf_dir):
-    """All users' events in three arrivals, each a restart from the checkpoint, in several files
-    and micro-batches; lags over the landed epochs in order of time."""
-    source, out, state = (fresh_dir(spark, x) for x in ("messages", "landed", "checkpoint"))
-    events = events_of(spark, sf_dir, "event_id", "ts", "value", "user_id")
-    values = encode(events, ["ts", "event_id", "user_id", "value"], keep=["event_id"])
+    """Lags of all users' events with state, over arrivals out of order, micro-batches and a restart."""
+    out, state = fresh_dir(spark, "lags"), fresh_dir(spark, "checkpoint")
+    events = events_of(spark, sf_dir, "ts", "event_id", "user_id", "value")
     keys = [("event_id", "bigint"), ("user_id", "bigint")]
-    for arrival in range(3):
-        in_files(values.filter(col("event_id") % 3 == arrival), source, "events", files=3)
-        rows = land(spark, source, out, state, ["value"], keys, "events", "ts")
-    return lag_features(rows.drop("epoch_id"), ["value"], LAGS, USER_ORDER, ["user_id"])
+    closing = {"event_id": -1, "user_id": -1, "value": 0.0}
+    for path in arrivals(spark, events, "ts", ["ts", "event_id", "user_id", "value"], closing):
+        observed = observed_stream(spark, path, ["value"], "ts", keys)
+        drained(to_files(stream_lags(observed, ["value"], LAGS, USER_ORDER, ["user_id"], DELAY), out, state))
+    return read_table(spark, out).filter("NOT late").drop("late")
 
 
 # -- odd readings, other sources ---------------------------------------------

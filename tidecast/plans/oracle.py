@@ -202,6 +202,22 @@ SERVING = f"WITH {BOTH}, {scored('ss', 'speed')}, {scored('bb', 'batch')}"
 BLEND = f"{SERVING} {joined(3, True)}"
 
 
+def gapped() -> str:
+    """Pairs and lone predictions where each layer misses some hours."""
+    columns = ["TS"]
+    for t in TARGETS:
+        weighted = f"{SPEED_WEIGHT} * s.{t}_Predict + {BATCH_WEIGHT} * b.{t}_Predict"
+        columns += [
+            r(f"coalesce(s.{t}, b.{t})", t, 3), r(f"s.{t}_Predict", f"Speed_{t}", 3),
+            r(f"b.{t}_Predict", f"Batch_{t}", 3), r(weighted, f"Wt_{t}", 3),
+        ]
+    columns += [r("s.RMSE_Score", "Speed_RMSE", 3), r("b.RMSE_Score", "Batch_RMSE", 3)]
+    return f"""SELECT {', '.join(columns)},
+        CASE WHEN s.y1_Predict IS NULL THEN 'speed' WHEN b.y1_Predict IS NULL THEN 'batch' END AS missing
+        FROM (SELECT * FROM ss WHERE hour(TS) % 7 <> 3) s
+        FULL JOIN (SELECT * FROM bb WHERE hour(TS) % 11 <> 5) b USING (TS)"""
+
+
 def approaches(source: str, by: str = "") -> str:
     key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     return " UNION ALL ".join(
@@ -371,6 +387,8 @@ ORACLE: dict[str, str] = {
     "replay_encode": f"""SELECT event_id, '"' || {time_text('ts')} || ',' || {fixed('value')} || ','
         || {fixed('user_id')} || '"' AS value FROM events""",
     "decode_observations": "SELECT event_id, ts, value, user_id::DOUBLE AS user_id FROM events",
+    "decode_time_pattern": """SELECT event_id, CASE WHEN event_type <> 'purchase' THEN ts END AS ts,
+        CASE WHEN event_type = 'purchase' THEN 'ts' END AS bad_field FROM events""",
     "decode_rejected": f"""SELECT event_id, 'value' AS bad_field,
         {time_text('ts')} || CASE WHEN event_type = 'error' THEN ',oops,' || user_id ELSE '' END
         AS value FROM events WHERE event_type IN ('error', 'view')""",
@@ -393,6 +411,7 @@ ORACLE: dict[str, str] = {
     "serving_blend": BLEND,
     "layer_serving": BLEND,
     "serving_join_stream": BLEND,
+    "serving_unmatched_stream": f"{SERVING} {gapped()}",
     "approach_scores": f"{SERVING}, j AS MATERIALIZED ({joined(None, True)}) {approaches('j')}",
     "approach_scores_drift": f"WITH {DRIFT} {approaches('both_rows', 'scenario')}",
     "drift_gradual": f"""SELECT l_orderkey, l_linenumber, step::INTEGER AS step,

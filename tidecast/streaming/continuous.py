@@ -7,13 +7,24 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidecast.functions.columns import cols
+from tidecast.functions.columns import col, cols
 from tidecast.functions.names import lag_names
 
 _TIMES = (T.TimestampType, T.TimestampNTZType)
+# A watermark needs a timestamp with zone.
+_EVENT = "__event"
+_ONE = "__all"
+#: Rows that go back to Spark at once.
+PIECE = 10_000
+
+
+def _millis(duration: str) -> int:
+    """A duration such as ``2 hours`` in milliseconds."""
+    return int(pd.Timedelta(duration) / pd.Timedelta(milliseconds=1))
 
 
 def stream_lags(
@@ -22,23 +33,39 @@ def stream_lags(
     p: int,
     order: Sequence[str],
     by: Sequence[str],
+    delay: str | None = None,
+    grace: str = "1 day",
+    idle: str | None = None,
 ) -> DataFrame:
     """``lag_features`` on a stream: columns by, order, targets, lags and ``late``.
 
     Over all micro-batches the rows that are not late equal the batch result.
     Rows of a micro-batch may come in any order. A row that sorts before the
-    series' last known row comes out with ``late`` set and without lags, to be
+    series' last row that has come out comes out with ``late`` set and without lags, to be
     sent to a reject table. Order columns must be times or integers, not null.
 
-    The state is p rows per series. A task holds one series' rows of one
-    micro-batch at a time, whose size the source's rate limit bounds.
+    With ``delay`` (such as ``2 hours``) the first order column is a time, and a row waits in the state
+    until one that is ``delay`` later has been seen in any series, so rows may also come in another
+    order than that of time by up to ``delay``. Rows that come up to ``grace`` after that are late; those beyond
+    are dropped by Spark and counted in the query's progress (``numRowsDroppedByWatermark``). The
+    last ``delay`` of a stream that ends stays in the state until something later comes.
+    With ``idle`` a series that has been quiet for so long in event time is forgotten; its next row starts anew.
+
+    The state is p rows per series, and with ``delay`` those that wait. A task holds the order columns and
+    targets of one series' rows of one micro-batch at a time, whose size the source's rate limit bounds.
     """
+    if not by:
+        one = observations.withColumn(_ONE, F.lit(0))
+        return stream_lags(one, targets, p, order, [_ONE], delay, grace, idle).drop(_ONE)
     k = len(targets)
     kept = list(dict.fromkeys([*by, *order, *targets]))
     types = {f.name: f.dataType for f in observations.schema.fields}
     for c in order:
         if not isinstance(types[c], (*_TIMES, T.IntegralType)):
             raise ValueError(f"order column {c} must be a time or an integer")
+    if (delay or idle) and not isinstance(types[order[0]], _TIMES):
+        raise ValueError("with a delay the first order column must be a time")
+    timed = delay is not None or idle is not None
     lags = lag_names(targets, p)
     out = T.StructType(
         [T.StructField(c, T.DoubleType() if c in targets else types[c]) for c in kept]
@@ -49,8 +76,17 @@ def stream_lags(
         [
             T.StructField("position", T.ArrayType(T.LongType())),
             T.StructField("tail", T.ArrayType(T.DoubleType())),
+            T.StructField("waiting", T.ArrayType(T.LongType())),
+            T.StructField("values", T.ArrayType(T.DoubleType())),
         ]
     )
+    rows = observations.select(*cols(kept))
+    wait = allowed = quiet = 0
+    if timed:
+        wait, allowed = (_millis(x) for x in (delay or "0 seconds", grace))
+        quiet = _millis(idle) if idle else 0
+        rows = rows.withColumn(_EVENT, col(order[0]).cast("timestamp")).withWatermark(_EVENT, f"{wait + allowed} milliseconds")
+    piece = PIECE
 
     # All nested, so that what is sent to the workers needs no import from here.
     def as_positions(pdf: pd.DataFrame) -> np.ndarray:
@@ -74,43 +110,76 @@ def stream_lags(
             tied &= positions[:, i] == value
         return later
 
+    def frames(key: tuple, positions, values, lagged, late: bool) -> Iterator[pd.DataFrame]:
+        for a in range(0, len(positions), piece):
+            b = min(a + piece, len(positions))
+            columns = {c: np.repeat(np.array([v], dtype=object), b - a) for c, v in zip(by, key)}
+            for i, c in enumerate(order):
+                if isinstance(types[c], _TIMES):
+                    columns[c] = positions[a:b, i].astype("datetime64[us]")
+                    if isinstance(types[c], T.TimestampType):
+                        columns[c] = pd.DatetimeIndex(columns[c]).tz_localize("UTC")
+                else:
+                    columns[c] = positions[a:b, i]
+            columns |= {t: values[a:b, j] for j, t in enumerate(targets)}
+            for m, name in enumerate(lags):
+                columns[name] = np.full(b - a, np.nan) if lagged is None else lagged[a:b, m]
+            columns["late"] = np.full(b - a, late)
+            yield pd.DataFrame({c: columns[c] for c in [*kept, *lags, "late"]})
+
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        last, tail = state.get if state.exists else (None, [])
-        positions = as_positions(pdf)
+        last, tail, waiting, held = state.get if state.exists else (None, [], [], [])
+        new_positions, new_values = [], []
+        for pdf in batches:
+            if len(pdf):
+                new_positions.append(as_positions(pdf))
+                new_values.append(np.stack([pdf[t].to_numpy().astype("float64") for t in targets], axis=1))
+        if new_positions:
+            positions, values = np.concatenate(new_positions), np.concatenate(new_values)
+            behind = ~sorts_after(positions, last)
+            yield from frames(key, positions[behind], values[behind], None, True)
+            positions, values = positions[~behind], values[~behind]
+        else:
+            positions, values = np.zeros((0, len(order)), "int64"), np.zeros((0, k))
+        positions = np.concatenate([np.array(waiting, "int64").reshape(-1, len(order)), positions])
+        values = np.concatenate([np.array(held, "float64").reshape(-1, k), values])
         ranked = np.lexsort(positions.T[::-1])
-        positions = positions[ranked]
-        columns = {c: pdf[c].to_numpy()[ranked] for c in kept}
-        for t in targets:
-            columns[t] = columns[t].astype("float64")
-        # In this order late rows come first.
-        n = len(ranked)
-        start = n - int(sorts_after(positions, last).sum())
-        old = np.array(tail, dtype="float64").reshape(-1, k)
-        values = np.concatenate([old, np.stack([columns[t][start:] for t in targets], axis=1)])
-        # The lag i of the r-th row in time is values[len(old) + r - i]. Rows
+        positions, values = positions[ranked], values[ranked]
+        n = len(positions)
+        if timed:
+            # The latest time seen less the delay; everything up to it has come, or will be late.
+            seen = state.getCurrentWatermarkMs() + allowed
+            n = int(np.searchsorted(positions[:, 0], seen * 1000, "right")) if delay is not None else n
+        # The lag i of the r-th row in time is known[len(old) + r - i]. Rows
         # with fewer than p rows before them are warm-up rows, and are dropped.
-        warmup = min(n - start, max(0, p - len(old)))
+        old = np.array(tail, "float64").reshape(-1, k)
+        known = np.concatenate([old, values[:n]])
+        warmup = min(n, max(0, p - len(old)))
         begin = len(old) + warmup
-        for m, name in enumerate(lags):
+        lagged = np.empty((n - warmup, len(lags)))
+        for m in range(len(lags)):
             i, j = 1 + m // k, m % k
-            columns[name] = np.full(n, np.nan)
-            columns[name][start + warmup :] = values[begin - i : len(values) - i, j]
-        columns["late"] = np.arange(n) < start
-        if start < n:
-            # NaN stands for null in pandas; the state keeps it as null too.
-            newest = [None if np.isnan(v) else float(v) for v in values[-p:].ravel()]
-            state.update(([int(v) for v in positions[-1]], newest))
-        shown = np.r_[0:start, start + warmup : n]
-        yield pd.DataFrame({name: c[shown] for name, c in columns.items()})
-
-    return (
-        observations.select(*cols(kept))
-        .groupBy(*cols(by))
-        .applyInPandasWithState(
-            advance, out, state_schema, "append", GroupStateTimeout.NoTimeout
-        )
-    )
+            lagged[:, m] = known[begin - i : len(known) - i, j]
+        yield from frames(key, positions[warmup:n], values[warmup:n], lagged, False)
+        if n:
+            last = [int(v) for v in positions[n - 1]]
+            tail = known[-p:].ravel().tolist()
+        rest = positions[n:]
+        if timed:
+            latest = int(rest[-1, 0]) if len(rest) else last[0] if last else 0
+            if quiet and state.hasTimedOut and not len(rest) and latest // 1000 + quiet <= seen:
+                state.remove()
+                return
+            due = [int(rest[0, 0]) // 1000] if len(rest) else []
+            due += [latest // 1000 + quiet] if quiet else []
+            state.update((last, tail, rest.ravel().tolist(), values[n:].ravel().tolist()))
+            if due:
+                # Timeouts come when the watermark is past them, and must be past it when set.
+                state.setTimeoutTimestamp(max(min(due) - allowed, state.getCurrentWatermarkMs() + 1))
+        elif last is not None:
+            state.update((last, tail, [], []))
+
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*cols(by)).applyInPandasWithState(advance, out, state_schema, "append", timeout)

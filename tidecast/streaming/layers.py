@@ -8,9 +8,8 @@ Two ways to run them:
 * ``to_files`` writes a streaming plan straight to a table through the exactly-
   once file sink. ``land_observations`` does so for decoded messages, split by
   an epoch taken from the event time, and ``land_rejected`` for those that cannot be
-  read. ``epochs.run_epochs`` then takes the landed epochs to a handler's ``Observed`` form,
-  one by one, once they are closed. What comes out does not depend on how the source
-  was cut into micro-batches.
+  read. ``continuous.stream_lags`` makes lags in such a plan, ``speed`` has the speed layer's
+  fits as streaming state, and a stored model is joined to the lags as it is.
 
 Both need a checkpoint location and go on from it after a restart.
 """
