@@ -77,7 +77,7 @@ def test_recovers_known_process(series):
 
 
 def test_guards_leave_other_groups_alone(series):
-    """Collinear and short groups get nulls and a status; a constant lag gets a zero."""
+    """Short groups get nulls and a status; a lag that is constant or depends on others gets a zero."""
     rng = np.random.default_rng(5)
     good = rng.normal(size=(40, 2))
     groups = {
@@ -95,14 +95,19 @@ def test_guards_leave_other_groups_alone(series):
         df = df.unionByName(part)
     lagged = lag_features(df, ["y1", "y2"], 2, ORDER, ["g"])
     table = fit_var(lagged, ["y1", "y2"], 2, ["g"])
-    status = {r["g"]: r["status"] for r in table.collect()}
+    status = {r["g"]: r["status"] for r in table.collect() if r["status"] != "ok" or r["g"] == "good"}
     assert status == {
         "good": "ok",
         "constant": "constant",
-        "collinear": "singular",
+        "collinear": "aliased",
         "short": "short",
     }
-    assert table.filter("status IN ('singular', 'short') AND coef IS NOT NULL").isEmpty()
+    assert table.filter("status = 'short' AND coef IS NOT NULL").isEmpty()
+    alike = table.filter("g = 'collinear'")
+    assert {r["term"] for r in alike.filter("status = 'aliased'").collect()} == {"y2_l1", "y2_l2"}
+    assert alike.filter("status = 'aliased' AND coef <> 0").isEmpty()
+    single = {r["term"]: r["coef"] for r in alike.filter("target = 'y1'").collect()}
+    assert np.allclose([single[t] for t in ("const", "y1_l1", "y1_l2")], by_numpy(good[:, :1], 2)[0], atol=1e-9)
     stuck = table.filter("g = 'constant'")
     assert stuck.filter("term LIKE 'y2%' AND coef <> 0").isEmpty()
     own = by_numpy(good[:, :1], 2)[0]
@@ -113,6 +118,24 @@ def test_guards_leave_other_groups_alone(series):
     assert np.allclose(coefs(table.filter("g = 'good'"), "y1"), expected[0], atol=1e-9)
 
 
+def test_collinear_lags_predict_as_least_squares(series):
+    """A duplicate, a sum, a constant and a multiple among five targets."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(80, 2)) * [1.0, 1e4]
+    values = np.column_stack([a[:, 0], a[:, 0], a[:, 1], a.sum(axis=1), np.full(80, 3.0), -7 * a[:, 1] + 2])
+    names = [f"y{j + 1}" for j in range(6)]
+    lagged = lag_features(series([tuple(map(float, r)) for r in values]), names, 2, ORDER)
+    z = np.column_stack([np.ones(78), values[1:-1], values[:-2]])
+    best = z @ np.linalg.lstsq(z, values[2:], rcond=1e-10)[0]
+    got = predict_var(lagged, names, 2).orderBy(*ORDER).select(*[f"{n}_Predict" for n in names]).toPandas().to_numpy()
+    assert np.allclose(got, best, rtol=1e-6, atol=1e-6)
+    table = fit_var(lagged, names, 2)
+    marked = {r["term"] for r in table.filter("status = 'aliased'").collect()}
+    assert marked == {f"y{j}_l{i}" for j in (2, 4, 6) for i in (1, 2)}
+    stored = predict_var(lagged, names, 2, table).orderBy(*ORDER).select(*[f"{n}_Predict" for n in names])
+    assert np.allclose(stored.toPandas().to_numpy(), got)
+
+
 def test_unusable_rows_do_not_count(series):
     values = noisy(60, 1)
     values[20] = (None,)

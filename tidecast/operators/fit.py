@@ -8,10 +8,11 @@ centred they stay accurate when the means are large. The d x d normal equations
 are then solved on that one row per group by array functions, so all groups of
 all series are solved in parallel without leaving Spark SQL.
 
-A group with fewer rows than unknowns gets status ``short``; one whose lags are
-collinear gets ``singular``. Both have null coefficients. A lag that never varies, as
-of a sensor that is stuck, tells nothing: its coefficient is 0, the others are fitted
-as without it, and the status is ``constant``.
+A group with fewer rows than unknowns gets status ``short`` and null coefficients. The solution
+reveals the rank: a lag that is a linear combination of lags before it, as of two
+sensors of one thing, tells nothing more. Its coefficient is 0 and marked ``aliased``, and the others
+are fitted as without it, so the predictions are those of least squares. The same goes for a lag
+that never varies, as of a sensor that is stuck; the status of its group is ``constant``.
 """
 
 from __future__ import annotations
@@ -69,10 +70,10 @@ def _solution(d: int, k: int) -> str:
     """SQL: the moments' d x (d + k) matrix with its left part reduced to one.
 
     Gauss-Jordan steps s = 0..d-1 over an array of rows, so the plan does not
-    grow with d. The matrix is symmetric positive semidefinite, so its diagonal
-    needs no row exchange. A pivot that has lost all but ``TOLERANCE`` of its
-    starting value becomes null, and nulls then spread over the group's solution. A
-    pivot that starts at 0 is a constant lag, whose row and column are 0 and stay so.
+    grow with d. The matrix is symmetric positive semidefinite: what is left of a diagonal element
+    is the variance of that lag beyond what the lags before it explain, so no rows are
+    exchanged. Where all but ``TOLERANCE`` of it is explained, or there was none, the lag is left out: its row
+    becomes zeros, and so does its coefficient.
     """
     rows = ", ".join(
         "array("
@@ -83,18 +84,21 @@ def _solution(d: int, k: int) -> str:
         for i in range(d)
     )
     start = f"array({', '.join(f'a_{i}_{i}' for i in range(d))})"
-    pivot = f"if(m[s][s] > {TOLERANCE} * {start}[s], m[s][s], CAST(NULL AS DOUBLE))"
     # First the pivot row, divided; then all other rows less their share of it.
-    divided = f"transform(m[s], v -> v / {pivot})"
     reduced = (
         "transform(m, (r, i) -> if(i = s, top, transform(r, (v, j) -> v - r[s] * top[j])))"
     )
-    step = f"if({start}[s] <= 0, m, transform(array({divided}), top -> {reduced})[0])"
-    return f"aggregate(sequence(0, {d - 1}), array({rows}), (m, s) -> {step})"
+    taken = f"transform(array(transform(m[s], v -> v / m[s][s])), top -> {reduced})[0]"
+    left_out = "transform(m, (r, i) -> if(i = s, transform(r, v -> 0.0D), r))"
+    varies = f"{start}[s] > 0 AND m[s][s] > {TOLERANCE} * {start}[s]"
+    return f"aggregate(sequence(0, {d - 1}), array({rows}), (m, s) -> if({varies}, {taken}, {left_out}))"
 
 
 def solve(moment_rows: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()):
-    """Wide coefficients from ``moments``: by, n_obs, status, ``coef_<k>_<j>``."""
+    """Wide coefficients from ``moments``: by, n_obs, status, aliased, ``coef_<k>_<j>``.
+
+    ``aliased`` has the numbers j of the lags that depend on those before them.
+    """
     d, k = len(targets) * p, len(targets)
     means = [f"m_{i}" for i in range(d)]
     solved = moment_rows.selectExpr(
@@ -104,6 +108,7 @@ def solve(moment_rows: DataFrame, targets: Sequence[str], p: int, by: Sequence[s
         *[f"y_{j}" for j in range(k)],
         f"if(n_obs >= {d + 1}, {_solution(d, k)}, NULL) AS __x",
         f"{' OR '.join(f'a_{i}_{i} <= 0' for i in range(d))} AS __constant",
+        f"array({', '.join(f'a_{i}_{i} > 0' for i in range(d))}) AS __varies",
     )
     names = [coef_column(j, i) for j in range(k) for i in range(d + 1)]
     values = {}
@@ -111,13 +116,14 @@ def solve(moment_rows: DataFrame, targets: Sequence[str], p: int, by: Sequence[s
         shares = " + ".join(f"__x[{i}][{d + j}] * {means[i]}" for i in range(d))
         values[coef_column(j, 0)] = f"y_{j} - ({shares})"
         values |= {coef_column(j, i + 1): f"__x[{i}][{d + j}]" for i in range(d)}
+    aliased = f"filter(sequence(1, {d}), j -> __varies[j - 1] AND __x[j - 1][j - 1] = 0)"
     status = (
         "CASE WHEN __x IS NULL THEN 'short' "
-        f"WHEN {values[names[0]]} IS NULL THEN 'singular' "
+        f"WHEN size({aliased}) > 0 THEN 'aliased' "
         "WHEN __constant THEN 'constant' ELSE 'ok' END AS status"
     )
     return solved.selectExpr(
-        *cols(by), "n_obs", status, *[f"{sql} AS {name}" for name, sql in values.items()]
+        *cols(by), "n_obs", status, f"if(__x IS NULL, NULL, {aliased}) AS aliased", *[f"{sql} AS {name}" for name, sql in values.items()]
     )
 
 
@@ -135,18 +141,27 @@ def fit_var(lagged: DataFrame, targets: Sequence[str], p: int, by: Sequence[str]
 
 
 def to_long(wide: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()) -> DataFrame:
+    def status(j: int) -> str:
+        return f"if(status <> 'aliased', status, if(array_contains(aliased, {j}), 'aliased', 'ok'))"
+
     rows = [
-        {"target": f"'{t}'", "term": f"'{term}'", "lag": str(lag), "coef": coef_column(k, j)}
+        {"target": f"'{t}'", "term": f"'{term}'", "lag": str(lag), "coef": coef_column(k, j), "status": status(j)}
         for k, t in enumerate(targets)
         for j, (term, lag) in enumerate(terms(targets, p))
     ]
-    long = stacked(wide, [*by, "n_obs", "status"], rows)
+    long = stacked(wide, [*by, "n_obs"], rows)
     return long.select(*cols([*by, "target", "term", "lag", "coef", "n_obs", "status"]))
 
 
 def to_wide(long: DataFrame, targets: Sequence[str], p: int, by: Sequence[str] = ()) -> DataFrame:
     """The inverse of ``to_long``, with the fixed set of terms and one shuffle."""
-    values = {"n_obs": "max(n_obs)", "status": "max(status)"}
+    values = {"n_obs": "max(n_obs)", "status": "min(status)"}
+    marked = ", ".join(
+        f"max(if(term = '{term}' AND status = 'aliased', {j}, NULL))"
+        for j, (term, _) in enumerate(terms(targets, p))
+        if j
+    )
+    values["aliased"] = f"if(min(status) = 'short', NULL, array_compact(array({marked})))"
     for k, t in enumerate(targets):
         for j, (term, _) in enumerate(terms(targets, p)):
             values[coef_column(k, j)] = f"max(if(target = '{t}' AND term = '{term}', coef, NULL))"

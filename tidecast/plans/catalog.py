@@ -636,6 +636,14 @@ def q_var_fit_constant(spark, sf_dir):
     return rounded(fit_var(hourly_lags(stuck), TARGETS, LAGS))
 
 
+def q_var_predict_collinear(spark, sf_dir):
+    """Predictions where one target repeats another and one is the sum of two."""
+    rows = hours(spark, sf_dir).withColumn("y3", col("y1")).withColumn("y4", col("y1") + col("y2"))
+    targets = [*TARGETS, "y3", "y4"]
+    predicted = predict_var(lag_features(rows, targets, LAGS, [TIME], max_rows=None), targets, LAGS)
+    return rounded(predicted.select(TIME, *[predict_name(t) for t in targets]))
+
+
 def q_train_from_csv(spark, sf_dir):
     """A model from CSV files without a time column: lags in file order, targets discovered."""
     path, models = fresh_dir(spark, "csv"), fresh_dir(spark, "models")

@@ -102,7 +102,7 @@ def coefficients(source: str, targets: Sequence[str], by: Sequence[str] = ()) ->
                 f"SELECT {keys}'{t}' AS target, '{term}' AS term, {lag}::INTEGER AS lag, "
                 f"{r(f'c_{k}_{j}', 'coef')}, n_obs, "
                 f"CASE WHEN n_obs < {1 + len(targets) * LAGS} THEN 'short' "
-                f"WHEN c_{k}_{j} IS NULL THEN 'singular' ELSE 'ok' END AS status FROM {source}"
+                f"WHEN c_{k}_{j} IS NULL THEN 'aliased' ELSE 'ok' END AS status FROM {source}"
             )
     return "\nUNION ALL ".join(rows)
 
@@ -425,6 +425,9 @@ ORACLE: dict[str, str] = {
     "stream_batch_continuous": f"{PREDICT_LOADED} SELECT {VALUES} FROM p",
     "var_scores_nonfinite": f"WITH {NONFINITE} {scores('pred')}",
     "var_fit_constant": f"WITH {HOURS}, {LAGGED}, {fit('alone', 'lagged', ['y1'])} {constant_fit()}",
+    "var_predict_collinear": f"""WITH {IN_SAMPLE} SELECT TS, {r('y1_Predict', 'y1_Predict')},
+        {r('y2_Predict', 'y2_Predict')}, {r('y1_Predict', 'y3_Predict')}, {r('y1_Predict + y2_Predict', 'y4_Predict')}
+        FROM pred""",
     "train_from_csv": f"WITH {IN_SAMPLE} {coefficients('model', TARGETS)}",
     "layer_serving_by_series": SERIES_SERVED,
     "stream_decode": "SELECT ts, value, user_id::DOUBLE AS user_id FROM events",
