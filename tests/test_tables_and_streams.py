@@ -18,11 +18,12 @@ from tidecast.operators.lags import lag_features
 from tidecast.operators.predict import predict_var
 from tidecast.plans.layers import scored_rows, speed_layer
 from tidecast.plans.series import with_epoch
-from tidecast.sources.messages import ENVELOPE, read_messages, stream_messages, write_messages
+from tidecast.sources.messages import ENVELOPE, once, read_messages, stream_messages, with_message_ids, write_messages
 from tidecast.sources.scratch import fresh_dir
 from tidecast.sources.tables import (
     append_epoch,
     read_csv,
+    read_csv_lines,
     read_model,
     read_table,
     with_file_order,
@@ -407,6 +408,30 @@ def test_streams_run_on_a_trigger(spark, observed):
     assert same_rows(landed(spark, path, TARGETS).drop("epoch_id"), observed)
 
 
+def test_messages_sent_twice_are_read_once(spark, observed):
+    """Ids do not depend on the order of rows; equal texts stay apart; messages without a key are kept."""
+    values = messages_of(observed.limit(5).unionByName(observed.limit(2)))
+    first = with_message_ids(values, F.lit(3))
+    second = with_message_ids(values.orderBy(F.desc("value")).repartition(3), F.lit(3))
+    assert same_rows(first, second) and first.select("key").distinct().count() == 7
+    box = fresh_dir(spark, "box")
+    for sent in (first, second, with_message_ids(values, F.lit(4)), values, values):
+        write_messages(sent, "parquet", {"path": box}, "a")
+    write_messages(first, "parquet", {"path": box}, "b")
+    got = once(read_messages(spark, "parquet", {"path": box}), "1 hour")
+    assert got.count() == 7 + 7 + 14 + 7
+
+
+def test_csv_lines_that_do_not_fit(spark, tmp_path):
+    lines = ["a,b", "1,2.5", "x,1", "2", "3,4,5", ",", "7,8"]
+    (tmp_path / "f.csv").write_text("\n".join(lines) + "\n")
+    good, rejected = read_csv_lines(spark, str(tmp_path), spark.createDataFrame([], "a int, b double").schema)
+    assert sorted((r["a"] or 0, r["b"] or 0.0) for r in good.collect()) == [(0, 0.0), (1, 2.5), (7, 8.0)]
+    assert sorted(r["line"] for r in rejected.collect()) == ["2", "3,4,5", "x,1"]
+    # Whichever columns are asked for, the same lines are bad.
+    assert good.select("b").count() == 3 and good.count() == 3 and rejected.count() == 3
+
+
 def test_tied_times_are_served_once_each(spark):
     """Three readings a second: joined on time alone each would meet all three."""
     from tidecast.plans.layers import serving_layer

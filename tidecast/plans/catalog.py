@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.functions.codec import (
     TIME_PATTERN,
@@ -41,11 +42,12 @@ from tidecast.plans.layers import (
     speed_layer,
 )
 from tidecast.plans.series import LAGS, TARGETS, TIME, hourly, table, with_epoch
-from tidecast.sources.messages import read_messages, stream_messages, write_messages
+from tidecast.sources.messages import once, read_messages, stream_messages, with_message_ids, write_messages
 from tidecast.sources.scratch import fresh_dir
 from tidecast.sources.tables import (
     append_epoch,
     read_csv,
+    read_csv_lines,
     read_model,
     read_table,
     with_file_order,
@@ -608,6 +610,39 @@ def q_serving_unmatched_stream(spark, sf_dir):
     return read_table(spark, out)
 
 
+def q_stream_replayed(spark, sf_dir):
+    """Prediction messages of which every third day's are sent again, read once over micro-batches and a restart."""
+    source, out, state = (fresh_dir(spark, x) for x in ("messages", "decoded", "checkpoint"))
+    rows = scored_rows(speed_rows(hours(spark, sf_dir)), TARGETS, [TIME], ["epoch_id"])
+    fields = prediction_fields(TARGETS, TIME)
+    values = with_message_ids(encode(rows, [f for f, _ in fields]), F.to_date(F.substring("value", 1, 10))).persist()
+    again = values.filter("dayofmonth(to_date(substring(value, 1, 10))) % 3 = 0")
+    for sent in (values, again, again):
+        write_messages(sent.repartition(2), "parquet", {"path": source}, "speed")
+        if sent is again:
+            messages = stream_messages(spark, "parquet", {"path": source, **FILES_PER_TRIGGER}, ["speed"])
+            drained(to_files(decode(once(messages, "1 hour"), fields)[0], out, state))
+    values.unpersist()
+    return rounded(read_table(spark, out))
+
+
+def q_csv_rejected(spark, sf_dir):
+    """CSV lines of which some have a bad number, too few fields or too many: good ones, and rejects as they are."""
+    path = fresh_dir(spark, "lines")
+    time = F.date_format(TIME, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    kind = F.expr(f"hour({TIME}) % 6")
+    line = (
+        F.when(kind == 1, F.concat(time, F.lit(",oops,1")))
+        .when(kind == 2, time)
+        .when(kind == 3, F.concat(time, F.lit(",1,2,3")))
+        .otherwise(F.concat_ws(",", time, *TARGETS))
+    )
+    hours(spark, sf_dir).select(line).write.text(path)
+    schema = T.StructType([T.StructField(TIME, T.TimestampNTZType()), *[T.StructField(t, T.DoubleType()) for t in TARGETS]])
+    good, rejected = read_csv_lines(spark, path, schema, header=False)
+    return rounded(good.unionByName(rejected, allowMissingColumns=True))
+
+
 def q_stream_lag_continuous(spark, sf_dir):
     """Lags of all users' events with state, over arrivals out of order, micro-batches and a restart."""
     out, state = fresh_dir(spark, "lags"), fresh_dir(spark, "checkpoint")

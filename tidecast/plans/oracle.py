@@ -432,5 +432,12 @@ ORACLE: dict[str, str] = {
     "layer_serving_by_series": SERIES_SERVED,
     "stream_decode": "SELECT ts, value, user_id::DOUBLE AS user_id FROM events",
 }
+ORACLE["stream_replayed"] = ORACLE["decode_predictions"]
+ORACLE["csv_rejected"] = f"""WITH {HOURS}, l AS (SELECT *, hour(TS) % 6 AS kind FROM hours)
+    SELECT CASE WHEN kind NOT IN (1, 2, 3) THEN TS END AS TS,
+        {", ".join(f"CASE WHEN kind NOT IN (1, 2, 3) THEN round({t}, 6) + 0.0 END AS {t}" for t in TARGETS)},
+        CASE kind WHEN 1 THEN {time_text('TS')} || ',oops,1' WHEN 2 THEN {time_text('TS')}
+            WHEN 3 THEN {time_text('TS')} || ',1,2,3' END AS line
+    FROM l"""
 ORACLE["drift_file_roundtrip"] = ORACLE["drift_gradual"]
 ORACLE["stream_rejected"] = f"SELECT bad_field, value FROM ({ORACLE['decode_rejected']})"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,32 @@ def to_envelope(values: DataFrame, topic: str) -> DataFrame:
     )
 
 
+def with_message_ids(values: DataFrame, epoch: Column) -> DataFrame:
+    """``values`` with a ``key`` that is the same whenever the same epoch is sent again.
+
+    It has the epoch, a digest of the text and a number among equal texts of the epoch, so it
+    does not depend on the order that rows come in.
+    """
+    number = "row_number() OVER (PARTITION BY __epoch, value ORDER BY value)"
+    named = values.withColumn("__epoch", epoch).withColumn("__number", F.expr(number))
+    key = F.concat_ws("-", "__epoch", F.md5(col("value").cast("binary")), "__number")
+    return named.withColumn("key", key).drop("__epoch", "__number")
+
+
+def once(messages: DataFrame, delay: str) -> DataFrame:
+    """The messages without those that came before under the same topic and key.
+
+    A stream keeps a key for ``delay`` of arrival time, so an epoch that is sent again within it is read
+    once. Messages without a key are all kept.
+    """
+    keyed = messages.filter(col("key").isNotNull())
+    if messages.isStreaming:
+        keyed = keyed.withWatermark("ingest_ts", delay).dropDuplicatesWithinWatermark(["topic", "key"])
+    else:
+        keyed = keyed.dropDuplicates(["topic", "key"])
+    return keyed.unionByName(messages.filter(col("key").isNull()))
+
+
 def write_messages(
     values: DataFrame, fmt: str, options: Mapping[str, str], topic: str, mode: str = "append"
 ) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.columns import col, cols
+from tidecast.functions.names import quote
 
 EPOCH = "epoch_id"
 
@@ -26,6 +27,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return spark.read.option("header", True).options(**_CSV_TIMES).schema(schema).csv(path)
 
 
+def read_csv_lines(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """The lines of a CSV file that fit the schema, and those that do not, as ``line``.
+
+    A line does not fit if it has too many or too few fields or one that cannot be read; good
+    and rejected lines are all there are. A record is one line. With ``header`` lines that are the columns'
+    names are skipped, as each file's first line.
+    """
+    corrupt = "__line"
+    names = [f.name for f in schema.fields]
+    whole = ", ".join([f"{quote(f.name)} {f.dataType.simpleString()}" for f in schema.fields] + [f"{corrupt} string"])
+    options = {**_CSV_TIMES, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.filter(col("value") != F.lit(",".join(names)))
+    parsed = lines.select(F.from_csv("value", whole, options).alias("row")).select("row.*")
+    good = parsed.filter(col(corrupt).isNull()).select(*cols(names))
+    return good, parsed.filter(col(corrupt).isNotNull()).select(col(corrupt).alias("line"))
+
+
 def with_file_order(rows: DataFrame, name: str = "row") -> DataFrame:
     """Rows of a file scan with their place in the files: by file name, then as they stand.
 

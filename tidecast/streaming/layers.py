@@ -38,7 +38,7 @@ from tidecast.plans.layers import (
     speed_layer,
 )
 from tidecast.plans.series import with_epoch
-from tidecast.sources.messages import write_messages
+from tidecast.sources.messages import with_message_ids, write_messages
 from tidecast.sources.tables import EPOCH, append_epoch
 
 Handler = Callable[[DataFrame, int], None]
@@ -70,6 +70,7 @@ def _deliver(rows: DataFrame, targets, time, epoch_id: int, sinks: Sinks, keys)
             append_epoch(rows, sinks.predictions, epoch_id)
         if sinks.topic:
             values = prediction_messages(rows, targets, time, keys=keys)
+            values = with_message_ids(values, F.lit(epoch_id))
             write_messages(values, sinks.message_format, sinks.message_options, sinks.topic)
     finally:
         rows.unpersist()
