@@ -39,7 +39,7 @@ from tidecast.sources.scratch import fresh_dir
 #: Shards of the cycle; words of the longest phrase.
 SHARDS, LONGEST = 3, 5
 #: Bytes of normalised text in a block, and of the blocks that are counted together.
-BLOCK, SLICE = 1 << 13, 1 << 24
+BLOCK, SLICE = 1 << 13, 1 << 23
 #: A bit map has two to this power bits (8 MB). The more phrases, the more others are counted in vain.
 BITS = 26
 #: The same of the map by which the counts of a cycle are looked through (at most 8 MB of rows).
