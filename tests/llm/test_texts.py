@@ -44,6 +44,23 @@ def test_token_counts_of_awkward_rows(spark, pieces):
     assert len(pieces.encode(long[: fits[7]])) <= 100 < len(pieces.encode(long[: fits[7] + 2]))
 
 
+def test_small_caches_and_left_out_differences_change_nothing(spark, pieces, monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_UNITS", 3)
+    monkeypatch.setattr(token_counts, "KEPT_CHARS", 4)
+    counter = token_counts.PrefixCounter(open(PIECES, "rb").read())
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9))) for _ in range(12)] + ["日" * 300]
+    for _ in range(60):
+        text = " ".join(r.choices(words, k=r.randint(0, 12)))
+        assert counter.deltas(text).sum() == len(pieces.encode(text))
+        assert len(counter.ready) <= 3 and len(counter.ready_before) <= 6
+    df = awkward(spark)
+    whole = token_counts.prefix_counts(df, PIECES, 100)
+    short = token_counts.prefix_counts(df, PIECES, 100, with_deltas=False)
+    assert short.columns == whole.columns[:-1]
+    assert rows_of(short) == rows_of(whole.drop("prefix_deltas"))
+
+
 def test_models_that_move_blanks_are_refused():
     with pytest.raises(Exception):
         token_counts.PrefixCounter(b"not a model")

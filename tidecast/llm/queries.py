@@ -35,7 +35,7 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def op1_token_counts(spark, sf_dir):
     """Tokens of every text; ``fitting_chars``: the longest prefix within the limit."""
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
-    return token_counts.prefix_counts(documents, PIECES, TOKEN_LIMIT).select(
+    return token_counts.prefix_counts(documents, PIECES, TOKEN_LIMIT, with_deltas=False).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars"
     )
 

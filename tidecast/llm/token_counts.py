@@ -3,7 +3,8 @@
 A byte-pair encoding has a useful property: without its last token, the encoding
 of a prefix is the encoding of a shorter prefix, and a token may follow another
 exactly if the two encode, written together, as just those two. So for each
-prefix one token ends it, found among the pieces that end there, and
+prefix one token ends it, found among the pieces that end there (by an
+Aho-Corasick automaton of the vocabulary), and
 
     count[i] = count[i - len(token)] + 1
 
@@ -19,8 +20,11 @@ differences of a unit are kept in the worker, and a text is the units' bytes joi
 from __future__ import annotations
 
 import re
+import struct
 from functools import cache, lru_cache
+from operator import sub
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,14 +34,11 @@ from pyspark.sql import DataFrame
 from tidecast.llm.common import in_arrow
 
 BLANK = "▁"
-#: Longer units are not kept; at most about so many prefixes and whole units are, in each worker.
-KEPT_CHARS, KEPT_PREFIXES, KEPT_UNITS = 64, 800_000, 300_000
-#: After a text longer than this, whose units may be long, no whole unit is kept.
-KEPT_TEXT = 1_000_000
+#: Longer units are not kept; at most about so many units are in each of a worker's two generations.
+KEPT_CHARS, KEPT_UNITS = 64, 300_000
 
 _UNIT = re.compile(" +[^ ]*")
 DELTA = np.dtype("<i2")
-_EMPTY = (0, "", b"")
 
 
 class PrefixCounter:
@@ -60,18 +61,17 @@ class PrefixCounter:
             raise ValueError("the model does not write blanks as U+2581")
         if len(sp.encode("  ")) == 0 or not sp.encode("a", out_type=str)[0].startswith(BLANK):
             raise ValueError("the model changes white space")
-        # Every end of a piece that can be made, and whether it is such a piece itself.
-        self.tails: dict[str, bool] = {}
+        self.pieces = ahocorasick.Automaton()
         for piece in self.score:
             if self._made(piece):
-                for i in range(1, len(piece)):
-                    self.tails.setdefault(piece[i:], False)
-                self.tails[piece] = True
+                self.pieces.add_word(piece, (len(piece), piece))
+        self.pieces.make_automaton()
+        # Two generations: when the new one is full it becomes the old one, and what is still used is taken
+        # over from there, so frequent units are not worked out again.
         self.ready: dict[str, bytes] = {}
-        self.units: dict[str, tuple[int, str, bytes]] = {"": _EMPTY}
+        self.ready_before: dict[str, bytes] = {}
         self.fits = lru_cache(400_000)(self.pair)
         self.made = cache(self._made)  # as many as the vocabulary has, at most
-        self.packed = cache(lambda n: DELTA.type(n).tobytes())
 
     def _made(self, token: str) -> tuple[float, str, str] | None:
         """When a token is made (the lower, the earlier; characters were there before) and of
@@ -107,85 +107,49 @@ class PrefixCounter:
             else:
                 right, until, at_until = y, t_right, True
 
-    def grow(self, unit: str, known: dict[str, tuple[int, str, bytes]], i: int) -> None:
-        """Put count, last token and differences of the prefixes of ``unit`` into ``known``, which
-        has those of its first ``i`` characters and less."""
-        tails, fits, packed = self.tails, self.fits, self.packed
-        before, _, stored = known[unit[:i]]
-        for end in range(i + 1, len(unit) + 1):
-            tail = unit[end - 1 : end]
-            if tail not in self.score:  # written as its bytes, which never merge
-                count, last = before + len(tail.encode()), ""
-            else:
-                tokens, start = [], end - 1
-                while (whole := tails.get(tail)) is not None:  # pieces end so: go on to longer ones
-                    if whole:
-                        tokens.append((start, tail))
-                    if not start:
-                        break
-                    start -= 1
-                    tail = unit[start:end]
-                for start, last in reversed(tokens):
-                    count, left, _ = known[unit[:start]]
-                    if not left or fits(left, last):
-                        count += 1
-                        break
-                else:
-                    raise AssertionError(f"no token ends {unit[:end]!r}")
-            stored += packed(count - before)
-            known[unit[:end]] = (count, last, stored)
-            before = count
-
     def unit(self, unit: str) -> bytes:
-        """The differences of a unit; its prefixes are kept for units that share them."""
-        if len(unit) > KEPT_CHARS:
-            return self.long_unit(unit)
-        kept = self.units
-        if len(kept) >= KEPT_PREFIXES:
-            kept.clear()
-            kept[""] = _EMPTY
-        i = len(unit)
-        while unit[:i] not in kept:
-            i -= 1
-        if i < len(unit):
-            self.grow(unit, kept, i)
-        return kept[unit][2]
-
-    def long_unit(self, unit: str) -> bytes:
-        """As ``unit``, with prefixes named by their place alone, so that they are not copied."""
-        known, last = [(0, "")], []
-        for end in range(1, len(unit) + 1):
-            count, token = known[-1][0], ""
-            tail = unit[end - 1]
-            if tail not in self.score:
-                count += len(tail.encode())
-            else:
-                found, start = None, end - 1
-                while (whole := self.tails.get(tail)) is not None:
-                    if whole and (not known[start][1] or self.fits(known[start][1], tail)):
-                        found = (known[start][0] + 1, tail)
-                    if not start:
-                        break
-                    start -= 1
-                    tail = unit[start:end]
-                if found is None:
-                    raise AssertionError(f"no token ends {unit[:end]!r}")
-                count, token = found
-            last.append(self.packed(count - known[-1][0]))
-            known.append((count, token))
-        return b"".join(last)
+        """The differences of a unit, from the pieces that end at each place, longest first."""
+        counts, lasts, fits = [0], [""], self.fits
+        done = 0  # so many characters
+        for end, (size, piece) in self.pieces.iter(unit):
+            if end < done:
+                continue
+            while done < end:
+                done = self.as_bytes(unit, counts, lasts)
+            start = end + 1 - size
+            left = lasts[start]
+            if not left or fits(left, piece):
+                counts.append(counts[start] + 1)
+                lasts.append(piece)
+                done = end + 1
+        while done < len(unit):
+            done = self.as_bytes(unit, counts, lasts)
+        return struct.pack(f"<{done}h", *map(sub, counts[1:], counts))
+
+    def as_bytes(self, unit: str, counts: list[int], lasts: list[str]) -> int:
+        """The next character is none of the vocabulary: it is written as its bytes, which never merge."""
+        char = unit[len(counts) - 1]
+        if char in self.score:
+            raise AssertionError(f"no token ends {unit[: len(counts)]!r}")
+        counts.append(counts[-1] + len(char.encode()))
+        lasts.append("")
+        return len(counts) - 1
 
     def deltas(self, text: str) -> np.ndarray:
         """For each character of the text, how many tokens it adds to the prefix before it."""
         if not text:
             return np.zeros(0, DELTA)
         units = _UNIT.findall(" " + text.replace(BLANK, " "))
-        ready = self.ready
+        ready, before, long = self.ready, self.ready_before, []
         for unit in set(units).difference(ready):
-            ready[unit] = self.unit(unit)
+            ready[unit] = before[unit] if unit in before else self.unit(unit)
+            if len(unit) > KEPT_CHARS:
+                long.append(unit)
         joined = b"".join(map(ready.__getitem__, units))
-        if len(ready) > KEPT_UNITS or len(text) > KEPT_TEXT:
-            ready.clear()
+        for unit in long:
+            del ready[unit]
+        if len(ready) > KEPT_UNITS:  # one text may bring more than two generations hold
+            self.ready, self.ready_before = {}, ready if len(ready) <= 2 * KEPT_UNITS else {}
         # The blank in front belongs to no character: it counts with the first.
         out = np.frombuffer(joined, DELTA).copy()
         out[1] += out[0]
@@ -215,14 +179,16 @@ def cut_at(deltas: bytes, budget: int) -> int:
 
 
 def prefix_counts(
-    df: DataFrame, model_path: str, budget: int, doc_id: str = "doc_id", text: str = "text"
+    df: DataFrame, model_path: str, budget: int, doc_id: str = "doc_id", text: str = "text", with_deltas: bool = True
 ) -> DataFrame:
     """A row for each row: id, ``n_bytes``, ``n_tokens``, ``fitting_chars`` (the longest
-    prefix within ``budget`` tokens) and ``prefix_deltas``, the counts of all prefixes.
+    prefix within ``budget`` tokens) and, unless ``with_deltas`` is false, ``prefix_deltas``, the counts of all
+    prefixes. They are as large as the text, so a caller that needs the figures only leaves them out.
 
     Counts are those of the sentencepiece model without added tokens. Null and empty
     texts have no tokens and empty deltas. Repeated rows and null ids stay as they are,
-    and an empty table gives an empty one. Other columns are not read. The model file is
+    and an empty table gives an empty one. Other columns are not read. A long text is
+    counted whole. The model file is
     read by the driver and sent along; it is a fixed vocabulary of about half a megabyte.
     """
     with open(model_path, "rb") as file:
@@ -230,6 +196,10 @@ def prefix_counts(
     counter(model)  # refuses an unfit model here, not in a task
     kind = df.schema[doc_id].dataType.simpleString()
 
+    schema = f"doc_id {kind}, n_bytes bigint, n_tokens bigint, fitting_chars bigint"
+    if with_deltas:
+        schema += ", prefix_deltas binary"
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         count = counter(model)
         texts = pc.fill_null(batch.column(1), "")
@@ -237,19 +207,14 @@ def prefix_counts(
         for x in texts:
             d = count.deltas(x.as_py())
             n = int(d.sum(dtype=np.int64))
-            raw = d.tobytes()
             tokens.append(n)
-            cuts.append(len(d) if n <= budget and d.min(initial=0) >= 0 else cut_at(raw, budget))
-            stored.append(raw)
+            cuts.append(len(d) if n <= budget and d.min(initial=0) >= 0 else cut_at(d, budget))
+            if with_deltas:
+                stored.append(d.tobytes())
         n_bytes = pc.cast(pc.binary_length(texts), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), n_bytes, pa.array(tokens, pa.int64()), pa.array(cuts, pa.int64()), pa.array(stored, pa.binary())],
-            names=["doc_id", "n_bytes", "n_tokens", "fitting_chars", "prefix_deltas"],
-        )
-
-    rows = df.select(df[doc_id], df[text])
-    return in_arrow(
-        rows,
-        run,
-        f"doc_id {kind}, n_bytes bigint, n_tokens bigint, fitting_chars bigint, prefix_deltas binary",
-    )
+        columns = [batch.column(0), n_bytes, pa.array(tokens, pa.int64()), pa.array(cuts, pa.int64())]
+        if with_deltas:
+            columns.append(pa.array(stored, pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "fitting_chars", "prefix_deltas"][: len(columns)])
+
+    return in_arrow(df.select(df[doc_id], df[text]), run, schema)
