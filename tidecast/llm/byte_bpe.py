@@ -4,11 +4,13 @@ Token ids are kept as text while they are worked on: an id is the character with
 (ids end before the surrogates, so each is one), and a text's ids are one string. Joining,
 counting and slicing ids are then string functions, and UTF-16 turns them into numbers.
 
-The vocabulary is a literal in the plan: the ranks of all byte strings, dealt into buckets by
-their crc32, each bucket one string, so that a look-up is two string functions on it.
-A word is encoded by a fold over its bytes. The state is the byte array, a character for each
-byte, with marks around every part; each step merges the pair of lowest rank wherever it
-stands, which is one ``replace``, until no pair has a rank.
+The vocabulary is a literal in the plan, dealt into buckets by crc32, each bucket one string, so
+that a look-up is two string functions on it: one has the ranks of all byte strings, one the
+rank of what two ids make. A word is encoded by a fold over its bytes. The state is the ids of its
+parts and the rank of every neighbouring pair; each step merges the leftmost pair of lowest rank and
+looks up the two new pairs beside it, until no pair has a rank. In a long word, where the state
+is too large to be copied for every merge, a step merges the pair of lowest rank wherever it stands:
+the state is then the bytes with marks around every part, and the step is one ``replace``.
 
 Words repeat, so distinct words are encoded: a first pass counts the words of the
 table (combined before the shuffle) and encodes the ``FREQUENT`` most frequent ones
@@ -30,6 +32,8 @@ from tidecast.llm.common import free_name, written
 
 #: Words of the second literal, at most, and their longest size in characters; both bound it.
 FREQUENT, FREQUENT_CHARS = 150_000, 24
+#: Bytes from which a word is long. Both folds are exact.
+LONG = 64
 _BUCKETS = 1 << 14
 #: No character of Latin-1, so never one of a word's bytes.
 _MARK = "ā"
@@ -37,6 +41,8 @@ _MARK = "ā"
 #: of the text that has them is left out of the literal.
 _ENTRY, _VALUE, _BUCKET = "", "", ""
 _PLACES = 1 << 31
+#: The rank of a pair that has none: comes after all ids. Around a word's ids it is the edge.
+_NONE = "\ue00f"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,6 +86,20 @@ class ByteBpe:
         self.pattern = "(?U)" + pattern  # white space of all of Unicode
         self.ranks = bucketed({p.decode("latin-1"): chr(r) for p, r in ranks.items()})
         self.pieces = F.split(F.lit(" ".join(p.hex() for p in pieces)), " ")
+        made = {}
+        for p, r in ranks.items():
+            for i in range(1, len(p)):
+                a, b = ranks.get(p[:i]), ranks.get(p[i:])
+                if a is not None and b is not None:
+                    made[chr(a) + chr(b)] = chr(r)
+        self.pairs = bucketed(made)
+        self.of_byte = F.split(F.lit("".join(chr(ranks[bytes([b])]) for b in range(256))), "")
+        of_bytes = (ranks.get(bytes([a, b])) for a in range(256) for b in range(256))
+        self.of_bytes = F.split(F.lit("".join(_NONE if r is None else chr(r) for r in of_bytes)), "")
+
+    def bound(self, body) -> Column:
+        """``body`` of the two literals."""
+        return let(self.ranks, lambda ranks: let(self.pairs, lambda pairs: body(ranks, pairs)))
 
     def split(self, text: Column) -> Column:
         """The matches of the pattern, in order; together they are the text."""
@@ -104,9 +124,67 @@ class ByteBpe:
 
         return let(F.split(state, _MARK), of_parts)
 
-    def encode_word(self, word: Column, ranks: Column) -> Column:
-        """The ids of one match of the pattern. ``ranks`` is the literal, bound once for all its uses, so
-        that the plan has it once."""
+    def short_word(self, chars: Column, pairs: Column) -> Column:
+        """The ids of a word, given as a character for each byte, by single merges."""
+
+        def folded(bytes_: Column) -> Column:
+            ids = F.array_join(F.transform(bytes_, lambda c: F.get(self.of_byte, F.ascii(c))), "")
+            beside = F.zip_with(
+                bytes_,
+                F.slice(bytes_, 2, F.size(bytes_)),
+                lambda a, b: F.coalesce(F.get(self.of_bytes, F.ascii(a) * 256 + F.ascii(b)), F.lit(_NONE)),
+            )
+            # With an edge on both sides, the rank at i (from 1) is that of the characters at i and i + 1.
+            start = F.struct(
+                F.concat(F.lit(_NONE), ids, F.lit(_NONE)).alias("ids"),
+                F.concat(F.array(F.lit(_NONE)), beside).alias("ranks"),
+            )
+
+            def step(s: Column, _: Column) -> Column:
+                return let(
+                    F.array_min(s["ranks"]),
+                    lambda best: F.when(best == _NONE, s).otherwise(
+                        let(F.array_position(s["ranks"], best).cast("int"), lambda i: joined(s["ids"], s["ranks"], best, i))
+                    ),
+                )
+
+            return F.aggregate(
+                F.sequence(F.lit(1), F.size(bytes_)), start, step, lambda s: F.substring(s["ids"], F.lit(2), F.length(s["ids"]) - 2)
+            )
+
+        def joined(ids: Column, ranks: Column, best: Column, i: Column) -> Column:
+            none = F.lit(_NONE)
+            left, right = F.concat(F.substring(ids, i - 1, F.lit(1)), best), F.concat(best, F.substring(ids, i + 2, F.lit(1)))
+            new = F.array(F.coalesce(looked_up(pairs, left), none), F.coalesce(looked_up(pairs, right), none))
+            return F.struct(
+                F.concat(F.substring(ids, F.lit(1), i - 1), best, F.substring(ids, i + 2, F.length(ids))).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), i - 2), new, F.slice(ranks, i + 2, F.size(ranks))).alias("ranks"),
+            )
+
+        return let(F.split(chars, ""), folded)
+
+    def merged(self, state: Column, ranks: Column) -> Column:
+        """The state with the pair of lowest rank merged wherever it stands, from left to right; null
+        if no pair has a rank."""
+
+        def of_parts(parts: Column) -> Column:
+            # Every part has a mark of its own on both sides, so between two there is an empty one.
+            # Rank and place in one number, so that the least is the leftmost of lowest rank.
+            ranked = F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(parts) - 4, F.lit(1)), F.lit(2)),
+                lambda i: F.ascii(looked_up(ranks, F.concat(F.get(parts, i), F.get(parts, i + 2)))).cast("long") * _PLACES + i,
+            )
+            return let(F.array_min(ranked), lambda best: replaced(parts, (best % _PLACES).cast("int")))
+
+        def replaced(parts: Column, i: Column) -> Column:
+            a, b, mark = F.get(parts, i), F.get(parts, i + 2), F.lit(_MARK)
+            return F.replace(state, F.concat(mark, a, F.lit(2 * _MARK), b, mark), F.concat(mark, a, b, mark))
+
+        return let(F.split(state, _MARK), of_parts)
+
+    def encode_word(self, word: Column, ranks: Column, pairs: Column) -> Column:
+        """The ids of one match of the pattern. ``ranks`` and ``pairs`` are the literals, bound once for all their
+        uses, so that the plan has them once."""
 
         def folded(chars: Column) -> Column:
             start = F.concat(F.lit(_MARK), F.array_join(F.split(chars, ""), 2 * _MARK), F.lit(_MARK))
@@ -127,7 +205,7 @@ class ByteBpe:
             return let(F.aggregate(steps, state, step, lambda s: s["parts"]), ids)
 
         def known(chars: Column) -> Column:
-            return F.coalesce(looked_up(ranks, chars), folded(chars))
+            return F.coalesce(looked_up(ranks, chars), F.when(F.length(chars) < LONG, self.short_word(chars, pairs)).otherwise(folded(chars)))
 
         return let(F.decode(word.cast("binary"), "ISO-8859-1"), known)
 
@@ -151,7 +229,7 @@ class ByteBpe:
             least = row["count"]
         if least is None:
             return {}
-        words = counted.filter(F.col("count") >= least).select("word", let(self.ranks, lambda r: self.encode_word(F.col("word"), r)).alias("ids"))
+        words = counted.filter(F.col("count") >= least).select("word", self.bound(lambda ranks, pairs: self.encode_word(F.col("word"), ranks, pairs)).alias("ids"))
         found = words.toArrow()
         return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist()))
 
@@ -159,11 +237,11 @@ class ByteBpe:
         """The ids of a text as characters, null counting as empty."""
         words = self.split(F.coalesce(text, F.lit("")))
 
-        def encoded(known: Column, ranks: Column) -> Column:
-            found = F.transform(words, lambda w: F.coalesce(looked_up(known, w), self.encode_word(w, ranks)))
+        def encoded(known: Column, ranks: Column, pairs: Column) -> Column:
+            found = F.transform(words, lambda w: F.coalesce(looked_up(known, w), self.encode_word(w, ranks, pairs)))
             return F.array_join(found, "")
 
-        return let(bucketed(frequent), lambda known: let(self.ranks, lambda ranks: encoded(known, ranks)))
+        return let(bucketed(frequent), lambda known: self.bound(lambda ranks, pairs: encoded(known, ranks, pairs)))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the pieces of ids, which are characters, concatenated. An id outside the
