@@ -2,6 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tidecast.operators.fit import coef_matrix, fit_var, fit_wide, to_long, to_wide
@@ -10,8 +13,11 @@ from tidecast.operators.mllib import (
     fit_pipelines,
     fit_var_mllib,
     load_pipelines,
+    pipelines_of,
     predict_pipelines,
+    read_pipelines,
     save_pipelines,
+    table_of,
 )
 from tidecast.operators.predict import predict_var
 
@@ -167,6 +173,43 @@ def test_pipeline_twin(series, tmp_path):
         assert a["y2_Predict"] == pytest.approx(b["y2_Predict"], abs=1e-8)
 
 
+def test_saved_pipelines_become_tables_and_back(spark, series, tmp_path):
+    targets = ["y1", "y2"]
+    lagged = lag_features(series(noisy(120, 2, seed=4)), targets, 2, ORDER)
+    rows = lagged.selectExpr(*[f"double({c}) AS {c}" for c in ("y1", "y2", "y1_l1", "y1_l2", "y2_l1", "y2_l2")])
+    # As another job may have saved them: the lags of one target first, not all targets at lag 1.
+    mixed = VectorAssembler(inputCols=["y2_l2", "y2_l1", "y1_l2", "y1_l1"], outputCol="x")
+    models = {t: Pipeline(stages=[mixed, LinearRegression(featuresCol="x", labelCol=t)]).fit(rows) for t in targets}
+    save_pipelines(models, str(tmp_path / "a"))
+    table = read_pipelines(spark, targets, 2, str(tmp_path / "a"))
+    ours = fit_var(lagged, targets, 2)
+    assert table.dtypes == ours.dtypes
+    assert {r["n_obs"] for r in table.collect()} == {None}
+    for t in targets:
+        assert np.allclose(coefs(table, t), coefs(ours, t), atol=1e-8)
+
+    built = pipelines_of(ours, targets, 2)
+    save_pipelines(built, str(tmp_path / "b"))
+    again = read_pipelines(spark, targets, 2, str(tmp_path / "b"), 118)
+    assert sorted(again.collect()) == sorted(ours.collect())
+    by_pipeline = predict_pipelines(lagged, built, 2).orderBy("id").collect()
+    for a, b in zip(by_pipeline, predict_var(lagged, targets, 2, table).orderBy("id").collect()):
+        assert a["y1_Predict"] == pytest.approx(b["y1_Predict"], abs=1e-8)
+
+
+def test_models_that_are_no_tables_are_refused(spark, series):
+    lagged = lag_features(series(noisy(60, 2, seed=5)), ["y1", "y2"], 1, ORDER)
+    models, _ = fit_pipelines(lagged, ["y1", "y2"], 1)
+    with pytest.raises(ValueError, match="other lags"):
+        table_of(spark, models, 2)
+    with pytest.raises(ValueError, match="not an assembler"):
+        table_of(spark, {t: PipelineModel(m.stages[:1]) for t, m in models.items()}, 1)
+    table = fit_var(lagged, ["y1", "y2"], 1)
+    for bad in (table.filter("term <> 'const'"), table.union(table), table.withColumn("coef", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError, match="not one coefficient"):
+            pipelines_of(bad, ["y1", "y2"], 1)
+
+
 def test_long_and_wide_are_inverse(series):
     df = series(noisy(90, 2)).withColumn("g", F.col("id") % 3)
     wide = fit_wide(lag_features(df, ["y1", "y2"], 2, ORDER, ["g"]), ["y1", "y2"], 2, ["g"])

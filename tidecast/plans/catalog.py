@@ -25,7 +25,13 @@ from tidecast.operators import cells
 from tidecast.operators.drift import inject_abrupt, inject_gradual
 from tidecast.operators.fit import coef_matrix, fit_var
 from tidecast.operators.lags import drop_warmup, lag_features
-from tidecast.operators.mllib import fit_var_mllib
+from tidecast.operators.mllib import (
+    fit_pipelines,
+    fit_var_mllib,
+    pipelines_of,
+    read_pipelines,
+    save_pipelines,
+)
 from tidecast.operators.predict import (
     merge_predictions,
     predict_var,
@@ -184,6 +190,16 @@ def q_model_roundtrip(spark, sf_dir):
     return rounded(read_model(spark, path, "history"))
 
 
+def q_model_from_pipelines(spark, sf_dir):
+    """Saved pipelines read as a coefficient table, that table saved as pipelines, and those read again."""
+    fitted, again = fresh_dir(spark, "pipelines"), fresh_dir(spark, "pipelines")
+    models, n_obs = fit_pipelines(hourly_lags(hours(spark, sf_dir)), TARGETS, LAGS)
+    save_pipelines(models, fitted)
+    table = read_pipelines(spark, TARGETS, LAGS, fitted)
+    save_pipelines(pipelines_of(table, TARGETS, LAGS), again)
+    return rounded(read_pipelines(spark, TARGETS, LAGS, again, n_obs))
+
+
 def q_var_predict_loaded(spark, sf_dir):
     path = fresh_dir(spark, "models")
     rows = hours(spark, sf_dir)

@@ -367,6 +367,7 @@ ORACLE: dict[str, str] = {
         QUALIFY row_number() OVER w > {LAGS}""",
     "var_fit": f"WITH {IN_SAMPLE} {coefficients('model', TARGETS)}",
     "var_fit_mllib": f"WITH {IN_SAMPLE} {coefficients('model', TARGETS)}",
+    "model_from_pipelines": f"WITH {IN_SAMPLE} {coefficients('model', TARGETS)}",
     "var_fit_by_epoch": f"WITH {BOTH} {coefficients('epochs', TARGETS, ['epoch_id'])}",
     "var_fit_by_series": f"WITH {USER_FIT} {coefficients('m', ['value'], ['user_id'])}",
     "var_coef_matrix": f"WITH {IN_SAMPLE} {matrix()}",
