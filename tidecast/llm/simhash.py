@@ -443,7 +443,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame
     keyed = again.select(F.col("doc_id").alias("node"), "size", F.posexplode("keys").alias("at", "key"))
     found = written(candidates(keyed.select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))), "candidates")
     pairs, hot = found.filter("b IS NOT NULL").select("a", "b").distinct(), found.filter("b IS NULL").select("key", F.col("a").alias("node"))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    # Written, so that Spark knows its size: small, it goes to the texts, and they stay where they are.
+    wanted = written(found.select(F.explode(F.array("a", "b")).alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "wanted")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [distinct_hashes(x.as_py(), shingle) for x in batch.column(1)]
