@@ -82,6 +82,20 @@ def test_byte_bpe_equals_the_library(spark):
     assert byte_bpe.encode_decode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("long", [1, 1000])
+def test_both_folds_equal_the_library(spark, monkeypatch, long):
+    monkeypatch.setattr(byte_bpe, "LONG", long)
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={}
+    )
+    r = random.Random(8)
+    parts = ["the", "ing", "tion", "aa", "a", "é", "日本", "x", "0", "😀", "an", "in"]
+    words = ["".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(150)]  # once each, so none is frequent
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id bigint, text string")
+    for row in byte_bpe.encode_decode(df, RANKS, public_tokenizers.PATTERN).collect():
+        assert np.frombuffer(row["token_ids"], "<u4").tolist() == library.encode_ordinary(row["text"])
+
+
 def test_ids_as_numbers(spark):
     df = spark.createDataFrame([("\x00\x05ÿ\ud7ff",), ("",)], "c string")
     numbers = df.select(byte_bpe.as_numbers(F.col("c"))).collect()
