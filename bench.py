@@ -25,6 +25,7 @@ HEADLINE = [
     "drop_warmup",
     "var_fit",
     "var_fit_mllib",
+    "var_fit_wide",
     "var_fit_by_epoch",
     "var_fit_by_series",
     "var_predict_loaded",

@@ -40,6 +40,7 @@ from tidecast.operators.predict import (
 )
 from tidecast.operators.score import attach_scores, compare_approaches, residual_cov, score
 from tidecast.operators.serve import blend, by_topic, preview_latest, serving_join, time_extent
+from tidecast.operators.wide import fit_var_wide
 from tidecast.plans.layers import (
     batch_layer,
     prediction_messages,
@@ -73,6 +74,7 @@ SPEED_WEIGHT, BATCH_WEIGHT = 0.6, 0.4
 SEED = 7
 DIGITS = 6
 PREVIEW_ROWS = 10
+WIDE_LAGS = 64
 
 USER_ORDER = ["ts", "event_id"]
 EVENT_FIELDS = [("ts", "timestamp_ntz"), ("value", "double"), ("user_id", "double")]
@@ -164,6 +166,12 @@ def q_var_fit_mllib(spark, sf_dir):
     return rounded(fit_var_mllib(hourly_lags(hours(spark, sf_dir)), TARGETS, LAGS))
 
 
+def q_var_fit_wide(spark, sf_dir):
+    """A model of the last 64 values over all events."""
+    events = events_of(spark, sf_dir, "event_id", "ts", "value")
+    return rounded(fit_var_wide(lag_features(events, ["value"], WIDE_LAGS, USER_ORDER), ["value"], WIDE_LAGS))
+
+
 def q_var_fit_by_epoch(spark, sf_dir):
     lagged = lag_features(
         hours(spark, sf_dir), TARGETS, LAGS, [TIME], ["epoch_id"], max_rows=None

@@ -26,6 +26,7 @@ from tidecast.plans.catalog import (
     SPEED_WEIGHT,
     TARGETS,
     TRAIN_UNTIL,
+    WIDE_LAGS,
 )
 
 CUT = f"TIMESTAMP '{TRAIN_UNTIL}'"
@@ -357,7 +358,32 @@ PREDICT_LOADED = f"""WITH {HOURS}, {LAGGED}, {HISTORY},
 VALUES = "TS, " + ", ".join(r(c, c) for c in PAIRS)
 LINE_KEY = "l_orderkey * 8 + l_linenumber"
 
+# Raw sums as rows (i, j): 0 is the intercept, 1 to p the lags, p + 1 the value; one elimination step a round.
+WIDE_FIT = f"""WITH RECURSIVE vectors AS (
+    SELECT [1.0::DOUBLE] || list_reverse(v)[2:] || v[-1:] AS x
+    FROM (SELECT list(value) OVER (ORDER BY ts, event_id ROWS BETWEEN {WIDE_LAGS} PRECEDING AND CURRENT ROW) AS v FROM events)
+    WHERE len(v) = {WIDE_LAGS + 1} AND len(list_filter(v, lambda e: isfinite(e))) = {WIDE_LAGS + 1}
+), sums AS MATERIALIZED (
+    SELECT i, j, sum(a * b) AS v FROM (
+        SELECT x, unnest(x) AS a, unnest(range(0, {WIDE_LAGS + 2})) AS i FROM vectors
+    ), LATERAL (SELECT unnest(x) AS b, unnest(range(0, {WIDE_LAGS + 2})) AS j)
+    WHERE i <= {WIDE_LAGS} GROUP BY i, j
+), steps(s, i, j, v) AS (
+    SELECT 0, i, j, v FROM sums
+    UNION ALL
+    SELECT s + 1, i, j, CASE WHEN i = s THEN top / lead_v ELSE v - own * top / lead_v END FROM (
+        SELECT *, max(CASE WHEN i = s THEN v END) OVER (PARTITION BY j) AS top,
+            max(CASE WHEN j = s THEN v END) OVER (PARTITION BY i) AS own,
+            max(CASE WHEN i = s AND j = s THEN v END) OVER () AS lead_v
+        FROM steps WHERE s <= {WIDE_LAGS}
+    )
+)
+SELECT 'value' AS target, CASE WHEN i = 0 THEN 'const' ELSE 'value_l' || i END AS term, i::INTEGER AS lag,
+    {r("v", "coef")}, (SELECT v::BIGINT FROM sums WHERE i = 0 AND j = 0) AS n_obs, 'ok' AS status
+FROM steps WHERE s = {WIDE_LAGS + 1} AND j = {WIDE_LAGS + 1}"""
+
 ORACLE: dict[str, str] = {
+    "var_fit_wide": WIDE_FIT,
     "lag_features": EVENT_LAGS,
     "lag_features_bucketed": EVENT_LAGS,
     "lag_features_by_series": f"WITH {USER_LAGS} SELECT * FROM u",
