@@ -116,6 +116,50 @@ def test_unsplittable_order_still_right(spark):
     assert {r["name"]: r["y1_l1"] for r in got.collect()} == dict(zip("bcdef", range(5)))
 
 
+VALUE_ORDERS = [
+    (["name"], "concat('n', lpad(string(id % 211), 3, '0'), repeat('x', id % 3), id)"),
+    (["name", "id"], "if(id % 9 = 0, NULL, concat('é', id % 4))"),
+    (["name", "id"], "CAST(id % 50 AS DECIMAL(20, 3)) / 7"),
+    (["name", "id"], "CASE id % 7 WHEN 0 THEN double('NaN') WHEN 1 THEN double('-Infinity') WHEN 2 THEN -0.0D ELSE id / 3 END"),
+    (["day", "name", "id"], "concat('s', id % 5)"),
+]
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+@pytest.mark.parametrize(("order", "name"), VALUE_ORDERS)
+def test_cuts_by_text_decimal_and_double(spark, by, order, name):
+    df = spark.range(1500).selectExpr("id", "DATE '2024-01-01' AS day", f"{name} AS name", "double(id) AS y1", "if(id % 3 = 0, 'cold', NULL) AS k")
+    whole = lag_features(df, ["y1"], 2, order, by, max_rows=None)
+    assert same_rows(lag_features(df, ["y1"], 2, order, by, max_rows=40), whole)
+    assert same_rows(row_index(df, order, by, max_rows=40), row_index(df, order, by, max_rows=None))
+    cut, cells = split_hot(df, by or ["day"], order, 40)
+    assert cut.count() == 1500
+    assert cut.groupBy(*(by or ["day"]), *cells).count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_cells_by_value_from_a_share(spark):
+    """With more rows than the share takes, cells stay below twice the limit, ties on all order columns too."""
+    df = spark.range(60_000).selectExpr("id", "concat('t', id % 3) AS name", "1 AS k")
+    cut, cells = split_hot(df, ["k"], ["name"], 4000)
+    sizes = [r["count"] for r in cut.groupBy(*cells).count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) <= 8000 and len(sizes) >= 15
+
+
+def test_ties_across_cells_are_passed_on(spark):
+    """Rows that tie are in some order: every row but the first is the one before exactly one other."""
+    df = spark.range(500).selectExpr("'same' AS name", "double(id) AS y1")
+    got = lag_features(df, ["y1"], 1, ["name"], max_rows=30).collect()
+    assert len(got) == 499 and len({r["y1_l1"] for r in got}) == 499 and all(r["y1"] != r["y1_l1"] for r in got)
+
+
+def test_cells_of_steps_and_by_value_together(spark):
+    """One series is cut by times, another ties on them and is cut by the text."""
+    df = spark.range(600).selectExpr("id % 2 AS k", "if(id % 2 = 0, id, 7) AS t", "concat('n', id) AS name", "double(id) AS y1")
+    whole = lag_features(df, ["y1"], 2, ["t", "name"], ["k"], max_rows=None)
+    assert same_rows(lag_features(df, ["y1"], 2, ["t", "name"], ["k"], max_rows=25), whole)
+    assert same_rows(row_index(df, ["t", "name"], ["k"], max_rows=25), row_index(df, ["t", "name"], ["k"], max_rows=None))
+
+
 def test_warmup_rows_show_zero(series):
     df = series([(5.0,), (6.0,), (7.0,)])
     rows = lag_features(df, ["y1"], 2, ORDER, keep_warmup=True).orderBy("id").collect()

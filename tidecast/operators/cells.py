@@ -9,7 +9,14 @@ sort order into cells of at most about ``max_rows`` rows:
 2. For each hot series take min and max of its sort keys and cut the range of
    the first key that varies into equal steps. Count the cells, and cut those
    that are still too large again, inside their own range. Rows that tie on
-   one key are cut by the next one, so any total order comes apart.
+   one key are cut by the next one. Times, dates and integers are such keys.
+3. What is still too large, since its next key is a text, a decimal or a double or
+   its rows tie on all keys, is cut by value: at quantiles of whole positions, the struct
+   of all order columns and a hash of the row, which breaks ties (only rows equal in
+   every column stay together). The quantiles are those of a uniform share of the
+   positions, taken by hash, so the share of a union is the union of shares, a recomputed
+   task takes the same, and a cell has about half of ``max_rows``. Rows find their cell by
+   binary search. The hash (``__tie``) then is the last order column of the cells.
 
 A cell is named by its step numbers (``__cell_0``, ``__cell_1``, ...), which
 sort like the rows themselves; rows of other series have nulls there. The cut
@@ -32,6 +39,9 @@ from tidecast.sources.scratch import written
 MAX_ROWS = 8_000_000
 _FIXED_ZONES = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00"}
 BROADCAST_ROWS = 200_000
+#: Positions of the share that make a cell; its size varies by about one over the root of it.
+SHARE = 256
+TIE = "__tie"
 
 
 def _integer_key(name: str, dtype: T.DataType, zone: str) -> str | None:
@@ -110,14 +120,15 @@ def _numbered(rows, cuts, group, n_keys, how, name):
 def split_hot(
     df: DataFrame, by: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS
 ) -> tuple[DataFrame, list[str]]:
-    """``df`` with cell columns, and their names; no names if no series is hot.
+    """``df`` with cell columns, and their names; no names if no series is hot. With ``TIE`` among
+    its columns some were cut by value, and that is then the last order column.
 
     ``by`` must name at least one column. Runs one counting job, and a few more
     over the hot series alone if there are any.
     """
     keys = _sort_keys(df, order)
     hot = aggregate(df, by, {"__n": "count(1)"}).filter(f"__n > {max_rows}").select(*cols(by))
-    if not keys or hot.isEmpty():
+    if hot.isEmpty():
         return df, []
     hot = written(hot, "hot-series")
     n_hot = hot.count()
@@ -129,15 +140,62 @@ def split_hot(
     while True:
         group = [*by, *cells]
         stats = _stats(rows, group, len(keys))
-        cuts = written(_cuts(stats, group, len(keys), max_rows), "cell-cuts")
-        n_cuts = cuts.count()
+        cuts = written(_cuts(stats, group, len(keys), max_rows), "cell-cuts") if keys else None
+        n_cuts = cuts.count() if keys else 0
         if n_cuts == 0:
-            return out.drop(*names), cells
+            break
         name = f"__cell_{len(cells)}"
         cuts = sized(cuts, n_cuts)
         rows = _numbered(rows, cuts, group, len(keys), "inner", name)
         out = _numbered(out, cuts, group, len(keys), "left", name)
         cells.append(name)
+    # Series that no step cut are not among ``rows`` after the first round.
+    uncut = null_safe_join(out, sized(hot, n_hot), by, "left_semi") if cells else rows
+    large = aggregate(uncut, group, {"__n": "count(1)"}).filter(f"__n > {max_rows}").select(*cols(group))
+    large = written(large, "large-cells")
+    n_large = large.count()
+    out = out.drop(*names)
+    return _by_value(out, group, order, large, n_large, max_rows, cells) if n_large else (out, cells)
+
+
+def _hashed(df: DataFrame) -> str:
+    """SQL: a hash of the row, without the columns that Spark does not hash."""
+    plain = [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return f"xxhash64({', '.join(cols(plain))})"
+
+
+def _by_value(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], large: DataFrame, n_large: int, max_rows: int, cells: list[str]
+) -> tuple[DataFrame, list[str]]:
+    """``df`` with one more cell column for the ``large`` groups, cut by the positions of their rows."""
+    position = f"struct({', '.join(cols([*order, TIE]))})"
+    tied = df.withColumn(TIE, F.expr(_hashed(df)))
+    # A cell of max_rows / 2 rows is to have SHARE positions in the share, on average.
+    share = f"pmod(xxhash64({TIE}, 1), {max_rows}L) < {2 * SHARE}"
+    taken = null_safe_join(tied, sized(large, n_large), group, "left_semi").filter(share)
+    over = window(group, [*order, TIE])
+    every = min(SHARE, max(max_rows // 2, 1))
+    ends = taken.selectExpr(*cols(group), f"{position} AS __pos", f"row_number() {over} AS __at").filter(f"__at % {every} = 0")
+    cuts = written(ends.groupBy(*cols(group)).agg(F.expr("array_sort(collect_list(__pos)) AS __ends")), "value-cuts")
+    total = cuts.agg(F.sum(F.size("__ends"))).first()[0]
+    if not total:
+        return df, cells
+    name = f"__cell_{len(cells)}"
+    middle = "shiftright(s.lo + s.hi, 1)"
+    # The number of ends at or below the position.
+    found = f"""CASE WHEN __ends IS NOT NULL THEN aggregate(
+        sequence(0, int(log2(size(__ends)))), named_struct('lo', 0, 'hi', size(__ends)),
+        (s, _) -> CASE WHEN s.lo >= s.hi THEN s
+            WHEN __ends[{middle}] <= {position} THEN named_struct('lo', {middle} + 1, 'hi', s.hi)
+            ELSE named_struct('lo', s.lo, 'hi', {middle}) END,
+        s -> bigint(s.lo)) END"""
+    joined = null_safe_join(tied, sized(cuts, total), group, "left")
+    return joined.withColumn(name, F.expr(found)).drop("__ends"), [*cells, name]
+
+
+def in_cell(cells: Sequence[str]) -> str:
+    """SQL: the row's series is cut. Of some series only a later cell column is set."""
+    return f"coalesce({', '.join(cols(cells))}) IS NOT NULL"
 
 
 def sized(table: DataFrame, n_rows: int) -> DataFrame:
@@ -163,7 +221,7 @@ def preceding_rows(
     kept = cols([*order, *[c for c in columns if c not in order]])
     back = window([*by, *cells], order, descending=True)
     tails = (
-        df.filter(f"{quote(cells[0])} IS NOT NULL")
+        df.filter(in_cell(cells))
         .selectExpr(*group, *kept, f"row_number() {back} AS __back")
         .filter(f"__back <= {p}")
         .groupBy(*group)

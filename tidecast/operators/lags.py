@@ -19,23 +19,28 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.columns import aggregate, col, cols, null_safe_join, window
 from tidecast.functions.names import lag_name, quote
-from tidecast.operators.cells import MAX_ROWS, preceding_rows, sized, split_hot
+from tidecast.operators.cells import MAX_ROWS, TIE, in_cell, preceding_rows, sized, split_hot
 from tidecast.sources.scratch import written
 
 _ONE = "__all"
 
 
 def _in_cells(df, by, order, max_rows):
-    """``(df, by, cells)``; with no ``by`` and no cells ``by`` stays empty."""
+    """``(df, by, cells, order)``; with no ``by`` and no cells ``by`` stays empty."""
+    order = list(order)
     if max_rows is None:
-        return df, list(by), []
+        return df, list(by), [], order
     if by:
         out, cells = split_hot(df, by, order, max_rows)
-        return out, list(by), cells
-    if df.count() <= max_rows:
-        return df, [], []
-    out, cells = split_hot(df.withColumn(_ONE, F.lit(0)), [_ONE], order, max_rows)
-    return (out, [_ONE], cells) if cells else (df, [], [])
+        keys = list(by)
+    elif df.count() <= max_rows:
+        return df, [], [], order
+    else:
+        out, cells = split_hot(df.withColumn(_ONE, F.lit(0)), [_ONE], order, max_rows)
+        if not cells:
+            return df, [], [], order
+        keys = [_ONE]
+    return out, keys, cells, [*order, TIE] if TIE in out.columns else order
 
 
 def lag_features(
@@ -52,7 +57,7 @@ def lag_features(
     The first p rows of a series, which lack some lag, are dropped;
     ``keep_warmup`` keeps them, with 0 for the lags they lack.
     """
-    rows, keys, cells = _in_cells(df, by, order, max_rows)
+    rows, keys, cells, order = _in_cells(df, by, order, max_rows)
     if cells:
         before = preceding_rows(rows, targets, p, order, keys, cells)
         rows = rows.withColumn("__copy", F.lit(False)).unionByName(
@@ -69,7 +74,7 @@ def lag_features(
         f"lag(1, {p}, 0) {over} AS __full",
     )
     if cells:
-        lagged = lagged.filter("NOT __copy").drop("__copy", *cells)
+        lagged = lagged.filter("NOT __copy").drop("__copy", *cells, TIE)
     if not keep_warmup:
         lagged = lagged.filter("__full = 1")
     return lagged.drop("__full", _ONE)
@@ -83,7 +88,7 @@ def row_index(
     max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Append the position of each row in its series, counting from 0."""
-    rows, keys, cells = _in_cells(df, by, order, max_rows)
+    rows, keys, cells, order = _in_cells(df, by, order, max_rows)
     group = [*keys, *cells]
     numbered = rows.withColumn(name, F.expr(f"bigint(row_number() {window(group, order)} - 1)"))
     if not cells:
@@ -91,14 +96,14 @@ def row_index(
     # Rows ahead of each cell, by a running sum over the cell counts. Cells of
     # series that are not hot have null names and start at 0.
     counts = aggregate(
-        rows.filter(f"{quote(cells[0])} IS NOT NULL"), group, {"__n": "count(1)"}
+        rows.filter(in_cell(cells)), group, {"__n": "count(1)"}
     )
     ahead = f"sum(__n) {window(keys, cells)} - __n AS __start"
     starts = written(counts.selectExpr(*cols(group), ahead), "cell-starts")
     return (
         null_safe_join(numbered, sized(starts, starts.count()), group, "left")
         .withColumn(name, col(name) + F.coalesce("__start", F.lit(0)))
-        .drop("__start", _ONE, *cells)
+        .drop("__start", _ONE, *cells, TIE)
     )
 
 

@@ -149,6 +149,13 @@ def q_lag_features_bucketed(spark, sf_dir):
     return lag_features(events, ["value"], LAGS, USER_ORDER, max_rows=max_rows)
 
 
+def q_lag_features_by_value(spark, sf_dir):
+    """The events as one hot series in the order of a text and a double, cut into cells by value."""
+    events = events_of(spark, sf_dir, "event_id", "event_type", "value")
+    max_rows = min(cells.MAX_ROWS, max(1, events.count() // 8))
+    return lag_features(events, ["value"], LAGS, ["event_type", "value", "event_id"], max_rows=max_rows)
+
+
 def q_drop_warmup(spark, sf_dir):
     return drop_warmup(
         events_of(spark, sf_dir, "user_id", "ts", "event_id"), LAGS, USER_ORDER, ["user_id"]

@@ -386,6 +386,9 @@ ORACLE: dict[str, str] = {
     "var_fit_wide": WIDE_FIT,
     "lag_features": EVENT_LAGS,
     "lag_features_bucketed": EVENT_LAGS,
+    "lag_features_by_value": f"""SELECT event_id, event_type, value, lag(value, 1) OVER w AS value_l1, lag(value, 2) OVER w AS value_l2
+        FROM events WINDOW w AS (ORDER BY event_type NULLS FIRST, value NULLS FIRST, event_id)
+        QUALIFY row_number() OVER w > {LAGS}""",
     "lag_features_by_series": f"WITH {USER_LAGS} SELECT * FROM u",
     "stream_lag_continuous": f"WITH {USER_LAGS} SELECT * FROM u",
     "drop_warmup": f"""SELECT user_id, ts, event_id, row_number() OVER w - 1 AS rid,
