@@ -27,6 +27,7 @@ way, and are broadcast only when their counted size is small.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,12 +90,14 @@ def _stats(rows: DataFrame, group: Sequence[str], n_keys: int) -> DataFrame:
 
 def _first_varying(n_keys: int, value: str) -> str:
     """SQL: ``value`` of the first sort key that is not constant in the cell."""
+    if not n_keys:
+        return "bigint(NULL)"
     cases = [f"WHEN __hi{i} > __lo{i} THEN {value.format(i)}" for i in range(n_keys)]
     return f"CASE {' '.join(cases)} END"
 
 
 def _cuts(stats: DataFrame, group: Sequence[str], n_keys: int, max_rows: int) -> DataFrame:
-    """Start and step for each group above ``max_rows`` that can be cut."""
+    """Start and step for each group above ``max_rows``; nulls where no key varies."""
     lo, hi = _first_varying(n_keys, "__lo{}"), _first_varying(n_keys, "__hi{}")
     pieces = f"bigint(ceil(__n * 2 / {max_rows}))"
     return (
@@ -105,7 +108,6 @@ def _cuts(stats: DataFrame, group: Sequence[str], n_keys: int, max_rows: int) ->
             f"{lo} AS __start",
             f"({hi} - {lo}) div {pieces} + 1 AS __step",
         )
-        .filter("__key IS NOT NULL")
     )
 
 
@@ -137,25 +139,27 @@ def split_hot(
     rows = null_safe_join(narrow, sized(hot, n_hot), by, "left_semi")
     out = df.selectExpr("*", *[f"{k} AS {n}" for k, n in zip(keys, names)])
     cells: list[str] = []
+    stuck: list[DataFrame] = []
     while True:
         group = [*by, *cells]
-        stats = _stats(rows, group, len(keys))
-        cuts = written(_cuts(stats, group, len(keys), max_rows), "cell-cuts") if keys else None
-        n_cuts = cuts.count() if keys else 0
+        found = written(_cuts(_stats(rows, group, len(keys)), group, len(keys), max_rows), "cell-cuts")
+        n_large, n_cuts = found.agg(F.count("*"), F.count("__key")).first()
+        if n_large > n_cuts:
+            stuck.append(found.filter("__key IS NULL").select(*cols(group)))
         if n_cuts == 0:
             break
         name = f"__cell_{len(cells)}"
-        cuts = sized(cuts, n_cuts)
+        cuts = sized(found.filter("__key IS NOT NULL"), n_cuts)
         rows = _numbered(rows, cuts, group, len(keys), "inner", name)
         out = _numbered(out, cuts, group, len(keys), "left", name)
         cells.append(name)
-    # Series that no step cut are not among ``rows`` after the first round.
-    uncut = null_safe_join(out, sized(hot, n_hot), by, "left_semi") if cells else rows
-    large = aggregate(uncut, group, {"__n": "count(1)"}).filter(f"__n > {max_rows}").select(*cols(group))
-    large = written(large, "large-cells")
-    n_large = large.count()
     out = out.drop(*names)
-    return _by_value(out, group, order, large, n_large, max_rows, cells) if n_large else (out, cells)
+    if not stuck:
+        return out, cells
+    # A group that was stuck in an earlier round has nulls for the cells of later ones.
+    missing = [F.lit(None).cast("bigint").alias(c) for c in cells]
+    large = reduce(lambda a, b: a.unionByName(b), [t.select("*", *missing[len(t.columns) - len(by) :]) for t in stuck])
+    return _by_value(out, group, order, written(large, "large-cells"), max_rows, cells)
 
 
 def _hashed(df: DataFrame) -> str:
@@ -165,14 +169,14 @@ def _hashed(df: DataFrame) -> str:
 
 
 def _by_value(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], large: DataFrame, n_large: int, max_rows: int, cells: list[str]
+    df: DataFrame, group: Sequence[str], order: Sequence[str], large: DataFrame, max_rows: int, cells: list[str]
 ) -> tuple[DataFrame, list[str]]:
     """``df`` with one more cell column for the ``large`` groups, cut by the positions of their rows."""
     position = f"struct({', '.join(cols([*order, TIE]))})"
     tied = df.withColumn(TIE, F.expr(_hashed(df)))
     # A cell of max_rows / 2 rows is to have SHARE positions in the share, on average.
     share = f"pmod(xxhash64({TIE}, 1), {max_rows}L) < {2 * SHARE}"
-    taken = null_safe_join(tied, sized(large, n_large), group, "left_semi").filter(share)
+    taken = null_safe_join(tied, sized(large, large.count()), group, "left_semi").filter(share)
     over = window(group, [*order, TIE])
     every = min(SHARE, max(max_rows // 2, 1))
     ends = taken.selectExpr(*cols(group), f"{position} AS __pos", f"row_number() {over} AS __at").filter(f"__at % {every} = 0")
