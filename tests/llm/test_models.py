@@ -119,6 +119,52 @@ def test_licences_are_found_and_inherited(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+GNU = "you can redistribute it and/or modify\n# it under the terms of the GNU {} License as published by\n# the Free Software Foundation, either version {} of the License, or"
+NOTICES = [
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance', "Apache-2.0"),
+    ("The article ends here and is our own. Released under the MIT License.", "MIT"),
+    ("# Licensed under the MIT license. See LICENSE file in the project root for full text.", "MIT"),
+    ("Copyright (c) 2024 Jane Doe. All rights reserved.", "proprietary"),
+    ("MIT License\n\nCopyright (c) 2024 Jane Doe", "MIT"),
+    ("a page that mentions the MIT License in passing", None),
+    ("# This program is free software: " + GNU.format("General Public", 3), "GPL-3.0"),
+    ("# This program is free software: " + GNU.format("General Public", 2), "GPL-2.0"),
+    ("# This program is free software: " + GNU.format("Lesser General Public", 3), "LGPL-3.0"),
+    ("# This program is free software: " + GNU.format("Affero General Public", 3), "AGPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 9.", None),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons\nAttribution 4.0 International License.", "CC-BY-4.0"),
+    ("Copyright 2020 X. All rights reserved. SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("x " * 3000 + "licensed under the apache\n * license, version 2.0" + " y" * 3000, "Apache-2.0"),
+    ("all rights of the reserved kind, licensed to nobody, a general public", None),
+]
+
+
+def test_notices_of_headers(spark):
+    files = [("f", i, f"d{i}/x.py", text) for i, (text, _) in enumerate(NOTICES)]
+    got = licenses.scan(spark.createDataFrame(files, "kind string, id int, path string, text string"))
+    assert {NOTICES[r["id"]][0][:80]: r["own_licence"] for r in got.collect()} == {t[:80]: name for t, name in NOTICES}
+
+
+def test_whole_licence_files_and_ties(spark):
+    """A whole text in a licence file, reworded a little; of equally near licences the first name."""
+    text = next(t for t in licenses.TEMPLATES["MIT"] if len(t) > 300).replace("to deal in the Software", "to deal with the Software")
+    files = [
+        ("f", 1, "a/LICENSE", "Copyright (c) 2024 Jane Doe\n\n" + text.replace(", ", ",\n")),
+        ("f", 2, "a/src/x.c", "int x;"),
+        ("f", 3, "b/x.c", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC"),
+        ("f", 4, "c/COPYING", "This is under the MIT License"),
+        ("f", 5, "c/y.c", ""),
+    ]
+    got = licenses.scan(spark.createDataFrame(files, "kind string, id int, path string, text string")).collect()
+    assert {r["id"]: (r["own_licence"], r["licence"]) for r in got} == {
+        1: ("MIT", "MIT"), 2: (None, "MIT"), 3: ("ISC", "ISC"), 4: ("MIT", "MIT"), 5: (None, "MIT"),
+    }
+
+
 def test_telling_words_lose_no_line():
     """A line of a template's words without the telling ones stays below the threshold."""
     templates = licenses.Templates()

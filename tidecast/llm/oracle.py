@@ -55,10 +55,14 @@ ORACLE: dict[str, str] = {"op9_quality": _quality()}
 def _licenses() -> str:
     t = licenses.Templates()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    terms = ", ".join(f"({i}, {quote(n)}, {quote(w)}, {x!r}::DOUBLE)" for i, n, w, x in t.terms)
+    terms = ", ".join(f"({i}, {quote(w)}, {x!r}::DOUBLE, {w in t.required[i]})" for i, _, w, x in t.terms)
     idf = ", ".join(f"({quote(w)}, {x!r}::DOUBLE)" for w, x in t.idf.items())
+    anchors = ", ".join(f"({quote(w)}, {i}, {quote(name)}, {title}, {k}, {n})" for w, i, name, title, k, n in t.anchors(licenses.LEAST))
+    order = lambda name: f"{{'last': {name} = '{licenses.LAST}', 's': -similarity, 'licence': {name}}}"
     return rf"""
-        WITH terms(template, licence, token, weight) AS (VALUES {terms}), idf(token, idf) AS (VALUES {idf}),
+        WITH terms(template, token, weight, needed) AS (VALUES {terms}), idf(token, idf) AS (VALUES {idf}),
+        anchors(token, template, licence, is_title, place, n) AS (VALUES {anchors}),
+        needs AS (SELECT template, count(*) FILTER (needed) AS needs FROM terms GROUP BY template),
         files AS (
             SELECT 'document' AS kind, doc_id AS id, source || '/' || doc_id AS path, text FROM documents
             UNION ALL
@@ -66,25 +70,37 @@ def _licenses() -> str:
                 translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
                     || regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1),
                 regexp_replace(html, '<[^>]*>', chr(10), 'g') FROM pages
-        ), lines AS (SELECT kind, id, path, unnest(string_split(text, chr(10))) AS line FROM files),
-        tokens AS (
-            SELECT line, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.TOKEN}')) AS token
-            FROM (SELECT DISTINCT line FROM lines)
-        ), weighted AS (
-            SELECT line, token, count(*) * coalesce(any_value(idf), {t.rare!r}) AS x
-            FROM tokens LEFT JOIN idf USING (token) GROUP BY line, token
-        ), norms AS (SELECT line, sqrt(sum(x * x)) AS norm FROM weighted GROUP BY line),
-        dots AS (SELECT line, template, licence, sum(x * weight) AS dot FROM weighted JOIN terms USING (token) GROUP BY ALL),
-        near AS (
-            SELECT line, b FROM (
-                SELECT line, min({{'s': -round(dot / norm, 6), 'licence': licence}}) AS b FROM dots JOIN norms USING (line) GROUP BY line
-            ) WHERE -b.s >= {licenses.LEAST}
-        ), best AS (SELECT kind, id, path, min(b) AS b FROM lines JOIN near USING (line) GROUP BY ALL),
-        scanned AS (
+        ), texts AS MATERIALIZED (
+            SELECT row_number() OVER () AS file, path,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.TOKEN}') AS w, kind, id
+            FROM files
+        ), tokens AS (SELECT file, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS pos FROM texts),
+        placed AS (
+            SELECT file, template, licence, n, pos - place AS start, is_title FROM tokens JOIN anchors USING (token)
+        ), windows AS MATERIALIZED (
+            SELECT DISTINCT file, template, licence, array_to_string(w[greatest(start, 1) : start + n - 1], ' ') AS win
+            FROM placed JOIN texts USING (file)
+            WHERE NOT is_title OR start = 1 OR coalesce(regexp_matches(path, '{licenses.LICENCE_FILE}'), false)
+        ), counted AS (
+            SELECT win, template, token, count(*) AS c
+            FROM (SELECT win, template, unnest(string_split(win, ' ')) AS token FROM (SELECT DISTINCT win, template FROM windows)) GROUP BY ALL
+        ), near AS (
+            SELECT win, template, round(sum(x * coalesce(weight, 0)) / sqrt(sum(x * x)), 6) AS similarity
+            FROM (
+                SELECT win, c.template, weight, needed, c * coalesce(idf, {t.rare!r}) AS x
+                FROM counted c LEFT JOIN idf USING (token) LEFT JOIN terms ON terms.template = c.template AND terms.token = c.token
+            ) JOIN needs USING (template)
+            GROUP BY win, template, needs HAVING count(*) FILTER (needed) = needs
+        ), best AS (
+            SELECT file, min({order("licence")}) AS b FROM windows JOIN near USING (win, template)
+            WHERE similarity >= {licenses.LEAST} GROUP BY file
+        ), own AS (
+            SELECT kind, id, path, min(b) AS b FROM texts JOIN best USING (file) GROUP BY ALL
+        ), scanned AS (
             SELECT f.kind, f.id, f.path, -b.s AS similarity, b.licence AS own_licence, regexp_extract(f.path, '(?s)^(.*/)?[^/]*$', 1) AS folder
-            FROM files f LEFT JOIN best ON f.kind = best.kind AND f.id IS NOT DISTINCT FROM best.id AND f.path IS NOT DISTINCT FROM best.path
+            FROM files f LEFT JOIN own ON f.kind = own.kind AND f.id IS NOT DISTINCT FROM own.id AND f.path IS NOT DISTINCT FROM own.path
         ), declared AS (
-            SELECT folder AS above, min({{'s': -similarity, 'licence': own_licence}}).licence AS declared FROM scanned
+            SELECT folder AS above, min({order("own_licence")}).licence AS declared FROM scanned
             WHERE own_licence IS NOT NULL AND (ends_with(path, '/') OR regexp_matches(path, '{licenses.LICENCE_FILE}')) GROUP BY 1
         ), inherited AS (
             SELECT folder, max({{'n': length(above), 'above': above, 'declared': declared}}) AS n
@@ -161,7 +177,8 @@ def _collocations() -> str:
             SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
                 SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
                 FROM documents)
         ), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
         f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL HAVING count(*) >= {least}),
