@@ -165,6 +165,25 @@ def test_whole_licence_files_and_ties(spark):
     }
 
 
+def test_notices_without_their_longest_words(spark):
+    """A notice is found by any of its telling words, not only by the three longest, which these lack."""
+    notice = "Permssion is hereby granted, free of charge, to any person obtainng a copy of this softwre"
+    templates = licenses.Templates()
+    assert not {a[0] for a in templates.anchors(licenses.LEAST) if a[1] == 5} & set(notice.lower().replace(",", "").split())
+    files = [("f", 1, "a/x.c", "x\n" * 50 + notice), ("f", 2, "b/x.c", "granted to nobody, a charge to every person")]
+    got = licenses.scan(spark.createDataFrame(files, "kind string, id int, path string, text string"))
+    assert {r["id"]: r["own_licence"] for r in got.collect()} == {1: "MIT", 2: None}
+
+
+def test_files_left_out_have_no_window_near_enough():
+    """Gates and the bound on cosines: a text of a template's required words and enough others passes both."""
+    templates = licenses.Templates()
+    gates = set(templates.gates(licenses.LEAST))
+    for i, required in enumerate(templates.required):
+        weights = {w: x for t, _, w, x in templates.terms if t == i}
+        assert required & gates or sum(x * x for w, x in weights.items() if w not in gates) ** 0.5 < licenses.LEAST
+
+
 def test_telling_words_lose_no_line():
     """A line of a template's words without the telling ones stays below the threshold."""
     templates = licenses.Templates()
