@@ -99,6 +99,21 @@ def test_copies_are_exact_around_the_border(spark):
     assert {x["doc_id"] for x in simhash.copies(df, 5).collect()} == expected
 
 
+def test_fingerprints_propose_and_the_exact_check_decides(spark, monkeypatch):
+    """The stage goes by the fingerprints of op6: what they propose is confirmed or dropped, and the rest is still found."""
+    rows = around_the_border(np.random.default_rng(9), 20)
+    asked, links = [], simhash.links
+
+    def seen(nodes):
+        asked.append(nodes.count())
+        return links(nodes, 14)  # wide, so that some proposals are none
+
+    monkeypatch.setattr(simhash, "links", seen)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x["doc_id"] for x in simhash.without_copies(df, 5).collect()} == {i for i, _ in rows} - exact_copies(rows)
+    assert asked and asked[0] > len(rows) / 2
+
+
 def test_a_repeated_line_makes_no_copies(spark):
     """Long texts that share one line, repeated between words of their own."""
     r = np.random.default_rng(8)

@@ -18,8 +18,9 @@ not all pairs, which keeps a group of near copies linear and loses no connection
 
 Components then come from links to ever smaller numbers, by joins and minima.
 
-``copies`` uses no fingerprints: it links texts by the exact Jaccard similarity of their distinct shingles,
-with candidates from a prefix filter, which loses none.
+``copies`` links texts by the exact Jaccard similarity of their distinct shingles. Fingerprints of these propose
+links as above, and those that the exact check confirms make components; a prefix filter, which loses no pair,
+has the candidates beyond them, of which only those between two components are compared.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ GROUP, LANES = 1024, 1 << 16
 #: most keys that are taken last; sets of a bundle and shingles in them, at most on average; shingles that are compared at once.
 SIMILAR = (4, 5)
 MEMBERS, COMMON = 64, 1 << 20
+#: One of so many parts of two sets is compared before the whole sets are.
+PARTS = 4
 BUNDLE, BUNDLE_HASHES, WORDS = 256, 1 << 16, 4096
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -285,15 +288,16 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 def prefixes(df: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
     """``doc_id, text`` to ``doc_id``, ``same`` (a digest that equal shingle sets share), ``size`` of the set and
-    ``keys``, its first shingles: by hash, but those in ``common`` (ascending) last.
+    ``keys``, its first shingles: by hash, but those in ``common`` (ascending) last, and ``bits``, its fingerprint.
 
     If at least 0.8 n of n elements are in another set, the first n - 0.8 n + 1 of both, in one order, have one in common.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, keys = [], [], []
+        same, size, keys, bits = [], [], [], []
         for x in batch.column(1):
             h = distinct_hashes(x.as_py(), shingle)
+            bits.append(majority(h))
             same.append(xxhash.xxh128_digest(h.tobytes()))
             size.append(len(h))
             if len(common):
@@ -301,9 +305,10 @@ def prefixes(df: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
                 h = np.append(h[~late], h[late])
             keys.append(h[: len(h) + 1 + -len(h) * SIMILAR[0] // SIMILAR[1]] if len(h) else h)
         columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), _lists(keys)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "size", "keys"])
+        columns.append(pa.array(np.array(bits, np.uint64).view(np.int64)))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "size", "keys", "bits"])
 
-    return in_arrow(df, run, "doc_id bigint, same binary, size int, keys array<bigint>")
+    return in_arrow(df, run, "doc_id bigint, same binary, size int, keys array<bigint>, bits bigint")
 
 
 def common_keys(prints: DataFrame) -> np.ndarray:
@@ -435,27 +440,72 @@ def bundled_links(hot: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("x") != F.col("y"), F.col("left")), "right").mapInArrow(run, "a bigint, b bigint")
 
 
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """``a, b``: links between nodes (``node, bits``), which connect all whose fingerprints are within the radius."""
+    firsts = written(nodes.groupBy("bits").agg(F.min("node").alias("node")), "nodes")
+    equal = nodes.join(firsts.withColumnRenamed("node", "a"), "bits").select("a", F.col("node").alias("b")).filter("a <> b")
+    return equal.unionByName(links(firsts))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (``a, b``) whose sets (``node, hashes, n_part``) are similar.
+
+    First by the hashes of one part, which stand first: similar sets differ in few elements, so pairs that differ in
+    more than those within the part are none, and their whole sets stay where they are.
+    """
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        return sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+
+    own = sets_of(pairs)
+    part = [F.slice("hashes", F.lit(1), F.col("n_part")).alias("part"), F.size("hashes").alias("size")]
+    x, y = (own.select(F.col("node").alias(c), F.struct(*part).alias(f"{c}_set")) for c in "ab")
+    shared = F.size(F.array_intersect("a_set.part", "b_set.part"))
+    differ = F.size("a_set.part") + F.size("b_set.part") - 2 * shared
+    most = (SIMILAR[1] - SIMILAR[0]) * (F.col("a_set.size") + F.col("b_set.size"))
+    left = pairs.join(x, "a").join(y, "b").filter((SIMILAR[0] + SIMILAR[1]) * differ <= most)
+    left = written(left.select("a", "b"), "pairs")
+    own = sets_of(left)
+    x, y = (own.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
+    shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    return left.join(x, "a").join(y, "b").filter(similar(shared, F.size("a_hashes"), F.size("b_hashes"))).select("a", "b")
+
+
+def between(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Those of the pairs (``a, b``) that are not in one component (``node, component``) already."""
+    x, y = (components.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab")
+    apart = F.coalesce("a_in", "a") != F.coalesce("b_in", "b")
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(apart).select("a", "b")
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
     """``a, b``: links that connect all nodes whose shingle sets are similar, and no others. A node is the
-    smallest id of equal sets, in ``prints`` (``doc_id, same, keys``) of ``docs``."""
-    firsts = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    again = prefixes(docs, shingle, common_keys(prints)).filter("size > 0").join(firsts, ["same", "doc_id"], "left_semi")
+    smallest id of equal sets, in ``prints`` (``doc_id, same, keys, bits``) of ``docs``."""
+    firsts = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("size").alias("size"))
+    proposed = written(fingerprint_links(firsts.filter("size > 0").select(F.col("doc_id").alias("node"), "bits")), "fingerprint-links")
+    again = prefixes(docs, shingle, common_keys(prints)).drop("bits").filter("size > 0").join(firsts, ["same", "doc_id"], "left_semi")
     keyed = again.select(F.col("doc_id").alias("node"), "size", F.posexplode("keys").alias("at", "key"))
     found = written(candidates(keyed.select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))), "candidates")
     pairs, hot = found.filter("b IS NOT NULL").select("a", "b").distinct(), found.filter("b IS NULL").select("key", F.col("a").alias("node"))
     # Written, so that Spark knows its size: small, it goes to the texts, and they stay where they are.
-    wanted = written(found.select(F.explode(F.array("a", "b")).alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "wanted")
+    wanted = found.select("a", "b").unionByName(proposed).select(F.explode(F.array("a", "b")).alias("doc_id"))
+    wanted = written(wanted.filter("doc_id IS NOT NULL").distinct(), "wanted")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [distinct_hashes(x.as_py(), shingle) for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["node", "hashes"])
+        sets, n_part = [], []
+        for x in batch.column(1):
+            h = distinct_hashes(x.as_py(), shingle)
+            first = h % PARTS == 0
+            sets.append(np.append(h[first], h[~first]))
+            n_part.append(int(first.sum()))
+        return pa.RecordBatch.from_arrays([batch.column(0), _lists(sets), pa.array(n_part, pa.int32())], names=["node", "hashes", "n_part"])
 
-    sets = in_arrow(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), hashed, "node bigint, hashes array<bigint>")
+    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    sets = in_arrow(texts, hashed, "node bigint, hashes array<bigint>, n_part int")
     sets = written(sets.filter("size(hashes) > 0"), "sets")
-    x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
-    shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    exact = pairs.join(x, "a").join(y, "b").filter(similar(shared, F.size("a_hashes"), F.size("b_hashes"))).select("a", "b")
-    return exact.unionByName(bundled_links(hot, sets))
+    near = written(confirmed(proposed, sets), "near")
+    apart = written(between(pairs, components(near)), "apart")
+    return near.unionByName(confirmed(apart, sets)).unionByName(bundled_links(hot, sets))
 
 
 def copies(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
