@@ -217,6 +217,25 @@ def test_stream_lags_equal_batch(spark, n_targets):
     assert behind[0]["y1_l1"] is None
 
 
+def test_many_series_share_few_states(spark):
+    """Series of a shard stay apart: null keys, integers that no float holds, dates; rows that wait, a restart."""
+    start, big = dt.datetime(2024, 1, 1), (1 << 60) + 1
+    keys = [(n, d) for n in (None, 0, big, big + 1, *range(2, 40)) for d in (None, dt.date(2024, 1, 1))]
+    data = [(start + dt.timedelta(hours=h), *key, float(1000 * i + h)) for i, key in enumerate(keys) for h in range(i % 3, 12)]
+    df = spark.createDataFrame(data, "ts timestamp_ntz, n bigint, d date, y double")
+    box, path, state = (fresh_dir(spark, x) for x in ("box", "lags", "cp"))
+    end = spark.createDataFrame([(start + dt.timedelta(days=3), -1, None, 0.0)], df.schema)
+    for part in (df.filter("hour(ts) % 8 < 5"), df.filter("hour(ts) % 8 >= 5"), end):
+        part.orderBy(F.rand(1)).coalesce(2).write.mode("append").parquet(box)
+        stream = spark.readStream.schema(df.schema).parquet(box)
+        query = to_files(stream_lags(stream, ["y"], 2, ["ts"], ["n", "d"], "10 hours", shards=5), path, state)
+        run(query)
+        states = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+        assert max(states) <= 5
+    out = read_table(spark, path)
+    assert same_rows(out.drop("late"), lag_features(df, ["y"], 2, ["ts"], ["n", "d"])) and out.filter("late").count() == 0
+
+
 def test_serving_stream_joins_over_batches(spark):
     """The two predictions of a time come in different micro-batches."""
     schema = "TS timestamp_ntz, y double, y_Predict double, RMSE_Score double"
