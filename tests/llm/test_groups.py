@@ -230,3 +230,22 @@ def test_contained_items_equal_brute_force(spark):
     assert left.count() == sum(d not in gone for d, _ in documents)
     assert decontaminate.contained(docs.limit(0), bench).count() == 0
     assert decontaminate.contained(docs, bench.limit(0)).count() == 0
+
+
+def test_hashes_of_texts_travel_for_repeated_ids_only(spark, monkeypatch):
+    """They do not compress, and every piece of a text takes one along."""
+    seen, named = [], suffix_dedup.named_pieces
+
+    def kept(docs, parts):
+        seen.extend(docs.select("doc_id", "text_hash").collect())
+        return named(docs, parts)
+
+    monkeypatch.setattr(suffix_dedup, "named_pieces", kept)
+    same, own = "a passage that stands in three of these texts here, twice under one id", "x" * 60
+    rows = [(1, same), (2, f"{own} {same}"), (2, f"{same} {own[:9]}"), (3, own[:55])]
+    got = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got) == sorted(
+        (d, len(t), len(same) if d == 2 else 55 if d == 3 else 0) for d, t in rows
+    )
+    assert {r["text_hash"] for r in seen if r["doc_id"] != 2} == {0}
+    assert len({r["text_hash"] for r in seen if r["doc_id"] == 2} - {0}) == 2

@@ -32,9 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import free_name, in_arrow, slices
+from tidecast.llm.common import free_name, in_arrow, slices, written
 
 LENGTH, SEED_BYTES = 50, 16
+#: Level of compression of packed rows.
+LEVEL = 5
 #: Bytes of text that a task names at once, and bytes of text for each part.
 CHUNK, PART = 2 << 20, 8 << 20
 
@@ -103,7 +105,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
         out.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -379,7 +381,12 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     spans, id_, hash_ = (free_name(df, x) for x in ("spans", "spans_id", "spans_hash"))
     fit = df[doc_id].isNotNull() & (F.octet_length(df[text]) >= LENGTH)
-    keyed = df.withColumn(id_, F.coalesce(df[doc_id].cast("bigint"), F.lit(0))).withColumn(hash_, F.xxhash64(df[text]))
+    # A text's hash tells rows with one id apart. Every piece takes it along, and it does not compress, so it is zero elsewhere.
+    number = df[doc_id].cast("bigint")
+    again = df.filter(number.isNotNull()).groupBy(number.alias(id_)).count().filter("count > 1")
+    again = written(again.select(id_, F.lit(True).alias(hash_)), "repeated-ids")
+    keyed = df.withColumn(id_, F.coalesce(number, F.lit(0))).join(again, id_, "left")
+    keyed = keyed.withColumn(hash_, F.when(F.col(hash_), F.xxhash64(df[text])).otherwise(F.lit(0).cast("bigint")))
     docs = keyed.filter(fit)
     own = docs.select(F.col(id_).alias("doc_id"), F.col(hash_).alias("text_hash"), F.col(text).alias("text"))
     total = own.select(F.sum(F.octet_length("text").cast("bigint"))).collect()[0][0] or 0
