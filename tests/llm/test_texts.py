@@ -96,6 +96,13 @@ def test_both_folds_equal_the_library(spark, monkeypatch, long):
         assert np.frombuffer(row["token_ids"], "<u4").tolist() == library.encode_ordinary(row["text"])
 
 
+def test_vocabulary_is_not_in_the_plans_text(spark):
+    df = spark.createDataFrame([(i, f"word{i % 40} other") for i in range(200)], "doc_id bigint, text string")
+    coded = byte_bpe.encode_decode(df, RANKS, public_tokenizers.PATTERN)
+    assert len(coded._jdf.queryExecution().toString()) < 500_000  # Spark keeps this text for every query
+    assert coded.count() == coded.filter("decoded = CAST(text AS BINARY)").count() == 200
+
+
 def test_ids_as_numbers(spark):
     df = spark.createDataFrame([("\x00\x05ÿ\ud7ff",), ("",)], "c string")
     numbers = df.select(byte_bpe.as_numbers(F.col("c"))).collect()

@@ -9,9 +9,9 @@ array there, and neither Python nor the plan's text has it. A string is looked u
 of ids stands in one array, at the place of the left id plus the right id: places are chosen so that no two pairs
 share one, and each entry names its left id, so the rank is one exclusive or.
 
-A word is encoded by a fold over its bytes. The state is an array with a number for each part: the rank of the
-pair it begins, its place and its id. Each step merges the pair of least number, which is the
-leftmost of lowest rank, and looks up the two new pairs beside it, until no pair has a rank. In a long word, where the state
+A word is encoded by a fold over its bytes. The state is the ids of its parts and the rank of every
+neighbouring pair, a string each; each step merges the leftmost pair of lowest rank and looks up the two new
+pairs beside it, until no pair has a rank. In a long word, where the state
 is too large to be copied for every merge, a step merges the pair of lowest rank wherever it stands:
 the state is then the bytes with marks around every part, and the step is one ``replace``.
 
@@ -36,17 +36,18 @@ from tidecast.llm.common import free_name, written
 
 #: Words of the second literal, at most, and their longest size in characters; both bound it.
 FREQUENT, FREQUENT_CHARS = 150_000, 24
-#: Bytes from which a word is long, at most ``_LEAST_NONE >> 2``. Both folds are exact.
+#: Bytes from which a word is long. Both folds are exact.
 LONG = 64
 #: Buckets of strings, a power of two.
 _BUCKETS = 1 << 17
 #: No character of Latin-1, so never one of a word's bytes.
 _MARK = "ā"
 _PLACES = 1 << 31
-#: A part's number: rank of its pair above ``_RANK`` bits, place above ``_ID`` bits, its id. Numbers from ``_LEAST_NONE``
-#: in place of a rank are those of pairs without one; they come after all ranks.
-_RANK, _ID = 30, 16
+#: Bits of an id. A number from ``_LEAST_NONE`` or below 0 in place of a rank is that of a pair without one.
+_ID = 16
 _LEAST_NONE = 1 << _ID
+#: In place of the rank of a pair that has none: comes after all ids.
+_NONE = "\ue00f"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -163,43 +164,48 @@ class ByteBpe:
 
     def short_word(self, chars: Column, tables: dict[str, Column]) -> Column:
         """The ids of a word, given as a character for each byte, by single merges."""
-        place, pairs = tables["place"], tables["pairs"]
+        place, pairs, of_id = tables["place"], tables["pairs"], tables["chars"]
 
-        def number(left: Column, right: Column, rest: Column) -> Column:
-            """The number of a part: ``left`` is its id, ``right`` the next one's, ``rest`` its place and id."""
+        def rank(left: Column, right: Column) -> Column:
+            """The rank of two ids as a character, ``_NONE`` without one."""
             # The entry's left id goes if it is this one; if not, what stays is no rank.
-            rank = F.get(pairs, F.get(place, left) + right).bitwiseXOR(F.shiftleft(left, _ID))
-            return F.shiftleft(rank, _RANK).bitwiseOR(rest)
+            found = F.get(pairs, F.get(place, left) + right).bitwiseXOR(F.shiftleft(left.cast("long"), _ID))
+            return let(found, lambda r: F.when(r < _LEAST_NONE, F.get(of_id, r)).otherwise(_NONE))
+
+        def id_at(ids: Column, i: Column) -> Column:
+            return F.ascii(F.substring(ids, i, F.lit(1)))
 
         def folded(ids: Column) -> Column:
-            edge = F.lit(self.edge).cast("long")
-            start = F.transform(
-                ids, lambda a, i: number(a, F.coalesce(F.get(ids, i + 1), edge), F.shiftleft(i.cast("long"), _ID).bitwiseOR(a))
+            # With an edge on both sides, the rank at i (from 1) is that of the ids at i and i + 1.
+            edge = F.lit(chr(self.edge))
+            beside = F.transform(ids, lambda a, i: rank(a, F.coalesce(F.get(ids, i + 1), F.lit(self.edge))))
+            own = F.transform(ids, lambda a: F.get(of_id, a))
+            start = F.struct(
+                F.concat(edge, F.array_join(own, ""), edge).alias("ids"),
+                F.concat(F.lit(_NONE), F.array_join(beside, "")).alias("ranks"),
             )
 
-            def step(parts: Column, _: Column) -> Column:
+            def step(s: Column, _: Column) -> Column:
                 return let(
-                    F.array_min(parts),
-                    lambda best: F.when(best >= _LEAST_NONE << _RANK, parts).otherwise(
-                        let(F.array_position(parts, best).cast("int"), lambda i: joined(parts, best, i))
+                    F.array_min(F.split(s["ranks"], "")),
+                    lambda best: F.when(best == _NONE, s).otherwise(
+                        let(s["ids"], lambda ids: let(s["ranks"], lambda ranks: let(F.instr(ranks, best), lambda i: joined(ids, ranks, best, i))))
                     ),
                 )
 
-            def end(parts: Column) -> Column:
-                own = F.slice(parts, F.lit(2), F.size(parts) - 2)
-                return F.array_join(F.transform(own, lambda p: F.get(tables["chars"], p.bitwiseAND(_LEAST_NONE - 1))), "")
+            steps = F.sequence(F.lit(2), F.size(ids))
+            return F.aggregate(steps, start, step, lambda s: F.substring(s["ids"], F.lit(2), F.length(s["ids"]) - 2))
 
-            return F.aggregate(F.sequence(F.lit(4), F.size(ids)), start, step, end)
-
-        def joined(parts: Column, best: Column, i: Column) -> Column:
-            new, before, after = F.shiftright(best, _RANK), F.get(parts, i - 2), F.get(parts, i + 1)
-            left = number(before.bitwiseAND(_LEAST_NONE - 1), new, before.bitwiseAND((1 << _RANK) - 1))
-            own = number(new, after.bitwiseAND(_LEAST_NONE - 1), best.bitwiseAND((1 << _RANK) - _LEAST_NONE).bitwiseOR(new))
-            return F.flatten(F.array(F.slice(parts, F.lit(1), i - 2), F.array(left, own), F.slice(parts, i + 2, F.size(parts))))
+        def joined(ids: Column, ranks: Column, best: Column, i: Column) -> Column:
+            rest, new = F.substring(ids, i + 2, F.lit(_LEAST_NONE)), F.ascii(best)
+            before, after = rank(id_at(ids, i - 1), new), rank(new, F.ascii(rest))
+            return F.struct(
+                F.concat(F.substring(ids, F.lit(1), i - 1), best, rest).alias("ids"),
+                F.concat(F.substring(ranks, F.lit(1), i - 2), before, after, F.substring(ranks, i + 2, F.lit(_LEAST_NONE))).alias("ranks"),
+            )
 
-        edge = F.array(F.lit(self.edge).cast("long"))
-        ids = F.transform(F.split(chars, ""), lambda c: F.get(tables["of_byte"], F.ascii(c)).cast("long"))
-        return let(F.concat(edge, ids, edge), folded)
+        ids = F.transform(F.split(chars, ""), lambda c: F.get(tables["of_byte"], F.ascii(c)))
+        return F.when(F.length(chars) > 1, let(ids, folded)).otherwise(F.get(of_id, F.get(tables["of_byte"], F.ascii(chars))))
 
     def merged(self, state: Column, ranks: Column) -> Column:
         """The state with the pair of lowest rank merged wherever it stands, from left to right; null
