@@ -127,6 +127,54 @@ def test_a_repeated_line_makes_no_copies(spark):
     assert simhash.copies(df, 5).count() == 0
 
 
+def test_similar_sets_share_a_key():
+    """Sets just similar enough, of all sizes and across levels, with some shingles that count for less."""
+    r = np.random.default_rng(12)
+    for n in [*range(4, 70), 127, 128, 204, 205, 255, 256, 1000]:
+        for _ in range(20):
+            a = r.integers(-(2**63), 2**63 - 1, n)
+            gone = int(r.integers(n // 5 + 1))
+            more = 0
+            while simhash.similar(n - gone, n, n - gone + more + 1):
+                more += 1
+            b = np.append(a[gone:], r.integers(-(2**63), 2**63 - 1, more))
+            assert simhash.similar(n - gone, n, len(b))
+            common = np.sort(r.choice(a, n // 3, replace=False))
+            x, y = (set(simhash.part_keys(np.sort(h), common).tolist()) for h in (a, b))
+            assert x & y or not gone + more
+            assert simhash.marks_apart(simhash.marks(a), simhash.marks(b)) <= gone + more
+    other = r.integers(-(2**63), 2**63 - 1, 1000)
+    assert simhash.marks_apart(simhash.marks(a), simhash.marks(other)) > 2000 / 9
+
+
+def test_phrases_shared_by_chance_make_no_pairs(spark, monkeypatch):
+    """Each two of the texts share some phrases; pairs of all that do would grow with the square of the table."""
+    r = np.random.default_rng(13)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(5)) for k in range(150)]
+    rows = []
+    for i in range(300):
+        words = [w for k in r.choice(150, 20, replace=False) for w in [phrases[k], *(f"w{r.integers(10**9)}" for _ in range(10))]]
+        rows.append((i, " ".join(words)))
+    found, candidates = [], simhash.candidates
+
+    def seen(keyed):
+        found.append(candidates(keyed).filter("b IS NOT NULL").distinct().count())
+        return candidates(keyed)
+
+    monkeypatch.setattr(simhash, "candidates", seen)
+    assert simhash.copies(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).count() == 0
+    assert found[0] < 30  # thousands by single phrases
+
+
+def test_only_rows_that_may_be_in_a_table_are_joined(spark):
+    rows = [(i, f"t{i}") for i in range(2000)] + [(None, "none"), (3, "again")]
+    df = with_clashes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    held, other = simhash.may_be_in(df, "doc_id", spark.createDataFrame([(3,), (1999,), (10**9,)], "id bigint"))
+    assert held.columns == other.columns == df.columns
+    assert {"t3", "again", "t1999"} <= {x["text"] for x in held.collect()}
+    assert held.count() < 10 and held.count() + other.count() == len(rows)
+
+
 @pytest.mark.parametrize("members", [1, 4, simhash.MEMBERS])
 def test_copies_lose_no_pair(spark, monkeypatch, members):
     """Pairs just at 0.8, awkward rows, and groups in one bundle, in many, or in none."""

@@ -19,8 +19,13 @@ not all pairs, which keeps a group of near copies linear and loses no connection
 Components then come from links to ever smaller numbers, by joins and minima.
 
 ``copies`` links texts by the exact Jaccard similarity of their distinct shingles. Fingerprints of these propose
-links as above, and those that the exact check confirms make components; a prefix filter, which loses no pair,
-has the candidates beyond them, of which only those between two components are compared.
+links as above, and those that the exact check confirms make components; a filter that loses no pair has the
+candidates beyond them, of which only those between two components are compared.
+
+The filter deals the shingles of a set to parts by their hashes. Similar sets differ in a quarter of the smaller one's
+shingles at most, so all parts but so many are equal, contents and all. A set sends on one part more than may
+differ, those first that have the most shingles. What two unlike sets share by chance is a shingle here and there,
+hardly ever a whole part, so that candidates do not grow with the square of the table.
 """
 
 from __future__ import annotations
@@ -34,20 +39,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import free_name, in_arrow, written
+from tidecast.llm.common import free_name, in_arrow, slices, written
 
 SEED, BITS = 42, 64
 RADIUS, BLOCKS = 4, 6
 #: Nodes that a slice has on average, at most; lanes that are compared at once.
 GROUP, LANES = 1024, 1 << 16
 
-#: Least Jaccard similarity of near copies, as a fraction. Nodes that a key may have before its nodes are bundled;
-#: most keys that are taken last; sets of a bundle and shingles in them, at most on average; shingles that are compared at once.
+#: Least Jaccard similarity of near copies, as a fraction. Nodes that a key may have before its nodes are bundled, and
+#: a shingle before it counts for less; most such shingles; shingles among which they are counted at once.
 SIMILAR = (4, 5)
-MEMBERS, COMMON = 64, 1 << 20
-#: One of so many parts of two sets is compared before the whole sets are.
-PARTS = 4
+MEMBERS, COMMON, COUNTED = 64, 1 << 20, 1 << 21
+#: Sets of a bundle and shingles in them, at most on average; shingles that are compared at once.
 BUNDLE, BUNDLE_HASHES, WORDS = 256, 1 << 16, 4096
+#: Bits of the map that tells ids that are not in a table.
+MAP_BITS = 1 << 23
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -286,67 +292,111 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
 
 
-def prefixes(df: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+def set_prints(df: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, text`` to ``doc_id``, ``same`` (a digest that equal shingle sets share), ``size`` of the set and
-    ``keys``, its first shingles: by hash, but those in ``common`` (ascending) last, and ``bits``, its fingerprint.
+    ``bits``, its fingerprint. Some rows have ``often`` and ``times``: shingles that several of the different sets
+    up to there have, and how many."""
+
+    def run(batches):
+        for batch in batches:
+            found = [distinct_hashes(x.as_py(), shingle) for x in batch.column(1)]
+            for a, b in slices([len(h) for h in found], COUNTED):
+                sets = found[a:b]
+                same = [xxhash.xxh128_digest(h.tobytes()) for h in sets]
+                key, n = np.unique(np.concatenate(list(dict(zip(same, sets)).values())), return_counts=True)
+                often = [key[n > 1], *[key[:0]] * (len(sets) - 1)]
+                times = [n[n > 1], *[n[:0]] * (len(sets) - 1)]
+                columns = [batch.column(0).slice(a, b - a), pa.array(same, pa.binary()), pa.array([len(h) for h in sets], pa.int32())]
+                columns += [pa.array(np.array([majority(h) for h in sets], np.uint64).view(np.int64)), _lists(often), _lists(times)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "size", "bits", "often", "times"])
+
+    return df.mapInArrow(run, "doc_id bigint, same binary, size int, bits bigint, often array<bigint>, times array<bigint>")
+
+
+def common_shingles(prints: DataFrame) -> np.ndarray:
+    """Shingles that more than ``MEMBERS`` sets have, ascending. Only those that repeat among sets counted at once are
+    known, and the ``COMMON`` most frequent returned: it decides on an order, and every order finds all."""
+    seen = prints.filter("size(often) > 0").select(F.explode(F.arrays_zip("often", "times")).alias("e"))
+    counted = seen.select(F.col("e.often").alias("key"), F.col("e.times").alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") > MEMBERS).orderBy(F.desc("n"), "key").limit(COMMON).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy())
+
+
+def most_apart(size: int) -> int:
+    """In how many elements a set may differ from a similar one."""
+    return size * (SIMILAR[1] - SIMILAR[0]) // SIMILAR[0]
+
+
+def levels(size: int) -> list[int]:
+    """The levels a set is compared at: that of its size, and the next if a similar set may be there. Similar sets
+    so meet at the level of the larger one."""
+    own = size.bit_length() - 1
+    return [own, own + 1] if (size * SIMILAR[1] // SIMILAR[0]).bit_length() - 1 > own else [own]
 
-    If at least 0.8 n of n elements are in another set, the first n - 0.8 n + 1 of both, in one order, have one in common.
+
+def level_parts(level: int) -> int:
+    """Parts of a level: more than its largest set sends on, so that parts with few shingles stay behind."""
+    return most_apart((2 << level) - 1) * 13 // 10 + 4
+
+
+def part_keys(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Keys of a set's parts, of which similar sets have one in common, if they are not equal.
+
+    A part's key names its level, its place and its shingles. Of sets that differ in k shingles all parts but k
+    are equal; the first of those in one order, whichever it is, is among the first k + 1 of either set. Parts come
+    first that have more shingles which are not in ``common`` (ascending), and then more shingles at all.
     """
+    if not most_apart(len(h)):
+        return h[:0]
+    own = h.view(np.uint64)
+    rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h if len(common) else np.ones(len(h), bool)
+    keys = []
+    for level in levels(len(h)):
+        n = level_parts(level)
+        part = (own % np.uint64(n)).astype(np.int64)
+        key = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level)
+        np.add.at(key, part, own)
+        key ^= key >> np.uint64(32)
+        key = key * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
+        order = np.lexsort((key, -np.bincount(part, minlength=n), -np.bincount(part[rare], minlength=n)))
+        keys.append(key[order[: most_apart(len(h)) + 1]])
+    return np.concatenate(keys).view(np.int64)
+
+
+def keyed_sets(df: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+    """``doc_id, text`` to ``doc_id``, ``same`` and ``size`` as above, and ``keys`` of the set's parts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, size, keys, bits = [], [], [], []
+        same, size, keys = [], [], []
         for x in batch.column(1):
             h = distinct_hashes(x.as_py(), shingle)
-            bits.append(majority(h))
             same.append(xxhash.xxh128_digest(h.tobytes()))
             size.append(len(h))
-            if len(common):
-                late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-                h = np.append(h[~late], h[late])
-            keys.append(h[: len(h) + 1 + -len(h) * SIMILAR[0] // SIMILAR[1]] if len(h) else h)
+            keys.append(part_keys(h, common))
         columns = [batch.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), _lists(keys)]
-        columns.append(pa.array(np.array(bits, np.uint64).view(np.int64)))
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "size", "keys", "bits"])
-
-    return in_arrow(df, run, "doc_id bigint, same binary, size int, keys array<bigint>, bits bigint")
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "size", "keys"])
 
-
-def common_keys(prints: DataFrame) -> np.ndarray:
-    """Keys that more than ``MEMBERS`` documents have, ascending. Only keys that repeat within a batch are counted,
-    and the ``COMMON`` most frequent returned: it decides on an order, and every order finds all."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], names=["key", "n"])
-
-    counted = in_arrow(prints.select("keys"), run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") > MEMBERS).orderBy(F.desc("n"), "key").limit(COMMON).select("key").toArrow()
-    return np.sort(found.column("key").to_numpy())
+    return in_arrow(df, run, "doc_id bigint, same binary, size int, keys array<bigint>")
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
-    """``key, a, b``: pairs of nodes (``key, node, size, rest``) that share a key and may be similar (its key is
-    null). Of a key with more than ``MEMBERS`` nodes there is a row for each node instead, its b null.
-
-    ``rest`` is how many shingles of the node come at the key or after it. At the first key that
-    two nodes share, they share no more than the smaller rest.
-    """
+    """``key, a, b``: pairs of nodes (``key, node, size``) that share a key and may be similar (its key is
+    null). Of a key with more than ``MEMBERS`` nodes there is a row for each node instead, its b null."""
     most = MEMBERS
 
     def compared(part: pa.Table):
-        key, node, size, rest = (part.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "size", "rest"))
+        key, node, size = (part.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "size"))
         members = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
         many = np.repeat(members > most, members)
         hot = np.unique(np.stack([key[many], node[many]], 1), axis=0)
         found = [np.zeros((0, 2), np.int64)]
-        key, node, size, rest = (x[~many] for x in (key, node, size, rest))
+        key, node, size = (x[~many] for x in (key, node, size))
         for shift in range(1, most):
             at = np.flatnonzero(key[shift:] == key[:-shift])
             if not len(at):
                 break
             to = at + shift
-            near = similar(np.minimum(rest[at], rest[to]), size[at], size[to]) & (node[at] != node[to])
-            near &= similar(np.minimum(size[at], size[to]), size[at], size[to])
+            near = similar(np.minimum(size[at], size[to]), size[at], size[to]) & (node[at] != node[to])
             found.append(np.sort(np.stack([node[at[near]], node[to[near]]], 1), 1))
         pairs = np.unique(np.concatenate(found), axis=0)
         nulls = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(hot), pa.int64())
@@ -369,7 +419,7 @@ def candidates(keyed: DataFrame) -> DataFrame:
         if held is not None:
             yield from compared(held)
 
-    sorted_keys = keyed.select("key", "node", "size", "rest").repartition("key").sortWithinPartitions("key")
+    sorted_keys = keyed.select("key", "node", "size").repartition("key").sortWithinPartitions("key")
     return sorted_keys.mapInArrow(run, "key bigint, a bigint, b bigint")
 
 
@@ -447,24 +497,39 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(links(firsts))
 
 
+def marks(h: np.ndarray) -> bytes:
+    """Bits of a power of two, twice the set's size or more: whether an odd number of its hashes fall on each."""
+    n = 1 << max(6, (2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount(h & (n - 1), minlength=n) & 1, bitorder="little").tobytes()
+
+
+def marks_apart(a: bytes, b: bytes) -> int:
+    """In how many bits the marks of two sets differ, the longer ones folded: never more than the sets in elements."""
+    x, y = (np.frombuffer(m, np.uint64) for m in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (``a, b``) whose sets (``node, hashes, n_part``) are similar.
+    """Those of the pairs (``a, b``) whose sets (``node, hashes, marks``) are similar.
 
-    First by the hashes of one part, which stand first: similar sets differ in few elements, so pairs that differ in
-    more than those within the part are none, and their whole sets stay where they are.
+    First by the marks: similar sets differ in few elements, so pairs whose marks differ in more bits are none, and their
+    sets stay where they are.
     """
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         return sets.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
 
+    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
+        apart = [marks_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("a_marks"), batch.column("b_marks"))]
+        most = sum(batch.column(c).to_numpy().astype(np.int64) for c in ("a_size", "b_size")) * (SIMILAR[1] - SIMILAR[0])
+        return batch.select(["a", "b"]).filter(pa.array((SIMILAR[0] + SIMILAR[1]) * np.array(apart) <= most))
+
     own = sets_of(pairs)
-    part = [F.slice("hashes", F.lit(1), F.col("n_part")).alias("part"), F.size("hashes").alias("size")]
-    x, y = (own.select(F.col("node").alias(c), F.struct(*part).alias(f"{c}_set")) for c in "ab")
-    shared = F.size(F.array_intersect("a_set.part", "b_set.part"))
-    differ = F.size("a_set.part") + F.size("b_set.part") - 2 * shared
-    most = (SIMILAR[1] - SIMILAR[0]) * (F.col("a_set.size") + F.col("b_set.size"))
-    left = pairs.join(x, "a").join(y, "b").filter((SIMILAR[0] + SIMILAR[1]) * differ <= most)
-    left = written(left.select("a", "b"), "pairs")
+    x, y = (own.select(F.col("node").alias(c), F.col("marks").alias(f"{c}_marks"), F.size("hashes").alias(f"{c}_size")) for c in "ab")
+    left = written(in_arrow(pairs.join(x, "a").join(y, "b"), close, "a bigint, b bigint"), "pairs")
     own = sets_of(left)
     x, y = (own.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
     shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
@@ -478,31 +543,46 @@ def between(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.join(x, "a", "left").join(y, "b", "left").filter(apart).select("a", "b")
 
 
+def may_be_in(df: DataFrame, id_: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``id_`` may be in ``ids`` (one column), among them all that are, and the other rows.
+
+    By a map of ``MAP_BITS`` bits of the ids' hashes. It has a fixed size and so can go to all tasks, however many ids there are:
+    a join is then asked of the first rows only, and the texts of the others are not shuffled.
+    """
+    word, bits = (free_name(df, x) for x in ("word", "bits"))
+
+    def at(column) -> tuple:
+        place = F.pmod(F.xxhash64(column.cast("bigint")), F.lit(MAP_BITS))
+        return F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+
+    row, bit = at(ids[ids.columns[0]])
+    found = ids.select(row.alias(word), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias(bits))
+    found = written(found.groupBy(word).agg(F.bit_or(bits).alias(bits)), "id-map")
+    row, bit = at(df[id_])
+    told = df.withColumn(word, row).join(F.broadcast(found), word, "left")
+    held = F.call_function("getbit", F.coalesce(F.col(bits), F.lit(0).cast("bigint")), bit) == 1
+    return tuple(told.filter(x).select(*(df[c] for c in df.columns)) for x in (held, ~held))
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
     """``a, b``: links that connect all nodes whose shingle sets are similar, and no others. A node is the
-    smallest id of equal sets, in ``prints`` (``doc_id, same, keys, bits``) of ``docs``."""
+    smallest id of equal sets, in ``prints`` (``doc_id, same, size, bits, often, times``) of ``docs``."""
     firsts = prints.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("size").alias("size"))
     proposed = written(fingerprint_links(firsts.filter("size > 0").select(F.col("doc_id").alias("node"), "bits")), "fingerprint-links")
-    again = prefixes(docs, shingle, common_keys(prints)).drop("bits").filter("size > 0").join(firsts, ["same", "doc_id"], "left_semi")
-    keyed = again.select(F.col("doc_id").alias("node"), "size", F.posexplode("keys").alias("at", "key"))
-    found = written(candidates(keyed.select("key", "node", "size", (F.col("size") - F.col("at")).alias("rest"))), "candidates")
+    keyed = keyed_sets(docs, shingle, common_shingles(prints)).filter("size(keys) > 0").join(firsts.select("same", "doc_id"), ["same", "doc_id"], "left_semi")
+    found = written(candidates(keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "size")), "candidates")
     pairs, hot = found.filter("b IS NOT NULL").select("a", "b").distinct(), found.filter("b IS NULL").select("key", F.col("a").alias("node"))
-    # Written, so that Spark knows its size: small, it goes to the texts, and they stay where they are.
     wanted = found.select("a", "b").unionByName(proposed).select(F.explode(F.array("a", "b")).alias("doc_id"))
     wanted = written(wanted.filter("doc_id IS NOT NULL").distinct(), "wanted")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets, n_part = [], []
-        for x in batch.column(1):
-            h = distinct_hashes(x.as_py(), shingle)
-            first = h % PARTS == 0
-            sets.append(np.append(h[first], h[~first]))
-            n_part.append(int(first.sum()))
-        return pa.RecordBatch.from_arrays([batch.column(0), _lists(sets), pa.array(n_part, pa.int32())], names=["node", "hashes", "n_part"])
-
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = in_arrow(texts, hashed, "node bigint, hashes array<bigint>, n_part int")
-    sets = written(sets.filter("size(hashes) > 0"), "sets")
+        sets = [distinct_hashes(x.as_py(), shingle) for x in batch.column(1)]
+        columns = [batch.column(0), _lists(sets), pa.array([marks(h) for h in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "hashes", "marks"])
+
+    sets = in_arrow(may_be_in(docs, "doc_id", wanted)[0], hashed, "node bigint, hashes array<bigint>, marks binary")
+    sets = sets.filter("size(hashes) > 0").join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+    sets = written(sets, "sets")
     near = written(confirmed(proposed, sets), "near")
     apart = written(between(pairs, components(near)), "apart")
     return near.unionByName(confirmed(apart, sets)).unionByName(bundled_links(hot, sets))
@@ -516,7 +596,7 @@ def copies(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "tex
     equal. Null ids are nobody's copies. Rows with one id are one document, linked by any of its texts.
     """
     docs = df.select(df[doc_id].cast("bigint").alias("doc_id"), df[text].alias("text")).filter("doc_id IS NOT NULL")
-    prints = written(prefixes(docs, shingle, np.zeros(0, np.int64)), "prints")
+    prints = written(set_prints(docs, shingle), "prints")
     equal = prints.groupBy("same").agg(F.min("doc_id").alias("a"))
     equal = prints.join(equal, "same").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     found = components(similar_links(docs, prints, shingle).unionByName(equal))
@@ -526,7 +606,7 @@ def copies(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "tex
 def without_copies(df: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that are nobody's copies: of each group the document with the smallest id, and rows with a
     null id. Rows with one id are one document, which stays or goes as a whole."""
-    gone = copies(df, shingle, doc_id, text)
     key = free_name(df, "copy_of")
-    gone = gone.select(F.col("doc_id").alias(key))
-    return df.join(gone, df[doc_id] == gone[key], "left_anti")
+    gone = written(copies(df, shingle, doc_id, text).select(F.col("doc_id").alias(key)), "copies")
+    maybe, kept = may_be_in(df, doc_id, gone)
+    return kept.union(maybe.join(gone, maybe[doc_id] == gone[key], "left_anti"))
