@@ -1,6 +1,7 @@
 """Operators that compare texts with each other, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, awkward, cut, passages, rows_of, smallest_reachable, with_clashes
 
@@ -209,6 +210,38 @@ def test_repeats_equal_brute_force(spark, monkeypatch, chunk, part):
     assert rows_of(suffix_dedup.digests(df)) == cut(rows)
 
 
+def test_a_task_sends_a_part_one_row(spark, monkeypatch):
+    """And not one for each chunk: rows as many as parts and chunks grow with the square of the texts."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
+    rows = [(d, 0, t) for d, t in passages() if d is not None and t]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text_hash bigint, text string").coalesce(1)
+    sent = suffix_dedup.named_pieces(docs, 4).select("part").collect()
+    assert len(sent) == len({x["part"] for x in sent}) == 4
+
+
+@pytest.mark.parametrize("deal", [700, 5000])
+def test_repeats_equal_brute_force_dealt_in_many_rows(spark, monkeypatch, deal):
+    for name, value in (("CHUNK", 400), ("PART", 900), ("DEAL", deal), ("SHARE", 2), ("SHARES", 3)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = passages(6) + AWKWARD
+    df = with_clashes(spark.createDataFrame(rows, "doc_id bigint, text string")).repartition(3)
+    assert rows_of(suffix_dedup.digests(df)) == cut(rows)
+
+
+def test_packed_rows_come_back():
+    r = np.random.default_rng(15)
+    kinds = [np.dtype(x) for x in ("<i8", "<i8", "<i4", "i1", "<u4")]
+    columns = [r.integers(np.iinfo(k).min, np.iinfo(k).max, 300, k) for k in kinds]
+    content = [bytes(r.integers(0, 256, k % 7, np.uint8)) for k in range(300)]
+    part = r.integers(0, 5, 300)
+    sent = suffix_dedup.dealt(columns, part, pa.array(content, pa.binary()))
+    assert sent.column("part").to_pylist() == [0, 1, 2, 3, 4]
+    found, joined = suffix_dedup.unpacked(pa.chunked_array([sent.column("packed")]), kinds)
+    order = np.argsort(part, kind="stable")
+    assert all((x == c[order]).all() and x.dtype == c.dtype for x, c in zip(found, columns))
+    assert joined.tobytes() == b"".join(content[i] for i in order)
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.digests(awkward(spark).limit(0)).count() == 0
 

@@ -16,10 +16,12 @@ name are a piece of the text. Equal windows have equal names, wherever they stan
 3. The spans are joined to their documents and united.
 
 Before either shuffle a task sends each name, and each piece's text, once for every
-``CHUNK`` bytes of its input, however many documents have it: of equal pieces the one of the smallest
+``DEAL`` bytes, however many documents have it: of equal pieces the one of the smallest
 document stands for the others, whose spans are then known without it. Copies in a third of all
 rows so cost as much as a few. The number of parts follows the bytes of all texts, so a part stays
-as large as ``PART`` at any size.
+as large as ``PART`` at any size. A task sends each part one row for every ``DEAL`` bytes, since rows that
+are packed for many parts from little text cost more than what is in them. A name is compared within its part only, so
+chance gives few unlike pieces one name at any size.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import free_name, in_arrow, slices, written
 
 LENGTH, SEED_BYTES = 50, 16
-#: Level of compression of packed rows.
-LEVEL = 5
-#: Bytes of text that a task names at once, and bytes of text for each part.
-CHUNK, PART = 2 << 20, 8 << 20
-
-_SPAN = np.dtype("<i4")
+#: Bytes of text that a task names at once, bytes of text for each part, and bytes that a task deals to the parts at once.
+CHUNK, PART, DEAL = 2 << 20, 8 << 20, 32 << 20
+#: Parts for each share of the documents, to which parts send what they find, and least shares if there are as many parts.
+SHARE, SHARES = 4, 32
+
+#: Packed rows.
+_CODEC = pa.Codec("zstd", compression_level=5)
+_HASH, _SPAN, _FLAG, _ID = (np.dtype(x) for x in ("<u4", "<i4", "i1", "<i8"))
 _END = np.uint8(255)  # in no UTF-8 text
 _TABLE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE, _MIX = 0xD6E8FEB86659FD93, np.uint64(0x9E3779B97F4A7C15)
@@ -70,10 +74,11 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - n)], h[width - n :]) if width > n else h
 
 
-def pieces(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name, text number, start in the text and length of each piece of texts joined to ``data``."""
+def pieces(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place and name (which make up its whole name), text number, start in the text and length of each piece of texts
+    joined to ``data``."""
     if len(data) < LENGTH:
-        return np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
+        return *(np.zeros(0, np.uint32) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(3))
     names = sliding_min(seed_hashes(data), LENGTH - SEED_BYTES + 1)
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -84,7 +89,10 @@ def pieces(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(valid & (other | ~np.append(False, valid[:-1])))
     last = np.flatnonzero(valid & (np.append(other[1:], True) | ~np.append(valid[1:], False)))
     own = doc[first]
-    return (names[first] >> np.uint64(16)).astype(np.uint32), own, first - (ends - sizes)[own], last - first + LENGTH
+    whole = names[first]  # the least of many: its high bits are not even
+    whole = (whole ^ whole >> np.uint64(31)) * _MIX
+    whole ^= whole >> np.uint64(29)
+    return (whole >> np.uint64(32)).astype(_HASH), whole.astype(_HASH), own, first - (ends - sizes)[own], last - first + LENGTH
 
 
 def taken(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -103,25 +111,49 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.diff(offsets).astype(np.int64)
 
 
-def packed(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
-        out.write_table(table.combine_chunks())
-    return sink.getvalue().to_pybytes()
-
-
-def unpacked(column: pa.ChunkedArray) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column]).combine_chunks()
-
-
-def dealt(table: pa.Table, part: np.ndarray) -> pa.RecordBatch | None:
-    """The rows of a table as one packed row for each part, in their order."""
+def packed(columns: list[np.ndarray], content: bytes = b"") -> bytes:
+    """Rows of some columns, the ids first, with bytes that belong to them: for each column a frame of its values' first
+    bytes, then their second ones and so on; ids as differences, hashes as they are."""
+    frames = []
+    for i, c in enumerate(columns):
+        c = c if i else np.diff(c, prepend=c.dtype.type(0))
+        frames.append(c.tobytes() if c.dtype == _HASH else _CODEC.compress(c.view(np.uint8).reshape(len(c), -1).T.tobytes(), asbytes=True))
+    frames.append(_CODEC.compress(content, asbytes=True))
+    return b"".join([np.array([len(columns[0]), len(content), *map(len, frames)], _SPAN).tobytes(), *frames])
+
+
+def unpacked(column: pa.ChunkedArray, kinds: list[np.dtype]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all packed rows, and their joined bytes."""
+    columns, contents = [[] for _ in kinds], []
+    for x in column:
+        raw = x.as_py()
+        at = (3 + len(kinds)) * _SPAN.itemsize
+        n, n_content, *sizes = np.frombuffer(raw, _SPAN, 3 + len(kinds)).tolist()
+        for i, (kind, size) in enumerate(zip(kinds, sizes)):
+            frame = raw[at : at + size]
+            at += size
+            if kind == _HASH:
+                values = np.frombuffer(frame, kind)
+            else:
+                planes = np.frombuffer(_CODEC.decompress(frame, n * kind.itemsize, asbytes=True), np.uint8)
+                values = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind)[:, 0]
+            columns[i].append(values if i else np.cumsum(values, dtype=kind))
+        if n_content:
+            contents.append(np.frombuffer(_CODEC.decompress(raw[at:], n_content, asbytes=True), np.uint8))
+    return [np.concatenate(c) for c in columns], np.concatenate(contents) if contents else np.zeros(0, np.uint8)
+
+
+def dealt(columns: list[np.ndarray], part: np.ndarray, content: pa.Array | None = None) -> pa.RecordBatch | None:
+    """Rows, with bytes for each, as one packed row for each part, in their order."""
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(part) else []
     if not len(cuts):
         return None
-    rows = table.take(pa.array(order))
-    sent = [packed(rows.slice(a, b - a)) for a, b in zip(cuts, [*cuts[1:], len(order)])]
+    content = content if content is None else content.take(pa.array(order))
+    sent = []
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        own = b"" if content is None else bytes_of(content.slice(a, b - a))[0].tobytes()
+        sent.append(packed([c[order[a:b]] for c in columns], own))
     return pa.RecordBatch.from_arrays(
         [pa.array(part[order][cuts].astype(np.int32)), pa.array(sent, pa.binary())], names=["part", "packed"]
     )
@@ -146,47 +178,54 @@ def by_document(doc: np.ndarray, text_hash: np.ndarray, values: np.ndarray) -> p
     return pa.table({"doc_id": doc[cuts], "text_hash": text_hash[cuts], "found": pc.cast(raw, pa.binary())})
 
 
+#: Columns of packed pieces: id, text's hash, start, size, place, kind and name; id, text's hash, start, size and whether it passes through.
+_NAMED, _CUT = [_ID, _ID, _SPAN, _SPAN, _SPAN, _FLAG, _HASH], [_ID, _ID, _SPAN, _SPAN, _FLAG]
+
+
+def _joined(held: list[tuple]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*held)]
+
+
 def named_pieces(docs: DataFrame, parts: int) -> DataFrame:
     """Step 1 before the shuffle: ``part, packed``."""
 
-    def run(batch: pa.RecordBatch):
-        ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
-        lengths = pc.binary_length(batch.column(2)).to_numpy()
-        for a, b in slices(lengths, CHUNK):
-            data, sizes = bytes_of(batch.column(2).slice(a, b - a))
-            name, own, start, size = pieces(data, sizes)
-            if not len(name):
-                continue
-            doc, text_hash = ids[a + own], hashes[a + own]
-            # Of each name the first of the smallest document, and whether others here have it.
-            order = np.lexsort((doc, name))
-            new = np.append(True, name[order][1:] != name[order][:-1])
-            group = np.cumsum(new) - 1
-            least = doc[order][new]
-            many = np.maximum.reduceat(doc[order], np.flatnonzero(new)) != least
-            kind = np.empty(len(name), np.int8)  # 0: sent by name, 1: so too, and known to repeat, 2: passes through
-            kind[order] = np.where(new, many[group], np.where(many[group], 2, 0))
-            part = np.where(kind == 2, spread(doc, parts), name % parts)
-            table = pa.table({"name": name, "doc_id": doc, "text_hash": text_hash, "start": start.astype(np.int32), "size": size.astype(np.int32), "kind": kind})
-            yield dealt(table, part)
-
-    return _each(docs.select("doc_id", "text_hash", "text"), run, "part int, packed binary")
-
-
-def _each(df: DataFrame, fn, schema: str) -> DataFrame:
+    def sent(held):
+        doc, text_hash, start, size, place, name = _joined(held)
+        # Of each name the first of the smallest document, and whether others here have it.
+        order = np.lexsort((doc, name, place))
+        new = np.append(True, (name[order][1:] != name[order][:-1]) | (place[order][1:] != place[order][:-1]))
+        group = np.cumsum(new) - 1
+        least = doc[order][new]
+        many = np.maximum.reduceat(doc[order], np.flatnonzero(new)) != least
+        kind = np.empty(len(name), _FLAG)  # 0: sent by name, 1: so too, and known to repeat, 2: passes through
+        kind[order] = np.where(new, many[group], np.where(many[group], 2, 0))
+        part = np.where(kind == 2, spread(doc, parts), place)
+        return dealt([doc, text_hash, start, size, place, kind, name], part)
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            if batch.num_rows:
-                yield from (x for x in fn(batch) if x is not None)
-
-    return df.mapInArrow(run, schema)
+            ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
+            lengths = pc.binary_length(batch.column(2)).to_numpy()
+            for a, b in slices(lengths, CHUNK):
+                data, sizes = bytes_of(batch.column(2).slice(a, b - a))
+                place, name, own, start, size = pieces(data, sizes)
+                if len(name):
+                    held.append((ids[a + own], hashes[a + own], start.astype(_SPAN), size.astype(_SPAN), (place % parts).astype(_SPAN), name))
+                n += len(data)
+                if held and n >= DEAL:
+                    yield sent(held)
+                    held, n = [], 0
+        if held:
+            yield sent(held)
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "part int, packed binary")
 
 
 def repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Step 1 after the shuffle: the pieces whose names occur in two documents (document, text's hash,
-    and start, size and name)."""
-    rows = unpacked(table.column("packed"))
-    name, doc, kind = (rows.column(c).to_numpy() for c in ("name", "doc_id", "kind"))
+    and start, size and place)."""
+    (doc, text_hash, start, size, place, kind, name), _ = unpacked(table.column("packed"), _NAMED)
     sent = np.flatnonzero(kind < 2)
     order = sent[np.lexsort((doc[sent], name[sent]))]
     keep = kind == 2
@@ -195,9 +234,7 @@ def repeated(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(new)
         several = (np.maximum.reduceat(doc[order], at) != doc[order][at]) | (np.maximum.reduceat(kind[order], at) > 0)
         keep[order] = several[np.cumsum(new) - 1]
-    rows = rows.filter(pa.array(keep))
-    values = np.stack([rows.column("start").to_numpy(), rows.column("size").to_numpy(), rows.column("name").to_numpy().view(np.int32)], 1)
-    return rows.column("doc_id").to_numpy(), rows.column("text_hash").to_numpy(), values
+    return doc[keep], text_hash[keep], np.stack([start, size, place], 1)[keep]
 
 
 def cut_pieces(docs: DataFrame, parts: int, text: str) -> DataFrame:
@@ -206,30 +243,41 @@ def cut_pieces(docs: DataFrame, parts: int, text: str) -> DataFrame:
     documents for this and for the last join."""
     at = docs.columns.index(text)
 
-    def run(batch: pa.RecordBatch):
-        ids, hashes = (batch.column(batch.num_columns + i).to_numpy() for i in (-3, -2))
-        texts, pieces_of = batch.column(at), batch.column(batch.num_columns - 1)
-        for a, b in slices(pc.binary_length(texts).to_numpy(), CHUNK):
-            data, sizes = bytes_of(texts.slice(a, b - a))
-            begin = np.cumsum(sizes) - sizes
-            found = [np.frombuffer(x, _SPAN).reshape(-1, 3) for x in pieces_of.slice(a, b - a).to_pylist()]
-            own = np.repeat(np.arange(b - a), [len(x) for x in found])
-            start, size, name = np.concatenate(found).astype(np.int64).T
-            content = taken(data, begin[own] + start, size)
-            doc = ids[a + own]
-            # Of equal contents those of the smallest document stand for all: the others' windows
-            # are all in it.
-            coded = content.dictionary_encode()
-            code = coded.indices.to_numpy()
-            least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
-            np.minimum.at(least, code, doc)
-            through = doc > least[code]
-            part = np.where(through, spread(doc, parts), name.astype(np.uint32) % parts)
-            content = pc.if_else(pa.array(through), pa.scalar(b""), content)
-            table = pa.table({"name": name.astype(np.int32), "doc_id": doc, "text_hash": hashes[a + own], "start": start.astype(np.int32), "size": size.astype(np.int32), "through": through, "content": content})
-            yield dealt(table, part)
-
-    return _each(docs, run, "part int, packed binary")
+    def sent(held, contents):
+        doc, text_hash, start, size, place = _joined(held)
+        content = pa.concat_arrays(contents)
+        # Of equal contents those of the smallest document stand for all: the others' windows
+        # are all in it.
+        coded = content.dictionary_encode()
+        code = coded.indices.to_numpy()
+        least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(least, code, doc)
+        through = doc > least[code]
+        part = np.where(through, spread(doc, parts), place)
+        content = pc.if_else(pa.array(through), pa.scalar(b""), content)
+        return dealt([doc, text_hash, start, size, through.astype(_FLAG)], part, content)
+
+    def run(batches):
+        held, contents, n = [], [], 0
+        for batch in batches:
+            ids, hashes = (batch.column(batch.num_columns + i).to_numpy() for i in (-3, -2))
+            texts, pieces_of = batch.column(at), batch.column(batch.num_columns - 1)
+            for a, b in slices(pc.binary_length(texts).to_numpy(), CHUNK):
+                data, sizes = bytes_of(texts.slice(a, b - a))
+                begin = np.cumsum(sizes) - sizes
+                found = [np.frombuffer(x, _SPAN).reshape(-1, 3) for x in pieces_of.slice(a, b - a).to_pylist()]
+                own = np.repeat(np.arange(b - a), [len(x) for x in found])
+                start, size, place = np.concatenate(found).T
+                held.append((ids[a + own], hashes[a + own], start, size, place))
+                contents.append(taken(data, begin[own] + start, size.astype(np.int64)))
+                n += int(size.sum(dtype=np.int64))
+                if n >= DEAL // 2:
+                    yield sent(held, contents)
+                    held, contents, n = [], [], 0
+        if held:
+            yield sent(held, contents)
+
+    return docs.mapInArrow(run, "part int, packed binary")
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,13 +351,14 @@ def owned(contents: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def removed_spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Step 2 after the shuffle: spans to remove (document, text's hash, and start and stop)."""
-    rows = unpacked(table.column("packed"))
-    doc, text_hash, start, size, through = (rows.column(c).to_numpy() for c in ("doc_id", "text_hash", "start", "size", "through"))
+    (doc, text_hash, start, size, through), data = unpacked(table.column("packed"), _CUT)
+    through = through.astype(bool)
     spans = [np.stack([start, start + size], 1)[through]]
     keys = [np.stack([doc, text_hash], 1)[through]]
     here = np.flatnonzero(~through)
     if len(here):
-        coded = rows.column("content").combine_chunks().take(pa.array(here)).dictionary_encode()
+        offsets = np.append(0, np.cumsum(size[here], dtype=np.int64)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         code, contents = coded.indices.to_numpy(), coded.dictionary
         owner = np.full(len(contents), np.iinfo(np.int64).max)
         np.minimum.at(owner, code, doc[here])
@@ -344,30 +393,30 @@ def united(spans: bytes | None) -> np.ndarray:
     return np.stack([found[new, 0], stop[np.append(new[1:], True)]], 1)
 
 
-def _gathered(rows: DataFrame, fn, parts: int) -> DataFrame:
-    """``fn`` over each part, and then all that was found of each document as one row.
+def _gathered(rows: DataFrame, fn, width: int, parts: int) -> DataFrame:
+    """``fn`` over each part, and then all that was found of each document (``width`` numbers each) as one row.
 
     What a part finds is sent on packed, by shares of the documents, so that the rows between are
     as many as parts and shares and not as parts and documents.
     """
+    shares = max(min(parts, SHARES), -(-parts // SHARE))
+    kinds = [_ID, _ID, *[_SPAN] * width]
 
     def found(table: pa.Table) -> pa.Table:
         doc, text_hash, values = fn(table)
-        values = values.astype(np.int32)
-        columns = {"doc_id": doc, "text_hash": text_hash} | {f"v{i}": values[:, i] for i in range(values.shape[1])}
         order = np.lexsort((values[:, 0], doc))
-        sent = dealt(pa.table({k: v[order] for k, v in columns.items()}), spread(doc[order], parts))
+        columns = [doc[order], text_hash[order], *values[order].astype(_SPAN).T]
+        sent = dealt([np.ascontiguousarray(c) for c in columns], spread(doc[order], shares))
         if sent is None:
             return pa.table({"part": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
         return pa.Table.from_batches([sent])
 
     def gathered(table: pa.Table) -> pa.Table:
-        rows = unpacked(table.column("packed"))
-        columns = [rows.column(c).to_numpy() for c in rows.column_names]
-        return by_document(columns[0], columns[1], np.stack(columns[2:], 1))
+        (doc, text_hash, *values), _ = unpacked(table.column("packed"), kinds)
+        return by_document(doc, text_hash, np.stack(values, 1))
 
-    shares = rows.groupBy("part").applyInArrow(found, "part int, packed binary")
-    return shares.groupBy("part").applyInArrow(gathered, f"{_KEY}, found binary")
+    sent = rows.groupBy("part").applyInArrow(found, "part int, packed binary")
+    return sent.groupBy("part").applyInArrow(gathered, f"{_KEY}, found binary")
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,10 +444,10 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     def as_keys(found: DataFrame) -> DataFrame:
         return found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("found").alias(spans))
 
-    candidates = as_keys(_gathered(named_pieces(own, parts), repeated, parts))
+    candidates = as_keys(_gathered(named_pieces(own, parts), repeated, 3, parts))
     # Columns of the documents come first, then the keys and the pieces.
     wanted = docs.join(candidates, [id_, hash_]).select(*df.columns, id_, hash_, spans)
-    found = as_keys(_gathered(cut_pieces(wanted, parts, text), removed_spans, parts))
+    found = as_keys(_gathered(cut_pieces(wanted, parts, text), removed_spans, 2, parts))
     marked = docs.join(found, [id_, hash_], "left").select(*df.columns, spans)
     rest = df.filter(~F.coalesce(fit, F.lit(False)))
     return marked.unionByName(rest.withColumn(spans, F.lit(None).cast("binary")))
