@@ -580,9 +580,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, shingle: int) -> DataFrame
         columns = [batch.column(0), _lists(sets), pa.array([marks(h) for h in sets], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["node", "hashes", "marks"])
 
+    # With the few sets that the map lets through besides: to join them away would shuffle all.
     sets = in_arrow(may_be_in(docs, "doc_id", wanted)[0], hashed, "node bigint, hashes array<bigint>, marks binary")
-    sets = sets.filter("size(hashes) > 0").join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi")
-    sets = written(sets, "sets")
+    sets = written(sets.filter("size(hashes) > 0"), "sets")
     near = written(confirmed(proposed, sets), "near")
     apart = written(between(pairs, components(near)), "apart")
     return near.unionByName(confirmed(apart, sets)).unionByName(bundled_links(hot, sets))
